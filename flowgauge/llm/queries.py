@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowgauge.llm.decontam import annotate_contamination, contaminated
 from flowgauge.llm.quality import quality_score, train_quality
 from flowgauge.llm.simhash import simhash_components
 
@@ -24,6 +25,21 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = annotate_contamination(docs, _table(spark, sf_dir, "benchmark"))
+    c = F.col("_contamination")
+    ids = F.array_sort(F.transform(c["items"], lambda x: x.cast("string")))
+    return found.select(
+        "doc_id",
+        c["n_words"].alias("n_words"),
+        c["n_hit"].alias("n_hit"),
+        F.size(c["items"]).cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"),
+        contaminated().alias("contaminated"),
+    )
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     weights = train_quality(docs, _table(spark, sf_dir, "labels"))
@@ -32,5 +48,29 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash, op10_quality)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op5_simhash, op8_decontaminate, op10_quality)}
+SQL: dict[str, str] = {
+    "op8_decontaminate": r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w, row_number() over () r from documents),
+b as (
+  select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark where text is not null and item_id is not null),
+bw as (
+  select distinct item_id, least(13, len(w)) n, array_to_string(w[p:p + least(13, len(w)) - 1], ' ') s
+  from (select item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) p from b where len(w) > 0)),
+dw as (
+  select r, p, n, array_to_string(w[p:p + n - 1], ' ') s
+  from (select r, w, n, unnest(range(1, len(w) - n + 2)) p from d, (select distinct n from bw))),
+h as (select dw.r, dw.p, dw.n, bw.item_id from dw join bw on dw.s = bw.s and dw.n = bw.n),
+words as (select r, count(distinct q) n_hit from (select r, unnest(range(p, p + n)) q from (select distinct r, p, n from h)) group by r),
+items as (
+  select r, count(*) n_items, string_agg(cast(item_id as varchar), ',' order by cast(item_id as varchar)) ids
+  from (select distinct r, item_id from h) group by r)
+select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_hit, 0) as bigint) n_hit,
+       cast(coalesce(n_items, 0) as bigint) n_items, sha256(coalesce(ids, '')) items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
+from d left join words using (r) left join items using (r)
+""",
+}
