@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowgauge.llm.bpe import bpe_decode, bpe_encode
 from flowgauge.llm.decontam import annotate_contamination, contaminated
 from flowgauge.llm.quality import quality_score, train_quality
 from flowgauge.llm.simhash import simhash_components
@@ -25,6 +27,18 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = bpe_encode(docs, vocabulary, public_tokenizers.PATTERN).drop("text")
+    return bpe_decode(encoded, vocabulary).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = annotate_contamination(docs, _table(spark, sf_dir, "benchmark"))
@@ -48,7 +62,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash, op8_decontaminate, op10_quality)}
+QUERIES = {f.__name__: f for f in (op5_simhash, op7_bpe, op8_decontaminate, op10_quality)}
 SQL: dict[str, str] = {
     "op8_decontaminate": r"""
 with d as (
