@@ -10,12 +10,18 @@ from flowgauge.llm.bpe import bpe_decode, bpe_encode
 from flowgauge.llm.decontam import annotate_contamination, contaminated
 from flowgauge.llm.quality import quality_score, train_quality
 from flowgauge.llm.simhash import simhash_components
+from flowgauge.llm.warc import read_warc, write_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = read_warc(write_warc(_table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def _hex(fp):
     """Hex digits of a little-endian 8-byte fingerprint as a number."""
     digits = F.lower(F.hex(fp))
@@ -62,8 +68,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash, op7_bpe, op8_decontaminate, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_warc, op5_simhash, op7_bpe, op8_decontaminate, op10_quality)}
 SQL: dict[str, str] = {
+    "op1_warc": """
+with p as (select page_id, encode(coalesce(html, '')) b from pages),
+d as (select page_id, cast(octet_length(b) as bigint) payload_bytes, sha256(b) payload_digest from p),
+f as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) end first_id from d)
+select page_id, payload_bytes, payload_digest,
+       case when first_id is null or first_id is not distinct from page_id then 'response' else 'revisit' end record_type,
+       case when first_id is distinct from page_id then first_id end refers_to
+from f
+""",
     "op8_decontaminate": r"""
 with d as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
