@@ -11,6 +11,7 @@ from flowgauge.llm.chat import format_chat, read_loss, read_turns, text_parts
 from flowgauge.llm.decontam import annotate_contamination, contaminated
 from flowgauge.llm.quality import quality_score, train_quality
 from flowgauge.llm.simhash import simhash_components
+from flowgauge.llm.topk import top_k
 from flowgauge.llm.warc import read_warc, write_warc
 
 
@@ -81,6 +82,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return top_k(vectors.filter("vec_id % 50 = 0"), vectors, k=5)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     weights = train_quality(docs, _table(spark, sf_dir, "labels"))
@@ -89,7 +95,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op5_simhash, op6_chat, op7_bpe, op8_decontaminate, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_warc, op5_simhash, op6_chat, op7_bpe, op8_decontaminate, op9_top_k, op10_quality)}
 SQL: dict[str, str] = {
     "op1_warc": """
 with p as (select page_id, encode(coalesce(html, '')) b from pages),
@@ -112,6 +118,17 @@ select conv_id, count(*) n_turns,
        sha256(coalesce(string_agg(text, '' order by turn, role, esc) filter (role = 'assistant'), '')) loss_sha256,
        cast(sum(12 + length(role) + 1 + length(esc) + 11) as bigint) formatted_chars
 from e group by conv_id
+""",
+    "op9_top_k": """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) e from embeddings
+  where embedding is not null and vec_id is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
 """,
     "op8_decontaminate": r"""
 with d as (
