@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from flowgauge.llm.bpe import bpe_decode, bpe_encode
 from flowgauge.llm.chat import format_chat, read_loss, read_turns, text_parts
 from flowgauge.llm.decontam import annotate_contamination, contaminated
+from flowgauge.llm.lm import score_texts
 from flowgauge.llm.quality import quality_score, train_quality
 from flowgauge.llm.simhash import simhash_components
 from flowgauge.llm.topk import top_k
@@ -30,6 +31,11 @@ def _hex(fp):
     return F.concat(*[F.substring(digits, k, 2) for k in range(15, 0, -2)])
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
+    return score_texts(_table(spark, sf_dir, "documents"), train)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", _hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -95,7 +101,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op5_simhash, op6_chat, op7_bpe, op8_decontaminate, op9_top_k, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_warc, op3_lm_score, op5_simhash, op6_chat, op7_bpe, op8_decontaminate, op9_top_k, op10_quality)}
 SQL: dict[str, str] = {
     "op1_warc": """
 with p as (select page_id, encode(coalesce(html, '')) b from pages),
