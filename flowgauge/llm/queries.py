@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from flowgauge.llm.bpe import bpe_decode, bpe_encode
 from flowgauge.llm.chat import format_chat, read_loss, read_turns, text_parts
 from flowgauge.llm.decontam import annotate_contamination, contaminated
+from flowgauge.llm.licenses import scan_licenses
 from flowgauge.llm.lm import score_texts
 from flowgauge.llm.quality import quality_score, train_quality
 from flowgauge.llm.simhash import simhash_components
+from flowgauge.llm.token_counts import count_tokens, zipf_scores
 from flowgauge.llm.topk import top_k
 from flowgauge.llm.warc import read_warc, write_warc
 
@@ -31,11 +33,28 @@ def _hex(fp):
     return F.concat(*[F.substring(digits, k, 2) for k in range(15, 0, -2)])
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = zipf_scores(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_tokens(docs, scores, public_tokenizers.PATTERN).select("doc_id", "n_tokens")
+
+
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
     return score_texts(_table(spark, sf_dir, "documents"), train)
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = F.transform("licenses", lambda m: m["license"])
+    return found.select(
+        "doc_id",
+        F.size("licenses").cast("long").alias("n_matches"),
+        F.concat_ws(",", F.array_sort(F.array_distinct(names))).alias("license_ids"),
+        F.coalesce(F.array_max(F.transform("licenses", lambda m: m["dice"])), F.lit(0.0)).alias("best_dice"),
+    )
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", _hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -101,7 +120,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_lm_score, op5_simhash, op6_chat, op7_bpe, op8_decontaminate, op9_top_k, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_token_counts, op3_lm_score, op4_licenses, op5_simhash, op6_chat, op7_bpe, op8_decontaminate, op9_top_k, op10_quality)}
 SQL: dict[str, str] = {
     "op1_warc": """
 with p as (select page_id, encode(coalesce(html, '')) b from pages),
