@@ -13,19 +13,19 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import duckdb
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Distinct chunks that a worker keeps; beyond it starts anew.
-MAX_CHUNKS = 600_000
-#: Words in one recursive query, and tokens in one decoding query.
-WORDS, TOKENS = 50_000, 1_000_000
+#: Distinct chunks and words that a worker keeps; beyond these numbers it starts anew.
+MAX_CHUNKS, MAX_WORDS = 250_000, 400_000
+#: Texts handled at once, words in one recursive query, and tokens in one decoding query.
+ROWS, WORDS, TOKENS = 1_000, 20_000, 500_000
 #: Words of up to so many bytes go through the plain query.
 SHORT = 256
 
@@ -85,10 +85,9 @@ from s join (select w, max(step) step from s group by w) f on s.w = f.w and s.st
 group by s.w order by s.w
 """
 
-#: The pieces of each text's ids in order; an id outside the vocabulary is an error.
+#: The pieces of each text's ids in order.
 DECODE = """
-select d, list(coalesce(piece, error('token id ' || id || ' is not in the vocabulary')) order by p) pieces
-from tokens left join vocab using (id) group by d order by d
+select d, list(piece order by p) pieces from tokens left join vocab using (id) group by d order by d
 """
 
 
@@ -138,18 +137,14 @@ class Coder:
         self.ranks = ranks
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.db = duckdb.connect()
-        for setting in ("threads = 1", "memory_limit = '400MB'", "preserve_insertion_order = false"):
+        for setting in ("threads = 1", "memory_limit = '250MB'", "preserve_insertion_order = false"):
             self.db.execute(f"set {setting}").fetchall()
         self._table("m", {"pair": pairs, "id": merged})
         self.db.execute("create table merges as select * from m").fetchall()
         self._table("v", {"id": pa.array(list(ranks.values()), pa.int32()), "piece": pa.array(list(ranks), pa.binary())})
         self.db.execute("create table vocab as select * from v").fetchall()
-        self.clear()
-
-    def clear(self) -> None:
         self.words, self.chunks = _Numbers(), _Numbers()
-        empty = np.zeros(1, np.int64), np.zeros(0, np.int32)
-        self.word_tokens, self.chunk_tokens = empty, empty
+        self.word_tokens = self.chunk_tokens = self.empty = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def _table(self, name: str, columns: dict) -> None:
         self.db.register(name, pa.table(columns))
@@ -193,14 +188,16 @@ class Coder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.chunks) > MAX_CHUNKS:
-            self.clear()
+            self.chunks, self.chunk_tokens = _Numbers(), self.empty
+        if len(self.words) > MAX_WORDS:
+            self.words, self.word_tokens = _Numbers(), self.empty
         known = len(self.chunks)
         rows = [np.fromiter(map(self.chunks.__getitem__, c), np.int64, len(c)) for c in map(chunks, texts)]
-        fresh = list(self.chunks)[known:]
+        fresh = list(islice(self.chunks, known, None))
         if fresh:
             known = len(self.words)
             cut = [list(map(self.words.__getitem__, self.pattern.findall(c))) for c in fresh]
-            new = [w.encode("utf-8", "surrogatepass") for w in list(self.words)[known:]]
+            new = [w.encode("utf-8", "surrogatepass") for w in islice(self.words, known, None)]
             if new:
                 self.word_tokens = _append(self.word_tokens, *self._encode_words(new))
             sizes = np.fromiter(map(len, cut), np.int64, len(cut))
@@ -228,10 +225,14 @@ class Coder:
                 )
                 found = self.db.sql(DECODE).to_arrow_table()
                 lists = found["pieces"].combine_chunks()
-                ends = np.concatenate([[0], np.cumsum(pc.binary_length(lists.values))])[np.asarray(lists.offsets)]
-                whole = b"".join(lists.values.to_pylist())
-                for d, s, e in zip(found["d"].to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
-                    out[d] = whole[s:e]
+                if lists.values.null_count:
+                    raise ValueError("an id is not in the vocabulary")
+                # the pieces lie one after another in one buffer: a text is a slice of it
+                pieces = lists.values.cast(pa.large_binary())
+                _, bounds, data = pieces.buffers()
+                at = np.frombuffer(bounds, np.int64)[pieces.offset :][np.asarray(lists.offsets)].tolist()
+                for d, s, e in zip(found["d"].to_pylist(), at, at[1:]):
+                    out[d] = data[s:e].to_pybytes()
                 part, size = [], 0
         return out
 
@@ -262,7 +263,7 @@ def _with_coder(table: DataFrame, column: str, out: str, vocabulary: str, patter
         coder = shared.get("coder")
         if coder is None:
             coder = shared["coder"] = Coder(shared["ranks"], *shared["merges"], pattern)
-        for b in batches:
+        for b in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
             got = b.column(b.schema.get_field_index(column)).to_pylist()
             new = coder.decode(got) if decode else coder.encode(got)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(new, pa.binary())], names=[*b.schema.names, out])
