@@ -144,7 +144,7 @@ def _send(order: int, block: int, buckets: int, keys: np.ndarray, counts: np.nda
             yield order, b, block, e - s, _pack(steps), _pack(counts[s:e].astype("<i8")), _pack(kinds[s:e].astype("<i8"))
 
 
-def _totals(key, group: pd.DataFrame) -> pd.DataFrame:
+def _totals(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     """Adds up what the blocks sent for a bucket, answers each, and sums up the counts in a row without block.
 
     ``kinds`` come back as sums, too; for n-grams (sent as zeros) as 1 for one
@@ -218,20 +218,16 @@ class Automaton:
 
     def traverse(self, block: Block) -> list[float]:
         """Each text's log-probability."""
-        arcs = {k: a.tolist() for k, a in self.arcs.items()}
-        fails = {k: a.tolist() for k, a in self.fails.items()}
         out = []
         for start, size in zip(block.first.tolist(), block.sizes.tolist()):
-            grams = {k: block.ends[k][start : start + size].tolist() for k in arcs}
+            grams = {k: block.ends[k][start : start + size] for k in self.arcs}
+            arcs = {k: self.arcs[k][g].tolist() for k, g in grams.items()}
+            fails = {k: self.fails[k][grams[k]].tolist() for k in self.fails}
             state, total = 2, 0.0  # arcs of this order leave the state: at first, that of the start of a text
             for i in range(size):
                 k = min(state, self.order)
-                while True:
-                    g = grams[k][i]
-                    weight = arcs[k][g]
-                    if weight == weight:
-                        break
-                    total += fails[k][g]
+                while (weight := arcs[k][i]) != weight:  # NaN: no arc
+                    total += fails[k][i]
                     k -= 1
                 total += weight
                 state = k + 1
@@ -239,7 +235,7 @@ class Automaton:
         return out
 
 
-def score_texts(docs: DataFrame, train: Column, order: int = 2, block_tokens: int = 4_000_000) -> DataFrame:
+def score_texts(docs: DataFrame, train: Column, order: int = 2, block_tokens: int = 1_500_000) -> DataFrame:
     """Scores of ``docs(doc_id, text)`` under the model of the rows where ``train`` holds: the columns of ``RESULT``.
 
     Words lie between ASCII white space, A-Z lowered; one end follows each text
@@ -270,7 +266,7 @@ def score_texts(docs: DataFrame, train: Column, order: int = 2, block_tokens: in
                     rows = list(_send(k, row.block, buckets, b.keys[k], counts, np.zeros(len(counts), np.int64)))
                     yield pd.DataFrame(rows, columns=sent_names)
 
-    def send_contexts(key, mine: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
+    def send_contexts(key: tuple, mine: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         rows: list[tuple] = []
         for row in mine.itertuples(index=False):
             b = Block(row, order)
@@ -293,7 +289,7 @@ def score_texts(docs: DataFrame, train: Column, order: int = 2, block_tokens: in
         contexts = blocks.groupBy("block").cogroup(grams.groupBy("block")).applyInPandas(send_contexts, SENT)
         back = grams.union(exchange(contexts).filter("block is not null").select(*grams.columns))
 
-    def score(key, mine: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
+    def score(key: tuple, mine: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in mine.itertuples(index=False):
             b = Block(row, order)
