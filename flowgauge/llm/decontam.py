@@ -119,13 +119,16 @@ def annotate_by_broadcast(docs: DataFrame, benchmark: DataFrame, window: int) ->
 
 
 def annotate_by_join(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    """As ``annotate_by_broadcast``, with the windows of both sides joined by their words' digest."""
+    """As ``annotate_by_broadcast``, with the windows of both sides joined by their words' digest.
+
+    Column names ``_row``, ``_items`` and ``_at`` are reserved.
+    """
     lengths = [r[0] for r in _windows(_items(benchmark), "item_id", [window], True).select("n").distinct().collect()]
     numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     wanted = _windows(_items(benchmark), "item_id", [window], True).select("digest", "item_id").distinct()
     seen = _windows(numbered.select("_row", "text"), "_row", lengths, False)
     hits = seen.join(wanted, "digest").groupBy("_row").agg(
-        F.collect_set("item_id").alias("items"), F.collect_set(F.struct("pos", "n")).alias("at")
+        F.collect_set("item_id").alias("_items"), F.collect_set(F.struct("pos", "n")).alias("_at")
     )
 
     @F.pandas_udf(RESULT)
@@ -141,7 +144,7 @@ def annotate_by_join(docs: DataFrame, benchmark: DataFrame, window: int) -> Data
         return pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "spans"])
 
     joined = numbered.join(hits, "_row", "left")
-    return joined.withColumn("_contamination", combine("text", "items", "at")).select(*[F.col(f"`{c}`") for c in docs.columns], "_contamination")
+    return joined.withColumn("_contamination", combine("text", "_items", "_at")).drop("_row", "_items", "_at")
 
 
 def _windows(table: DataFrame, key: str, lengths: list[int], short: bool) -> DataFrame:

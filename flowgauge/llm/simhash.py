@@ -182,13 +182,13 @@ def near_links(classes: DataFrame, radius: int, lanes: int = 1, tile_size: int =
             if bands[k][0] - high <= radius and low - bands[k][1] <= radius:
                 yield min(t, u), max(t, u)
 
-    def deal(key, group: pd.DataFrame) -> pd.DataFrame:
+    def deal(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         t = int(key[0])
         a = np.frombuffer(b"".join(group["fp"]), np.uint64).reshape(len(group), lanes)
         a = a[np.lexsort(_quarters(a).T)]
         return pd.DataFrame([(p, q, t, a.tobytes()) for p, q in partners(t)], columns=["p", "q", "t", "rows"])
 
-    def compare(key, group: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         parts = [np.frombuffer(x, np.uint64).reshape(-1, lanes) for x in group.sort_values("t")["rows"]]
         if len(parts) == 1 and key[0] != key[1]:
             return pd.DataFrame({"a": [], "b": []}, dtype=object)

@@ -144,7 +144,7 @@ def _packed(table: DataFrame, id_column: str, vector: str, rows: int) -> tuple[D
     )
     n = max(1, -(-usable.count() // rows))
 
-    def pack(key, group: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         data = np.array(group["x"].tolist(), np.float64).reshape(len(group), int(key[0]))
         order = np.lexsort((*data.T[::-1], group["id"].to_numpy()))
         ids, data = group["id"].to_numpy()[order], data[order]
@@ -189,7 +189,7 @@ def top_k(
         ids = np.frombuffer(b"".join(g["ids"]), np.int64)
         return ids, np.floor(np.frombuffer(b"".join(g["data"]), np.float64).reshape(len(ids), dim) * scale)
 
-    def search(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def search(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         found = _exact_top_k(*unpack(a, int(key[0])), *unpack(b, int(key[0])), k) if len(a) and len(b) else []
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
