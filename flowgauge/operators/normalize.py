@@ -28,19 +28,25 @@ def normalize(raw: DataFrame, config: NormalizeConfig, now_ms: Column) -> DataFr
     """
     price, quantity = S.parse_number(F.col("price")), S.parse_number(F.col("quantity"))
     given = S.parse_number(F.col("quote_quantity"))
-    has_quote = F.coalesce(F.col("quote_quantity"), F.lit("")) != ""
-    parsed = raw.select(
+    # a generator: Catalyst can't copy what it makes into every later use, so that each text is parsed once
+    numbers = F.struct(price.alias("price"), quantity.alias("quantity"), given.alias("given"))
+    read = raw.select(
         *[F.col(c).alias(f"raw_{c}") for c in ("price", "quantity", "quote_quantity", "trade_time_ms", "event_time_ms", "symbol")],
         *[F.col(c) for c in ("source", "trade_id", "is_buyer_maker", "payload")],
         S.normalize_exchange(F.col("exchange")).alias("exchange"),
         F.coalesce(S.normalize_symbol(F.col("symbol")), F.lit("")).alias("symbol"),
-        price.alias("price"),
-        quantity.alias("quantity"),
-        (has_quote & ~_positive(given)).alias("bad_quote"),
-        F.when(has_quote & _positive(given), given).otherwise(price * quantity).alias("quote_quantity"),
-        F.when(F.col("trade_time_ms") > 0, F.col("trade_time_ms")).otherwise(F.col("event_time_ms")).alias("trade_time_ms"),
-        now_ms.cast("long").alias("ingested_at_ms"),
+        F.inline(F.array(numbers)),
     )
+    has_quote = F.coalesce(F.col("raw_quote_quantity"), F.lit("")) != ""
+    quoted = has_quote & _positive(F.col("given"))
+    parsed = read.withColumns(
+        {
+            "bad_quote": has_quote & ~_positive(F.col("given")),
+            "quote_quantity": F.when(quoted, F.col("given")).otherwise(F.col("price") * F.col("quantity")),
+            "trade_time_ms": F.when(F.col("raw_trade_time_ms") > 0, F.col("raw_trade_time_ms")).otherwise(F.col("raw_event_time_ms")),
+            "ingested_at_ms": now_ms.cast("long"),
+        }
+    ).drop("given")
     event = F.when(F.col("raw_event_time_ms") > 0, F.col("raw_event_time_ms")).otherwise(F.col("trade_time_ms"))
     above = lambda c, most: (F.lit(most) > 0) & ~F.isnan(c) & (F.col(c) > most)
     sound = F.lit(True)
