@@ -52,3 +52,18 @@ def test_alert_json(spark):
     scored = spark.createDataFrame([("S", 3.1234567891, 1.0, 2.0, 0.5, True), ("T", 1.0, 1.0, 1.0, 1.0, False)], "symbol string, z_score double, ewma double, ewma_var double, signed_ofi double, is_toxic boolean")
     made = alerts.alert_json(alerts.build_alerts(scored, F.lit(7))).collect()
     assert [r["key"] for r in made] == ["S"] and '"z_score":3.123457' in made[0]["value"] and '"alert_type":"toxicity"' in made[0]["value"]
+
+
+def test_shared_folder():
+    from types import SimpleNamespace
+
+    from flowgauge.tables import shared_dir
+
+    def session(master, path=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: path), sparkContext=SimpleNamespace(master=master, applicationId="a"))
+
+    assert shared_dir(session("yarn", "hdfs://x/y/")) == "hdfs://x/y"
+    assert shared_dir(session("local[4]")) == shared_dir(session("local")) and shared_dir(session("local[4]")).startswith("file://")
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_dir(session(master))
