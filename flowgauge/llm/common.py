@@ -2,49 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from flowgauge.tables import shared_path as new_path
+from flowgauge.tables import stored as written
 
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["LOWER", "new_path", "words", "written"]
 
 #: ASCII upper-case letters to lower case; every other byte stays.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the setting is missing, a temporary folder serves a local master; a
-    cluster without the setting is an error, as a folder of one machine would
-    be lost to the others.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="flowgauge-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back.
-
-    Cuts the lineage: a lost executor costs no recomputation of what stands
-    above, and a later join meets plain scans, which AQE can split where one
-    key is hot.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def words(text: str | None) -> list[bytes]:
     """UTF-8 words between ASCII white space (0x20, 0x09-0x0D), A-Z lowered."""
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
