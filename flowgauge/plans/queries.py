@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowgauge.config import NormalizeConfig
 from flowgauge.functions import scalars as S
 from flowgauge.operators import alerts as A
 from flowgauge.operators import audit, dedup, metrics, scoring, tables
-from flowgauge.operators.normalize import dead_letters, good_trades, validate_json
+from flowgauge.operators.normalize import dead_letters, good_trades, normalize, validate_json
 from flowgauge.plans import views as V
 from flowgauge.sources import csv_trades, frames
 from flowgauge.sources.synthetic import synthetic_trades
@@ -104,9 +105,71 @@ def sca22_fnv_shard(spark, sf_dir):
     return counted.withColumn("shard", S.shard(F.col("symbol"), 4))
 
 
+@query(f"with {V.TRADES} select case trade_id % 3 when 0 then 'binance' when 1 then 'unknown' else 'kraken' end exchange, count(*) n from trades group by 1")
+def sca03_exchange(spark, sf_dir):
+    text = F.when(F.col("trade_id") % 3 == 0, " BINANCE\t").when(F.col("trade_id") % 3 == 1, "  ").otherwise("Kraken")
+    return V.trades(spark, sf_dir).groupBy(S.normalize_exchange(text).alias("exchange")).agg(F.count("*").alias("n"))
+
+
+@query(f"with {V.TRADES} select trade_id, case trade_id % 5 when 0 then price when 1 then null when 2 then 1000::double when 3 then null else -0.5::double end number from trades")
+def sca06_parse_number(spark, sf_dir):
+    i = F.col("trade_id") % 5
+    text = F.when(i == 0, F.concat(F.lit(" "), F.col("price").cast("string"))).when(i == 1, "1_0").when(i == 2, "1e3\n").when(i == 3, "1e400").otherwise("-.5")
+    return V.trades(spark, sf_dir).select("trade_id", S.parse_number(text).alias("number"))
+
+
+@query(f"with {V.TRADES} select trade_id, trade_id % 4 < 2 flag from trades")
+def sca08_flag(spark, sf_dir):
+    text = F.element_at(F.array(*map(F.lit, [" TRUE", "y", "no", ""])), (F.col("trade_id") % 4).cast("int") + 1)
+    return V.trades(spark, sf_dir).select("trade_id", S.parse_flag(text).alias("flag"))
+
+
+@query(f"with {V.TRADES}, {V.RAW} select trade_id, at_ms trade_time_ms from raw")
+def sca10_time_fallback(spark, sf_dir):
+    return V.normalized(spark, sf_dir).select("trade_id", F.coalesce("trade_time_ms", F.lit(0).cast("long")).alias("trade_time_ms"))
+
+
+@query(f"with {V.TRADES} select exchange || ':' || symbol partition_key, count(*) n from trades group by 1")
+def sca11_partition_key(spark, sf_dir):
+    key = S.partition_key(F.col("exchange"), F.col("symbol")).alias("partition_key")
+    return V.trades(spark, sf_dir).groupBy(key).agg(F.count("*").alias("n"))
+
+
+@query(f"with {V.TRADES} select trade_id, greatest(0, trade_id % 500 - 100) lag_ms from trades")
+def sca13_lag(spark, sf_dir):
+    ingested = F.col("trade_time_ms") + F.col("trade_id") % 500 - 100
+    return V.trades(spark, sf_dir).select("trade_id", S.lag_ms(ingested, F.col("trade_time_ms")).alias("lag_ms"))
+
+
+@query(f"with {V.TRADES} select trade_id, 'exchange=' || exchange || ';side=' || side || ';symbol=' || symbol headers from trades")
+def sca16_sorted_headers(spark, sf_dir):
+    sent = S.sorted_headers(S.header_map(symbol=F.col("symbol"), exchange=F.col("exchange"), side=F.col("side")))
+    text = F.array_join(F.transform(sent, lambda h: F.concat(h["key"], F.lit("="), h["value"])), ";")
+    return V.trades(spark, sf_dir).select("trade_id", text.alias("headers"))
+
+
+@query(f"with {V.TRADES} select trade_id, quantity size, trade_time_ms \"timestamp\" from trades where trade_id % 23 <> 0 and trade_id % 17 <> 0 and trade_id % 19 <> 0 and trade_id % 29 <> 0 and trade_id % 31 <> 0")
+def sca17_aliases(spark, sf_dir):
+    return good_trades(V.normalized(spark, sf_dir)).select("trade_id", "size", "timestamp")
+
+
+@query(f"with {V.TRADES} select trade_id, round(price / 0.5::double) * 0.5::double ticked from trades")
+def sca26_round_to(spark, sf_dir):
+    return V.trades(spark, sf_dir).select("trade_id", S.round_to(F.col("price"), 0.5).alias("ticked"))
+
+
 # ---- normalisation ----
 
 
+@query(f"""with {V.TRADES}, {V.RAW}
+select trade_id, case when reason in ('empty_symbol', 'bad_price', 'bad_quantity') then reason when price > 140 and trade_id % 31 <> 0 then 'price_out_of_range'
+  when quantity > 4 then 'quantity_out_of_range' when reason = 'bad_timestamp' then reason
+  when 1706745600000 - at_ms > 1728000000 then 'stale_trade' else reason end reason from raw""")
+def flt03_guards(spark, sf_dir):
+    guards = NormalizeConfig(max_price=140.0, max_quantity=4.0, max_age_ms=1_728_000_000)
+    return normalize(V.raw_trades(spark, sf_dir), guards, F.lit(V.NOW_MS)).select("trade_id", "reason")
+
+
 @query(f"with {V.TRADES}, {V.RAW} select trade_id, reason from raw")
 def flt01_reason(spark, sf_dir):
     return V.normalized(spark, sf_dir).select("trade_id", "reason")
@@ -270,6 +333,17 @@ def flagship_alerts(spark, sf_dir):
     return V.alerts(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("n"), F.max(F.abs("z_score")).alias("top_z"))
 
 
+@query(f"{V.ALL} select id, symbol from alerts order by alerted_at desc, id desc limit 20")
+def agg14_latest(spark, sf_dir):
+    return A.page(V.alerts(spark, sf_dir), A.newest_first(), 20).select("id", "symbol")
+
+
+@query(f"{V.ALL} select id, side || ' · Z ' || printf('%.2f', z_score) || chr(10) || 'Price: $' || printf('%.2f', price) body from alerts")
+def snk16_notification(spark, sf_dir):
+    text = S.notification(F.col("side"), F.col("z_score"), F.col("price"))
+    return V.alerts(spark, sf_dir).select("id", text.alias("body"))
+
+
 @query("""
 select i + 1 n, (['BTCUSDT','ETHUSDT','DOGEUSDT','BNBUSDT'])[i % 4 + 1] symbol, (['BUY','SELL'])[i % 2 + 1] side,
   1704153600000 - (23 - i) * 300000 trade_time_ms from (select range i from range(24))""")
@@ -343,9 +417,52 @@ def dml03_seed(spark, sf_dir):
     return tables.seed(table, spark.createDataFrame(CHANGES, table.schema), ["symbol"])
 
 
+@query("select * from (values ('BTCUSDT', 3::double), ('DOGEUSDT', 2.5::double), ('ETHUSDT', 3::double)) t(symbol, z_threshold)")
+def srt02_configs(spark, sf_dir):
+    return V.configs(spark).orderBy("symbol").select("symbol", "z_threshold")
+
+
+@query(f"""with recursive {V.TRADES}, {V.SCORED}, {LAST}
+select symbol, case when symbol = 'ETHUSDT' then 7::bigint else trade_count end trade_count from last""")
+def dml02_state_upsert(spark, sf_dir):
+    states = scoring.final_state(V.scored(spark, sf_dir))
+    change = spark.createDataFrame([("ETHUSDT", 1.0, 0.5, 7)], states.schema)
+    return tables.upsert(states, change, ["symbol"]).select("symbol", "trade_count")
+
+
+@query(f"""with recursive {V.TRADES}, {V.SCORED}, {V.CONFIGS}
+select s.symbol, count(*) n from scored s left join configs c using (symbol)
+where trade_count >= 10 and abs(z_score) >= case when s.symbol = 'ETHUSDT' then 6 else coalesce(z_threshold, 3) end group by 1""")
+def dml05_threshold_change(spark, sf_dir):
+    changed = tables.upsert(V.configs(spark), spark.createDataFrame([("ETHUSDT", 6.0, 0.1, 10)], V.configs(spark).schema), ["symbol"])
+    judged = scoring.with_thresholds(V.scored(spark, sf_dir), V.CONFIG, changed)
+    return judged.filter("is_toxic").groupBy("symbol").agg(F.count("*").alias("n"))
+
+
 # ---- metrics ----
 
 
+SIZES = ", ".join(f"count(*) filter (n_messages <= {b}) le_{b}" for b in metrics.BATCH_BUCKETS)
+
+
+@query(f"""with {V.TRADES}, b as (select exchange, trade_id // 500 batch, count(*) n_messages from trades group by all)
+select exchange, {SIZES}, cast(sum(n_messages) as bigint) total, count(*) n from b group by exchange""")
+def agg08_batch_hist(spark, sf_dir):
+    batch = F.floor(F.col("trade_id") / 500).alias("batch")
+    batches = V.trades(spark, sf_dir).groupBy("exchange", batch).agg(F.count("*").alias("n_messages"))
+    return metrics.histogram(batches, ["exchange"], "n_messages", metrics.BATCH_BUCKETS)
+
+
+@query(f"""with {V.TRADES}, {V.RAW} select count(*) filter (reason is null) published, count(*) filter (reason is not null) dead_lettered,
+cast(sum(length('raw-' || trade_id)) filter (reason is null) as bigint) n_bytes from raw""")
+def agg10_producer_counters(spark, sf_dir):
+    good = F.col("reason").isNull()
+    sizes = F.when(good, F.octet_length("payload"))
+    return V.normalized(spark, sf_dir).agg(
+        F.count_if(good).alias("published"), F.count_if(~good).alias("dead_lettered"), F.sum(sizes).cast("long").alias("n_bytes")
+    )
+
+
 @query(f"with {V.TRADES}, {V.RAW} select coalesce(reason, 'ok') outcome, count(*) n from raw group by 1")
 def agg06_counters(spark, sf_dir):
     marked = V.normalized(spark, sf_dir).withColumn("outcome", F.coalesce("reason", F.lit("ok")))
@@ -411,6 +528,17 @@ def src05_alias(spark, sf_dir):
     return raw.select("trade_id", S.parse_number(F.col("price")).alias("price_read"), "is_buyer_maker", "trade_time_ms")
 
 
+@query(f"with {V.TRADES} {READ}")
+def src08_agg_trades(spark, sf_dir):
+    header = "aggTradeId,price,quantity,firstTradeId,lastTradeId,transactTime,isBuyerMaker,isBestMatch"
+    i = F.when(F.col("trade_id") % 41 == 0, "not-an-id").otherwise(F.col("trade_id").cast("string"))
+    parts = [i, *[F.col(c).cast("string") for c in ("price", "quantity", "trade_id", "trade_id", "trade_time_ms", "is_buyer_maker")], F.lit("true")]
+    lines = V.trades(spark, sf_dir).select(F.concat_ws(",", *parts).alias("value"), "symbol")
+    positions = csv_trades.column_positions(header, 8, csv_trades.layout_of(header))
+    raw = csv_trades.readable(csv_trades.parse_lines(lines, "value", positions, F.col("symbol"), "binance"))
+    return raw.select("trade_id", S.parse_number(F.col("price")).alias("price_read"), "is_buyer_maker", "trade_time_ms")
+
+
 @query(f"with {V.TRADES} {READ}")
 def src07_positional(spark, sf_dir):
     positions = csv_trades.column_positions(None, 6, "trades")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from flowgauge.config import NormalizeConfig
+from flowgauge.operators.audit import build_chain
 from flowgauge.operators.normalize import dead_letters, good_trades, normalize
 from flowgauge.operators.tables import upsert
 
@@ -49,6 +51,46 @@ def state_writer(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def alert_writer(alerts: str, log: str, hook: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """Stores a batch of alerts, then their audit entries (one chain for each batch and symbol), then calls ``hook``."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(batch_folder(alerts, batch_id))
+        kept = batch.sparkSession.read.schema(batch.schema).parquet(batch_folder(alerts, batch_id))
+        events = kept.select(
+            F.col("trade_id").alias("id"),
+            F.lit("ALERT").alias("event_type"),
+            F.lit("system").alias("actor"),
+            "symbol",
+            F.col("trade_id").cast("string").alias("event_id"),
+            F.to_json(F.struct(*sorted(c for c in kept.columns if c != "symbol"))).alias("details"),
+            F.col("trade_time_ms").alias("created_at_ms"),
+            F.concat_ws("/", F.lit(str(batch_id)), "symbol").alias("segment"),
+        )
+        build_chain(events).write.mode("overwrite").parquet(batch_folder(log, batch_id))
+        if hook is not None:
+            hook(kept, batch_id)
+
+    return write
+
+
+def retrying(
+    write: Callable[[DataFrame, int], None], dead_letter: Callable[[DataFrame, int], None], retries: int = 5, base_s: float = 0.1, most_s: float = 5.0
+) -> Callable[[DataFrame, int], None]:
+    """Repeats a batch's write after growing pauses; when all attempts fail, the batch goes to ``dead_letter``."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        for attempt in range(retries + 1):
+            try:
+                return write(batch, batch_id)
+            except Exception:
+                if attempt < retries:
+                    time.sleep(min(base_s * 2**attempt, most_s))
+        dead_letter(batch, batch_id)
+
+    return run
+
+
 def sink(stream: DataFrame, kind: str, path: str = "", checkpoint: str = "") -> DataStreamWriter:
     """A writer by name: ``stdout``, ``discard``, ``files`` or ``kafka`` (further options are the caller's)."""
     writer = stream.writeStream.option("checkpointLocation", checkpoint) if checkpoint else stream.writeStream

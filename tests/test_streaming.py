@@ -5,7 +5,7 @@ from flowgauge.config import NormalizeConfig
 from flowgauge.operators.scoring import score_trades
 from flowgauge.plans import queries, views
 from flowgauge.streaming.scorer import dedup_stream
-from flowgauge.streaming.sinks import ndjson, sink, split_writer, state_writer
+from flowgauge.streaming.sinks import alert_writer, ndjson, retrying, sink, split_writer, state_writer
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,3 +47,35 @@ def test_state_table(spark, tmp_path):
 
 def test_lines(spark):
     assert [r[0] for r in ndjson(spark.range(1), "DLQ ").collect()] == ['DLQ {"id":0}']
+
+
+def test_alert_writer(spark, tmp_path):
+    from flowgauge.operators.audit import verify_chain
+
+    seen = []
+    write = alert_writer(f"{tmp_path}/alerts", f"{tmp_path}/log", lambda rows, n: seen.append((n, rows.count())))
+    alerts = spark.createDataFrame([(k, "AB"[k % 2], 3.5, 1000 + k) for k in range(6)], "trade_id long, symbol string, z_score double, trade_time_ms long")
+    write(alerts, 0)
+    write(alerts, 0)
+    write(alerts, 1)
+    assert seen == [(0, 6), (0, 6), (1, 6)] and spark.read.parquet(f"{tmp_path}/alerts").count() == 12
+    log = spark.read.parquet(f"{tmp_path}/log")
+    assert log.count() == 12 and verify_chain(log).filter("not ok").count() == 0
+
+
+def test_retrying(spark):
+    calls, dead = [], []
+
+    def fails(times):
+        def write(batch, n):
+            calls.append(n)
+            if len(calls) <= times:
+                raise RuntimeError("down")
+
+        return write
+
+    retrying(fails(2), lambda b, n: dead.append(n), 3, 0.0)(spark.range(1), 7)
+    assert calls == [7, 7, 7] and dead == []
+    calls.clear()
+    retrying(fails(9), lambda b, n: dead.append(n), 3, 0.0)(spark.range(1), 8)
+    assert calls == [8] * 4 and dead == [8]
