@@ -115,7 +115,7 @@ def train_quality(
         yield pd.DataFrame({"w": [model.weights(slice(None)).astype(np.float32).tobytes()]})
 
     examples = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(order.alias("at"), "label", "text")
-    got = examples.mapInPandas(extract, "at long, label int, slots binary, vals binary").coalesce(1)
+    got = examples.mapInPandas(extract, "at long, label int, slots binary, vals binary").repartition(1)
     rows = got.mapInPandas(learn, "w binary").collect()
     return np.frombuffer(rows[0]["w"], np.float32).astype(np.float64) if rows else np.zeros((1 << bits) + 1)
 
