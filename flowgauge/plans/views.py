@@ -12,6 +12,7 @@ from flowgauge.operators.alerts import alert_history
 from flowgauge.operators.normalize import normalize
 from flowgauge.operators.scoring import score_trades, with_thresholds
 from flowgauge.operators.tables import numbered
+from flowgauge.tables import stored
 
 SYMBOLS = ["BTCUSDT", "ETHUSDT", "DOGEUSDT", "BNBUSDT"]
 NOW_MS = 1_706_745_600_000
@@ -131,7 +132,8 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
         *("symbol", "exchange", "z_score", "ewma", "ewma_var", "signed_ofi", "side", "quantity", "price", "trade_time_ms", "trade_id"),
         F.timestamp_millis("trade_time_ms").alias("alerted_at"),
     )
-    return numbered(found, ["trade_time_ms", "trade_id"], "id")
+    # stored, so that counting, dealing by ranges and numbering don't score again
+    return numbered(stored(found, "alerts"), ["trade_time_ms", "trade_id"], "id")
 
 
 ALERTS = """
