@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
-from dataclasses import asdict, dataclass, field, fields
+from dataclasses import asdict, dataclass, field
 
 
 @dataclass(frozen=True)
@@ -55,12 +56,12 @@ class FeedConfig:
     start_row: int = 0
     max_rows: int = 0
     passes: int = 1
-    speed: float = 0.0
+    speed: float = 1.0
 
     def __post_init__(self) -> None:
         if self.mode not in ("live", "csv", "synthetic"):
             raise ValueError(f"unknown feed mode {self.mode!r}")
-        if self.layout not in ("auto", "trades", "aggTrades"):
+        if self.layout.lower() not in ("auto", "trades", "aggtrades"):
             raise ValueError(f"unknown layout {self.layout!r}")
         if self.header not in ("auto", "true", "false"):
             raise ValueError(f"unknown header setting {self.header!r}")
@@ -68,6 +69,126 @@ class FeedConfig:
             raise ValueError("start_row, max_rows and speed must not be negative, passes at least 1")
 
 
+@dataclass(frozen=True)
+class SyntheticConfig:
+    """Simulated flow. Volatility is annual; a burst follows each ``burst_every_ms`` of quiet flow."""
+
+    seed: int = 42
+    trades_per_second: float = 50.0
+    start_price: float = 65_000.0
+    volatility: float = 0.35
+    tick_size: float = 0.01
+    base_quantity: float = 0.05
+    burst_every_ms: int = 90_000
+    burst_duration_ms: int = 12_000
+    burst_imbalance: float = 0.88
+    burst_rate_factor: float = 4.0
+    burst_size_factor: float = 3.0
+
+    def __post_init__(self) -> None:
+        if self.trades_per_second <= 0 or self.start_price <= 0 or self.base_quantity <= 0:
+            raise ValueError("trades_per_second, start_price and base_quantity must be positive")
+        if not 0 <= self.burst_imbalance <= 1:
+            raise ValueError("burst_imbalance must lie in 0..1")
+
+
+@dataclass(frozen=True)
+class DedupConfig:
+    """Suppression of repeats; keys live in the state store, which bounds memory by itself."""
+
+    enabled: bool = True
+    ttl_ms: int = 600_000
+
+
+@dataclass(frozen=True)
+class SinkConfig:
+    """Where trades go, and how often a failed batch is written again."""
+
+    kind: str = "stdout"
+    max_retries: int = 5
+    retry_base_ms: int = 100
+    retry_max_ms: int = 5_000
+    brokers: str = "localhost:9092"
+    topic: str = "trades.normalized"
+    dlq_topic: str = "trades.normalized.dlq"
+    alerts_topic: str = "trades.alerts"
+    compression: str = "snappy"
+    acks: str = "all"
+    tls: bool = False
+    sasl_mechanism: str = ""
+    sasl_user: str = ""
+    sasl_password: str = ""
+
+    def __post_init__(self) -> None:
+        if self.kind not in ("kafka", "rabbitmq", "stdout", "discard"):
+            raise ValueError(f"unknown sink {self.kind!r}")
+        if self.max_retries < 0 or self.retry_base_ms < 0 or self.retry_max_ms < self.retry_base_ms:
+            raise ValueError("retries must not be negative, retry_max_ms not below retry_base_ms")
+
+
+#: Names of the settings.
+NAMES = {
+    FeedConfig: {
+        "FEED_MODE": "mode", "EXCHANGE": "exchange", "FEED_SYMBOLS": "symbols", "CSV_FORMAT": "layout", "CSV_HAS_HEADER": "header",
+        "CSV_START_ROW": "start_row", "CSV_MAX_ROWS": "max_rows", "CSV_SPEED": "speed",
+    },
+    SyntheticConfig: {
+        "SYNTH_SEED": "seed", "SYNTH_TRADES_PER_SEC": "trades_per_second", "SYNTH_START_PRICE": "start_price",
+        "SYNTH_VOLATILITY": "volatility", "SYNTH_TICK_SIZE": "tick_size", "SYNTH_BASE_QTY": "base_quantity",
+        "SYNTH_BURST_EVERY": "burst_every_ms", "SYNTH_BURST_DURATION": "burst_duration_ms", "SYNTH_BURST_IMBALANCE": "burst_imbalance",
+        "SYNTH_BURST_RATE_FACTOR": "burst_rate_factor", "SYNTH_BURST_SIZE_FACTOR": "burst_size_factor",
+    },
+    DedupConfig: {"DEDUP_ENABLED": "enabled", "DEDUP_TTL": "ttl_ms"},
+    NormalizeConfig: {
+        "SCHEMA_VERSION": "schema_version", "NORMALIZE_COMPUTE_QUOTE_QTY": "compute_quote_quantity", "NORMALIZE_MAX_PRICE": "max_price",
+        "NORMALIZE_MAX_QUANTITY": "max_quantity", "NORMALIZE_MAX_AGE": "max_age_ms",
+    },
+    SinkConfig: {
+        "BROKER": "kind", "PRODUCER_MAX_RETRIES": "max_retries", "PRODUCER_RETRY_BASE": "retry_base_ms", "PRODUCER_RETRY_MAX": "retry_max_ms",
+        "KAFKA_BROKERS": "brokers", "KAFKA_TOPIC": "topic", "KAFKA_DLQ_TOPIC": "dlq_topic", "KAFKA_ALERTS_TOPIC": "alerts_topic",
+        "KAFKA_COMPRESSION": "compression", "KAFKA_REQUIRED_ACKS": "acks", "KAFKA_TLS_ENABLED": "tls", "KAFKA_SASL_MECHANISM": "sasl_mechanism",
+        "KAFKA_SASL_USER": "sasl_user", "KAFKA_SASL_PASSWORD": "sasl_password",
+    },
+    ScorerConfig: {
+        "SCORER_EWMA_ALPHA": "alpha", "SCORER_MIN_TRADES": "min_trades", "SCORER_VARIANCE_EPSILON": "epsilon",
+        "SCORER_DEFAULT_THRESHOLD": "threshold",
+    },
+}
+UNITS_MS = {"ms": 1, "s": 1000, "m": 60_000, "h": 3_600_000}
+
+
+def _value(text: str, default: object, name: str) -> object:
+    text = text.strip()
+    if isinstance(default, bool):
+        if text.lower() not in ("1", "t", "true", "yes", "0", "f", "false", "no"):
+            raise ValueError(f"{name}: {text!r} is not true or false")
+        return text.lower() in ("1", "t", "true", "yes")
+    if name.endswith("_ms") and not text.isdigit():
+        parts = re.fullmatch(r"(?:\d+(?:\.\d+)?(?:ms|[smh]))+", text)
+        if not parts:
+            raise ValueError(f"{name}: {text!r} is not a duration")
+        return int(sum(float(n) * UNITS_MS[u] for n, u in re.findall(r"(\d+(?:\.\d+)?)(ms|[smh])", text)))
+    if isinstance(default, tuple):
+        return tuple(dict.fromkeys(x.strip().upper() for x in text.split(",") if x.strip()))
+    return type(default)(text)
+
+
+def load_config(kind: type, env: Mapping[str, str]):
+    """A config of ``kind`` from named settings; blank ones keep the default, and all bad ones are reported together."""
+    values, bad = {}, []
+    defaults = kind()
+    for name, place in NAMES[kind].items():
+        if env.get(name, "").strip():
+            try:
+                values[place] = _value(env[name], getattr(defaults, place), place)
+            except ValueError as e:
+                bad.append(f"{name} ({e})")
+    if bad:
+        raise ValueError("bad settings: " + "; ".join(bad))
+    made = kind(**values)
+    return made.with_overrides(env) if isinstance(made, ScorerConfig) else made
+
+
 SECRETS = ("password", "secret", "token")
 
 
@@ -90,5 +211,4 @@ def read_env_file(text: str) -> dict[str, str]:
 
 def redacted(config: object) -> dict[str, object]:
     """The settings of a config, with secrets hidden."""
-    assert fields(config)  # a dataclass
     return {k: "***" if v and any(s in k.lower() for s in SECRETS) else v for k, v in asdict(config).items()}

@@ -322,10 +322,10 @@ def srt01_page2(spark, sf_dir):
     return A.page(V.alerts(spark, sf_dir), A.newest_first(), 25, 25).select("id", "symbol", "trade_time_ms")
 
 
-@query(f"""{V.ALL} select symbol as "Symbol", exchange as "Exchange", side as "Side", quantity as "Quantity", price as "Price",
+@query(f"""{V.ALL} select id as "ID", symbol as "Symbol", exchange as "Exchange", side as "Side", quantity as "Quantity", price as "Price",
 strftime(alerted_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' as "Alerted At" from alerts order by alerted_at desc, id desc limit 5000""")
 def snk15_export(spark, sf_dir):
-    return A.export_alerts(V.alerts(spark, sf_dir)).select("Symbol", "Exchange", "Side", "Quantity", "Price", "Alerted At")
+    return A.export_alerts(V.alerts(spark, sf_dir)).select("ID", "Symbol", "Exchange", "Side", "Quantity", "Price", "Alerted At")
 
 
 @query(f"{V.ALL} select symbol, count(*) n, max(abs(z_score)) top_z from alerts group by symbol")

@@ -48,7 +48,7 @@ def has_header(line: str, setting: str = "auto") -> bool:
 def layout_of(header: str | None, setting: str = "auto") -> str:
     """``aggTrades`` if the header names an aggregate id, else ``trades``."""
     if setting != "auto":
-        return setting
+        return "aggTrades" if setting.lower() == "aggtrades" else "trades"
     return "aggTrades" if header and "aggtradeid" in map(plain, header.split(",")) else "trades"
 
 

@@ -2,62 +2,87 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from flowgauge.config import SyntheticConfig
 from flowgauge.functions import scalars as S
 
+#: Rows of a block within which running sums are made; the blocks' sums are added after.
+BLOCK = 100_000
+
+
+def _uniform(seed: int, stream: int, *keys: str) -> Column:
+    """A number in (0, 1) that depends on the keys alone, not on partitions."""
+    bits = F.pmod(F.xxhash64(F.lit(seed), F.lit(stream), *keys), F.lit(1 << 52))
+    return (bits + 0.5) / float(1 << 52)
+
+
+def _normal(seed: int, stream: int) -> Column:
+    u, v = _uniform(seed, stream, "s", "i"), _uniform(seed, stream + 1, "s", "i")
+    return F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v)
+
+
+def _running_sum(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """Adds the running sum of ``value`` by ``i`` within ``s``, block by block, so that no task holds a whole path."""
+    sums = rows.groupBy("s", "block").agg(F.sum(value).alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy("s").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sums.select("s", "block", F.coalesce(before, F.lit(0.0)).alias("_before"))
+    inside = F.sum(value).over(Window.partitionBy("s", "block").orderBy("i"))
+    return rows.withColumn("_inside", inside).join(offsets, ["s", "block"]).withColumn(name, F.col("_inside") + F.col("_before")).drop("_inside", "_before")
+
 
 def synthetic_trades(
     spark: SparkSession,
     n: int,
     symbols: list[str],
+    config: SyntheticConfig | None = None,
     start_ms: int = 1_704_153_600_000,
-    rate: float = 50.0,
-    start_price: float = 42_000.0,
-    volatility: float = 1e-4,
-    base_size: float = 0.05,
-    tick: float = 0.01,
-    burst_every_ms: int = 60_000,
-    burst_ms: int = 6_000,
-    imbalance: float = 0.88,
-    size_factor: float = 3.0,
-    seed: int = 42,
+    exchange: str = "synthetic",
 ) -> DataFrame:
-    """``n`` trades a symbol (schema RAW_TRADE); the same seed and partitions give the same rows.
+    """``n`` trades for each symbol (schema RAW_TRADE); equal configs give equal rows, however they are partitioned.
 
-    Arrivals are exponential, gaps of at most a second; sizes are lognormal,
-    ``size_factor`` times as large in a burst, in which a trade is a buy with
-    probability ``imbalance`` (or a sale, in every second burst). The paths are
-    running sums within a symbol.
+    Gaps are exponential, a second at most. Quiet flow and bursts alternate; in
+    a burst trades come ``burst_rate_factor`` times as fast and are
+    ``burst_size_factor`` times as large, one side has ``burst_imbalance`` of
+    them, and the price drifts its way. Factors that aren't positive count as 1.
     """
+    c = config or SyntheticConfig()
+    rate, size = (x if x > 0 else 1.0 for x in (c.burst_rate_factor, c.burst_size_factor))
+    every, length = (float(c.burst_every_ms), float(c.burst_duration_ms)) if min(c.burst_every_ms, c.burst_duration_ms) > 0 else (1e18, 0.0)
     width = len(symbols)
     base = spark.range(0, n * width).select(
         (F.col("id") % width).cast("int").alias("s"),
         F.floor(F.col("id") / width).alias("i"),
-        F.least(-F.log(1 - F.rand(seed)) * 1000.0 * width / rate, F.lit(1000.0)).alias("gap"),
-        F.randn(seed + 1).alias("move"),
-        F.randn(seed + 2).alias("noise"),
-        F.rand(seed + 3).alias("coin"),
+        F.floor(F.floor(F.col("id") / width) / BLOCK).alias("block"),
     )
-    path = Window.partitionBy("s").orderBy("i")
-    at = (F.lit(start_ms) + F.sum("gap").over(path)).cast("long")
-    price = start_price * (1 + 0.15 * F.col("s")) * F.exp(volatility * F.sum("move").over(path))
-    walked = base.select("s", "i", "noise", "coin", at.alias("ms"), S.round_to(price, tick).alias("price"))
-    place = F.pmod(F.col("ms") - start_ms, F.lit(burst_every_ms))
-    burst = (place < burst_ms) & (F.col("ms") - start_ms >= burst_every_ms)
-    even = F.floor((F.col("ms") - start_ms) / burst_every_ms) % 2 == 0
-    buy = F.col("coin") < F.when(burst & even, imbalance).when(burst, 1 - imbalance).otherwise(0.5)
-    size = F.round(base_size * F.exp(0.6 * F.col("noise")) * F.when(burst, size_factor).otherwise(1.0), 8)
+    gap = F.least(-F.log(_uniform(c.seed, 0, "s", "i")) * 1000.0 * width / c.trades_per_second, F.lit(1000.0))
+    flow = _running_sum(base.withColumn("gap", gap), "gap", "u")
+    # arrivals of a flow at the quiet rate, moved to times at which bursts run faster
+    cycle = every + length * rate
+    turn = F.floor(F.col("u") / cycle)
+    rest = F.col("u") - turn * cycle
+    bursting = rest >= every
+    at = turn * (every + length) + F.when(bursting, every + (rest - every) / rate).otherwise(rest)
+    timed = flow.select("s", "i", "block", turn.alias("turn"), bursting.alias("bursting"), (F.lit(start_ms) + at).cast("long").alias("ms"))
+    buying = _uniform(c.seed, 1, "s", "turn") < 0.5
+    sigma = (c.volatility if c.volatility > 0 else 0.35) * math.sqrt(1 / (max(c.trades_per_second, 1.0) * 365 * 24 * 3600))
+    drift = F.when(F.col("bursting"), F.when(buying, 3e-6 * size).otherwise(-3e-6 * size)).otherwise(0.0)
+    walked = _running_sum(timed.withColumn("move", sigma * _normal(c.seed, 2) + drift), "move", "path")
+    price = S.round_to(c.start_price * (1 + 0.15 * F.col("s")) * F.exp("path"), c.tick_size)
+    buy_share = F.when(F.col("bursting"), F.when(buying, c.burst_imbalance).otherwise(1 - c.burst_imbalance)).otherwise(0.5)
+    quantity = F.round(c.base_quantity * F.exp(0.6 * _normal(c.seed, 4)) * F.when(F.col("bursting"), size).otherwise(1.0), 8)
     return walked.select(
-        F.lit("synthetic").alias("exchange"),
+        F.lit(exchange).alias("exchange"),
         F.element_at(F.array(*map(F.lit, symbols)), F.col("s") + 1).alias("symbol"),
         F.lit("synthetic").alias("source"),
         (F.lit(4_000_000_000) + F.col("s") * 1_000_000 + F.col("i")).alias("trade_id"),
-        F.col("price").cast("string").alias("price"),
-        F.format_string("%.8f", size).alias("quantity"),
+        price.cast("string").alias("price"),
+        F.format_string("%.8f", quantity).alias("quantity"),
         F.lit(None).cast("string").alias("quote_quantity"),
-        (~buy).alias("is_buyer_maker"),
+        (_uniform(c.seed, 6, "s", "i") >= buy_share).alias("is_buyer_maker"),
         F.col("ms").alias("trade_time_ms"),
         F.col("ms").alias("event_time_ms"),
         F.lit(None).cast("string").alias("payload"),

@@ -57,15 +57,26 @@ def test_frames(spark):
     assert (got[0]["trade_time_ms"], got[0]["event_time_ms"], got[0]["is_buyer_maker"]) == (4, 5, True)
 
 
-def test_synthetic(spark):
+def test_synthetic(spark, monkeypatch):
+    from flowgauge.config import SyntheticConfig
+    from flowgauge.sources import synthetic
+
     def make(seed):
-        return synthetic_trades(spark, 4000, ["BTCUSDT", "ETHUSDT"], burst_every_ms=20_000, burst_ms=4_000, seed=seed)
+        config = SyntheticConfig(seed=seed, burst_every_ms=20_000, burst_duration_ms=4_000)
+        return synthetic_trades(spark, 4000, ["BTCUSDT", "ETHUSDT"], config).orderBy("symbol", "trade_id")
 
-    a = make(1).orderBy("symbol", "trade_id").collect()
-    assert a == make(1).orderBy("symbol", "trade_id").collect() != make(2).orderBy("symbol", "trade_id").collect()
+    a = make(1).collect()
+    assert a == make(1).collect() != make(2).collect()
     assert len(a) == 8000 and all(float(r["price"]) > 0 and float(r["quantity"]) > 0 for r in a)
-    first = make(1).filter("trade_time_ms - 1704153600000 between 40000 and 43999").withColumn("side", F.when(F.col("is_buyer_maker"), "SELL").otherwise("BUY"))
-    assert metrics.imbalance(first, []).first()["buy_share"] > 0.8
+    monkeypatch.setattr(synthetic, "BLOCK", 700)  # sums over blocks are the same up to rounding
+    blocks = make(1).collect()
+    assert sum(x["trade_time_ms"] != y["trade_time_ms"] for x, y in zip(a, blocks)) < 5
+    first = make(1).filter("symbol = 'BTCUSDT' and trade_time_ms - 1704153600000 between 20000 and 23999")
+    sides = first.withColumn("side", F.when(F.col("is_buyer_maker"), "SELL").otherwise("BUY"))
+    share = metrics.imbalance(sides, []).first()["buy_share"]
+    assert share > 0.75 or share < 0.25
+    quiet = make(1).filter("symbol = 'BTCUSDT' and trade_time_ms - 1704153600000 < 20000").count() / 20
+    assert 15 < quiet < 35 and first.count() / 4 > 2.5 * quiet
 
 
 def test_options():
