@@ -66,7 +66,7 @@ def encode_blocks(docs: DataFrame, train: Column, block_tokens: int) -> DataFram
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds)], names=list(row))
 
-        for b in batches:
+        for b in (whole.slice(k, 1000) for whole in batches for k in range(0, whole.num_rows, 1000)):
             for doc_id, text, learn in zip(*(b.column(k).to_pylist() for k in range(3))):
                 w = words(text)
                 parts.append(np.fromiter((numbers.setdefault(x, len(numbers)) for x in w), np.uint32, len(w)))
@@ -235,7 +235,7 @@ class Automaton:
         return out
 
 
-def score_texts(docs: DataFrame, train: Column, order: int = 2, block_tokens: int = 1_500_000) -> DataFrame:
+def score_texts(docs: DataFrame, train: Column, order: int = 2, block_tokens: int = 1_000_000) -> DataFrame:
     """Scores of ``docs(doc_id, text)`` under the model of the rows where ``train`` holds: the columns of ``RESULT``.
 
     Words lie between ASCII white space, A-Z lowered; one end follows each text
