@@ -154,6 +154,12 @@ def with_revisits(pages: DataFrame, least_bytes: int = 100, salts: int = 64) ->
     return salted.join(spread, ["digest", "salt"], "left").select("page_id", "url", "payload", "digest", first.alias("refers_to"))
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as Spark sees it: tasks must write where Spark reads."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 def write_warc(
     pages: DataFrame,
     folder: str | None = None,
@@ -177,7 +183,7 @@ def write_warc(
     manifest. Other columns are not read.
     """
     spark = pages.sparkSession
-    folder = folder or new_path(spark, "warc")
+    folder = _qualified(spark, folder or new_path(spark, "warc"))
 
     def archive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         target, base = fs.FileSystem.from_uri(folder)
