@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowgauge.llm.bpe import bpe_decode, bpe_encode
+from flowgauge.llm.bpe import bpe_encode
 from flowgauge.llm.common import written
 from flowgauge.llm.decontam import decontaminate
 from flowgauge.llm.quality import keep_quality
@@ -36,7 +36,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes each text: doc_id, packed ids and their number, and whether they decode to the text."""
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bpe_decode(bpe_encode(docs.select("doc_id", "text"), vocabulary, public_tokenizers.PATTERN), vocabulary)
+    coded = bpe_encode(docs.select("doc_id", "text"), vocabulary, public_tokenizers.PATTERN, decoded="decoded")
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return coded.select(
         "doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), (F.col("decoded") == text).alias("exact")

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import duckdb
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 #: Distinct chunks and words that a worker keeps; beyond these numbers it starts anew.
 MAX_CHUNKS, MAX_WORDS = 250_000, 400_000
 #: Texts handled at once, words in one recursive query, and tokens in one decoding query.
-ROWS, WORDS, TOKENS = 1_000, 20_000, 500_000
+ROWS, WORDS, TOKENS = 500, 10_000, 250_000
 #: Words of up to so many bytes go through the plain query.
 SHORT = 256
 
@@ -137,7 +137,7 @@ class Coder:
         self.ranks = ranks
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.db = duckdb.connect()
-        for setting in ("threads = 1", "memory_limit = '250MB'", "preserve_insertion_order = false"):
+        for setting in ("threads = 1", "memory_limit = '200MB'", "preserve_insertion_order = false"):
             self.db.execute(f"set {setting}").fetchall()
         self._table("m", {"pair": pairs, "id": merged})
         self.db.execute("create table merges as select * from m").fetchall()
@@ -253,7 +253,8 @@ def chunks(text: str | None) -> list[str]:
     return [first, *[" " + x for x in rest]]
 
 
-def _with_coder(table: DataFrame, column: str, out: str, vocabulary: str, pattern: str, decode: bool) -> DataFrame:
+def _with_coder(table: DataFrame, vocabulary: str, pattern: str, code: Callable, outs: list[str]) -> DataFrame:
+    """``table`` with the binary columns ``outs`` that ``code(coder, batch)`` makes."""
     ranks = read_ranks(vocabulary)
     # a worker unpacks a broadcast value once: the coder that it makes serves all of its tasks
     held = table.sparkSession.sparkContext.broadcast({"ranks": ranks, "merges": merge_table(ranks)})
@@ -264,22 +265,29 @@ def _with_coder(table: DataFrame, column: str, out: str, vocabulary: str, patter
         if coder is None:
             coder = shared["coder"] = Coder(shared["ranks"], *shared["merges"], pattern)
         for b in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
-            got = b.column(b.schema.get_field_index(column)).to_pylist()
-            new = coder.decode(got) if decode else coder.encode(got)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(new, pa.binary())], names=[*b.schema.names, out])
+            new = [pa.array(x, pa.binary()) for x in code(coder, b)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *outs])
 
-    return table.mapInArrow(run, T.StructType([*table.schema.fields, T.StructField(out, T.BinaryType())]))
+    return table.mapInArrow(run, T.StructType([*table.schema.fields, *[T.StructField(o, T.BinaryType()) for o in outs]]))
 
 
-def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, column: str = "text", out: str = "ids") -> DataFrame:
+def bpe_encode(
+    docs: DataFrame, vocabulary: str, pattern: str, column: str = "text", out: str = "ids", decoded: str | None = None
+) -> DataFrame:
     """``docs`` with ``out``: the packed ids of ``column``, whole texts, without special tokens.
 
     ``vocabulary`` is a rank file (its path on the driver) with a piece for
     every byte, ``pattern`` cuts texts into pre-tokens. A pre-token that is a
     piece becomes that piece; any other is merged. Null and empty texts have no
-    ids. All columns and rows are kept; ``out`` must be a new name.
+    ids. All columns and rows are kept; ``out`` must be a new name. ``decoded``
+    names a further column with what the ids decode to, made by the same worker.
     """
-    return _with_coder(docs, column, out, vocabulary, pattern, False)
+
+    def code(coder: Coder, b: pa.RecordBatch) -> list[list]:
+        ids = coder.encode(b.column(b.schema.get_field_index(column)).to_pylist())
+        return [ids, coder.decode(ids)] if decoded else [ids]
+
+    return _with_coder(docs, vocabulary, pattern, code, [out, decoded] if decoded else [out])
 
 
 def bpe_decode(table: DataFrame, vocabulary: str, column: str = "ids", out: str = "decoded") -> DataFrame:
@@ -287,4 +295,8 @@ def bpe_decode(table: DataFrame, vocabulary: str, column: str = "ids", out: str
 
     An id that the vocabulary lacks is an error.
     """
-    return _with_coder(table, column, out, vocabulary, "", True)
+
+    def code(coder: Coder, b: pa.RecordBatch) -> list[list]:
+        return [coder.decode(b.column(b.schema.get_field_index(column)).to_pylist())]
+
+    return _with_coder(table, vocabulary, "", code, [out])

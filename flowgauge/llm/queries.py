@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowgauge.llm.bpe import bpe_decode, bpe_encode
+from flowgauge.llm.bpe import bpe_encode
 from flowgauge.llm.chat import format_chat, read_loss, read_turns, text_parts
 from flowgauge.llm.decontam import annotate_contamination, contaminated
 from flowgauge.llm.licenses import scan_licenses
@@ -83,8 +83,8 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe_encode(docs, vocabulary, public_tokenizers.PATTERN).drop("text")
-    return bpe_decode(encoded, vocabulary).select(
+    coded = bpe_encode(docs, vocabulary, public_tokenizers.PATTERN, decoded="decoded")
+    return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
