@@ -205,7 +205,7 @@ def near_links(classes: DataFrame, radius: int, lanes: int = 1, tile_size: int =
     return dealt.groupBy("p", "q").applyInPandas(compare, "a binary, b binary")
 
 
-def fingerprint_classes(fingerprints: DataFrame, radius: int, lanes: int = 1) -> DataFrame:
+def fingerprint_classes(fingerprints: DataFrame, radius: int, lanes: int = 1, tile_size: int = 8192) -> DataFrame:
     """``(doc_id, fp, pop)`` to ``(fp, root, n, component_id)``, a row per distinct fingerprint.
 
     ``n`` is the fingerprint's number of rows, ``root`` the smallest fingerprint
@@ -214,7 +214,7 @@ def fingerprint_classes(fingerprints: DataFrame, radius: int, lanes: int = 1) ->
     classes = written(
         fingerprints.groupBy("fp", "pop").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "classes"
     )
-    roots = written(connected_components(near_links(classes.select("fp", "pop"), radius, lanes)), "roots")
+    roots = written(connected_components(near_links(classes.select("fp", "pop"), radius, lanes, tile_size)), "roots")
     roots = roots.withColumnRenamed("node", "fp")
     linked = written(classes.join(roots, "fp").select("fp", "root", "n", "first"), "linked")
     smallest = written(linked.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
@@ -246,21 +246,30 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 50, la
     all above. Null and empty texts form one group. Column names starting with
     ``_near_`` are reserved.
     """
-    print_ = fingerprint_column(F.col("text"), shingle, lanes)
-    marked = written(docs.withColumn("_near_print", print_), "marked")
-    fps = marked.select("doc_id", "_near_print.fp", "_near_print.pop")
-    classes = fingerprint_classes(fps, radius, lanes)
-    # only groups of several rows decide anything
+    fp = fingerprint_column(F.col("text"), shingle, lanes)
+    fps = written(docs.select("doc_id", fp.alias("p")).select("doc_id", "p.fp", "p.pop"), "fingerprints")
+    classes = fingerprint_classes(fps, radius, lanes, tile_size=16384)
+    # only groups of several rows decide anything; in some, several rows share the doc_id that stays
     several = classes.groupBy("root").agg(F.sum("n").alias("rows")).filter("rows > 1").select("root")
+    groups = written(classes.join(several, "root").select("fp", "root", "component_id"), "groups")
+    stay = fps.join(groups, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    twice = stay.groupBy("root").agg(F.count("*").alias("rows")).filter("rows > 1").select("root", F.lit(True).alias("twice"))
     groups = written(
-        classes.join(several, "root").select(
-            F.col("fp").alias("_near_fp"), F.col("root").alias("_near_root"), F.col("component_id").alias("_near_keep")
+        groups.join(twice, "root", "left").select(
+            F.col("fp").alias("_near_fp"),
+            F.col("root").alias("_near_root"),
+            F.col("component_id").alias("_near_keep"),
+            F.coalesce("twice", F.lit(False)).alias("_near_twice"),
         ),
-        "groups",
+        "decisions",
     )
-    marked = marked.withColumn("_near_fp", F.col("_near_print.fp"))
-    alone = marked.join(groups, "_near_fp", "left_anti")
-    kept = marked.join(groups, "_near_fp").filter(F.col("doc_id").eqNullSafe(F.col("_near_keep")))
-    first = kept.dropDuplicates(["_near_root"])
+    # one join by sort and merge, at every size: texts are shuffled once
+    marked = docs.withColumn("_near_fp", fp["fp"])
+    joined = marked.join(groups.hint("merge"), "_near_fp", "left")
+    stays = F.col("doc_id").eqNullSafe(F.col("_near_keep"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return alone.select(*columns).unionByName(first.select(*columns))
+    kept = joined.filter(F.col("_near_root").isNull() | (stays & ~F.col("_near_twice"))).select(*columns)
+    if groups.filter("_near_twice").isEmpty():
+        return kept
+    again = marked.join(groups.filter("_near_twice"), "_near_fp").filter(stays).dropDuplicates(["_near_root"])
+    return kept.unionByName(again.select(*columns))
