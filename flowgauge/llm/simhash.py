@@ -206,10 +206,11 @@ def near_links(classes: DataFrame, radius: int, lanes: int = 1, tile_size: int =
 
 
 def fingerprint_classes(fingerprints: DataFrame, radius: int, lanes: int = 1, tile_size: int = 8192) -> DataFrame:
-    """``(doc_id, fp, pop)`` to ``(fp, root, n, component_id)``, a row per distinct fingerprint.
+    """``(doc_id, fp, pop)`` to ``(fp, root, n, component_id, several)``, a row per distinct fingerprint.
 
     ``n`` is the fingerprint's number of rows, ``root`` the smallest fingerprint
-    of its component and ``component_id`` the smallest doc_id there.
+    of its component, ``component_id`` the smallest doc_id there and ``several``
+    whether the component holds more than one row.
     """
     classes = written(
         fingerprints.groupBy("fp", "pop").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "classes"
@@ -218,8 +219,12 @@ def fingerprint_classes(fingerprints: DataFrame, radius: int, lanes: int = 1, ti
     roots = roots.withColumnRenamed("node", "fp")
     linked = written(classes.join(roots, "fp").select("fp", "root", "n", "first"), "linked")
     smallest = written(linked.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
-    alone = classes.join(roots, "fp", "left_anti").select("fp", F.col("fp").alias("root"), "n", F.col("first").alias("component_id"))
-    return written(alone.union(linked.join(smallest, "root").select("fp", "root", "n", "component_id")), "components")
+    alone = classes.join(roots, "fp", "left_anti").select(
+        "fp", F.col("fp").alias("root"), "n", F.col("first").alias("component_id"), (F.col("n") > 1).alias("several")
+    )
+    # a linked fingerprint has at least one other in its component
+    joined = linked.join(smallest, "root").select("fp", "root", "n", "component_id", F.lit(True).alias("several"))
+    return written(alone.union(joined), "components")
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, lanes: int = 1) -> DataFrame:
@@ -250,26 +255,28 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 50, la
     fps = written(docs.select("doc_id", fp.alias("p")).select("doc_id", "p.fp", "p.pop"), "fingerprints")
     classes = fingerprint_classes(fps, radius, lanes, tile_size=16384)
     # only groups of several rows decide anything; in some, several rows share the doc_id that stays
-    several = classes.groupBy("root").agg(F.sum("n").alias("rows")).filter("rows > 1").select("root")
-    groups = written(classes.join(several, "root").select("fp", "root", "component_id"), "groups")
+    groups = written(classes.filter("several").select("fp", "root", "component_id"), "groups")
     stay = fps.join(groups, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     twice = stay.groupBy("root").agg(F.count("*").alias("rows")).filter("rows > 1").select("root", F.lit(True).alias("twice"))
-    groups = written(
-        groups.join(twice, "root", "left").select(
-            F.col("fp").alias("_near_fp"),
-            F.col("root").alias("_near_root"),
-            F.col("component_id").alias("_near_keep"),
-            F.coalesce("twice", F.lit(False)).alias("_near_twice"),
-        ),
-        "decisions",
+    twice = written(twice, "twice")
+    repeats = not twice.isEmpty()
+    # both sides are written tables, so that AQE can split a root with many fingerprints
+    flagged = groups.join(twice, "root", "left") if repeats else groups.withColumn("twice", F.lit(False))
+    groups = flagged.select(
+        F.col("fp").alias("_near_fp"),
+        F.col("root").alias("_near_root"),
+        F.col("component_id").alias("_near_keep"),
+        F.coalesce("twice", F.lit(False)).alias("_near_twice"),
     )
+    if repeats:
+        groups = written(groups, "decisions")
     # one join by sort and merge, at every size: texts are shuffled once
     marked = docs.withColumn("_near_fp", fp["fp"])
     joined = marked.join(groups.hint("merge"), "_near_fp", "left")
     stays = F.col("doc_id").eqNullSafe(F.col("_near_keep"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     kept = joined.filter(F.col("_near_root").isNull() | (stays & ~F.col("_near_twice"))).select(*columns)
-    if groups.filter("_near_twice").isEmpty():
+    if not repeats:
         return kept
     again = marked.join(groups.filter("_near_twice"), "_near_fp").filter(stays).dropDuplicates(["_near_root"])
     return kept.unionByName(again.select(*columns))
