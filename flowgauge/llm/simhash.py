@@ -4,11 +4,14 @@ Fingerprints are compared in square tiles with numpy exclusive-or and bit
 counts. Distinct fingerprints are dealt into tiles by their number of set bits;
 two tiles whose bit counts lie further apart than the radius are never paired,
 and inside a pair of tiles the same test over 16-bit quarters skips blocks.
+
+Near-dedup takes the fingerprints as a search for candidates only: a pair is
+linked once the Jaccard similarity of its distinct shingles has been counted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -22,11 +25,18 @@ from flowgauge.llm.components import connected_components
 
 #: Rows and columns of the blocks compared at once inside a pair of tiles.
 BLOCK = 512
+#: Shingles of the rows that are verified at once on either side of a pair.
+SUB_TILE = 1 << 21
+#: Candidates' ids and fingerprints are looked up by this many slots first, so that their broadcast is bounded.
+SLOTS = 1 << 20
 
 
 def _hashes(shingles: list[bytes], lanes: int) -> np.ndarray:
     """XXH64 (seed 42) of each shingle; further lanes are mixed from it."""
-    first = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, len(shingles))
+    return _lanes(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, len(shingles)), lanes)
+
+
+def _lanes(first: np.ndarray, lanes: int) -> np.ndarray:
     out = [first]
     for lane in range(1, lanes):
         x = first + np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
@@ -44,21 +54,51 @@ def fingerprint(text: str | None, shingle: int = 3, lanes: int = 1) -> bytes:
     shingles' hashes have it.
     """
     w = words(text)
-    if not w:
-        return bytes(8 * lanes)
+    return _majority(_hashes(_shingles(w, shingle), 1)[:, 0], lanes) if w else bytes(8 * lanes)
+
+
+def _shingles(w: list[bytes], shingle: int) -> list[bytes]:
     whole = b" ".join(w)
     if len(w) <= shingle:
-        pieces = [whole]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
-        starts = np.concatenate([[0], ends[:-1]])[: len(w) - shingle + 1].tolist()
-        pieces = [whole[a : b - 1] for a, b in zip(starts, ends[shingle - 1 :].tolist())]
+        return [whole]
+    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
+    starts = np.concatenate([[0], ends[:-1]])[: len(w) - shingle + 1].tolist()
+    return [whole[a : b - 1] for a, b in zip(starts, ends[shingle - 1 :].tolist())]
+
+
+def _majority(hashes: np.ndarray, lanes: int) -> bytes:
+    """The bits that over half of the hashes have."""
     counts = np.zeros(64 * lanes, np.int64)
-    for k in range(0, len(pieces), 65536):  # bounded memory for very long texts
-        h = _hashes(pieces[k : k + 65536], lanes)
+    for k in range(0, len(hashes), 65536):  # bounded memory for very long texts
+        h = _lanes(hashes[k : k + 65536], lanes)
         bits = np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.uint32)
-    return np.packbits(2 * counts > len(pieces), bitorder="little").tobytes()
+    return np.packbits(2 * counts > len(hashes), bitorder="little").tobytes()
+
+
+def shingle_set(text: str | None, shingle: int, lanes: int) -> tuple[bytes, np.ndarray]:
+    """Key and sorted hashes of the text's distinct shingles.
+
+    The key is their fingerprint, their number and a digest of them: texts
+    share a key if they have the same shingles.
+    """
+    w = words(text)
+    if not w:
+        return bytes(8 * lanes + 16), np.zeros(0, np.uint64)
+    hashes = np.unique(_hashes(_shingles(w, shingle), 1)[:, 0])
+    tail = np.array([len(hashes), xxhash.xxh64_intdigest(hashes.tobytes())], np.uint64)
+    return _majority(hashes, lanes) + tail.tobytes(), hashes
+
+
+def shingle_set_column(text, shingle: int, lanes: int):
+    """Column ``struct(fp binary, pop int)`` of a text column: key and the fingerprint's number of set bits."""
+
+    @F.pandas_udf("fp binary, pop int")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        keys = [shingle_set(t, shingle, lanes)[0] for t in texts]
+        return pd.DataFrame({"fp": keys, "pop": [int.from_bytes(x[: 8 * lanes], "little").bit_count() for x in keys]})
+
+    return of(text)
 
 
 def fingerprint_column(text, shingle: int = 3, lanes: int = 1):
@@ -160,13 +200,14 @@ def spanning_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tup
     return links
 
 
-def near_links(classes: DataFrame, radius: int, lanes: int = 1, tile_size: int = 8192) -> DataFrame:
-    """``classes(fp, pop)``, distinct, to links ``(a, b)`` of fingerprints.
+def tiled(classes: DataFrame, radius: int, lanes: int, tile_size: int, width: int | None = None) -> DataFrame:
+    """``classes(fp, pop)``, distinct, to ``(p, q, t, rows)``: for each pair of tiles to compare, the rows of both.
 
-    The links join exactly the fingerprints that chains of pairs within
-    ``radius`` bits join. Only the counts of rows by number of set bits (64 *
-    lanes + 1 at most) reach the driver.
+    A row of a tile has ``width`` numbers of 8 bytes, of which the first
+    ``lanes`` are the fingerprint. Only the counts of rows by number of set bits
+    (64 * lanes + 1 at most) reach the driver.
     """
+    width = width or lanes
     counts = {r["pop"]: r["n"] for r in classes.groupBy("pop").agg(F.count("*").alias("n")).collect()}
     bands = tile_bands(counts, tile_size)
     tiles = [(k, s) for k, (_, _, n) in enumerate(bands) for s in range(n)]
@@ -184,10 +225,25 @@ def near_links(classes: DataFrame, radius: int, lanes: int = 1, tile_size: int =
 
     def deal(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         t = int(key[0])
-        a = np.frombuffer(b"".join(group["fp"]), np.uint64).reshape(len(group), lanes)
-        a = a[np.lexsort(_quarters(a).T)]
+        a = np.frombuffer(b"".join(group["fp"]), np.uint64).reshape(len(group), width)
+        a = a[np.lexsort(_quarters(np.ascontiguousarray(a[:, :lanes])).T)]
         return pd.DataFrame([(p, q, t, a.tobytes()) for p, q in partners(t)], columns=["p", "q", "t", "rows"])
 
+    tile = start + F.pmod(F.xxhash64("fp"), size)
+    return (
+        classes.select("fp", tile.cast("int").alias("tile"))
+        .groupBy("tile")
+        .applyInPandas(deal, "p int, q int, t int, rows binary")
+    )
+
+
+def near_links(classes: DataFrame, radius: int, lanes: int = 1, tile_size: int = 8192) -> DataFrame:
+    """``classes(fp, pop)``, distinct, to links ``(a, b)`` of fingerprints.
+
+    The links join exactly the fingerprints that chains of pairs within
+    ``radius`` bits join.
+    """
+
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         parts = [np.frombuffer(x, np.uint64).reshape(-1, lanes) for x in group.sort_values("t")["rows"]]
         if len(parts) == 1 and key[0] != key[1]:
@@ -196,18 +252,136 @@ def near_links(classes: DataFrame, radius: int, lanes: int = 1, tile_size: int =
         links = spanning_links(parts[0], parts[1] if len(parts) > 1 else None, radius)
         return pd.DataFrame([(rows[p].tobytes(), rows[q].tobytes()) for p, q in links], columns=["a", "b"], dtype=object)
 
-    tile = start + F.pmod(F.xxhash64("fp"), size)
-    dealt = (
-        classes.select("fp", tile.cast("int").alias("tile"))
-        .groupBy("tile")
-        .applyInPandas(deal, "p int, q int, t int, rows binary")
-    )
-    return dealt.groupBy("p", "q").applyInPandas(compare, "a binary, b binary")
+    return tiled(classes, radius, lanes, tile_size).groupBy("p", "q").applyInPandas(compare, "a binary, b binary")
 
 
-def fingerprint_classes(fingerprints: DataFrame, radius: int, lanes: int = 1, tile_size: int = 8192) -> DataFrame:
+def candidate_rows(a: np.ndarray, b: np.ndarray | None, radius: int, lanes: int, similarity: float) -> list[tuple]:
+    """``(x, y, side, row)``: the rows of ``a`` and ``b`` (or of ``a`` alone) that have a candidate, by pairs of sub-tiles.
+
+    A candidate pair lies within ``radius`` bits, and its numbers of shingles
+    allow the similarity. The first half of the lanes has to lie within 5/8 of
+    the radius, which spares the rest. Sub-tiles hold about ``SUB_TILE`` shingles.
+    """
+    same = b is None
+    b = a if same else b
+    sizes, subs = [x[:, lanes].astype(np.int64) for x in (a, b)], []
+    for n in sizes:
+        subs.append((np.cumsum(n) - n) // SUB_TILE)
+    marks = [np.zeros((len(x), int(other[-1]) + 1 if len(other) else 0), bool) for x, other in zip((a, b), subs[::-1])]
+    half = max(1, lanes // 2)
+    near = radius if half == lanes else radius * 5 // 8
+    left, right = np.ascontiguousarray(a[:, :lanes].T), np.ascontiguousarray(b[:, :lanes].T)
+    for s in range(0, len(a), BLOCK):
+        for s2 in range(s if same else 0, len(b), BLOCK):
+            d = np.bitwise_count(left[0, s : s + BLOCK, None] ^ right[0, None, s2 : s2 + BLOCK])
+            for k in range(1, half):
+                d = d + np.bitwise_count(left[k, s : s + BLOCK, None] ^ right[k, None, s2 : s2 + BLOCK])
+            i, j = np.nonzero(d <= near)
+            rest = d[i, j].astype(np.int64)
+            i, j = i + s, j + s2
+            for k in range(half, lanes):
+                rest += np.bitwise_count(left[k, i] ^ right[k, j])
+            m, n = sizes[0][i], sizes[1][j]
+            ok = (rest <= radius) & (np.minimum(m, n) >= similarity * np.maximum(m, n))
+            if same:
+                ok &= i < j
+            i, j = i[ok], j[ok]
+            marks[0][i, subs[1][j]] = True
+            marks[1][j, subs[0][i]] = True
+    out = {(int(subs[0][i]), int(y), 0, int(i)) for i, y in zip(*np.nonzero(marks[0]))}
+    for j, x in zip(*np.nonzero(marks[1])):
+        x, y = int(x), int(subs[1][j])
+        out.add((x, y, 0 if same and x == y else 1, int(j)))
+    return sorted(out)
+
+
+def jaccard_links(
+    rows: np.ndarray, side: np.ndarray, sets: list[np.ndarray], radius: int, lanes: int, similarity: float
+) -> list[tuple[int, int]]:
+    """Links that join the rows just as all candidate pairs of Jaccard similarity ``similarity`` or more would.
+
+    Pairs of rows on different sides, or all pairs if there is one side. A pair
+    that is joined already isn't counted.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    _, ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts[ids] > 1  # by two rows or more
+    ends = np.concatenate([[0], np.cumsum(shared)])[np.cumsum(sizes)]
+    ids = ids[shared].astype(np.int32)
+    starts = np.concatenate([[0], ends[:-1]])
+    flag = np.zeros(len(counts), bool)
+    root = np.arange(len(rows))
+    links: list[tuple[int, int]] = []
+    two = len(np.unique(side)) > 1
+    for i in np.nonzero(side == 0)[0] if two else range(len(rows)):
+        j = np.nonzero(root != root[i])[0]
+        j = j[side[j] == 1] if two else j[j > i]
+        j = j[np.minimum(sizes[j], sizes[i]) >= similarity * np.maximum(sizes[j], sizes[i])]
+        j = j[np.bitwise_count(rows[j, :lanes] ^ rows[i, :lanes]).sum(axis=1, dtype=np.int64) <= radius]
+        if not len(j):
+            continue
+        flag[ids[starts[i] : ends[i]]] = True
+        for k in range(0, len(j), 1024):
+            part = j[k : k + 1024]
+            both = np.fromiter((np.count_nonzero(flag[ids[starts[x] : ends[x]]]) for x in part), np.int64, len(part))
+            alike = part[both / (sizes[part] + sizes[i] - both) >= similarity]
+            roots, at = np.unique(root[alike], return_index=True)
+            new = roots != root[i]
+            links += [(int(i), int(x)) for x in alike[at[new]]]
+            root[np.isin(root, roots)] = root[i]
+        flag[ids[starts[i] : ends[i]]] = False
+    return links
+
+
+def jaccard_class_links(
+    docs: DataFrame, classes: DataFrame, shingle: int, radius: int, lanes: int, similarity: float, tile_size: int
+) -> DataFrame:
+    """``classes(fp, pop, first)`` of ``docs(doc_id, text)`` by ``shingle_set`` to verified links ``(a, b)``.
+
+    Tiles name the rows that have a candidate; only for these the shingles are
+    read from the texts, and each pair of sub-tiles verifies its own.
+    """
+    width = lanes + 2
+
+    def search(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        parts = [np.frombuffer(x, np.uint64).reshape(-1, width) for x in group.sort_values("t")["rows"]]
+        names = ["p", "q", "x", "y", "side", "fp"]
+        if len(parts) == 1 and key[0] != key[1]:
+            return pd.DataFrame({c: [] for c in names})
+        found = candidate_rows(parts[0], parts[1] if len(parts) > 1 else None, radius, lanes, similarity)
+        of = lambda side, r: parts[side if len(parts) > 1 else 0][r].tobytes()
+        return pd.DataFrame([(*key, x, y, side, of(side, r)) for x, y, side, r in found], columns=names)
+
+    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k in range(0, len(b), 1000):
+                found = [shingle_set(t, shingle, lanes) for t in b["text"].iloc[k : k + 1000]]
+                yield pd.DataFrame({"fp": [x for x, _ in found], "hashes": [h.tobytes() for _, h in found]})
+
+    def verify(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["side", "fp"])
+        rows = np.frombuffer(b"".join(group["fp"]), np.uint64).reshape(len(group), width)
+        sets = [np.frombuffer(x, np.uint64) for x in group["hashes"]]
+        links = jaccard_links(rows, group["side"].to_numpy(), sets, radius, lanes, similarity)
+        return pd.DataFrame([(rows[a].tobytes(), rows[b].tobytes()) for a, b in links], columns=["a", "b"], dtype=object)
+
+    pairs = tiled(classes, radius, lanes, tile_size, width).groupBy("p", "q")
+    wanted = written(pairs.applyInPandas(search, "p int, q int, x int, y int, side int, fp binary"), "wanted")
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).alias("slot")
+    keys = wanted.select("fp").distinct()
+    by_id = F.broadcast(keys.join(classes, "fp").select(slot("first")).distinct())
+    by_fp = F.broadcast(keys.select(slot("fp")).distinct())
+    texts = docs.select("text", slot("doc_id")).join(by_id, "slot", "left_semi").select("text")
+    sets = texts.mapInPandas(shingles, "fp binary, hashes binary").select("fp", "hashes", slot("fp"))
+    sets = sets.join(by_fp, "slot", "left_semi").groupBy("fp").agg(F.first("hashes").alias("hashes"))
+    joined = wanted.join(written(sets, "sets"), "fp")
+    return joined.groupBy("p", "q", "x", "y").applyInPandas(verify, "a binary, b binary")
+
+
+def fingerprint_classes(fingerprints: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``(doc_id, fp, pop)`` to ``(fp, root, n, component_id, several)``, a row per distinct fingerprint.
 
+    ``links`` gives the links ``(a, b)`` of the classes ``(fp, pop, first, n)``.
     ``n`` is the fingerprint's number of rows, ``root`` the smallest fingerprint
     of its component, ``component_id`` the smallest doc_id there and ``several``
     whether the component holds more than one row.
@@ -215,7 +389,7 @@ def fingerprint_classes(fingerprints: DataFrame, radius: int, lanes: int = 1, ti
     classes = written(
         fingerprints.groupBy("fp", "pop").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "classes"
     )
-    roots = written(connected_components(near_links(classes.select("fp", "pop"), radius, lanes, tile_size)), "roots")
+    roots = written(connected_components(links(classes)), "roots")
     roots = roots.withColumnRenamed("node", "fp")
     linked = written(classes.join(roots, "fp").select("fp", "root", "n", "first"), "linked")
     smallest = written(linked.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
@@ -237,23 +411,29 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, lanes
     """
     print_ = fingerprint_column("text", shingle, lanes).alias("p")
     fps = written(docs.select("doc_id", print_).select("doc_id", "p.fp", "p.pop"), "fingerprints")
-    classes = fingerprint_classes(fps, radius, lanes)
+    classes = fingerprint_classes(fps, lambda c: near_links(c.select("fp", "pop"), radius, lanes))
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 50, lanes: int = 4) -> DataFrame:
+def drop_near_duplicates(
+    docs: DataFrame, shingle: int = 5, radius: int = 72, lanes: int = 4, similarity: float = 0.8
+) -> DataFrame:
     """``docs`` without near-duplicates, all columns kept: the row with the smallest doc_id of each group stays.
 
     Of repeated rows that share that doc_id, one stays; of a group whose
-    doc_ids are all null, one stays. Five-word shingles and 256 bits: two texts
-    of Jaccard similarity s differ in about 256 / pi * acos(2s / (1 + s)) bits,
-    39 at 0.8; within the radius of 50 lie 97 % of the pairs at 0.8 and almost
-    all above. Null and empty texts form one group. Column names starting with
+    doc_ids are all null, one stays. Groups are what chains of pairs of Jaccard
+    similarity ``similarity`` or more over distinct five-word shingles join (a
+    shorter text is one shingle). Pairs within ``radius`` of 256 bits are
+    counted: two texts of similarity s differ in about 256 / pi * acos(2s / (1 + s))
+    bits, 39 with a deviation of 6 at 0.8; four shingles of five differ most, in
+    48. Null and empty texts form one group. Column names starting with
     ``_near_`` are reserved.
     """
-    fp = fingerprint_column(F.col("text"), shingle, lanes)
+    fp = shingle_set_column(F.col("text"), shingle, lanes)
     fps = written(docs.select("doc_id", fp.alias("p")).select("doc_id", "p.fp", "p.pop"), "fingerprints")
-    classes = fingerprint_classes(fps, radius, lanes, tile_size=16384)
+    classes = fingerprint_classes(
+        fps, lambda c: jaccard_class_links(docs, c, shingle, radius, lanes, similarity, tile_size=16384)
+    )
     # only groups of several rows decide anything; in some, several rows share the doc_id that stays
     groups = written(classes.filter("several").select("fp", "root", "component_id"), "groups")
     stay = fps.join(groups, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
