@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowgauge.llm.license_texts import TEXTS
+
 #: Short notices of common licences, by SPDX identifier.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -50,9 +52,10 @@ def dice(a: Counter, b: Counter) -> float:
 class Templates:
     """Templates by size, and which words may neighbour each other in any of them."""
 
-    def __init__(self, texts: dict[str, str], threshold: float):
+    def __init__(self, texts: dict[str, str | list[str]], threshold: float):
         self.threshold = threshold
-        bags = sorted((bigrams(t).total(), name, bigrams(t)) for name, t in texts.items())
+        each = [(name, t) for name, ts in texts.items() for t in ([ts] if isinstance(ts, str) else ts)]
+        bags = sorted(((bigrams(t).total(), name, bigrams(t)) for name, t in each), key=lambda b: b[:2])
         self.entries = [(n, name, bag) for n, name, bag in bags if n]
         self.smallest = self.entries[0][0] if self.entries else 0
         self.largest = self.entries[-1][0] if self.entries else 0
@@ -154,16 +157,18 @@ def find_licenses(text: str | None, templates: Templates) -> list[tuple[str, flo
     return sorted(out, key=lambda m: m[2])
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: dict[str, str | list[str]] | None = None, threshold: float = 0.8) -> DataFrame:
     """``docs`` with ``licenses``: ``(license, dice, start, end)`` of each run of passages that is a licence.
 
-    ``templates`` maps names to texts (``TEMPLATES`` if none are given); they
+    ``templates`` maps names to texts, one or several each (the notices in ``TEMPLATES`` and
+    the bodies and headers in ``license_texts`` if none are given); they
     travel with the task, as a list of licences is small. Offsets are code points.
     Line breaks count as white space. Matches don't overlap. Null and empty texts have none,
     nor have templates without words. Whole texts are scanned, and all columns
     and rows are kept; a column ``licenses`` is replaced.
     """
-    chosen = TEMPLATES if templates is None else templates
+    both = {k: [t[k] for t in (TEMPLATES, TEXTS) if k in t] for k in [*TEMPLATES, *TEXTS]}
+    chosen = both if templates is None else templates
 
     @F.pandas_udf(RESULT)
     def scan(texts: pd.Series) -> pd.Series:

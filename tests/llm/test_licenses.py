@@ -1,8 +1,11 @@
 """Licences of several sentences and lines inside longer texts."""
 
+import textwrap
+
 import pytest
 
 from flowgauge.llm import licenses
+from flowgauge.llm.license_texts import TEXTS
 
 BEFORE, AFTER = "def area(r):\n    return r * r\n\n", "\n\nNothing else. The rest is prose about\ngardens and rivers.\n"
 
@@ -21,3 +24,9 @@ def test_longer_run_stays():
     templates = licenses.Templates({"short": short, "long": long}, 0.8)
     found = licenses.find_licenses(f"{AFTER}{long}{AFTER}{short}", templates)
     assert [(m[0], m[1]) for m in found] == [("long", 1.0), ("short", 1.0)]
+
+
+def test_default_finds_bodies_and_headers(spark):
+    rows = [(name, BEFORE + textwrap.fill(text, 72) + AFTER) for name, text in TEXTS.items()]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "name string, text string")).collect()
+    assert {r["name"]: [(m["license"], m["dice"]) for m in r["licenses"]] for r in got} == {n: [(n, 1.0)] for n in TEXTS}
