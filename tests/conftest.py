@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
-os.environ["PYTHONPATH"] = str(Path(__file__).resolve().parents[1])
+# workers import what this process imports, wherever it found it
+os.environ["PYTHONPATH"] = os.pathsep.join(dict.fromkeys(str(Path(p).resolve()) for p in sys.path))
+os.environ["PYSPARK_PYTHON"] = sys.executable
 
 
 @pytest.fixture(scope="session")
