@@ -19,8 +19,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from flowgauge.llm.common import new_names
+
 #: Trie nodes that a task keeps; beyond it starts anew.
 MAX_NODES = 1_000_000
+#: Texts handled at once.
+ROWS = 500
 
 
 def zipf_scores(path: str) -> dict[bytes, float]:
@@ -81,8 +85,9 @@ def count_tokens(docs: DataFrame, scores: dict[bytes, float], pattern: str, colu
     them, so that each text can be split; it is broadcast, a vocabulary being of
     fixed size. ``pattern`` cuts whole texts into pre-tokens. Null and empty
     texts have no tokens. All columns and rows are kept; ``out`` must be a new
-    name.
+    name, else a ``ValueError`` says so.
     """
+    new_names(docs, out)
     lacking = [b for b in range(256) if bytes([b]) not in scores]
     if lacking:
         raise ValueError(f"no score for the bytes {lacking[:5]}")
@@ -90,7 +95,7 @@ def count_tokens(docs: DataFrame, scores: dict[bytes, float], pattern: str, colu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, find = Trie(held.value), regex.compile(pattern).findall
-        for b in batches:
+        for b in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
             texts = b.column(b.schema.get_field_index(column)).to_pylist()
             cut = [find(t) if t else [] for t in texts]
             counts = {w: trie.insert(w) for w in set().union(*cut)}
