@@ -22,12 +22,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from flowgauge.llm.common import new_names
+
 #: Distinct chunks and words that a worker keeps; beyond these numbers it starts anew.
 MAX_CHUNKS, MAX_WORDS = 250_000, 400_000
 #: Texts handled at once, words in one recursive query, and tokens in one decoding query.
 ROWS, WORDS, TOKENS = 500, 10_000, 250_000
-#: Words of up to so many bytes go through the plain query.
+#: Words of up to so many bytes take the query that holds each round's rows of a word, which is three times as fast.
 SHORT = 256
+#: An odd factor: sums of bytes times its powers tell substrings apart.
+FACTOR = 0x9E3779B97F4A7C15
+#: Memory of the connection: a fixed part, and bytes for each byte of a long word.
+MEMORY_MB, BYTES_A_BYTE = 200, 1000
 
 #: One contraction a word and round. A row knows its right neighbour; the smallest (id, position) of a word wins.
 ENCODE = """
@@ -51,38 +57,54 @@ from s join (select w, max(step) step from s group by w) f on s.w = f.w and s.st
 group by s.w order by s.w
 """
 
-#: For long words: a round contracts the occurrences of the word's smallest rank from the left, as far as one after
-#: another would: up to the first whose new neighbours make a pair of a smaller rank. Overlapping occurrences take
-#: every other one.
+#: The same rule for a long word, seen in parts of ``{reach}`` bytes: four times the longest piece that occurs in it. A pair
+#: of a part's smallest rank is next in its surroundings where neither neighbouring part has a smaller one: a piece that
+#: ended or started at one of its tokens would lie inside the three parts, and so would the smaller pair that begins it.
+#: Where the merged piece is ``calm``, that is, takes no part in a pair of a smaller rank whose piece occurs, a round contracts all such pairs
+#: from left to right (every other one of a run of overlapping pairs, if the run's start is among them); else just a part's
+#: leftmost, if neither neighbour has one of that rank before it. Rows are keyed by (word, position), and a round gives only
+#: those that change: memory follows the word's length and not its rounds.
 ENCODE_LONG = """
-with recursive s(w, pos, tok, step) as (
-  select w, pos, tok, 0 from start
-  union all
-  (with p as (
-     select w, pos, tok, step, row_number() over o n, lag(tok) over o back, lead(tok) over o nxt, lead(tok, 2) over o far
-     from s window o as (partition by w order by pos)),
-   r as (
-     select p.*, m.id, min(m.id) over (partition by w) best
-     from p left join merges m on m.pair = ((p.tok::bigint << 32) | p.nxt)),
-   hit as (select *, n - row_number() over (partition by w order by n) run from r where id = best),
-   odd as (
-     select *, lag(n) over (partition by w order by n) before
-     from (select *, row_number() over (partition by w, run order by n) k from hit) where k % 2 = 1),
-   checked as (
-     select odd.*, coalesce(a.id < best, false) or coalesce(b.id < best, false) bad
-     from odd
-     left join merges a on a.pair = (((case when before = n - 2 then best else back end)::bigint << 32) | best)
-     left join merges b on b.pair = ((best::bigint << 32) | far)),
+with recursive s(w, pos, prv, nxt, tok, ntok, k) using key (w, pos) as (
+  select w, pos, pos - 1, npos, tok, ntok, coalesce((m.id::bigint << 32) | pos, 9223372036854775807)
+  from start left join long_merges m on m.pair = tok::bigint * 4294967296 + ntok
+  union
+  (with low as (
+     select w, pos // {reach} part, min(k) k from recurring.s group by all having min(k) < 9223372036854775807),
+   hit as (
+     select a.w, a.part, (a.k >> 32)::int id, (a.k & 4294967295)::int pos, calm
+     from (select low.*, m.calm, case when m.calm then (k >> 32) << 32 else k end least from low join (select distinct id, calm from long_merges) m on m.id = (k >> 32)::int) a
+     left join low b on b.w = a.w and b.part = a.part - 1 left join low c on c.w = a.w and c.part = a.part + 1
+     where a.least <= coalesce(b.k, 9223372036854775807) and a.least <= coalesce(c.k, 9223372036854775807)),
+   near as (
+     select w, part, id, max(pos) pos, bool_or(own) own
+     from (select w, part, id, case when calm then -1 else pos end pos, true own from hit
+           union all select w, part - 1, id, -1, false from hit where calm)
+     group by all),
+   alike as (
+     select s.w, s.pos, s.prv, s.nxt gone, near.id, near.own,
+            lag(s.nxt) over (partition by s.w order by s.pos) is distinct from s.pos or lag(near.id) over (partition by s.w order by s.pos) <> near.id starts
+     from near join recurring.s s on s.w = near.w and s.pos // {reach} = near.part and (s.k >> 32)::int = near.id
+     where near.pos < 0 or s.pos = near.pos),
+   runs as (select *, sum(starts::int) over (partition by w order by pos) run from alike),
    taken as (
-     select w, n, best from (
-       select *, coalesce(sum(bad::int) over (partition by w order by n rows between unbounded preceding and 1 preceding), 0) stops
-       from checked) where stops = 0)
-   select r.w, r.pos, coalesce(t.best, r.tok), r.step + 1
-   from r left join taken t on t.w = r.w and t.n = r.n left join taken g on g.w = r.w and g.n = r.n - 1
-   where r.best is not null and g.n is null))
-select s.w, list(s.tok order by s.pos) toks
-from s join (select w, max(step) step from s group by w) f on s.w = f.w and s.step = f.step
-group by s.w order by s.w
+     select r.w, r.pos, r.prv, r.gone, r.id, s.nxt after, s.ntok after_tok
+     from (select * from runs
+           qualify row_number() over (partition by w, run order by pos) % 2 = 1 and bool_and(own) over (partition by w, run order by pos)) r
+     join recurring.s s on s.w = r.w and s.pos = r.gone),
+   touched as (select distinct w, unnest([pos, prv, after]) pos from taken),
+   changed as (
+     select s.w, s.pos, coalesce(back.pos, s.prv) prv, coalesce(own.after, s.nxt) nxt, coalesce(own.id, s.tok) tok,
+            coalesce(next.id, own.after_tok, s.ntok) ntok
+     from touched t join recurring.s s on s.w = t.w and s.pos = t.pos
+     left join taken own on own.w = s.w and own.pos = s.pos
+     left join taken back on back.w = s.w and back.gone = s.prv
+     left join taken next on next.w = s.w and next.pos = coalesce(own.after, s.nxt)
+     where not exists (select 1 from taken x where x.w = s.w and x.gone = s.pos)
+     union all select w, gone, -1, -1, -1, -1 from taken)
+   select c.w, c.pos, c.prv, c.nxt, c.tok, c.ntok, coalesce((m.id::bigint << 32) | c.pos, 9223372036854775807)
+   from changed c left join long_merges m on m.pair = c.tok::bigint * 4294967296 + c.ntok))
+select w, list(tok order by pos) toks from s where tok >= 0 group by w order by w
 """
 
 #: The pieces of each text's ids in order.
@@ -134,15 +156,17 @@ class Coder:
 
     def __init__(self, ranks: dict[bytes, int], pairs: np.ndarray, merged: np.ndarray, pattern: str):
         self.pattern = regex.compile(pattern)
-        self.ranks = ranks
+        self.ranks, self.pairs, self.merged = ranks, pairs, merged
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.db = duckdb.connect()
-        for setting in ("threads = 1", "memory_limit = '200MB'", "preserve_insertion_order = false"):
+        # no folder to spill to: what a query holds is bounded, and the worker's own folder may be read-only
+        for setting in ("threads = 1", "preserve_insertion_order = false", "temp_directory = ''", f"memory_limit = '{MEMORY_MB}MB'"):
             self.db.execute(f"set {setting}").fetchall()
         self._table("m", {"pair": pairs, "id": merged})
         self.db.execute("create table merges as select * from m").fetchall()
         self._table("v", {"id": pa.array(list(ranks.values()), pa.int32()), "piece": pa.array(list(ranks), pa.binary())})
         self.db.execute("create table vocab as select * from v").fetchall()
+        self.sizes: dict[int, list[bytes]] = {}
         self.words, self.chunks = _Numbers(), _Numbers()
         self.word_tokens = self.chunk_tokens = self.empty = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
@@ -177,15 +201,51 @@ class Coder:
                 out[k] = np.array([rank], np.int32)
             else:
                 (short if len(w) <= SHORT else long).append(k)
-        for sql, which in ((ENCODE, short), (ENCODE_LONG, long)):
-            for a in range(0, len(which), WORDS):
-                part = which[a : a + WORDS]
-                offsets, flat = self._merge([words[k] for k in part], sql)
-                for k, s, e in zip(part, offsets[:-1].tolist(), offsets[1:].tolist()):
-                    out[k] = flat[s:e]
+        for a in range(0, len(short), WORDS):
+            self._put(out, words, short[a : a + WORDS], ENCODE)
+        for k in long:
+            self._encode_long(out, words, k)
         sizes = np.fromiter(map(len, out), np.int64, len(out))
         return np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([np.zeros(0, np.int32), *out])
 
+    def _occurring(self, word: bytes) -> tuple[np.ndarray, int]:
+        """Ids of the pieces that occur in the word (some more, by chance: they are found by hash), and the longest's length."""
+        if not self.sizes:
+            for piece in self.ranks:
+                self.sizes.setdefault(len(piece), []).append(piece)
+        powers = np.full(len(word), FACTOR, np.uint64)
+        powers[0] = 1
+        powers = np.cumprod(powers)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.frombuffer(word, np.uint8) * powers)])
+        ids, longest = [], 1
+        for size in sorted(n for n in self.sizes if n <= len(word)):
+            pieces = self.sizes[size]
+            rows = np.frombuffer(b"".join(pieces), np.uint8).reshape(-1, size)
+            # a piece at place i adds up to its own sum times the place's power
+            own = (rows * powers[:size]).sum(axis=1, dtype=np.uint64) * powers[len(word) - size]
+            there = np.nonzero(np.isin(own, (sums[size:] - sums[:-size]) * powers[len(word) - size :: -1]))[0]
+            if len(there):
+                ids += [self.ranks[pieces[k]] for k in there.tolist()]
+                longest = size
+        return np.array(ids, np.int32), longest
+
+    def _encode_long(self, out: list, words: list[bytes], k: int) -> None:
+        """Encodes one long word, with the pairs whose piece occurs in it."""
+        ids, longest = self._occurring(words[k])
+        use = np.isin(self.merged, ids)
+        pairs, merged = self.pairs[use], self.merged[use]
+        uneasy = np.concatenate([side[merged < side] for side in (pairs >> 32, pairs & 0xFFFFFFFF)])
+        self._table("m", {"pair": pairs, "id": merged, "calm": ~np.isin(merged, uneasy)})
+        self.db.execute("create or replace table long_merges as select * from m").fetchall()
+        self.db.execute(f"set memory_limit = '{MEMORY_MB + BYTES_A_BYTE * len(words[k]) // 1_000_000}MB'").fetchall()
+        self._put(out, words, [k], ENCODE_LONG.format(reach=4 * longest))
+        self.db.execute(f"set memory_limit = '{MEMORY_MB}MB'").fetchall()
+
+    def _put(self, out: list, words: list[bytes], which: list[int], sql: str) -> None:
+        offsets, flat = self._merge([words[k] for k in which], sql)
+        for k, s, e in zip(which, offsets[:-1].tolist(), offsets[1:].tolist()):
+            out[k] = flat[s:e]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.chunks) > MAX_CHUNKS:
             self.chunks, self.chunk_tokens = _Numbers(), self.empty
@@ -255,6 +315,7 @@ def chunks(text: str | None) -> list[str]:
 
 def _with_coder(table: DataFrame, vocabulary: str, pattern: str, code: Callable, outs: list[str]) -> DataFrame:
     """``table`` with the binary columns ``outs`` that ``code(coder, batch)`` makes."""
+    new_names(table, *outs)
     ranks = read_ranks(vocabulary)
     # a worker unpacks a broadcast value once: the coder that it makes serves all of its tasks
     held = table.sparkSession.sparkContext.broadcast({"ranks": ranks, "merges": merge_table(ranks)})
@@ -279,8 +340,9 @@ def bpe_encode(
     ``vocabulary`` is a rank file (its path on the driver) with a piece for
     every byte, ``pattern`` cuts texts into pre-tokens. A pre-token that is a
     piece becomes that piece; any other is merged. Null and empty texts have no
-    ids. All columns and rows are kept; ``out`` must be a new name. ``decoded``
-    names a further column with what the ids decode to, made by the same worker.
+    ids. All columns and rows are kept; ``out`` must be a new name, else a
+    ``ValueError`` says so. ``decoded`` names a further column with what the ids
+    decode to, made by the same worker.
     """
 
     def code(coder: Coder, b: pa.RecordBatch) -> list[list]:
@@ -293,7 +355,8 @@ def bpe_encode(
 def bpe_decode(table: DataFrame, vocabulary: str, column: str = "ids", out: str = "decoded") -> DataFrame:
     """``table`` with ``out``: the bytes that the packed ids of ``column`` stand for; null for null.
 
-    An id that the vocabulary lacks is an error.
+    An id that the vocabulary lacks is an error, and so is an ``out`` that
+    ``table`` already has.
     """
 
     def code(coder: Coder, b: pa.RecordBatch) -> list[list]:
