@@ -120,7 +120,7 @@ class SinkConfig:
     sasl_password: str = ""
 
     def __post_init__(self) -> None:
-        if self.kind not in ("kafka", "rabbitmq", "stdout", "discard"):
+        if self.kind not in ("kafka", "rabbitmq", "stdout", "discard", "files"):
             raise ValueError(f"unknown sink {self.kind!r}")
         if self.max_retries < 0 or self.retry_base_ms < 0 or self.retry_max_ms < self.retry_base_ms:
             raise ValueError("retries must not be negative, retry_max_ms not below retry_base_ms")

@@ -163,6 +163,32 @@ def round_to(price: Column, tick: float) -> Column:
     return F.round(price / step) * step
 
 
+def round_half_even(x: Column, places: int) -> Column:
+    """``x`` to ``places`` decimals by its exact binary value, ties to even.
+
+    The product with 10**places is taken in two exact halves, so that a value
+    just beside a tie is not mistaken for one. Null, NaN and infinities stay, as
+    do values too large to have such decimals.
+    """
+    scale = float(10**places)
+    far = x * F.lit(134217729.0)  # 2**27 + 1: splits the value into halves
+    high = far - (far - x)
+    low = x - high
+    n = F.rint(high * scale + low * scale)
+    rest = (high * scale - n) + low * scale
+    odd = F.pmod(n, F.lit(2.0)) == 1
+    up, down = (rest > 0.5) | ((rest == 0.5) & odd), (rest < -0.5) | ((rest == -0.5) & odd)
+    exact = (n + F.when(up, 1.0).when(down, -1.0).otherwise(0.0)) / scale
+    return F.when(F.abs(x) < 2.0**52 / scale, exact).otherwise(x)
+
+
+def trade_headers() -> Column:
+    """The headers of a trade's message, from the columns of schema TRADE."""
+    names = ("schema_version", "event_id", "exchange", "symbol", "source", "side", "trade_time_ms", "ingested_at_ms")
+    pairs = [y for n in names for y in (F.lit(n), F.coalesce(F.col(n).cast("string"), F.lit("")))]
+    return F.create_map(*pairs, F.lit("content-type"), F.lit("application/json"))
+
+
 def notification(side: Column, z: Column, price: Column) -> Column:
     return F.concat(side, F.lit(" · Z "), F.format_string("%.2f", z), F.lit("\nPrice: $"), F.format_string("%,.2f", price))
 

@@ -22,8 +22,8 @@ DEMO_Z = [
 
 
 def build_alerts(scored: DataFrame, alerted_at_ms: Column) -> DataFrame:
-    """Toxic scores as alerts, rounded as they are published (z to 6 places, states to 8)."""
-    rounded = {c: F.round(c, 8) for c in ("ewma", "ewma_var", "signed_ofi")} | {"z_score": F.round("z_score", 6)}
+    """Toxic scores as alerts, rounded as they are published (z to 6 places, states to 8; ties to even)."""
+    rounded = {c: S.round_half_even(F.col(c), 8) for c in ("ewma", "ewma_var", "signed_ofi")} | {"z_score": S.round_half_even(F.col("z_score"), 6)}
     return scored.filter("is_toxic").withColumns(rounded | {"alert_type": F.lit("toxicity"), "alerted_at_ms": alerted_at_ms})
 
 
@@ -32,6 +32,25 @@ def alert_json(alerts: DataFrame) -> DataFrame:
     return alerts.select(F.col("symbol").alias("key"), F.to_json(F.struct("*")).alias("value"))
 
 
+def toxicity_only(alerts: DataFrame) -> DataFrame:
+    """Alerts of the type that readers are told of; other and missing types are passed over."""
+    return alerts.filter("alert_type = 'toxicity'")
+
+
+def display(alerts: DataFrame) -> DataFrame:
+    """Alerts as a reader sees them: z to 2 places, flow and quantity to 6, and the best time there is."""
+    fixed = lambda c, places: F.coalesce(F.format_string(f"%.{places}f", F.col(c)), F.lit(""))
+    at = F.coalesce(F.col("alerted_at"), F.timestamp_millis("trade_time_ms"))
+    return alerts.select(
+        "symbol",
+        "side",
+        fixed("z_score", 2).alias("z_score"),
+        fixed("signed_ofi", 6).alias("signed_ofi"),
+        fixed("quantity", 6).alias("quantity"),
+        F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("time"),
+    )
+
+
 def alert_history(
     alerts: DataFrame,
     symbol: str | None = None,
@@ -64,8 +83,10 @@ def newest_first() -> list[Column]:
     return [F.desc("alerted_at"), F.desc("id")]
 
 
-def export_alerts(alerts: DataFrame, limit: int = 5000) -> DataFrame:
-    """The newest alerts with headings for a reader, ready for ``write.csv(header=True)``; the limit is part of the export."""
+def export_alerts(alerts: DataFrame, symbol: str | None = None, limit: int = 5000) -> DataFrame:
+    """The newest alerts (of a symbol) with headings for a reader, ready for ``write.csv(header=True)``; the limit is part of the export."""
+    if symbol:
+        alerts = alerts.filter(F.col("symbol") == symbol.upper())
     iso = F.date_format("alerted_at", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
     top = alerts.orderBy(*newest_first()).limit(limit).withColumn("alerted_at", iso)
     return top.select(*[F.col(c).alias(h) for c, h in EXPORT.items()])

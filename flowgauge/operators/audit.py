@@ -1,43 +1,60 @@
 """Hash-chained audit logs.
 
 A chain is sequential by nature. To let it grow beyond one task, the log is cut
-into segments (a day, a symbol, ...), each with a chain of its own that starts
-without a previous hash; segments are built and verified in parallel.
+into segments (a day, a symbol, ...) and these by ranges of ids into parts, each
+with a chain of its own that starts without a previous hash; parts are built and
+verified in parallel, and no part holds more than ``part_ids`` ids.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+PART_IDS = 100_000
 
 
-def canonical(previous: Column, row: Column | None = None) -> Column:
+def canonical(previous: Column) -> Column:
     """The text that an entry's hash covers: its fields and the previous hash, joined by ``|``, nulls empty."""
-    get = (lambda c: row[c]) if row is not None else F.col
-    fields = [F.coalesce(get(c).cast("string"), F.lit("")) for c in ("event_type", "actor", "symbol", "event_id", "details", "created_at_ms")]
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("event_type", "actor", "symbol", "event_id", "details", "created_at_ms")]
     parts = [x for f in fields for x in (f, F.lit("|"))]
     return F.concat(*parts, F.coalesce(previous, F.lit("")))
 
 
-def build_chain(events: DataFrame, segment: str = "segment") -> DataFrame:
-    """``events`` (schema AUDIT and ``segment``) with ``previous_hash`` and ``entry_hash``, chained by id in each segment."""
+def _part(part_ids: int) -> Column:
+    return F.floor(F.col("id") / F.lit(part_ids)).cast("long")
+
+
+def build_chain(events: DataFrame, segment: str = "segment", part_ids: int = PART_IDS) -> DataFrame:
+    """``events`` (schema AUDIT and ``segment``) with ``part``, ``previous_hash`` and ``entry_hash``, chained by id in each part.
+
+    Ids are unique in a log; of entries that share one, the order is that of
+    their texts. A part of a segment is what one task holds.
+    """
     fields = ("id", "event_type", "actor", "symbol", "event_id", "details", "created_at_ms")
-    ordered = events.groupBy(segment).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rows"))
-    hashes = F.aggregate(
-        "rows",
-        F.struct(F.lit(None).cast("string").alias("last"), F.array().cast("array<string>").alias("all")),
-        lambda acc, r: F.struct(
-            F.sha2(canonical(acc["last"], r), 256).alias("last"),
-            F.concat(acc["all"], F.array(F.sha2(canonical(acc["last"], r), 256))).alias("all"),
-        ),
-    )["all"]
-    entries = ordered.select(segment, "rows", hashes.alias("hashes")).select(segment, F.posexplode("rows").alias("at", "e"), "hashes")
-    previous = F.when(F.col("at") > 0, F.element_at("hashes", F.greatest(F.col("at"), F.lit(1))))
-    return entries.select(segment, "e.*", previous.alias("previous_hash"), F.element_at("hashes", F.col("at") + 1).alias("entry_hash"))
-
-
-def verify_chain(log: DataFrame, segment: str = "segment") -> DataFrame:
-    """``log`` with ``ok``: the stated hashes are the entry's own and its predecessor's."""
-    before = F.lag("entry_hash").over(Window.partitionBy(segment).orderBy("id"))
+    body = canonical(F.lit(""))
+    rows = events.select(segment, _part(part_ids).alias("part"), *fields, body.alias("_body"))
+
+    def chain(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["id", "_body"], kind="stable")
+        last, before, own = None, [], []
+        for text in group["_body"]:
+            before.append(last)
+            last = hashlib.sha256((text + (last or "")).encode()).hexdigest()
+            own.append(last)
+        return group.drop(columns="_body").assign(previous_hash=pd.array(before, "object"), entry_hash=own)
+
+    kinds = {f.name: f for f in rows.schema.fields}
+    schema = T.StructType([kinds[c] for c in (segment, "part", *fields)] + [T.StructField(c, T.StringType()) for c in ("previous_hash", "entry_hash")])
+    return rows.groupBy(segment, "part").applyInPandas(chain, schema)
+
+
+def verify_chain(log: DataFrame, segment: str = "segment", part_ids: int = PART_IDS) -> DataFrame:
+    """``log`` with ``ok``: the stated hashes are the entry's own and its predecessor's in its part."""
+    before = F.lag("entry_hash").over(Window.partitionBy(segment, _part(part_ids)).orderBy("id"))
     own = F.sha2(canonical(F.col("previous_hash")), 256)
     return log.withColumn("ok", F.col("previous_hash").eqNullSafe(before) & F.col("entry_hash").eqNullSafe(own))

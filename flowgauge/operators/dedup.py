@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,15 +22,26 @@ def first_of_each(rows: DataFrame, order: list[Column], key: tuple[str, ...] = K
     return rows.groupBy(*key).agg(best).select(*key, "_row.*").select(*rows.columns)
 
 
-def within_ttl(rows: DataFrame, time_ms: str, ttl_ms: int, key: tuple[str, ...] = KEY) -> DataFrame:
+def within_ttl(rows: DataFrame, time_ms: str, ttl_ms: int, key: tuple[str, ...] = KEY, order: tuple[str, ...] = ()) -> DataFrame:
     """Keeps a row when none of its key was kept in the ``ttl_ms`` before; a suppressed row does not extend that.
 
-    Returns the keys with ``kept_ms``, a row for each kept occurrence. Only the
-    distinct times of one key meet.
+    One sorted pass over each task's keys: it holds a key's last kept time and
+    nothing else, whatever the key's number of rows. Among rows of one key and
+    time, the first by ``order`` stays. Rows without a time are dropped.
     """
-    step = lambda acc, t: F.when(
-        (F.size(acc) == 0) | (t - F.try_element_at(acc, F.lit(-1)) >= ttl_ms), F.concat(acc, F.array(t))
-    ).otherwise(acc)
-    times = rows.groupBy(*key).agg(F.array_sort(F.collect_set(F.col(time_ms).cast("long"))).alias("times"))
-    kept = F.aggregate("times", F.array().cast("array<bigint>"), step)
-    return times.select(*key, F.explode(kept).alias("kept_ms"))
+    by = [F.col(f"`{c}`") for c in (*key, time_ms, *order)]
+    dealt = rows.filter(F.col(time_ms).isNotNull()).repartition(*by[: len(key)]).sortWithinPartitions(*by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, last = None, 0
+        for b in batches:
+            times = b.column(b.schema.get_field_index(time_ms)).to_pylist()
+            keys = zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in key))
+            keep = []
+            for n, (k, t) in enumerate(zip(keys, times)):
+                if k != last_key or t - last >= ttl_ms:
+                    last_key, last = k, t
+                    keep.append(n)
+            yield b.take(pa.array(keep, pa.int32()))
+
+    return dealt.mapInArrow(run, rows.schema)

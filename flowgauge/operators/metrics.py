@@ -10,6 +10,29 @@ LAG_BUCKETS = (1, 5, 10, 25, 50, 100, 250, 500, 1000, 5000, 30000)
 BATCH_BUCKETS = (1, 10, 50, 100, 250, 500, 1000, 2500, 5000)
 
 
+#: Upper bounds of the buckets of publish latencies in seconds.
+LATENCY_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10)
+
+
+def producer_counters(batches: DataFrame) -> DataFrame:
+    """Totals over ``batches(n_messages, n_bytes, attempts, outcome)``, a row a batch.
+
+    ``outcome`` is published, dead_lettered or dropped; a batch of several
+    attempts was retried, and one that wasn't published failed.
+    """
+    messages = lambda outcome: F.coalesce(F.sum(F.when(F.col("outcome") == outcome, F.col("n_messages"))), F.lit(0)).cast("long")
+    published = F.col("outcome") == "published"
+    return batches.agg(
+        messages("published").alias("published"),
+        F.count("*").alias("batches"),
+        F.coalesce(F.sum(F.col("attempts") - 1), F.lit(0)).cast("long").alias("retries"),
+        F.count_if(~published).alias("failed"),
+        messages("dead_lettered").alias("dead_lettered"),
+        messages("dropped").alias("dropped"),
+        F.coalesce(F.sum(F.when(published, F.col("n_bytes"))), F.lit(0)).cast("long").alias("n_bytes"),
+    )
+
+
 def counters(rows: DataFrame, labels: list[str]) -> DataFrame:
     """Rows by label values."""
     return rows.groupBy(*labels).agg(F.count("*").alias("n"))
@@ -23,7 +46,7 @@ def counter_sets(rows: DataFrame, sets: list[list[str]]) -> DataFrame:
 
 def histogram(rows: DataFrame, keys: list[str], value: str, bounds: tuple[int, ...] = LAG_BUCKETS) -> DataFrame:
     """Cumulative buckets ``le_<bound>``, ``total`` and ``n`` of a column, one pass without joins."""
-    buckets = [F.count_if(F.col(value) <= b).alias(f"le_{b}") for b in bounds]
+    buckets = [F.count_if(F.col(value) <= b).alias(f"le_{b}".replace(".", "_")) for b in bounds]
     return rows.groupBy(*keys).agg(*buckets, F.sum(value).alias("total"), F.count("*").alias("n"))
 
 

@@ -109,7 +109,8 @@ def validate_json(messages: DataFrame, value: str = "value") -> DataFrame:
 
     Order: malformed_json, symbol, side, price, quantity, trade_time_ms. Numbers
     written as strings aren't numbers. A missing event_id becomes the version 5
-    UUID of the message. Empty messages are skipped; other columns are kept.
+    UUID of the message. ``trade_id`` and ``exchange`` are read unless the
+    messages have such columns. Empty messages are skipped; other columns are kept.
     """
     v = F.try_parse_json(F.col(value))
     text = lambda name: F.when(
@@ -119,6 +120,9 @@ def validate_json(messages: DataFrame, value: str = "value") -> DataFrame:
         ~F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant")).isin("STRING", "BOOLEAN"), F.lit(True)),
         F.try_variant_get(v, f"$.{name}", "double"),
     )
+    kind = lambda name: F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
+    # whole numbers as they are written; only others pass through double, and lose their fraction
+    whole = lambda name: F.when(kind(name) == "BIGINT", F.try_variant_get(v, f"$.{name}", "long")).otherwise(number(name).cast("long"))
     others = [F.col(c) for c in messages.columns]
     read = messages.filter(F.length(value) > 0).select(
         *others,
@@ -127,7 +131,9 @@ def validate_json(messages: DataFrame, value: str = "value") -> DataFrame:
         F.upper(S.strip(text("side"))).alias("side"),
         number("price").alias("price"),
         number("quantity").alias("quantity"),
-        number("trade_time_ms").cast("long").alias("trade_time_ms"),
+        whole("trade_time_ms").alias("trade_time_ms"),
+        *([] if "trade_id" in messages.columns else [whole("trade_id").alias("trade_id")]),
+        *([] if "exchange" in messages.columns else [S.normalize_exchange(text("exchange")).alias("exchange")]),
         F.coalesce(F.nullif(S.strip(text("event_id")), F.lit("")), S.uuid5_dns(F.col(value))).alias("event_id"),
     )
     bad = lambda test: ~F.coalesce(test, F.lit(False))

@@ -4,9 +4,11 @@
 
 One symbol may hold any share of the trades, so its history is cut into chunks.
 Over a chunk the new mean is linear in the old one, and the new variance is
-linear in the old one and quadratic in the old mean: a first pass sums up each
-chunk in six numbers, those are composed along each symbol, and a second pass
-runs every chunk from the state that it starts with.
+linear in the old one and quadratic in how far the old mean lies from the
+chunk's first value: a first pass sums up each chunk in six numbers, those are
+composed along each symbol, and a second pass runs every chunk from the state
+that it starts with. Distances from the first value keep flow of one size from
+cancelling: there they are zero, however large the values.
 """
 
 from __future__ import annotations
@@ -51,13 +53,14 @@ def _run(x: np.ndarray, alpha: float, mean: float, var: float, n: int) -> tuple[
 
 
 def _summary(x: np.ndarray, alpha: float) -> tuple[float, float, float, float, float]:
-    """(a, b, p, q, r): mean' = a mean + b and var' = a var + p + q mean + r mean^2."""
-    a, b, p, q, r = 1.0, 0.0, 0.0, 0.0, 0.0
+    """(a, b, p, q, r): with u = mean - x[0], mean' = a u + b and var' = a var + p + q u + r u^2."""
+    a, b, p, q, r = 1.0, float(x[0]), 0.0, 0.0, 0.0
     keep = 1 - alpha
     for v in x.tolist():
         d = v - b
-        p, q, r = alpha * d * d + keep * p, keep * q - 2 * alpha * d * a, keep * r + alpha * a * a
-        a, b = keep * a, alpha * v + keep * b
+        p, q, r = alpha * (d * d) + keep * p, keep * q - 2 * alpha * d * a, keep * r + alpha * (a * a)
+        # a mean that equals the value stays as it is
+        a, b = keep * a, alpha * v + keep * b if d else b
     return a, b, p, q, r
 
 
@@ -70,8 +73,8 @@ def _compose(group: pd.DataFrame) -> pd.DataFrame:
             mean, var, n = c.first, c.p, c.n
             continue
         out.append((c.symbol, c.chunk, mean, var, n))
-        start = c.first if n == 0 else mean
-        mean, var, n = c.a * start + c.b, c.a * var + c.p + c.q * start + c.r * start * start, n + c.n
+        u = 0.0 if n == 0 else mean - c.first
+        mean, var, n = c.a * u + c.b, max(0.0, c.a * var + c.p + (c.q + c.r * u) * u), n + c.n
     return pd.DataFrame(out, columns=["symbol", "chunk", "ewma", "ewma_var", "trade_count"])
 
 

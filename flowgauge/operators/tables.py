@@ -15,6 +15,41 @@ def upsert(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     return table.join(changes.select(*keys).distinct(), keys, "left_anti").unionByName(changes)
 
 
+def configure(table: DataFrame, changes: DataFrame, actor: str, at_ms: Column, first_id: int = 1) -> tuple[DataFrame, DataFrame]:
+    """``table`` (schema SYMBOL_CONFIG) with ``changes`` put in, and their audit entries (schema AUDIT).
+
+    Symbols are upper-cased. Of several changes to one symbol, that with the
+    largest values counts. Entries are numbered from ``first_id`` by symbol; a
+    change without a symbol is none.
+    """
+    values = ("z_threshold", "ewma_alpha", "min_trades")
+    named = changes.withColumn("symbol", F.upper("symbol")).filter("symbol is not null")
+    last = named.groupBy("symbol").agg(F.max(F.struct(*values)).alias("v")).select("symbol", "v.*")
+    numbers = numbered(last, ["symbol"], "number")
+    entries = numbers.select(
+        (F.col("number") + first_id - 1).cast("long").alias("id"),
+        F.lit("CONFIG_CHANGE").alias("event_type"),
+        F.lit(actor).alias("actor"),
+        "symbol",
+        F.lit(None).cast("string").alias("event_id"),
+        F.to_json(F.struct(*values)).alias("details"),
+        at_ms.cast("long").alias("created_at_ms"),
+    )
+    return upsert(table, last.select(*table.columns), ["symbol"]), entries
+
+
+def write_archive(trades: DataFrame, path: str, files: int, time_ms: str = "ingested_at_ms") -> None:
+    """Trades as Parquet in a folder for each ``ingest_date`` (UTC), sorted by symbol and time within files.
+
+    Rows are dealt by ranges of (date, symbol, time), so that a hot day or symbol
+    spreads over files, and a filter by date reads its folders, one by symbol
+    just the row groups whose bounds hold it.
+    """
+    dated = trades.withColumn("ingest_date", F.to_date(F.timestamp_millis(F.col(time_ms))))
+    order = ("ingest_date", "symbol", "trade_time_ms")
+    dated.repartitionByRange(files, *order).sortWithinPartitions(*order).write.partitionBy("ingest_date").parquet(path)
+
+
 def seed(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """``table`` and those of ``rows`` whose keys it lacks."""
     return table.unionByName(rows.join(table.select(*keys).distinct(), keys, "left_anti"))
@@ -27,12 +62,14 @@ def numbered(rows: DataFrame, order: list[str | Column], name: str = "sequence",
     moved by the sizes of those before, a row for each range.
     """
     parts = max(1, math.ceil(rows.count() / part_rows))
+    if parts == 1:
+        return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
     dealt = stored(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("_part", before.alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return dealt.withColumn(name, inside).join(F.broadcast(offsets), "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
+    return dealt.withColumn(name, inside).join(F.broadcast(offsets), "_part").withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_part", "_before")
 
 
 def replay(rows: DataFrame, number: str, start_row: int = 0, max_rows: int = 0, passes: int = 1) -> DataFrame:

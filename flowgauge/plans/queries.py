@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowgauge.config import NormalizeConfig
+from flowgauge.config import FeedConfig, NormalizeConfig
 from flowgauge.functions import scalars as S
 from flowgauge.operators import alerts as A
 from flowgauge.operators import audit, dedup, metrics, scoring, tables
 from flowgauge.operators.normalize import dead_letters, good_trades, normalize, validate_json
 from flowgauge.plans import views as V
-from flowgauge.sources import csv_trades, frames
+from flowgauge.sources import brokers, csv_trades, frames
 from flowgauge.sources.synthetic import synthetic_trades
 from flowgauge.streaming.scorer import score_stream
 from flowgauge.tables import shared_path
@@ -225,7 +225,8 @@ r as (select symbol, hr, t, n, t kept, true keep from o where n = 1
 select symbol, hr as "hour", t kept_ms from r where keep""")
 def agg01_dedup_ttl(spark, sf_dir):
     keyed = V.trades(spark, sf_dir).withColumn("hour", F.floor(F.col("trade_time_ms") / 3_600_000))
-    return dedup.within_ttl(keyed, "trade_time_ms", 600_000, ("symbol", "hour"))
+    kept = dedup.within_ttl(keyed, "trade_time_ms", 600_000, ("symbol", "hour"), ("trade_id",))
+    return kept.select("symbol", "hour", F.col("trade_time_ms").alias("kept_ms"))
 
 
 # ---- scoring ----
@@ -238,6 +239,16 @@ def agg02_score(spark, sf_dir):
     return V.scored(spark, sf_dir).select(*SCORED_COLUMNS.split(", "))
 
 
+ROUNDED = ("ewma", "ewma_var", "z_score")
+
+
+@query(f"with recursive {V.TRADES}, {V.SCORED} select trade_id, trade_count, {', '.join(f'round({c}, 6) {c}' for c in ROUNDED)} from scored")
+def agg02_score_chunks(spark, sf_dir):
+    """Small chunks, composed: equal up to rounding."""
+    found = scoring.score_trades(V.trades(spark, sf_dir), V.CONFIG, V.configs(spark), chunk_rows=1000)
+    return found.select("trade_id", "trade_count", *[F.round(c, 6).alias(c) for c in ROUNDED])
+
+
 LAST = "last as (select symbol, ewma, ewma_var, trade_count from scored qualify row_number() over (partition by symbol order by trade_count desc) = 1)"
 
 
@@ -271,14 +282,18 @@ def jon02_config_overlay(spark, sf_dir):
 
 @query(f"""with recursive {V.TRADES}, {V.SCORED},
 cut as (select max(trade_time_ms) // 2 + min(trade_time_ms) // 2 cut_ms from trades)
-select trade_id, symbol, trade_count, round(ewma, 6) ewma from scored, cut where trade_time_ms >= cut_ms""")
+select trade_id, symbol, trade_count, ewma, ewma_var, z_score from scored, cut where trade_time_ms >= cut_ms""")
 def jon03_restore(spark, sf_dir):
+    before, later = _halves(spark, sf_dir)
+    return scoring.score_trades(later, V.CONFIG, initial=before).select("trade_id", "symbol", "trade_count", "ewma", "ewma_var", "z_score")
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The states at the middle of the trades' time, and the trades from there on."""
     t = V.trades(spark, sf_dir)
     ends = t.agg(F.max("trade_time_ms").alias("b"), F.min("trade_time_ms").alias("a")).first()
     at = ends["b"] // 2 + ends["a"] // 2
-    before = scoring.final_state(scoring.score_trades(t.filter(F.col("trade_time_ms") < at), V.CONFIG))
-    rest = scoring.score_trades(t.filter(F.col("trade_time_ms") >= at), V.CONFIG, initial=before)
-    return rest.select("trade_id", "symbol", "trade_count", F.round("ewma", 6).alias("ewma"))
+    return scoring.final_state(scoring.score_trades(t.filter(F.col("trade_time_ms") < at), V.CONFIG)), t.filter(F.col("trade_time_ms") >= at)
 
 
 @query(f"with recursive {V.TRADES}, {V.SCORED} select symbol, (trade_count - 1) // 100 epoch, count(*) n_trades from scored group by all")
@@ -328,6 +343,36 @@ def snk15_export(spark, sf_dir):
     return A.export_alerts(V.alerts(spark, sf_dir)).select("ID", "Symbol", "Exchange", "Side", "Quantity", "Price", "Alerted At")
 
 
+HEADED = ", ".join(f'{c} as "{h}"' for c, h in A.EXPORT.items() if c not in ("event_id", "alerted_at"))
+
+
+@query(f"""{V.ALL}, h as (select *, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(trade_id::varchar)) hx from alerts)
+select {HEADED}, hx[1:8] || '-' || hx[9:12] || '-5' || hx[14:16] || '-' || ('89ab89ab89ab89ab')[instr('0123456789abcdef', hx[17])] || hx[18:20] || '-' || hx[21:32] as "Event ID",
+strftime(alerted_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' as "Alerted At" from h where symbol = 'DOGEUSDT' order by alerted_at desc, id desc limit 20""")
+def snk15_export_symbol(spark, sf_dir):
+    return A.export_alerts(V.alerts(spark, sf_dir), "dogeusdt", 20)
+
+
+@query(f"{V.ALL} select id, trade_id from alerts where trade_id % 7 not in (0, 1)")
+def flt11_alert_type(spark, sf_dir):
+    kind = F.when(F.col("trade_id") % 7 == 0, "latency").when(F.col("trade_id") % 7 != 1, "toxicity")
+    return A.toxicity_only(V.alerts(spark, sf_dir).withColumn("alert_type", kind)).select("id", "trade_id")
+
+
+@query(f"{V.ALL} select trade_id, round(z_score, 6) z_score, round(ewma, 8) ewma, round(ewma_var, 8) ewma_var, round(signed_ofi, 8) signed_ofi from toxic")
+def sca24_alert_rounding(spark, sf_dir):
+    made = A.build_alerts(V.toxic(spark, sf_dir), F.col("trade_time_ms"))
+    return made.select("trade_id", "z_score", "ewma", "ewma_var", "signed_ofi")
+
+
+@query(f"""{V.ALL} select id, printf('%.2f', z_score) z_score, printf('%.6f', signed_ofi) signed_ofi, printf('%.6f', quantity) quantity,
+strftime(alerted_at, '%Y-%m-%d %H:%M:%S') "time" from alerts""")
+def sca30_display(spark, sf_dir):
+    kept = V.alerts(spark, sf_dir)
+    late = kept.withColumn("alerted_at", F.when(F.col("id") % 2 == 0, F.col("alerted_at"))).withColumn("side", F.col("id").cast("string"))
+    return A.display(late).select(F.col("side").cast("long").alias("id"), "z_score", "signed_ofi", "quantity", "time")
+
+
 @query(f"{V.ALL} select symbol, count(*) n, max(abs(z_score)) top_z from alerts group by symbol")
 def flagship_alerts(spark, sf_dir):
     return V.alerts(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("n"), F.max(F.abs("z_score")).alias("top_z"))
@@ -375,22 +420,24 @@ CHAIN = """
 e as (select o_orderkey id, 'user-' || o_custkey actor, o_orderpriority symbol, o_orderstatus details,
              cast(date_diff('day', date '1970-01-01', cast(o_orderdate as date)) as integer) segment from orders),
 f as (select *, 'CONFIG_CHANGE|' || actor || '|' || symbol || '||' || details || '|' || (segment::bigint * 86400000) || '|' body,
-             row_number() over (partition by segment order by id) n from e),
-c as (select segment, id, n, null::varchar previous_hash, sha256(body) entry_hash from f where n = 1
+             id // 4000 part, row_number() over (partition by segment, id // 4000 order by id) n from e),
+c as (select segment, part, id, n, null::varchar previous_hash, sha256(body) entry_hash from f where n = 1
       union all
-      select f.segment, f.id, f.n, c.entry_hash, sha256(f.body || c.entry_hash) from c join f on f.segment = c.segment and f.n = c.n + 1)"""
+      select f.segment, f.part, f.id, f.n, c.entry_hash, sha256(f.body || c.entry_hash)
+      from c join f on f.segment = c.segment and f.part = c.part and f.n = c.n + 1)"""
+PART = 4000
 
 
-@query(f"with recursive {CHAIN} select id, segment, previous_hash, entry_hash from c")
+@query(f"with recursive {CHAIN} select id, segment, part, previous_hash, entry_hash from c")
 def aud01_chain(spark, sf_dir):
-    return audit.build_chain(_audit_events(spark, sf_dir)).select("id", "segment", "previous_hash", "entry_hash")
+    return audit.build_chain(_audit_events(spark, sf_dir), part_ids=PART).select("id", "segment", "part", "previous_hash", "entry_hash")
 
 
 @query("select o_orderkey id, o_orderkey % 97 <> 0 ok from orders")
 def aud01_verify(spark, sf_dir):
-    log = audit.build_chain(_audit_events(spark, sf_dir))
+    log = audit.build_chain(_audit_events(spark, sf_dir), part_ids=PART)
     forged = log.withColumn("details", F.when(F.col("id") % 97 == 0, "forged").otherwise(F.col("details")))
-    return audit.verify_chain(forged).select("id", "ok")
+    return audit.verify_chain(forged, part_ids=PART).select("id", "ok")
 
 
 @query("select o_orderkey id, 'user-' || o_custkey actor from orders order by o_orderkey desc limit 100")
@@ -409,6 +456,27 @@ def dml01_upsert(spark, sf_dir):
     return tables.upsert(table, spark.createDataFrame(CHANGES, table.schema), ["symbol"])
 
 
+@query(f"""with {V.TRADES}, s as (select symbol, max(quantity) top, count(*) n from trades where symbol <> 'BTCUSDT' group by symbol)
+select cast(row_number() over (order by symbol) + 40 as bigint) id, 'CONFIG_CHANGE' event_type, 'ann' actor, symbol, n min_trades, top z_threshold from s""")
+def dml01_config_audit(spark, sf_dir):
+    """New settings for the symbols that were traded: their audit entries, and what the table then holds."""
+    t = V.trades(spark, sf_dir).filter("symbol <> 'BTCUSDT'").groupBy(F.lower("symbol").alias("symbol"))
+    changes = t.agg(F.max("quantity").alias("z_threshold"), F.lit(0.2).alias("ewma_alpha"), F.count("*").cast("int").alias("min_trades"))
+    table, entries = tables.configure(V.configs(spark), changes, "ann", F.lit(V.NOW_MS), first_id=41)
+    said = F.get_json_object("details", "$.min_trades").cast("long").alias("min_trades")
+    return entries.select("id", "event_type", "actor", "symbol", said).join(table.select("symbol", "z_threshold"), "symbol")
+
+
+@query(f"""with {V.TRADES} select strftime(make_timestamp(trade_time_ms * 1000), '%Y-%m-%d') ingest_date, symbol, count(*) n, sum(trade_id)::bigint ids from trades
+where trade_time_ms >= 1704844800000 and trade_time_ms < 1705708800000 and symbol = 'BNBUSDT' group by all""")
+def dml04_archive(spark, sf_dir):
+    """Trades written by day and read back for ten of them."""
+    path = shared_path(spark, "archive")
+    tables.write_archive(V.trades(spark, sf_dir), path, files=8, time_ms="trade_time_ms")
+    kept = spark.read.parquet(path).filter("ingest_date >= date'2024-01-10' and ingest_date < date'2024-01-20' and symbol = 'BNBUSDT'")
+    return kept.groupBy(F.col("ingest_date").cast("string").alias("ingest_date"), "symbol").agg(F.count("*").alias("n"), F.sum("trade_id").alias("ids"))
+
+
 @query("""
 select * from (values ('BTCUSDT', 3::double, 0.1::double, 10::integer), ('DOGEUSDT', 2.5::double, 0.1::double, 10::integer),
   ('ETHUSDT', 3::double, 0.1::double, 10::integer), ('XRPUSDT', 2::double, 0.1::double, 10::integer)) t(symbol, z_threshold, ewma_alpha, min_trades)""")
@@ -474,6 +542,27 @@ def agg06_grouping_sets(spark, sf_dir):
     return metrics.counter_sets(V.trades(spark, sf_dir), [["exchange", "symbol"], ["exchange", "side"], []])
 
 
+LATENCIES = ", ".join(f"count(*) filter (secs <= {b}) le_{str(b).replace('.', '_')}" for b in metrics.LATENCY_BUCKETS)
+
+
+@query(f"with {V.TRADES} select exchange, {LATENCIES}, sum(secs) total, count(*) n from (select exchange, (trade_id % 4096) / 256.0::double secs from trades) group by exchange")
+def agg08_latency_hist(spark, sf_dir):
+    timed = V.trades(spark, sf_dir).withColumn("seconds", (F.col("trade_id") % 4096) / 256.0)
+    return metrics.histogram(timed, ["exchange"], "seconds", metrics.LATENCY_BUCKETS)
+
+
+@query(f"""with {V.TRADES}, b as (select trade_id // 100 batch, count(*) n, sum(length(symbol))::bigint w from trades group by 1),
+o as (select *, case when batch % 11 = 0 then 'dropped' when batch % 7 = 0 then 'dead_lettered' else 'published' end outcome, 1 + batch % 3 attempts from b)
+select coalesce(sum(n) filter (outcome = 'published'), 0)::bigint published, count(*) batches, sum(attempts - 1)::bigint retries, count(*) filter (outcome <> 'published') failed,
+  coalesce(sum(n) filter (outcome = 'dead_lettered'), 0)::bigint dead_lettered, coalesce(sum(n) filter (outcome = 'dropped'), 0)::bigint dropped,
+  coalesce(sum(w) filter (outcome = 'published'), 0)::bigint n_bytes from o""")
+def agg10_batch_counters(spark, sf_dir):
+    batch = F.floor(F.col("trade_id") / 100).alias("batch")
+    sent = V.trades(spark, sf_dir).groupBy(batch).agg(F.count("*").alias("n_messages"), F.sum(F.length("symbol")).alias("n_bytes"))
+    outcome = F.when(F.col("batch") % 11 == 0, "dropped").when(F.col("batch") % 7 == 0, "dead_lettered").otherwise("published")
+    return metrics.producer_counters(sent.withColumn("outcome", outcome).withColumn("attempts", 1 + F.col("batch") % 3))
+
+
 LAGS = ", ".join(f"count(*) filter (lag_ms <= {b}) le_{b}" for b in metrics.LAG_BUCKETS)
 
 
@@ -528,6 +617,36 @@ def src05_alias(spark, sf_dir):
     return raw.select("trade_id", S.parse_number(F.col("price")).alias("price_read"), "is_buyer_maker", "trade_time_ms")
 
 
+@query(f"with {V.TRADES} {READ}")
+def src05_alias_short(spark, sf_dir):
+    """Headers of single letters: a for the id, m for the maker, T for the time."""
+    fields = ["trade_id", "price", "quantity", "trade_time_ms", "is_buyer_maker"]
+    text = [F.col(c).cast("string") for c in fields]
+    lines = V.trades(spark, sf_dir).filter("trade_id % 41 <> 0").select(F.concat_ws(",", *text).alias("value"), "symbol")
+    raw = csv_trades.readable(csv_trades.parse_lines(lines, "value", csv_trades.column_positions("a,p,q,T,m", 5, "aggTrades"), F.col("symbol"), "binance"))
+    return raw.select("trade_id", S.parse_number(F.col("price")).alias("price_read"), "is_buyer_maker", "trade_time_ms")
+
+
+@query(f"""with {V.TRADES} select symbol, count(*) n_rows, count(*) filter (trade_id % 41 = 0) n_skipped, count(*) filter (is_buyer_maker and trade_id % 41 <> 0) n_sold,
+max(case when trade_id % 41 <> 0 then trade_time_ms end) last_ms from trades group by symbol""")
+def src02_quotes(spark, sf_dir):
+    """Files of two layouts, one with quoted fields that hold commas; broken rows are counted."""
+    path = shared_path(spark, "dump")
+    t = V.trades(spark, sf_dir)
+    i = F.when(F.col("trade_id") % 41 == 0, F.lit("not-an-id")).otherwise(F.col("trade_id").cast("string"))
+    even = t.filter("trade_id % 2 = 0").select(F.concat_ws(",", F.lit('"a, note"'), i, "price", "quantity", "trade_time_ms", "is_buyer_maker").alias("value"), "symbol")
+    odd = t.filter("trade_id % 2 = 1").select(F.concat_ws(",", i, "price", "quantity", F.lit("1"), "trade_time_ms", "is_buyer_maker", F.lit("true")).alias("value"), "symbol")
+    for name, rows in (("noted", even), ("plain", odd)):
+        for s in V.SYMBOLS:
+            head = spark.createDataFrame([('"some, note",id,price,qty,time,m', 0)] if name == "noted" else [], "value string, n int")
+            body = rows.filter(F.col("symbol") == s).select("value", F.lit(1).alias("n"))
+            head.unionByName(body).coalesce(1).sortWithinPartitions("n").select("value").write.text(f"{path}/{s}-{name}.csv")
+    raw = csv_trades.parse_files(spark, f"{path}/*.csv", FeedConfig(symbols=("BTCUSDT",)))
+    counted = csv_trades.skipped(raw)
+    read = csv_trades.readable(raw).groupBy("symbol").agg(F.count_if("is_buyer_maker").alias("n_sold"), F.max("trade_time_ms").alias("last_ms"))
+    return counted.join(read, "symbol")
+
+
 @query(f"with {V.TRADES} {READ}")
 def src08_agg_trades(spark, sf_dir):
     header = "aggTradeId,price,quantity,firstTradeId,lastTradeId,transactTime,isBuyerMaker,isBestMatch"
@@ -539,10 +658,10 @@ def src08_agg_trades(spark, sf_dir):
     return raw.select("trade_id", S.parse_number(F.col("price")).alias("price_read"), "is_buyer_maker", "trade_time_ms")
 
 
-@query(f"with {V.TRADES} {READ}")
+@query(f"with {V.TRADES} select trade_id, price::varchar::double price_read, is_buyer_maker, trade_time_ms from trades where trade_id % 41 <> 0")
 def src07_positional(spark, sf_dir):
     positions = csv_trades.column_positions(None, 6, "trades")
-    raw = csv_trades.readable(csv_trades.parse_lines(_lines(spark, sf_dir, False), "value", positions, F.col("symbol"), "binance"))
+    raw = csv_trades.readable(csv_trades.parse_lines(_lines(spark, sf_dir, False), "value", positions, F.col("symbol"), "binance", plain_time=True))
     return raw.select("trade_id", S.parse_number(F.col("price")).alias("price_read"), "is_buyer_maker", "trade_time_ms")
 
 
@@ -579,7 +698,7 @@ def src16_frame_decode(spark, sf_dir):
     bare = F.to_json(event)
     wrapped = F.concat(F.lit('{"stream":"x@aggTrade","data":'), bare, F.lit("}"))
     sent = V.trades(spark, sf_dir).select(F.when(i % 3 == 0, bare).otherwise(wrapped).alias("value"))
-    return frames.decode_frames(sent).select("trade_id", "symbol", "trade_time_ms", F.col("error").isNotNull().alias("bad"))
+    return frames.decode_frames(sent, now_ms=F.lit(V.NOW_MS)).select("trade_id", "symbol", "trade_time_ms", F.col("error").isNotNull().alias("bad"))
 
 
 @query(f"with {V.TRADES} select trade_id, symbol from trades")
@@ -594,22 +713,48 @@ def src13_synthetic(spark, sf_dir):
     return synthetic_trades(spark, 5_000, ["BTCUSDT", "ETHUSDT"])
 
 
+@query(f"""with {V.TRADES} select trade_id, exchange || ':' || symbol "key", 9 n_headers,
+'content-type=application/json;event_id=e' || trade_id || ';exchange=' || exchange || ';ingested_at_ms=' || {V.NOW_MS} || ';schema_version=1.0.0;side=' || side
+|| ';source=csv;symbol=' || symbol || ';trade_time_ms=' || trade_time_ms headers from trades""")
+def snk04_kafka_rows(spark, sf_dir):
+    """Key, JSON value and sorted headers of the messages that a Kafka sink is given."""
+    more = {"schema_version": F.lit("1.0.0"), "event_id": F.concat(F.lit("e"), F.col("trade_id").cast("string")), "source": F.lit("csv"), "ingested_at_ms": F.lit(V.NOW_MS)}
+    rows = brokers.kafka_rows(V.trades(spark, sf_dir).withColumns(more))
+    said = F.array_join(F.transform("headers", lambda h: F.concat(h["key"], F.lit("="), h["value"].cast("string"))), ";")
+    return rows.select(F.get_json_object("value", "$.trade_id").cast("long").alias("trade_id"), "key", F.size("headers").alias("n_headers"), said.alias("headers"))
+
+
 # ---- streams ----
 
 
-@query()
-def str04_stream_score(spark, sf_dir):
+def _run_stream(spark: SparkSession, trades: DataFrame, **options) -> DataFrame:
     """The trades as a stream of files, scored with keyed state; the stream is run to its end."""
     source, out, offsets = (shared_path(spark, n) for n in ("stream-in", "stream-out", "stream-offsets"))
-    trades = V.trades(spark, sf_dir)
     trades.repartitionByRange(3, "trade_time_ms", "trade_id").write.parquet(source)
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         stream = spark.readStream.schema(trades.schema).parquet(source)
-        writer = score_stream(stream, V.CONFIG).writeStream.format("parquet").option("path", out)
+        writer = score_stream(stream, V.CONFIG, **options).writeStream.format("parquet").option("path", out)
         writer.option("checkpointLocation", offsets).trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(provider, before)
     return spark.read.parquet(out)
+
+
+STREAMED = "trade_id, symbol, ewma, ewma_var, trade_count, z_score"
+
+
+@query(f"with recursive {V.TRADES}, {V.SCORED} select {STREAMED} from scored")
+def str04_stream_score(spark, sf_dir):
+    return _run_stream(spark, V.trades(spark, sf_dir), configs=V.configs(spark)).select(*STREAMED.split(", "))
+
+
+@query(f"""with recursive {V.TRADES}, {V.SCORED},
+cut as (select max(trade_time_ms) // 2 + min(trade_time_ms) // 2 cut_ms from trades)
+select {STREAMED} from scored, cut where trade_time_ms >= cut_ms""")
+def str06_stream_restored(spark, sf_dir):
+    """The later half as a stream that starts from the states of the earlier one."""
+    before, later = _halves(spark, sf_dir)
+    return _run_stream(spark, later, initial=before).select(*STREAMED.split(", "))

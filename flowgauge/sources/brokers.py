@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowgauge.config import FeedConfig
+from flowgauge.functions import scalars as S
 from flowgauge.sources.csv_trades import read_csv_trades
+from flowgauge.sources.frames import decode_frames
 from flowgauge.sources.synthetic import synthetic_trades
 
 ACKS = {"none": "0", "one": "1", "all": "all"}
@@ -39,10 +42,19 @@ def kafka_sink_options(
     return options | {"kafka.security.protocol": protocol} | ({"kafka.ssl.enabled.protocols": "TLSv1.2,TLSv1.3"} if tls else {})
 
 
+def kafka_rows(trades: DataFrame) -> DataFrame:
+    """Trades (schema TRADE) as rows of a Kafka sink: ``key``, ``value`` in JSON, ``headers`` sorted by name."""
+    sent = F.transform(S.sorted_headers(S.trade_headers()), lambda h: F.struct(h["key"].alias("key"), h["value"].cast("binary").alias("value")))
+    return trades.select(
+        S.partition_key(F.col("exchange"), F.col("symbol")).alias("key"), F.to_json(F.struct("*")).alias("value"), sent.alias("headers")
+    )
+
+
 def open_feed(spark: SparkSession, config: FeedConfig, path: str = "", rows: int = 1000) -> DataFrame:
     """The feed that ``config.mode`` names: a CSV dump, simulated flow, or a live topic of frames."""
     if config.mode == "csv":
         return read_csv_trades(spark, path, config)
     if config.mode == "synthetic":
         return synthetic_trades(spark, rows, list(config.symbols))
-    return spark.readStream.format("kafka").options(**kafka_source_options(path, "trades.raw", "latest")).load()
+    live = spark.readStream.format("kafka").options(**kafka_source_options(path, "trades.raw", "latest")).load()
+    return decode_frames(live.select(F.col("value").cast("string").alias("value")))

@@ -1,7 +1,8 @@
 """Trade dumps in CSV: layouts, aliases and lenient parsing.
 
 Files are read as text, so that a broken line never fails a job: a row that
-can't be read has a null trade_id, price or time, and is filtered and counted.
+can't be read has a null trade_id or time, and is filtered and counted. Fields
+may be quoted. Each file has a layout of its own, found from its first line.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ from flowgauge.operators.tables import numbered, replay
 
 #: Spellings of each column, without case, ``_``, ``-``, ``.`` and spaces; and the columns by place.
 ALIASES = {
-    "trade_id": ("id", "tradeid", "aggtradeid"),
+    "trade_id": ("id", "tradeid", "aggtradeid", "a"),
     "price": ("price", "p"),
     "quantity": ("qty", "quantity", "q", "size"),
     "quote_quantity": ("quoteqty", "quotequantity", "quote"),
-    "time": ("time", "timestamp", "transacttime", "tradetime"),
-    "maker": ("isbuyermaker", "buyermaker", "maker"),
+    "time": ("time", "timestamp", "transacttime", "tradetime", "t"),
+    "maker": ("isbuyermaker", "buyermaker", "maker", "m"),
 }
 POSITIONS = {
     "trades6": {"trade_id": 0, "price": 1, "quantity": 2, "time": 3, "maker": 4},
@@ -34,17 +35,6 @@ def plain(name: str) -> str:
     return name.strip().lower().translate(str.maketrans("", "", "_-. "))
 
 
-def has_header(line: str, setting: str = "auto") -> bool:
-    """A first line whose first field is no number is a header, unless the setting says so or not."""
-    if setting != "auto":
-        return setting == "true"
-    try:
-        float(line.split(",")[0].strip().strip('"'))
-    except ValueError:
-        return True
-    return False
-
-
 def layout_of(header: str | None, setting: str = "auto") -> str:
     """``aggTrades`` if the header names an aggregate id, else ``trades``."""
     if setting != "auto":
@@ -64,11 +54,28 @@ def column_positions(header: str | None, width: int, layout: str) -> dict[str, i
     return {c: k for c, k in found.items() if k is not None}
 
 
-def parse_lines(lines: DataFrame, value: str, positions: dict[str, int], symbol: Column, exchange: str) -> DataFrame:
-    """Lines as raw trades (schema RAW_TRADE); unreadable ids and times are null."""
-    fields = F.split(F.col(value), ",")
-    get = lambda c: F.trim(F.try_element_at(fields, F.lit(positions[c] + 1)), F.lit(' "\r')) if c in positions else F.lit(None).cast("string")
-    time = S.parse_time_ms(get("time"))
+def _fields(value: Column, width: int) -> Column:
+    """The line's first ``width`` fields; quotes around a field may hold commas, and a stray quote is a character."""
+    schema = ", ".join(f"c{k} string" for k in range(width))
+    read = F.from_csv(value, schema, {"mode": "PERMISSIVE", "quote": '"', "escape": '"', "nullValue": "\u0000"})
+    return F.array(*[F.trim(read[f"c{k}"], F.lit(' "\r')) for k in range(width)])
+
+
+def parse_lines(
+    lines: DataFrame, value: str, positions: dict[str, int | Column], symbol: Column, exchange: str, width: int = 16, plain_time: bool | Column = False
+) -> DataFrame:
+    """Lines as raw trades (schema RAW_TRADE); unreadable ids and times are null.
+
+    A position is a field's number, or a column of it (null: the file has no
+    such field). With ``plain_time`` times are whole numbers taken as they stand,
+    as in dumps without a header.
+    """
+    fields = _fields(F.col(value), width)
+    at = lambda c: positions[c] if isinstance(positions[c], Column) else F.lit(positions[c])
+    get = lambda c: F.try_element_at(fields, at(c) + 1) if c in positions else F.lit(None).cast("string")
+    whole = get("time").try_cast("long")
+    as_is = plain_time if isinstance(plain_time, Column) else F.lit(plain_time)
+    time = F.when(as_is, whole).otherwise(S.parse_time_ms(get("time")))
     return lines.select(
         F.lit(exchange).alias("exchange"),
         symbol.alias("symbol"),
@@ -89,23 +96,64 @@ def readable(raw: DataFrame) -> DataFrame:
     return raw.filter("trade_id is not null and trade_time_ms is not null")
 
 
+def skipped(raw: DataFrame) -> DataFrame:
+    """``(symbol, n_rows, n_skipped)``: rows of each symbol, and those that ``readable`` leaves out."""
+    bad = F.col("trade_id").isNull() | F.col("trade_time_ms").isNull()
+    return raw.groupBy("symbol").agg(F.count("*").alias("n_rows"), F.count_if(bad).alias("n_skipped"))
+
+
+#: Headers and widths that one read may meet: dumps have few, and a folder of other files is an error.
+MOST_LAYOUTS = 100
+
+
+def _layouts(lines: DataFrame, config: FeedConfig) -> tuple[DataFrame, list[dict]]:
+    """Each file's first line and layout ``(file, header, width)``, and the distinct layouts with their positions."""
+    numbered_lines = lines.filter("start = 0").withColumn("n", F.monotonically_increasing_id())
+    heads = numbered_lines.groupBy("file").agg(F.min_by("value", "n").alias("first"))
+    lead = F.trim(F.substring_index("first", ",", 1), F.lit(' "\r'))
+    named = {"auto": ~F.coalesce(lead.rlike(S.NUMBER), F.lit(False)), "true": F.lit(True), "false": F.lit(False)}[config.header]
+    width = F.size(F.split("first", ","))
+    each = heads.select("file", F.when(named, F.col("first")).alias("header"), F.when(~named, F.when(width >= 7, 7).otherwise(6)).alias("width"))
+    kinds = [r.asDict() for r in each.select("header", "width").distinct().limit(MOST_LAYOUTS + 1).collect()]
+    if len(kinds) > MOST_LAYOUTS:
+        raise ValueError(f"more than {MOST_LAYOUTS} different headers: not a folder of trade dumps")
+    for k in kinds:
+        k["positions"] = column_positions(k["header"], k["width"] or 0, layout_of(k["header"], config.layout))
+    return each, kinds
+
+
+def parse_files(spark: SparkSession, path: str, config: FeedConfig) -> DataFrame:
+    """All rows of the files but their headers as raw trades, unreadable ones included."""
+    meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    lines = spark.read.text(path).select("value", *meta)
+    each, kinds = _layouts(lines, config)
+    symbol = S.symbol_of_path(F.col("file"), list(config.symbols))
+    if not kinds:
+        return parse_lines(lines, "value", POSITIONS["trades7"], symbol, config.exchange)
+    columns = list(ALIASES)
+    width = 1 + max(max(k["positions"].values()) for k in kinds)
+    if len(kinds) == 1:  # nothing to join
+        header, positions = kinds[0]["header"], kinds[0]["positions"]
+        rows = lines if header is None else lines.filter(F.col("value") != header)
+        return parse_lines(rows, "value", positions, symbol, config.exchange, width, header is None)
+    table = spark.createDataFrame(
+        [(k["header"], k["width"], *(k["positions"].get(c) for c in columns)) for k in kinds],
+        "_header string, _width int, " + ", ".join(f"_{c} int" for c in columns),
+    )
+    same = F.col("header").eqNullSafe(F.col("_header")) & F.col("width").eqNullSafe(F.col("_width"))
+    of_file = each.join(F.broadcast(table), same).drop("header", "width")  # at most MOST_LAYOUTS rows
+    rows = lines.join(of_file, "file").filter(~F.col("value").eqNullSafe(F.col("_header")))
+    return parse_lines(rows, "value", {c: F.col(f"_{c}") for c in columns}, symbol, config.exchange, width, F.col("_header").isNull())
+
+
 def read_csv_trades(spark: SparkSession, path: str, config: FeedConfig | None = None) -> DataFrame:
-    """Raw trades of a dump; layout and header are found from its first line, the symbol from its name.
+    """Raw trades of a dump's files; each file's layout comes from its first line, its symbol from its name.
 
-    ``start_row``, ``max_rows`` and ``passes`` replay a part of it, in file order.
+    ``start_row``, ``max_rows`` and ``passes`` replay a part of it by (time, id);
+    they number readable rows.
     """
     config = config or FeedConfig()
-    lines = spark.read.text(path)
-    first = lines.first()
-    if first is None:
-        header, width = None, 0
-    else:
-        header = first[0] if has_header(first[0], config.header) else None
-        width = len(first[0].split(","))
-    positions = column_positions(header, width, layout_of(header, config.layout))
-    symbol = S.symbol_of_path(F.col("_metadata.file_path"), list(config.symbols))
-    raw = parse_lines(lines.select("value", "_metadata"), "value", positions, symbol, config.exchange)
-    raw = readable(raw if header is None else raw.filter(F.col("payload") != header))
+    raw = readable(parse_files(spark, path, config))
     if config.start_row or config.max_rows or config.passes > 1:
         order = ["trade_time_ms", "trade_id"]
         raw = replay(numbered(raw, order, "number"), "number", config.start_row, config.max_rows, config.passes).drop("number", "pass")

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowgauge.functions import scalars as S
 
-def decode_frames(frames: DataFrame, value: str = "value", strict: bool = False) -> DataFrame:
+
+def decode_frames(frames: DataFrame, value: str = "value", strict: bool = False, now_ms: Column | None = None) -> DataFrame:
     """Frames as raw trades with ``error``, null for a good one.
 
     Events ``aggTrade`` (id ``a``) and ``trade`` (id ``t``) are known; others
-    are errors. A missing event time takes the trade's. ``strict`` also rejects
-    a zero id, an empty price and a zero time.
+    are errors, as is text that is no JSON object. A missing event time is
+    ``now_ms`` (the clock, if none is given); symbols are normalised. ``strict``
+    also rejects a zero id, an empty price and a zero time.
     """
     fields = "map<string,string>"  # names differ by case only, which maps keep apart
     data = F.coalesce(F.from_json(value, fields)["data"], F.col(value))
@@ -20,17 +23,18 @@ def decode_frames(frames: DataFrame, value: str = "value", strict: bool = False)
     number = lambda c: pick(c).try_cast("long")
     kind = pick("e")
     trade_id = F.when(kind == "aggTrade", number("a")).when(kind == "trade", number("t"))
-    error = F.when(F.coalesce(kind, F.lit("")) == "", "no event type").when(~kind.isin("aggTrade", "trade"), "unknown event type")
+    broken = F.try_variant_get(F.try_parse_json(data), "$", "map<string,variant>").isNull()
+    error = F.when(broken, "malformed_json").when(F.coalesce(kind, F.lit("")) == "", "no event type").when(~kind.isin("aggTrade", "trade"), "unknown event type")
     if strict:
         error = (
             error.when(F.coalesce(trade_id, F.lit(0)) == 0, "no id")
             .when(F.coalesce(pick("p"), F.lit("")) == "", "no price")
             .when(F.coalesce(number("T"), F.lit(0)) == 0, "no time")
         )
-    event_time = F.when(number("E") > 0, number("E")).otherwise(number("T"))
+    event_time = F.when(number("E") > 0, number("E")).otherwise(F.unix_millis(F.current_timestamp()) if now_ms is None else now_ms)
     return d.select(
         F.lit("binance").alias("exchange"),
-        pick("s").alias("symbol"),
+        S.normalize_symbol(pick("s")).alias("symbol"),
         F.lit("live").alias("source"),
         trade_id.alias("trade_id"),
         pick("p").alias("price"),

@@ -20,12 +20,16 @@ STATE = "ewma double, ewma_var double, trade_count long"
 class EwmaProcessor(StatefulProcessor):
     """One symbol's mean, variance and count; rows of a batch are taken by (trade_time_ms, trade_id)."""
 
-    def __init__(self, alpha: float, epsilon: float):
-        self.alpha, self.epsilon = alpha, epsilon
+    def __init__(self, epsilon: float):
+        self.epsilon = epsilon
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("ewma", STATE)
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        r = initialState.iloc[0]
+        self.state.update((float(r["ewma"]), float(r["ewma_var"]), int(r["trade_count"])))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         mean, var, n = self.state.get() if self.state.exists() else (0.0, 0.0, 0)
         batch = pd.concat(list(rows)).sort_values(["trade_time_ms", "trade_id"], kind="stable")
@@ -36,7 +40,7 @@ class EwmaProcessor(StatefulProcessor):
                 mean, var = x, 0.0
             else:
                 d = x - mean
-                mean, var = self.alpha * x + (1 - self.alpha) * mean, self.alpha * (d * d) + (1 - self.alpha) * var
+                mean, var = r.alpha * x + (1 - r.alpha) * mean, r.alpha * (d * d) + (1 - r.alpha) * var
             n += 1
             z = 0.0 if n == 1 else mean / math.sqrt(max(var, self.epsilon))
             out.append((key[0], r.trade_id, z, mean, var, n, x, r.side, r.quantity, r.price, r.trade_time_ms))
@@ -47,25 +51,38 @@ class EwmaProcessor(StatefulProcessor):
         pass
 
 
-def score_stream(trades: DataFrame, config: ScorerConfig | None = None) -> DataFrame:
+def score_stream(
+    trades: DataFrame, config: ScorerConfig | None = None, configs: DataFrame | None = None, initial: DataFrame | None = None
+) -> DataFrame:
     """A stream of trades to scores (schema SCORE). Needs the RocksDB state store.
 
+    ``configs``, a static table, may give symbols an ``ewma_alpha`` of their own;
+    ``initial`` (schema SCORER_STATE, a row a symbol) is what the stream's first
+    batch starts from.
+
     Within a trigger a symbol's trades are ordered; across triggers the order of
     arrival counts. State and offsets are committed together, so a restart
     scores no trade twice.
     """
     config = config or ScorerConfig()
-    ready = trades.select(
-        S.upper_symbol(F.col("symbol")).alias("symbol"),
+    alpha = F.lit(config.alpha)
+    named = trades.withColumn("symbol", S.upper_symbol(F.col("symbol")))
+    if configs is not None:
+        named = named.join(configs.select("symbol", F.col("ewma_alpha").alias("own_alpha")), "symbol", "left")
+        alpha = F.coalesce("own_alpha", alpha)
+    ready = named.select(
+        "symbol",
         "trade_id",
         "trade_time_ms",
         "side",
         "quantity",
         "price",
         S.signed_ofi(F.col("side"), F.col("quantity"), F.col("price")).alias("signed_ofi"),
+        alpha.alias("alpha"),
     ).filter("symbol <> ''")
+    start = None if initial is None else initial.withColumn("symbol", S.upper_symbol(F.col("symbol"))).groupBy("symbol")
     return ready.groupBy("symbol").transformWithStateInPandas(
-        EwmaProcessor(config.alpha, config.epsilon), schemas.SCORE, outputMode="append", timeMode="None"
+        EwmaProcessor(config.epsilon), schemas.SCORE, outputMode="append", timeMode="None", initialState=start
     )
 
 

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from flowgauge.config import NormalizeConfig
+from flowgauge.config import NormalizeConfig, SinkConfig
 from flowgauge.operators.audit import build_chain
 from flowgauge.operators.normalize import dead_letters, good_trades, normalize
 from flowgauge.operators.tables import upsert
+from flowgauge.sources.brokers import kafka_sink_options
 
 
 def ndjson(rows: DataFrame, prefix: str = "") -> DataFrame:
@@ -91,6 +92,15 @@ def retrying(
     return run
 
 
+def open_sink(stream: DataFrame, config: SinkConfig, path: str = "", checkpoint: str = "") -> DataStreamWriter:
+    """The writer that ``config.kind`` names, with its options; a message queue takes ``foreachBatch`` and routing keys instead."""
+    writer = sink(stream, config.kind, path, checkpoint)
+    if config.kind == "kafka":
+        login = (config.sasl_mechanism or None, config.sasl_user, config.sasl_password)
+        writer = writer.options(**kafka_sink_options(config.brokers, config.topic, config.acks, config.compression, *login, config.tls))
+    return writer
+
+
 def sink(stream: DataFrame, kind: str, path: str = "", checkpoint: str = "") -> DataStreamWriter:
     """A writer by name: ``stdout``, ``discard``, ``files`` or ``kafka`` (further options are the caller's)."""
     writer = stream.writeStream.option("checkpointLocation", checkpoint) if checkpoint else stream.writeStream

@@ -67,6 +67,9 @@ def test_json(spark):
     found = validate_json(spark.createDataFrame([*rows, ("", "skipped")], "value string, expected string"))
     assert [(r["reason"], r["expected"]) for r in found.collect()] == [(e, e) for _, e in rows]
     assert found.filter("reason is null").first()["symbol"] == "BTCUSDT"
+    big = spark.createDataFrame([('{"symbol":"a","trade_time_ms":9007199254740993,"trade_id":7.9,"exchange":" X "}',)], "value string")
+    r = validate_json(big).first()
+    assert (r["trade_time_ms"], r["trade_id"], r["exchange"]) == (9007199254740993, 7, "x")
 
 
 def test_dedup(spark):
@@ -76,6 +79,8 @@ def test_dedup(spark):
 
 
 def test_dedup_ttl(spark):
-    rows = [("b", "S", 1, t) for t in (0, 30, 49, 50, 60, 100, 101)]
-    table = spark.createDataFrame(rows, "exchange string, symbol string, trade_id long, t long")
-    assert sorted(r["kept_ms"] for r in within_ttl(table, "t", 50).collect()) == [0, 50, 100]
+    rows = [("b", "S", 1, t, f"r{t}") for t in (0, 30, 49, 50, 60, 100, 101)] + [("b", None, 1, 5, "x"), ("b", None, 1, 5, "w"), ("b", "S", 1, None, "y"), ("b", "S", 2, 60, "z")]
+    table = spark.createDataFrame(rows, "exchange string, symbol string, trade_id long, t long, note string")
+    kept = within_ttl(table, "t", 50, order=("note",))
+    assert kept.columns == table.columns and sorted(r["note"] for r in kept.collect()) == ["r0", "r100", "r50", "w", "z"]
+    assert within_ttl(table.limit(0), "t", 50).count() == 0

@@ -87,6 +87,17 @@ def test_small_helpers(spark):
     assert [tuple(h) for h in row[4]] == [("a", "x"), ("b", "1")] and row[5] == "binance:BTCUSDT"
 
 
+def test_rounding_to_even(spark):
+    import random
+
+    rng = random.Random(3)
+    xs = [0.0000005, 0.0000015, 2.5e-6, -2.5e-6, 0.5e-6, 1e-7, 123456.1234565, -0.0, 1e15, 1e300, float("inf"), None]
+    xs += [rng.uniform(-50, 50) for _ in range(500)] + [rng.randrange(10**9) / 2e6 for _ in range(500)] + [rng.randrange(10**6) / 1e6 + 5e-7 for _ in range(500)]
+    for places in (6, 8):
+        got = values(spark, lambda c: S.round_half_even(c, places), xs, "double")  # noqa: B023
+        assert got == [None if x is None else round(x, places) if abs(x) < 1e300 else x for x in xs]
+
+
 def test_config():
     for bad in ({"alpha": 0}, {"alpha": 1.1}, {"threshold": 0}, {"min_trades": -1}):
         with pytest.raises(ValueError):

@@ -52,6 +52,18 @@ def test_chunks_agree_with_one_pass(spark, rows):
         assert x[2] == y[2] and all(math.isclose(p, q, rel_tol=1e-9, abs_tol=1e-9) for p, q in zip(x, y))
 
 
+@pytest.mark.parametrize("size", [1000.1, 100_000.3, 1_000_000.7])
+@pytest.mark.parametrize("rows", [7, 50, 1000])
+def test_constant_flow_in_chunks(spark, size, rows):
+    """Nearly constant flow: z depends on variances far below the values' squares."""
+    t = flow(spark, [3, -7, 2 * size, 5, -size, *[size] * 275])
+    whole, parts = scores(score_trades(t)), scores(score_trades(t, chunk_rows=rows))
+    assert len(parts) == 280 and all(p[1] >= 0 for p in parts)
+    for x, y in zip(whole, parts):
+        assert x[2] == y[2] and math.isclose(x[0], y[0], rel_tol=1e-12)
+        assert math.isclose(x[1], y[1], rel_tol=1e-7, abs_tol=1e-13) and math.isclose(x[3], y[3], rel_tol=1e-6)
+
+
 def test_restored_state(spark):
     t = flow(spark, [3, -1, 4, 1, -5, 9])
     before = final_state(score_trades(t.filter("trade_id <= 3")))

@@ -40,6 +40,26 @@ def test_aggregates_and_broken_lines(spark, tmp_path):
         read(spark, tmp_path, ["id,nothing", "1,2"])
 
 
+def test_short_names_and_quotes(spark, tmp_path):
+    got = read(spark, tmp_path, ["a,p,q,T,m", '7,"1.5",2,1704153600000,true', '8,1,"2",1704153600000,false'])
+    assert [(r["trade_id"], r["price"], r["quantity"], r["is_buyer_maker"]) for r in got] == [(7, "1.5", "2", True), (8, "1", "2", False)]
+    got = read(spark, tmp_path, ["note,id,price,qty,time", '"a, ""b""",1,2,3,1704153600', 'say "x,2,2,3,1704153600', ",3,2,3,1704153600"])
+    assert [(r["trade_id"], r["trade_time_ms"]) for r in got] == [(1, 1704153600000), (2, 1704153600000), (3, 1704153600000)]
+
+
+def test_each_file_has_its_layout(spark, tmp_path):
+    (tmp_path / "BTCUSDT-a.csv").write_text("id,price,qty,time\n1,10,1,1704153600000\nx,10,1,1704153600000\n")
+    (tmp_path / "ETHUSDT-b.csv").write_text("2,20,1,20,1704153600000,true,true\n3,20,1,20,1704153600,true,true\n")
+    (tmp_path / "DOGEUSDT-c.csv").write_text("")
+    raw = csv_trades.parse_files(spark, str(tmp_path), FeedConfig())
+    assert sorted(map(tuple, csv_trades.skipped(raw).collect())) == [("BTCUSDT", 2, 1), ("ETHUSDT", 2, 0)]
+    got = csv_trades.readable(raw).orderBy("trade_id").collect()
+    # without a header, times stand as they are
+    assert [(r["symbol"], r["price"], r["trade_time_ms"], r["is_buyer_maker"]) for r in got] == [
+        ("BTCUSDT", "10", 1704153600000, False), ("ETHUSDT", "20", 1704153600000, True), ("ETHUSDT", "20", 1704153600, True)
+    ]
+
+
 def test_slices(spark, tmp_path):
     lines = [HEADER, *[f"{i},1,1,1,{1704153600000 + i},false,true" for i in (10, 20, 30, 40, 50)]]
     assert [r["trade_id"] for r in read(spark, tmp_path, lines, max_rows=2)] == [10, 20]
@@ -53,7 +73,7 @@ def test_frames(spark):
     table = spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "k int, value string").orderBy("k")
     got = frames.decode_frames(table, strict=True).collect()
     assert [r["trade_id"] for r in got] == [7, 7, 8, None, None, 0]
-    assert [r["error"] for r in got] == [None, None, None, "unknown event type", "no event type", "no id"]
+    assert [r["error"] for r in got] == [None, None, None, "unknown event type", "malformed_json", "no id"]
     assert (got[0]["trade_time_ms"], got[0]["event_time_ms"], got[0]["is_buyer_maker"]) == (4, 5, True)
 
 

@@ -21,6 +21,26 @@ def test_chain(spark):
     assert [r["id"] for r in audit.verify_chain(log.filter("id <> 3")).filter("not ok").collect()] == [5]
 
 
+def test_parts_of_a_segment(spark):
+    rows = [(i, "T", "me", None, None, "d", 0, 0) for i in range(25)]
+    log = audit.build_chain(spark.createDataFrame(rows, schemas.AUDIT + ", segment int"), part_ids=10)
+    starts = [r["id"] for r in log.orderBy("id").collect() if r["previous_hash"] is None]
+    assert starts == [0, 10, 20] and audit.verify_chain(log, part_ids=10).filter("not ok").count() == 0
+    assert audit.build_chain(log.select(*rows_of(schemas.AUDIT), "segment").limit(0)).count() == 0
+
+
+def rows_of(schema):
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def test_configure(spark):
+    table = spark.createDataFrame(schemas.SEED_CONFIGS, schemas.SYMBOL_CONFIG)
+    changes = spark.createDataFrame([("ethusdt", 4.0, 0.2, 5), ("xrp", 2.0, 0.1, 1), (None, 1.0, 0.1, 1)], schemas.SYMBOL_CONFIG)
+    new, entries = tables.configure(table, changes, "ann", F.lit(9), first_id=7)
+    assert {r["symbol"]: r["z_threshold"] for r in new.collect()} == {"BTCUSDT": 3.0, "DOGEUSDT": 2.5, "ETHUSDT": 4.0, "XRP": 2.0}
+    assert sorted((r["id"], r["symbol"], r["actor"], r["created_at_ms"]) for r in entries.collect()) == [(7, "ETHUSDT", "ann", 9), (8, "XRP", "ann", 9)]
+
+
 def test_numbered(spark):
     t = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("x"))
     assert all(r["sequence"] == r["x"] + 1 for r in tables.numbered(t, ["x"], part_rows=90).collect())
