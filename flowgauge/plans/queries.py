@@ -627,20 +627,19 @@ def src05_alias_short(spark, sf_dir):
     return raw.select("trade_id", S.parse_number(F.col("price")).alias("price_read"), "is_buyer_maker", "trade_time_ms")
 
 
-@query(f"""with {V.TRADES} select symbol, count(*) n_rows, count(*) filter (trade_id % 41 = 0) n_skipped, count(*) filter (is_buyer_maker and trade_id % 41 <> 0) n_sold,
-max(case when trade_id % 41 <> 0 then trade_time_ms end) last_ms from trades group by symbol""")
+@query(f"""with {V.TRADES} select 'BTCUSDT' symbol, count(*) n_rows, count(*) filter (trade_id % 41 = 0) n_skipped, count(*) filter (is_buyer_maker and trade_id % 41 <> 0) n_sold,
+max(case when trade_id % 41 <> 0 then trade_time_ms end) last_ms from trades""")
 def src02_quotes(spark, sf_dir):
     """Files of two layouts, one with quoted fields that hold commas; broken rows are counted."""
     path = shared_path(spark, "dump")
     t = V.trades(spark, sf_dir)
     i = F.when(F.col("trade_id") % 41 == 0, F.lit("not-an-id")).otherwise(F.col("trade_id").cast("string"))
-    even = t.filter("trade_id % 2 = 0").select(F.concat_ws(",", F.lit('"a, note"'), i, "price", "quantity", "trade_time_ms", "is_buyer_maker").alias("value"), "symbol")
-    odd = t.filter("trade_id % 2 = 1").select(F.concat_ws(",", i, "price", "quantity", F.lit("1"), "trade_time_ms", "is_buyer_maker", F.lit("true")).alias("value"), "symbol")
+    even = t.filter("trade_id % 2 = 0").select(F.concat_ws(",", F.lit('"a, note"'), i, "price", "quantity", "trade_time_ms", "is_buyer_maker").alias("value"))
+    odd = t.filter("trade_id % 2 = 1").select(F.concat_ws(",", i, "price", "quantity", F.lit("1"), "trade_time_ms", "is_buyer_maker", F.lit("true")).alias("value"))
     for name, rows in (("noted", even), ("plain", odd)):
-        for s in V.SYMBOLS:
-            head = spark.createDataFrame([('"some, note",id,price,qty,time,m', 0)] if name == "noted" else [], "value string, n int")
-            body = rows.filter(F.col("symbol") == s).select("value", F.lit(1).alias("n"))
-            head.unionByName(body).coalesce(1).sortWithinPartitions("n").select("value").write.text(f"{path}/{s}-{name}.csv")
+        head = spark.createDataFrame([('"some, note",id,price,qty,time,m', 0)] if name == "noted" else [], "value string, n int")
+        body = rows.select("value", F.lit(1).alias("n"))
+        head.unionByName(body).coalesce(1).sortWithinPartitions("n").select("value").write.text(f"{path}/{name}.csv")
     raw = csv_trades.parse_files(spark, f"{path}/*.csv", FeedConfig(symbols=("BTCUSDT",)))
     counted = csv_trades.skipped(raw)
     read = csv_trades.readable(raw).groupBy("symbol").agg(F.count_if("is_buyer_maker").alias("n_sold"), F.max("trade_time_ms").alias("last_ms"))

@@ -7,6 +7,8 @@ may be quoted. Each file has a layout of its own, found from its first line.
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +48,7 @@ def column_positions(header: str | None, width: int, layout: str) -> dict[str, i
     """Which field holds which column: by the header's names, else by layout and the first line's width."""
     if header is None:
         return POSITIONS["aggTrades" if layout == "aggTrades" else "trades7" if width >= 7 else "trades6"]
-    names = [plain(x) for x in header.split(",")]
+    names = [plain(x) for x in next(csv.reader([header]))]
     found = {c: next((names.index(a) for a in spelled if a in names), None) for c, spelled in ALIASES.items()}
     missing = [c for c in ("trade_id", "price", "quantity", "time") if found[c] is None]
     if missing:
