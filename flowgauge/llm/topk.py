@@ -1,130 +1,168 @@
 """Exact top-k inner-product search by dual-tree traversal of cover trees.
 
-Queries and data are dealt into blocks; each pair of blocks is one group, which
-builds a cover tree of either side and walks both at once. A pair of nodes is
-pruned when even points at the rims of both covering balls score less than the
-worst kth score among the query node's queries.
+Queries and data are dealt into blocks, each with a cover tree that is built
+once. A pair of blocks is one group, which walks both trees at once. A pair of
+nodes is pruned when even points at the rims of both covering balls, as far
+towards each other as the balls and the lengths of their points allow, score
+less than the worst kth score among the query node's queries. Each query block
+meets one block of data first; the kth scores found there are where its walks
+through all others start.
 """
 
 from __future__ import annotations
 
+import pickle
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LEAF, FANOUT = 64, 32
-FOUND = "query_id long, vec_id long, score long"
-
-
-class Node:
-    """Rows ``start:end`` of a tree within ``radius`` of ``center``."""
+from flowgauge.llm.common import written
 
-    __slots__ = ("center", "norm", "radius", "start", "end", "children")
+#: Rows of a leaf of queries and of data, and children of a node at most.
+QUERY_LEAF, DATA_LEAF, FANOUT = 1, 4, 32
+FOUND = "query_id long, vec_id long, score long"
+BLOCK = "dim int, block int, ids binary, data binary, tree binary"
 
-    def __init__(self, center: np.ndarray, radius: float, start: int, end: int):
-        self.center, self.radius, self.start, self.end = center, radius, start, end
-        self.norm = float(np.sqrt(center @ center))
-        self.children: list[Node] = []
 
+class Tree:
+    """A cover tree over rows, which it holds in the order of its nodes.
 
-def cover_tree(points: np.ndarray) -> tuple[Node | None, np.ndarray]:
-    """A cover tree of the rows, and the order in which its nodes hold them.
+    Node 0 is the root. Node n has the rows ``start[n]:end[n]``, all within
+    ``radius[n]`` of its centre, a row of length ``norm[n]``; ``most[n]`` is the
+    longest row's length. Its children are ``first[n]`` to ``last[n]``.
+    """
 
-    A node's children are centres chosen farthest first, the node's own centre
-    among them, until every row lies within half the node's radius of one
-    (covering) or there are ``FANOUT``; chosen centres lie at least that far
-    apart (separation). A child's radius is that of its rows.
+    def __init__(self, points: np.ndarray, leaf: int):
+        """A node's children are centres chosen farthest first, the node's own among them, until every row lies within
+        half the node's radius of one (covering) or there are ``FANOUT``; chosen centres lie at least that far apart
+        (separation). A child's radius is that of its rows."""
+        order = np.arange(len(points))
+        away = lambda rows, c: np.sqrt(np.square(points[rows] - points[c]).sum(axis=1))
+        from_root = away(order, 0)
+        nodes = [[0, float(from_root.max()), 0, len(points), 0, 0]]  # center, radius, start, end, first, last
+        waiting = [(0, from_root)]
+        while waiting:
+            n, nearest = waiting.pop()
+            center, radius, start, end = nodes[n][:4]
+            rows = order[start:end]
+            if len(rows) <= leaf or radius == 0:
+                continue
+            owner, centers = np.zeros(len(rows), np.int64), [center]
+            while len(centers) < FANOUT and nearest.max() > radius / 2:
+                centers.append(int(rows[int(nearest.argmax())]))
+                d = away(rows, centers[-1])
+                owner[d < nearest] = len(centers) - 1
+                nearest = np.minimum(nearest, d)
+            sort = np.argsort(owner, kind="stable")
+            order[start:end] = rows[sort]
+            nearest, owner = nearest[sort], owner[sort]
+            cuts = np.searchsorted(owner, np.arange(len(centers) + 1)).tolist()
+            nodes[n][4] = len(nodes)
+            for c, s, e in zip(centers, cuts, cuts[1:]):
+                if s < e:
+                    waiting.append((len(nodes), nearest[s:e]))
+                    nodes.append([c, float(nearest[s:e].max()), start + s, start + e, 0, 0])
+            nodes[n][5] = len(nodes)
+        center, self.radius, self.start, self.end, self.first, self.last = (np.array(x) for x in zip(*nodes))
+        self.order = order
+        lengths = np.sqrt(np.square(points).sum(axis=1))
+        self.centers, self.norm = points[center], lengths[center]
+        self.most = np.array([lengths[order[s:e]].max() for s, e in zip(self.start.tolist(), self.end.tolist())])
+
+
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range after another."""
+    counts = ends - starts
+    before = np.cumsum(counts) - counts
+    return np.repeat(starts - before, counts) + np.arange(counts.sum())
+
+
+def bounds(a: Tree, n: int, b: Tree, m: np.ndarray) -> np.ndarray:
+    """What any row of a's node ``n`` scores with any row of b's nodes ``m`` at most.
+
+    Of two bounds the smaller: the centres' product and what the radii can add,
+    and half of what the longest rows' squares exceed the squared distance that
+    the balls keep (2xy = x^2 + y^2 - (x - y)^2), which is the angle's bound
+    where lengths are alike.
     """
-    order = np.arange(len(points))
-    if not len(points):
-        return None, order
+    product = b.centers[m] @ a.centers[n]
+    reach = product + a.radius[n] * b.norm[m] + b.radius[m] * a.norm[n] + a.radius[n] * b.radius[m]
+    apart = np.sqrt(np.maximum(a.norm[n] ** 2 + b.norm[m] ** 2 - 2 * product, 0)) - a.radius[n] - b.radius[m]
+    ball = (a.most[n] ** 2 + b.most[m] ** 2 - np.square(np.maximum(apart - 1e-6, 0))) / 2
+    most = np.minimum(reach, ball)
+    return most + 1e-9 * (np.abs(most) + 1)
 
-    def distances(rows: np.ndarray, center: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.square(points[rows] - center).sum(axis=1))
 
-    from_center = distances(order, points[0])
-    root = Node(points[0], float(from_center.max()), 0, len(points))
-    stack = [(root, from_center)]
-    while stack:
-        node, nearest = stack.pop()
-        rows = order[node.start : node.end]
-        if len(rows) <= LEAF or node.radius == 0:
-            continue
-        owner = np.zeros(len(rows), np.int64)
-        centers = [node.center]
-        while len(centers) < FANOUT and nearest.max() > node.radius / 2:
-            centers.append(points[rows[int(nearest.argmax())]])
-            d = distances(rows, centers[-1])
-            owner[d < nearest] = len(centers) - 1
-            nearest = np.minimum(nearest, d)
-        sort = np.argsort(owner, kind="stable")
-        order[node.start : node.end] = rows[sort]
-        nearest, owner = nearest[sort], owner[sort]
-        cuts = np.searchsorted(owner, np.arange(len(centers) + 1))
-        for c, s, e in zip(centers, cuts[:-1].tolist(), cuts[1:].tolist()):
-            if s < e:
-                child = Node(c, float(nearest[s:e].max()), node.start + s, node.start + e)
-                node.children.append(child)
-                stack.append((child, nearest[s:e]))
-    return root, order
-
-
-def dual_tree_top_k(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Scores and ids of each query's ``k`` best rows of ``v``; -inf where there are fewer.
+def dual_tree_top_k(
+    qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int, trees: tuple[Tree, Tree] | None = None, floor: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, int]:
+    """Scores and ids of each query's ``k`` best rows of ``v`` (-inf where there are fewer), and the pairs that were scored.
 
     Rows hold whole numbers whose inner products a double holds exactly. Ties go
-    to the smaller id; a row with the query's id is no candidate.
+    to the smaller id; a row with the query's id is no candidate. ``floor`` are
+    scores below which a query needs no candidate.
     """
-    scores, ids = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
-    q_root, q_order = cover_tree(q)
-    v_root, v_order = cover_tree(v)
-    if q_root is None or v_root is None:
-        return scores, ids
-    qq, qi, vv, vi = q[q_order], qid[q_order], v[v_order], vid[v_order]
-
-    def base(a: Node, b: Node) -> None:
-        rows = np.arange(b.start, b.end)
-        if b.radius == 0 and len(rows) > k + 1:  # equal rows: only the smallest ids can matter
-            rows = rows[np.argsort(vi[rows])[: k + 1]]
-        s = qq[a.start : a.end] @ vv[rows].T
+    nobody = np.iinfo(np.int64).max
+    scores, ids = np.full((len(q), k), -np.inf), np.full((len(q), k), nobody)
+    if not len(q) or not len(v):
+        return scores, ids, 0
+    a, b = trees or (Tree(q, QUERY_LEAF), Tree(v, DATA_LEAF))
+    qq, qi, vv, vi = q[a.order], qid[a.order], v[b.order], vid[b.order]
+    least = np.full(len(q), -np.inf) if floor is None else floor[a.order].astype(float)
+    scored = 0
+    worst = lambda n: np.maximum(scores[a.start[n] : a.end[n], -1], least[a.start[n] : a.end[n]]).min()
+
+    def base(n: int, leaves: np.ndarray) -> None:
+        nonlocal scored
+        at, rows = slice(a.start[n], a.end[n]), _ranges(b.start[leaves], b.end[leaves])
+        s = qq[at] @ vv[rows].T
+        scored += s.size
         cand = vi[rows]
-        s[qi[a.start : a.end, None] == cand[None]] = -np.inf
-        hot = np.nonzero((s >= scores[a.start : a.end, -1:]).any(axis=1))[0]
-        if not len(hot):
-            return
-        at = hot + a.start
-        all_s = np.concatenate([scores[at], s[hot]], axis=1)
-        all_i = np.concatenate([ids[at], np.where(np.isinf(s[hot]), np.iinfo(np.int64).max, cand[None])], axis=1)
-        best = np.lexsort((all_i, -all_s), axis=-1)[:, :k]
-        scores[at], ids[at] = np.take_along_axis(all_s, best, 1), np.take_along_axis(all_i, best, 1)
-
-    def bound(a: Node, b: Node) -> float:
-        most = float(a.center @ b.center) + a.radius * b.norm + b.radius * a.norm + a.radius * b.radius
-        return most + 1e-9 * (abs(most) + 1)
-
-    stack = [(bound(q_root, v_root), q_root, v_root)]
+        s[qi[at, None] == cand[None]] = -np.inf
+        for row in range(len(s)):
+            i = at.start + row
+            hot = np.nonzero(s[row] >= max(scores[i, -1], least[i]))[0]
+            if len(hot):
+                all_s = np.concatenate([scores[i], s[row, hot]])
+                all_i = np.concatenate([ids[i], np.where(np.isinf(s[row, hot]), nobody, cand[hot])])
+                best = np.lexsort((all_i, -all_s))[:k]
+                scores[i], ids[i] = all_s[best], all_i[best]
+
+    stack = [(0, np.zeros(1, np.int64))]
     while stack:
-        most, a, b = stack.pop()
-        if most < scores[a.start : a.end, -1].min():
+        n, nodes = stack.pop()
+        inner = a.last[n] > a.first[n]
+        while True:  # opens the data nodes: at an inner node of queries those that are wider than it, at a leaf all
+            most = bounds(a, n, b, nodes)
+            near = most >= worst(n)
+            nodes, most = nodes[near], most[near]
+            opens = b.last[nodes] > b.first[nodes]
+            if inner:
+                opens &= b.radius[nodes] > a.radius[n]
+            if not opens.any():
+                break
+            nodes = np.concatenate([nodes[~opens], _ranges(b.first[nodes[opens]], b.last[nodes[opens]])])
+        if inner:
+            stack += [(c, nodes) for c in range(a.first[n], a.last[n])]
             continue
-        if not a.children and not b.children:
-            base(a, b)
-        elif a.children and (not b.children or a.radius >= b.radius):
-            stack += [(bound(c, b), c, b) for c in a.children]
-        else:  # the most promising last, to be taken first
-            stack += sorted(((bound(a, c), a, c) for c in b.children), key=lambda x: x[0])
+        order = np.argsort(-most)  # the most promising first
+        nodes, most, done, step = nodes[order], most[order], 0, 4 * k
+        while done < len(nodes) and most[done] >= (least_now := worst(n)):
+            stop = min(done + step, int(np.searchsorted(-most, -least_now, "right")))
+            base(n, nodes[done:stop])
+            done, step = stop, 2 * step
     back_s, back_i = np.empty_like(scores), np.empty_like(ids)
-    back_s[q_order], back_i[q_order] = scores, ids
-    return back_s, back_i
+    back_s[a.order], back_i[a.order] = scores, ids
+    return back_s, back_i, scored
 
 
-def _exact_top_k(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+def _exact_top_k(qid, q, vid, v, k: int, trees: tuple[Tree, Tree], floor: np.ndarray | None) -> list[tuple[int, int, int]]:
     """As ``dual_tree_top_k``; vectors too long for doubles are compared as Python integers, scores held to 64 bits."""
     most = max(np.abs(q).max(initial=0), np.abs(v).max(initial=0))
     if most * most * max(1, q.shape[1]) < 2.0**53:
-        scores, ids = dual_tree_top_k(qid, q, vid, v, k)
+        scores, ids, _ = dual_tree_top_k(qid, q, vid, v, k, trees, floor)
         some = np.isfinite(scores)
         return list(zip(np.repeat(qid, some.sum(axis=1)).tolist(), ids[some].tolist(), scores[some].astype(np.int64).tolist()))
     whole = [[int(x) for x in row] for row in v]
@@ -136,26 +174,31 @@ def _exact_top_k(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray,
     return out
 
 
-def _packed(table: DataFrame, id_column: str, vector: str, rows: int) -> tuple[DataFrame, int]:
-    """The usable vectors in blocks of about ``rows``: ``(dim, block, ids, data)``; and the number of blocks."""
+def _packed(table: DataFrame, id_column: str, vector: str, rows: int, scale: float, leaf: int, once: bool) -> tuple[DataFrame, int]:
+    """The usable vectors with their trees in blocks of about ``rows`` (schema BLOCK), written; and the number of blocks.
+
+    With ``once``, of rows with one id that with the smallest vector stays.
+    """
     x = F.col(vector).cast("array<double>")
     usable = table.select(F.col(id_column).cast("long").alias("id"), x.alias("x")).filter(
         "id is not null and x is not null and forall(x, e -> e is not null and not isnan(e) and abs(e) < double('infinity'))"
     )
     n = max(1, -(-usable.count() // rows))
+    # one id may hold a third of the rows: data is dealt by its vector, too
+    key = F.xxhash64("id") if once else F.xxhash64("id", "x")
+    dealt = usable.select("id", "x", F.size("x").alias("dim"), F.pmod(key, F.lit(n)).cast("int").alias("block"))
+    if once:
+        dealt = dealt.groupBy("dim", "block", "id").agg(F.min("x").alias("x"))
 
     def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        data = np.array(group["x"].tolist(), np.float64).reshape(len(group), int(key[0]))
-        order = np.lexsort((*data.T[::-1], group["id"].to_numpy()))
-        ids, data = group["id"].to_numpy()[order], data[order]
-        first = np.unique(ids, return_index=True)[1]
-        return pd.DataFrame(
-            [(key[0], key[1], ids[first].tobytes(), data[first].tobytes())], columns=["dim", "block", "ids", "data"]
-        )
+        data = np.floor(np.array(group["x"].tolist(), np.float64).reshape(len(group), int(key[0])) * scale)
+        ids = group["id"].to_numpy()
+        order = np.lexsort((*data.T[::-1], ids))
+        ids, data = ids[order], data[order]
+        row = (key[0], key[1], ids.tobytes(), data.tobytes(), pickle.dumps(Tree(data, leaf)))
+        return pd.DataFrame([row], columns=[c.split()[0] for c in BLOCK.split(", ")])
 
-    keys = F.size("x").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block")
-    blocks = usable.select("id", "x", *keys).groupBy("dim", "block").applyInPandas(pack, "dim int, block int, ids binary, data binary")
-    return blocks, n
+    return written(dealt.groupBy("dim", "block").applyInPandas(pack, BLOCK), "vectors"), n
 
 
 def top_k(
@@ -166,34 +209,66 @@ def top_k(
     id_column: str = "vec_id",
     vector: str = "embedding",
     block_rows: int = 8192,
+    query_rows: int = 16384,
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` rows of ``data`` with the largest inner product for each query.
 
     Components x count as floor(``scale`` * x), so scores are whole numbers;
     they are held to 64 bits. Ties go to the smaller id. A row with the query's
     id is no candidate. Rows with a null id, a null vector, or null or
-    non-finite components take no part; vectors of different lengths never meet;
-    of rows with one id, that with the smallest vector counts. Fewer than ``k``
-    candidates give fewer rows, an empty table none. Other columns are not read.
+    non-finite components take no part; vectors of different lengths never meet.
+    Rows of ``data`` that share an id are candidates each; queries that share
+    one count once, with the smallest vector. Fewer than ``k`` candidates give
+    fewer rows, an empty table none. Other columns are not read.
 
-    Every block of queries meets every block of data; a pair of blocks returns
-    at most ``k`` rows a query, which a window ranks.
+    Every block of queries meets every block of data, one of them first; a pair
+    of blocks returns at most ``k`` rows a query, which a window ranks.
     """
-    q, _ = _packed(queries, id_column, vector, block_rows)
-    v, n = _packed(data, id_column, vector, block_rows)
-    spread = q.select("dim", F.col("block").alias("q"), "ids", "data", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("v"))
-    blocks = q.select("dim", F.col("block").alias("q"))
-    met = v.withColumnRenamed("block", "v").join(blocks, "dim").select("dim", "q", "v", "ids", "data")
-
-    def unpack(g: pd.DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.frombuffer(b"".join(g["ids"]), np.int64)
-        return ids, np.floor(np.frombuffer(b"".join(g["data"]), np.float64).reshape(len(ids), dim) * scale)
+    q, n_q = _packed(queries, id_column, vector, query_rows, scale, QUERY_LEAF, True)
+    v, n = _packed(data, id_column, vector, block_rows, scale, DATA_LEAF, False)
+    # blocks are dealt by hash, so that any is a sample of the data to start from
+    home = F.pmod(F.col("q"), F.lit(n))
+    asked = q.withColumnRenamed("block", "q").withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    given = v.withColumnRenamed("block", "v").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+
+    def unpack(g: pd.DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray, Tree | None]:
+        if not len(g):
+            return np.zeros(0, np.int64), np.zeros((0, dim)), None
+        r = g.iloc[0]
+        ids = np.frombuffer(r["ids"], np.int64)
+        return ids, np.frombuffer(r["data"], np.float64).reshape(len(ids), dim), pickle.loads(r["tree"])
 
     def search(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found = _exact_top_k(*unpack(a, int(key[0])), *unpack(b, int(key[0])), k) if len(a) and len(b) else []
+        (qid, qs, q_tree), (vid, vs, v_tree) = unpack(a, int(key[0])), unpack(b, int(key[0]))
+        found = []
+        if len(qid) and len(vid):
+            held = a["floor"].iloc[0] if "floor" in a else None
+            found = _exact_top_k(qid, qs, vid, vs, k, (q_tree, v_tree), None if held is None else np.frombuffer(held, np.float64))
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     keys = "dim", "q", "v"
-    found = spread.groupBy(*keys).cogroup(met.groupBy(*keys)).applyInPandas(search, FOUND)
+    meet = lambda a, b: a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(search, FOUND)
+    first = written(meet(asked.filter(F.col("v") == home), given.filter(F.col("v") == home)), "first")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    if n == 1:
+        return ranked(first)
+    kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).filter(F.col("n") == k).select("query_id", "kth")
+    of_block = q.select("dim", F.col("block").alias("q"), "ids").mapInPandas(_query_ids, "dim int, q int, at int, query_id long")
+    known = of_block.join(kth, "query_id", "left").groupBy("dim", "q").applyInPandas(_floors, "dim int, q int, floor binary")
+    started = asked.filter(F.col("v") != home).join(known, ["dim", "q"])
+    return ranked(first.unionByName(meet(started, given.filter(F.col("v") != home))))
+
+
+def _query_ids(batches):
+    """The ids of each block, a row each, with their places."""
+    for b in batches:
+        for dim, q, raw in zip(b["dim"], b["q"], b["ids"]):
+            ids = np.frombuffer(raw, np.int64)
+            yield pd.DataFrame({"dim": dim, "q": q, "at": np.arange(len(ids), dtype=np.int32), "query_id": ids})
+
+
+def _floors(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    """The kth scores of a block's queries in order, -inf where there is none yet."""
+    held = group.sort_values("at")["kth"].astype("float64").fillna(-np.inf).to_numpy()
+    return pd.DataFrame([(*key, held.tobytes())], columns=["dim", "q", "floor"])
