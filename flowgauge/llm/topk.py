@@ -71,6 +71,15 @@ class Tree:
         self.centers, self.norm = points[center], lengths[center]
         self.most = np.array([lengths[order[s:e]].max() for s, e in zip(self.start.tolist(), self.end.tolist())])
 
+    def pack(self) -> bytes:
+        return pickle.dumps(vars(self))
+
+    @classmethod
+    def unpack(cls, raw: bytes) -> Tree:
+        tree = cls.__new__(cls)
+        vars(tree).update(pickle.loads(raw))
+        return tree
+
 
 def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The numbers of all ranges, one range after another."""
@@ -195,7 +204,7 @@ def _packed(table: DataFrame, id_column: str, vector: str, rows: int, scale: flo
         ids = group["id"].to_numpy()
         order = np.lexsort((*data.T[::-1], ids))
         ids, data = ids[order], data[order]
-        row = (key[0], key[1], ids.tobytes(), data.tobytes(), pickle.dumps(Tree(data, leaf)))
+        row = (key[0], key[1], ids.tobytes(), data.tobytes(), Tree(data, leaf).pack())
         return pd.DataFrame([row], columns=[c.split()[0] for c in BLOCK.split(", ")])
 
     return written(dealt.groupBy("dim", "block").applyInPandas(pack, BLOCK), "vectors"), n
@@ -236,7 +245,7 @@ def top_k(
             return np.zeros(0, np.int64), np.zeros((0, dim)), None
         r = g.iloc[0]
         ids = np.frombuffer(r["ids"], np.int64)
-        return ids, np.frombuffer(r["data"], np.float64).reshape(len(ids), dim), pickle.loads(r["tree"])
+        return ids, np.frombuffer(r["data"], np.float64).reshape(len(ids), dim), Tree.unpack(r["tree"])
 
     def search(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         (qid, qs, q_tree), (vid, vs, v_tree) = unpack(a, int(key[0])), unpack(b, int(key[0]))
