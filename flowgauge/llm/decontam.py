@@ -1,26 +1,31 @@
 """Benchmark decontamination: windows of test items looked up in training texts.
 
-The windows of all items become a hash set that is broadcast while the items'
-text stays under a stated size; beyond it the windows are joined instead. A hash
-hit is verified word by word before it counts.
+The windows of all items become a hash set that is broadcast: sorted 64-bit
+hashes with the place of each window in the items' packed words. It is made in
+tasks, and sent while it has no more than a stated number of windows; beyond
+that, windows are joined by the SHA-256 of their words instead. A hash hit is
+verified word by word before it counts.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowgauge.llm.common import LOWER, written
+from flowgauge.llm.common import LOWER, new_names, written
 
 #: Words are runs of a-z, 0-9 and anything beyond ASCII, after lowering A-Z.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 RESULT = "n_words long, n_hit long, items array<long>, spans array<struct<start:int,end:int>>"
+PACKED = "item_id long, n int, windows long, words binary, hashes binary, places binary"
 _PRIME = 0x9E3779B97F4A7C15
 
 
@@ -33,50 +38,91 @@ def item_windows(w: list[bytes], window: int) -> list[tuple[bytes, ...]]:
     return [tuple(w[k : k + window]) for k in range(max(1, len(w) - window + 1))] if w else []
 
 
-def _rolled(ids: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of each run of ``n`` ids."""
-    out = np.zeros(len(ids) - n + 1, np.uint64)
-    for k in range(n):
-        out = out * np.uint64(_PRIME) + ids[k : len(ids) - n + 1 + k].astype(np.uint64)
+def _rolled(words: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``n`` words, from the words' hashes."""
+    out = np.zeros(max(len(words) - n + 1, 0), np.uint64)
+    for k in range(n if len(out) else 0):
+        out = out * np.uint64(_PRIME) + words[k : len(out) + k]
     return out
 
 
-def window_set(items: list[tuple[int, str | None]], window: int) -> tuple[dict, dict]:
-    """The windows of the test items: word numbers, and for each length the sorted hashes and their windows."""
-    numbers: dict[bytes, int] = {}
-    owners: dict[tuple[int, ...], set[int]] = defaultdict(set)
-    for item_id, text in items:
-        for run in item_windows(item_words(text), window):
-            owners[tuple(numbers.setdefault(x, len(numbers) + 1) for x in run)].add(item_id)
-    lengths = {}
-    for n in sorted({len(x) for x in owners}):
-        by_hash = defaultdict(list)
-        for run, who in owners.items():
-            if len(run) == n:
-                by_hash[int(_rolled(np.array(run), n)[0])].append((run, who))
-        keys = np.array(sorted(by_hash), np.uint64)
-        lengths[n] = keys, [by_hash[int(k)] for k in keys]
-    return numbers, lengths
-
-
-def scan_windows(w: list[bytes], numbers: dict, lengths: dict) -> tuple[np.ndarray, set[int]]:
+def _word_hashes(w: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, w, repeat(7)), np.uint64, len(w))
+
+
+def pack_items(items: DataFrame, window: int) -> DataFrame:
+    """``items(item_id, text)`` to schema PACKED: of each item its words, joined, and the hashes and places of its windows.
+
+    A place is (first byte, byte after the last) in the joined words. Items
+    without words have no row.
+    """
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for item_id, text in zip(b["item_id"], b["text"]):
+                w = item_words(text)
+                if not w:
+                    continue
+                n = min(window, len(w))
+                ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
+                starts = np.concatenate([[0], ends[:-1]])[: len(w) - n + 1]
+                places = np.stack([starts, ends[n - 1 :] - 1], axis=1)
+                rows.append((item_id, n, len(starts), b" ".join(w), _rolled(_word_hashes(w), n).tobytes(), places.astype(np.int32).tobytes()))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PACKED.split(", ")])
+
+    return items.mapInPandas(pack, PACKED)
+
+
+class WindowSet:
+    """Windows of one length: distinct sorted hashes, and for each the windows that have it.
+
+    ``places`` holds the windows of hash k at ``bounds[k]:bounds[k + 1]``: where
+    their words lie in ``words``, and the item. About 30 bytes a window.
+    """
+
+    def __init__(self, n: int, rows: list):
+        self.n = n
+        self.words = b"\n".join(r["words"] for r in rows)
+        sizes = np.array([len(r["words"]) + 1 for r in rows], np.int64)
+        counts = np.array([r["windows"] for r in rows], np.int64)
+        places = np.concatenate([np.frombuffer(r["places"], np.int32).reshape(-1, 2) for r in rows]).astype(np.int64)
+        places += np.repeat(np.cumsum(sizes) - sizes, counts)[:, None]
+        hashes = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows])
+        order = np.argsort(hashes, kind="stable")
+        self.items = np.repeat(np.array([r["item_id"] for r in rows], np.int64), counts)[order]
+        self.places = places[order]
+        self.hashes, first = np.unique(hashes[order], return_index=True)
+        self.bounds = np.append(first, len(order))
+        self.known: dict[int, list[tuple[bytes, frozenset]]] = {}
+
+    def of(self, k: int) -> list[tuple[bytes, frozenset]]:
+        """The different windows of hash ``k``: their words and items. Kept once it was asked for."""
+        found = self.known.get(k)
+        if found is None:
+            owners: dict[bytes, set[int]] = {}
+            for (s, e), item in zip(self.places[self.bounds[k] : self.bounds[k + 1]].tolist(), self.items[self.bounds[k] : self.bounds[k + 1]].tolist()):
+                owners.setdefault(self.words[s:e], set()).add(item)
+            if len(self.known) > 100_000:
+                self.known.clear()
+            found = self.known[k] = [(text, frozenset(who)) for text, who in owners.items()]
+        return found
+
+
+def scan_windows(w: list[bytes], sets: list[WindowSet]) -> tuple[np.ndarray, set[int]]:
     """Which words lie inside an occurrence of a window, and the items that occur."""
     hit, found = np.zeros(len(w) + 1, np.int64), set()
-    ids = np.fromiter((numbers.get(x, 0) for x in w), np.int64, len(w))
-    unknown = np.concatenate([[0], np.cumsum(ids == 0)])
-    for n, (keys, runs) in lengths.items():
-        if len(w) < n:
-            continue
-        at = np.nonzero(unknown[n:] == unknown[:-n])[0]  # runs of known words only
-        if not len(at):
+    words = _word_hashes(w)
+    for known in sets:
+        n = known.n
+        h = _rolled(words, n)
+        if not len(h):
             continue
-        h = _rolled(ids, n)[at]
-        k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        same = keys[k] == h
-        for p, q in zip(at[same].tolist(), k[same].tolist()):
-            run = tuple(ids[p : p + n].tolist())
-            for known, who in runs[q]:
-                if known == run:
+        k = np.minimum(np.searchsorted(known.hashes, h), len(known.hashes) - 1)
+        for p in np.nonzero(known.hashes[k] == h)[0].tolist():
+            run = b" ".join(w[p : p + n])
+            for text, who in known.of(int(k[p])):
+                if text == run:
                     hit[p] += 1
                     hit[p + n] -= 1
                     found |= who
@@ -102,27 +148,30 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("text is not null and item_id is not null")
 
 
-def annotate_by_broadcast(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(
-        window_set([(r["item_id"], r["text"]) for r in _items(benchmark).collect()], window)
-    )
+def annotate_by_broadcast(docs: DataFrame, packed: DataFrame) -> DataFrame:
+    """``docs`` scanned with the windows of ``packed`` (schema PACKED), which the driver puts in order."""
+    by_length: dict[int, list] = {}
+    for r in packed.collect():
+        by_length.setdefault(r["n"], []).append(r)
+    held = docs.sparkSession.sparkContext.broadcast([WindowSet(n, by_length[n]) for n in sorted(by_length)])
 
     @F.pandas_udf(RESULT)
     def scan(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             w = item_words(t)
-            rows.append(_row(len(w), *scan_windows(w, *held.value)))
+            rows.append(_row(len(w), *scan_windows(w, held.value)))
         return pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "spans"])
 
     return docs.withColumn("_contamination", scan(F.col("text")))
 
 
 def annotate_by_join(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    """As ``annotate_by_broadcast``, with the windows of both sides joined by their words' digest.
+    """As ``annotate_by_broadcast``, with the windows of both sides joined by the SHA-256 of their words.
 
     Column names ``_row``, ``_items`` and ``_at`` are reserved.
     """
+    new_names(docs, "_row", "_items", "_at")
     lengths = [r[0] for r in _windows(_items(benchmark), "item_id", [window], True).select("n").distinct().collect()]
     numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     wanted = _windows(_items(benchmark), "item_id", [window], True).select("digest", "item_id").distinct()
@@ -151,8 +200,6 @@ def _windows(table: DataFrame, key: str, lengths: list[int], short: bool) -> Dat
     """``(key, pos, n, digest)`` of each run of words; with ``short``, a text of fewer words is one run."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
-
         for b in batches:
             for k, t in zip(b[key], b["text"]):
                 w = item_words(t)
@@ -166,20 +213,21 @@ def _windows(table: DataFrame, key: str, lengths: list[int], short: bool) -> Dat
     return table.select(key, "text").mapInPandas(cut, f"{key} long, pos int, n int, digest binary")
 
 
-def annotate_contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = 13, max_broadcast_bytes: int = 64 << 20
-) -> DataFrame:
+def annotate_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_broadcast_windows: int = 2_000_000) -> DataFrame:
     """``docs`` with ``_contamination(n_words, n_hit, items, spans)``: verified hits of test windows.
 
     ``items`` are the distinct item_ids with a window in the text, ascending;
     ``spans`` the runs of hit words. Null and empty texts have no words. Items
     with a null id or text, or without words, have no window; repeated items
-    count once. An empty benchmark hits nothing. Whole texts are scanned. The
-    name ``_contamination`` is reserved.
+    count once. An empty benchmark hits nothing. Whole texts are scanned. Up to
+    ``max_broadcast_windows`` (some 30 bytes each, beside the items' words) are
+    broadcast, more are joined; the rows are the same. The name
+    ``_contamination`` is reserved.
     """
-    size = _items(benchmark).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    annotate = annotate_by_broadcast if size <= max_broadcast_bytes else annotate_by_join
-    return annotate(docs, benchmark, window)
+    new_names(docs, "_contamination")
+    packed = written(pack_items(_items(benchmark).distinct(), window), "windows")
+    n = packed.agg(F.coalesce(F.sum("windows"), F.lit(0))).first()[0]
+    return annotate_by_broadcast(docs, packed) if n <= max_broadcast_windows else annotate_by_join(docs, benchmark, window)
 
 
 def contaminated(share: int = 20):
