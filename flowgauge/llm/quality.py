@@ -78,9 +78,10 @@ def train_quality(
     Learns from labelled rows whose crc32(doc_id as text) mod ``folds`` is not
     0: from at most ``max_train_docs`` doc_ids, those with the smallest hashes,
     which is a bounded uniform sample. A doc_id with several labels counts as 1
-    if at least half of them are; null ids and labels are ignored; a repeated
-    document is one more example. Texts are read whole, features are extracted in parallel, and
-    one task makes the updates over the bounded sample. Without any label all
+    if at least half of them are; null ids and labels are ignored. A doc_id is
+    one example however many rows it has: that with the smallest text. Texts are
+    read whole, features are extracted in parallel, and one task makes the
+    updates over the bounded sample. Without any label all
     weights are zero, and every score is 0.5.
     """
     order = F.xxhash64(F.col("doc_id").cast("string"))
@@ -114,7 +115,9 @@ def train_quality(
                 model.update(np.frombuffer(r.slots, np.uint32).astype(np.int64), np.frombuffer(r.vals, np.float32), r.label)
         yield pd.DataFrame({"w": [model.weights(slice(None)).astype(np.float32).tobytes()]})
 
-    examples = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(order.alias("at"), "label", "text")
+    # reduced before the shuffle: a doc_id may have a third of all rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    examples = rows.select(order.alias("at"), "label", "text")
     got = examples.mapInPandas(extract, "at long, label int, slots binary, vals binary").repartition(1)
     rows = got.mapInPandas(learn, "w binary").collect()
     return np.frombuffer(rows[0]["w"], np.float32).astype(np.float64) if rows else np.zeros((1 << bits) + 1)
