@@ -131,12 +131,12 @@ def read_archive(source: io.BufferedIOBase) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
-def with_revisits(pages: DataFrame, least_bytes: int = 100, salts: int = 64) -> DataFrame:
+def with_revisits(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     """``pages(page_id, url, html)`` with ``payload``, ``digest`` and ``refers_to`` (null for a response).
 
-    Digests are counted before the shuffle. A digest may belong to a third of
-    the rows: rows are salted, and the smallest page_ids of repeated digests,
-    one row each, are repeated for every salt.
+    Digests are counted before the shuffle; those that repeat are a written
+    table with one row each, so that the join emits a row per page and AQE can
+    split the pages of a digest that a third of the rows have.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
@@ -148,10 +148,8 @@ def with_revisits(pages: DataFrame, least_bytes: int = 100, salts: int = 64) ->
         .filter("n > 1 and first is not null")
     )
     repeated = written(repeated.select("digest", "first"), "digests")
-    spread = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int"))
     first = F.when(big & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return salted.join(spread, ["digest", "salt"], "left").select("page_id", "url", "payload", "digest", first.alias("refers_to"))
+    return rows.join(repeated, "digest", "left").select("page_id", "url", "payload", "digest", first.alias("refers_to"))
 
 
 def _qualified(spark: SparkSession, path: str) -> str:
