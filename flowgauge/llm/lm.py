@@ -235,7 +235,7 @@ class Automaton:
         return out
 
 
-def score_texts(docs: DataFrame, train: Column, order: int = 2, block_tokens: int = 1_000_000) -> DataFrame:
+def score_texts(docs: DataFrame, train: Column, order: int = 2, block_tokens: int = 1_000_000, bucket_tokens: int = 1_000_000) -> DataFrame:
     """Scores of ``docs(doc_id, text)`` under the model of the rows where ``train`` holds: the columns of ``RESULT``.
 
     Words lie between ASCII white space, A-Z lowered; one end follows each text
@@ -250,11 +250,15 @@ def score_texts(docs: DataFrame, train: Column, order: int = 2, block_tokens: in
     A null ``train`` counts as true. Without training rows all probabilities of
     words are 1. Other columns are not read. n-grams meet by a 64-bit hash.
     ``block_tokens`` bounds a task's memory (a longer text makes a block of its
-    own).
+    own), and so does ``bucket_tokens``: n-grams of an order are counted in a
+    bucket for each so many tokens of the corpus.
     """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = written(encode_blocks(docs, train, block_tokens), "blocks")
+    held = blocks.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n)), F.lit(0)).alias("tokens")).first()
+    # what a bucket and a task hold does not grow with the corpus: their number does
+    buckets = max(spark.sparkContext.defaultParallelism, -(-held["tokens"] // bucket_tokens))
+    tasks = max(spark.sparkContext.defaultParallelism, held["n"] // 2)
     sent_names, orders = [x.split()[0] for x in SENT.split(", ")], range(1, order + 1)
 
     def send_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -277,7 +281,10 @@ def score_texts(docs: DataFrame, train: Column, order: int = 2, block_tokens: in
                 rows += _send(-k, row.block, buckets, b.contexts[k], followed, kinds)
         return pd.DataFrame(rows, columns=sent_names)
 
-    exchange = lambda sent: written(sent.groupBy("order", "bucket").applyInPandas(_totals, BACK), "totals")
+    def exchange(sent: DataFrame) -> DataFrame:
+        return written(sent.repartition(buckets, "order", "bucket").groupBy("order", "bucket").applyInPandas(_totals, BACK), "totals")
+
+    by_block = lambda table: table.repartition(tasks, "block").groupBy("block")
     grams = exchange(blocks.mapInPandas(send_grams, SENT))
     sums = grams.filter("block is null").groupBy("order").agg(*[F.sum(c).alias(c) for c in ("n1", "n2", "kept", "total")])
     stats = {k: {"n1": 0, "n2": 0, "kept": 0, "total": 0} for k in orders} | {r["order"]: r.asDict() for r in sums.collect()}
@@ -286,7 +293,7 @@ def score_texts(docs: DataFrame, train: Column, order: int = 2, block_tokens: in
     grams = grams.filter("block is not null").select("order", "block", "bucket", "counts", "kinds")
     back = grams
     if order > 1:
-        contexts = blocks.groupBy("block").cogroup(grams.groupBy("block")).applyInPandas(send_contexts, SENT)
+        contexts = by_block(blocks).cogroup(by_block(grams)).applyInPandas(send_contexts, SENT)
         back = grams.union(exchange(contexts).filter("block is not null").select(*grams.columns))
 
     def score(key: tuple, mine: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
@@ -307,4 +314,4 @@ def score_texts(docs: DataFrame, train: Column, order: int = 2, block_tokens: in
         names = [x.split()[0] for x in RESULT.split(", ")]
         return pd.concat(out) if out else pd.DataFrame({c: [] for c in names})
 
-    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(score, RESULT)
+    return by_block(blocks).cogroup(by_block(back)).applyInPandas(score, RESULT)
