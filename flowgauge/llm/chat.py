@@ -58,13 +58,12 @@ def flatten_parts(parts: Column) -> tuple[Column, Column]:
         F.filter(parts, is_file),
         lambda p, k: F.struct((k + 1).alias("number"), p["type"].alias("type"), p["ref"].alias("ref"), _tokens(p).alias("tokens")),
     )
-    numbered = F.transform(
-        parts, lambda p, k: F.struct(p.alias("p"), F.size(F.filter(F.slice(parts, F.lit(1), k + 1), is_file)).alias("number"))
-    )
-    visit = lambda x: F.when(
-        is_file(x["p"]), F.concat(F.lit("<|"), x["p"]["type"], F.lit(":"), x["number"].cast("string"), F.lit("|>"))
-    ).otherwise(escape(F.coalesce(x["p"]["text"], F.lit(""))))
-    return F.array_join(F.transform(numbered, visit), ""), files
+    # the places of attachments, found once: the k-th attachment is at the k-th place
+    places = F.filter(F.transform(parts, lambda p, k: F.when(is_file(p), k)), lambda k: k.isNotNull())
+    visit = lambda p, k: F.when(
+        is_file(p), F.concat(F.lit("<|"), p["type"], F.lit(":"), F.array_position(places, k).cast("string"), F.lit("|>"))
+    ).otherwise(escape(F.coalesce(p["text"], F.lit(""))))
+    return F.array_join(F.transform(parts, visit), ""), files
 
 
 def format_chat(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
