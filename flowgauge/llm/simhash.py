@@ -20,15 +20,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowgauge.llm.common import words, written
+from flowgauge.llm.common import new_names, words, written
 from flowgauge.llm.components import connected_components
 
 #: Rows and columns of the blocks compared at once inside a pair of tiles.
 BLOCK = 512
 #: Shingles of the rows that are verified at once on either side of a pair.
 SUB_TILE = 1 << 21
-#: Candidates' ids and fingerprints are looked up by this many slots first, so that their broadcast is bounded.
+#: Candidates' fingerprints are looked up by this many slots first, so that their broadcast is bounded.
 SLOTS = 1 << 20
+#: Pairs of tiles that a task compares, while there are fewer than so many tasks.
+PAIRS_A_TASK, MOST_TASKS = 4, 20_000
 
 
 def _hashes(shingles: list[bytes], lanes: int) -> np.ndarray:
@@ -201,40 +203,53 @@ def spanning_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tup
 
 
 def tiled(classes: DataFrame, radius: int, lanes: int, tile_size: int, width: int | None = None) -> DataFrame:
-    """``classes(fp, pop)``, distinct, to ``(p, q, t, rows)``: for each pair of tiles to compare, the rows of both.
+    """``classes(fp, pop)``, distinct, to ``(p, q, left, right)``: the rows of each pair of tiles to compare.
 
     A row of a tile has ``width`` numbers of 8 bytes, of which the first
-    ``lanes`` are the fingerprint. Only the counts of rows by number of set bits
-    (64 * lanes + 1 at most) reach the driver.
+    ``lanes`` are the fingerprint; ``right`` is null where a tile meets itself.
+    Only the counts of rows by number of set bits (64 * lanes + 1 at most) reach
+    the driver. Pairs are listed by tasks, a row each, and dealt one by one.
     """
     width = width or lanes
+    spark = classes.sparkSession
     counts = {r["pop"]: r["n"] for r in classes.groupBy("pop").agg(F.count("*").alias("n")).collect()}
     bands = tile_bands(counts, tile_size)
-    tiles = [(k, s) for k, (_, _, n) in enumerate(bands) for s in range(n)]
-    first = np.cumsum([0] + [n for _, _, n in bands]).tolist()
+    first = np.cumsum([0] + [n for _, _, n in bands])
+    low, high = (np.array([x[k] for x in bands], np.int64) for k in (0, 1))
     pops = [next((k for k, (lo, hi, _) in enumerate(bands) if lo <= p <= hi), 0) for p in range(64 * lanes + 1)]
     band = F.element_at(F.array(*map(F.lit, pops)), F.col("pop") + 1) if bands else F.lit(0)
     size = F.element_at(F.array(*[F.lit(n) for _, _, n in bands]), band + 1) if bands else F.lit(1)
-    start = F.element_at(F.array(*[F.lit(x) for x in first]), band + 1)
+    start = F.element_at(F.array(*[F.lit(int(x)) for x in first]), band + 1)
+    n_tiles = int(first[-1])
+    # bands within the radius of each band, itself and later ones: all of their tiles are partners
+    reach = [int(np.searchsorted(low, h + radius, "right")) for h in high.tolist()]
+    n_pairs = sum(n * int(first[reach[k]] - first[k + 1]) + n * (n + 1) // 2 for k, (_, _, n) in enumerate(bands))
 
-    def partners(t: int) -> Iterator[tuple[int, int]]:
-        low, high, _ = bands[tiles[t][0]]
-        for u, (k, _) in enumerate(tiles):
-            if bands[k][0] - high <= radius and low - bands[k][1] <= radius:
-                yield min(t, u), max(t, u)
-
-    def deal(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        t = int(key[0])
+    def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         a = np.frombuffer(b"".join(group["fp"]), np.uint64).reshape(len(group), width)
         a = a[np.lexsort(_quarters(np.ascontiguousarray(a[:, :lanes])).T)]
-        return pd.DataFrame([(p, q, t, a.tobytes()) for p, q in partners(t)], columns=["p", "q", "t", "rows"])
+        return pd.DataFrame([(int(key[0]), a.tobytes())], columns=["tile", "rows"])
+
+    def partners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for t in b["id"].tolist():
+                last = int(first[reach[int(np.searchsorted(first, t, "right")) - 1]])
+                for k in range(t, last, 100_000):
+                    yield pd.DataFrame({"p": np.int32(t), "q": np.arange(k, min(last, k + 100_000), dtype=np.int32)})
 
     tile = start + F.pmod(F.xxhash64("fp"), size)
-    return (
-        classes.select("fp", tile.cast("int").alias("tile"))
-        .groupBy("tile")
-        .applyInPandas(deal, "p int, q int, t int, rows binary")
-    )
+    dealt = classes.select("fp", tile.cast("int").alias("tile")).groupBy("tile")
+    tiles = written(dealt.applyInPandas(pack, "tile int, rows binary"), "tiles")
+    pairs = spark.range(n_tiles).mapInPandas(partners, "p int, q int")
+    left = tiles.select(F.col("tile").alias("p"), F.col("rows").alias("left"))
+    right = tiles.select(F.col("tile").alias("q"), F.col("rows").alias("right"))
+    joined = pairs.join(left, "p").join(right, "q").withColumn("right", F.when(F.col("p") != F.col("q"), F.col("right")))
+    # a task for every few pairs, whatever the bytes: comparing is what costs
+    return joined.repartition(max(1, min(n_pairs, MOST_TASKS, n_pairs // PAIRS_A_TASK + 1)), "p", "q")
+
+
+def _tile_parts(row, width: int) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64).reshape(-1, width) for x in (row["left"], row["right"]) if x is not None]
 
 
 def near_links(classes: DataFrame, radius: int, lanes: int = 1, tile_size: int = 8192) -> DataFrame:
@@ -245,9 +260,7 @@ def near_links(classes: DataFrame, radius: int, lanes: int = 1, tile_size: int =
     """
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.frombuffer(x, np.uint64).reshape(-1, lanes) for x in group.sort_values("t")["rows"]]
-        if len(parts) == 1 and key[0] != key[1]:
-            return pd.DataFrame({"a": [], "b": []}, dtype=object)
+        parts = _tile_parts(group.iloc[0], lanes)
         rows = np.concatenate(parts)
         links = spanning_links(parts[0], parts[1] if len(parts) > 1 else None, radius)
         return pd.DataFrame([(rows[p].tobytes(), rows[q].tobytes()) for p, q in links], columns=["a", "b"], dtype=object)
@@ -336,7 +349,7 @@ def jaccard_links(
 def jaccard_class_links(
     docs: DataFrame, classes: DataFrame, shingle: int, radius: int, lanes: int, similarity: float, tile_size: int
 ) -> DataFrame:
-    """``classes(fp, pop, first)`` of ``docs(doc_id, text)`` by ``shingle_set`` to verified links ``(a, b)``.
+    """``classes(fp, pop)`` of ``docs(fp, text)`` by ``shingle_set`` to verified links ``(a, b)``.
 
     Tiles name the rows that have a candidate; only for these the shingles are
     read from the texts, and each pair of sub-tiles verifies its own.
@@ -344,19 +357,16 @@ def jaccard_class_links(
     width = lanes + 2
 
     def search(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.frombuffer(x, np.uint64).reshape(-1, width) for x in group.sort_values("t")["rows"]]
-        names = ["p", "q", "x", "y", "side", "fp"]
-        if len(parts) == 1 and key[0] != key[1]:
-            return pd.DataFrame({c: [] for c in names})
+        parts = _tile_parts(group.iloc[0], width)
         found = candidate_rows(parts[0], parts[1] if len(parts) > 1 else None, radius, lanes, similarity)
         of = lambda side, r: parts[side if len(parts) > 1 else 0][r].tobytes()
-        return pd.DataFrame([(*key, x, y, side, of(side, r)) for x, y, side, r in found], columns=names)
+        return pd.DataFrame([(*key, x, y, side, of(side, r)) for x, y, side, r in found], columns=["p", "q", "x", "y", "side", "fp"])
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for k in range(0, len(b), 1000):
-                found = [shingle_set(t, shingle, lanes) for t in b["text"].iloc[k : k + 1000]]
-                yield pd.DataFrame({"fp": [x for x, _ in found], "hashes": [h.tobytes() for _, h in found]})
+                found = [shingle_set(t, shingle, lanes)[1].tobytes() for t in b["text"].iloc[k : k + 1000]]
+                yield pd.DataFrame({"fp": b["fp"].iloc[k : k + 1000], "hashes": found})
 
     def verify(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["side", "fp"])
@@ -367,15 +377,12 @@ def jaccard_class_links(
 
     pairs = tiled(classes, radius, lanes, tile_size, width).groupBy("p", "q")
     wanted = written(pairs.applyInPandas(search, "p int, q int, x int, y int, side int, fp binary"), "wanted")
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).alias("slot")
-    keys = wanted.select("fp").distinct()
-    by_id = F.broadcast(keys.join(classes, "fp").select(slot("first")).distinct())
-    by_fp = F.broadcast(keys.select(slot("fp")).distinct())
-    texts = docs.select("text", slot("doc_id")).join(by_id, "slot", "left_semi").select("text")
-    sets = texts.mapInPandas(shingles, "fp binary, hashes binary").select("fp", "hashes", slot("fp"))
-    sets = sets.join(by_fp, "slot", "left_semi").groupBy("fp").agg(F.first("hashes").alias("hashes"))
-    joined = wanted.join(written(sets, "sets"), "fp")
-    return joined.groupBy("p", "q", "x", "y").applyInPandas(verify, "a binary, b binary")
+    slot = F.pmod(F.xxhash64("fp"), F.lit(SLOTS)).alias("slot")
+    slots = F.broadcast(wanted.select(slot).distinct())
+    # one text of each class, reduced before the shuffle: a class may hold a third of all rows
+    texts = docs.select("fp", "text", slot).join(slots, "slot", "left_semi").groupBy("fp").agg(F.first("text").alias("text"))
+    sets = written(texts.mapInPandas(shingles, "fp binary, hashes binary"), "sets")
+    return wanted.join(sets, "fp").groupBy("p", "q", "x", "y").applyInPandas(verify, "a binary, b binary")
 
 
 def fingerprint_classes(fingerprints: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -427,12 +434,18 @@ def drop_near_duplicates(
     counted: two texts of similarity s differ in about 256 / pi * acos(2s / (1 + s))
     bits, 39 with a deviation of 6 at 0.8; four shingles of five differ most, in
     48. Null and empty texts form one group. Column names starting with
-    ``_near_`` are reserved.
+    ``_near`` are reserved.
     """
-    fp = shingle_set_column(F.col("text"), shingle, lanes)
-    fps = written(docs.select("doc_id", fp.alias("p")).select("doc_id", "p.fp", "p.pop"), "fingerprints")
+    new_names(docs, "_near", "_near_fp", "_near_pop", "_near_root", "_near_keep", "_near_twice")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # fingerprints are worked out once and stored beside the texts
+    print_ = shingle_set_column(F.col("text"), shingle, lanes).alias("_near")
+    marked = docs.select("*", print_).select(*columns, F.col("_near.fp").alias("_near_fp"), F.col("_near.pop").alias("_near_pop"))
+    marked = written(marked, "marked")
+    fps = marked.select("doc_id", F.col("_near_fp").alias("fp"), F.col("_near_pop").alias("pop"))
+    texts = marked.select(F.col("_near_fp").alias("fp"), "text")
     classes = fingerprint_classes(
-        fps, lambda c: jaccard_class_links(docs, c, shingle, radius, lanes, similarity, tile_size=16384)
+        fps, lambda c: jaccard_class_links(texts, c, shingle, radius, lanes, similarity, tile_size=16384)
     )
     # only groups of several rows decide anything; in some, several rows share the doc_id that stays
     groups = written(classes.filter("several").select("fp", "root", "component_id"), "groups")
@@ -451,10 +464,8 @@ def drop_near_duplicates(
     if repeats:
         groups = written(groups, "decisions")
     # one join by sort and merge, at every size: texts are shuffled once
-    marked = docs.withColumn("_near_fp", fp["fp"])
     joined = marked.join(groups.hint("merge"), "_near_fp", "left")
     stays = F.col("doc_id").eqNullSafe(F.col("_near_keep"))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
     kept = joined.filter(F.col("_near_root").isNull() | (stays & ~F.col("_near_twice"))).select(*columns)
     if not repeats:
         return kept

@@ -1,6 +1,7 @@
 """Near-dedup against the Jaccard similarity of all pairs."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -8,8 +9,11 @@ import pytest
 from flowgauge.llm import simhash
 
 
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
 def shingles(text):
-    w = text.lower().split()
+    w = re.findall("[^\x20\x09-\x0d]+", (text or "").translate(LOWER))
     return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
 
 
@@ -24,7 +28,7 @@ def kept_by_all_pairs(rows):
     sets = [(i, shingles(t)) for i, t in rows]
     for k, (i, a) in enumerate(sets):
         for j, b in sets[:k]:
-            if 5 * len(a & b) >= 4 * len(a | b):
+            if min(len(a), len(b)) * 5 >= max(len(a), len(b)) * 4 and 5 * len(a & b) >= 4 * len(a | b):
                 p, q = sorted((find(i), find(j)))
                 root[q] = p
     return {i for i in root if root[i] == i}
