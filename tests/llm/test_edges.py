@@ -72,8 +72,9 @@ def test_quality(docs, none, spark):
 def test_decontaminate(docs, none, spark):
     items = [(1, "a b c"), (1, "a b c"), (2, None), (3, ""), (None, "x y"), (4, "lorem ipsum dolor")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    for annotate in (decontam.annotate_by_broadcast, decontam.annotate_by_join):
-        got = sorted((str(r["doc_id"]), r["_contamination"].asDict(True)) for r in annotate(docs, benchmark, 13).collect())
+    for most in (0, 5, 1_000_000):  # one window too many for 0, all of them within the others
+        found = decontam.annotate_contamination(docs, benchmark, max_broadcast_windows=most)
+        got = sorted((str(r["doc_id"]), r["_contamination"].asDict(True)) for r in found.collect())
         by = dict(got)
         assert by["1"] == {"n_words": 6, "n_hit": 3, "items": [1], "spans": [{"start": 0, "end": 3}]}
         assert by["2"] == {"n_words": 0, "n_hit": 0, "items": [], "spans": []} and by["None"]["n_hit"] == 0
@@ -82,6 +83,9 @@ def test_decontaminate(docs, none, spark):
     cut = decontam.decontaminate(docs, benchmark, action="spans")
     assert cut.columns == docs.columns and {r["text"] for r in cut.filter("doc_id in (1, 4)").collect()} == {" d e f"}
     assert decontam.decontaminate(none, benchmark).count() == 0
+    for taken, most in (("_contamination", 9), ("_row", 0), ("_at", 0)):
+        with pytest.raises(ValueError):
+            decontam.annotate_contamination(docs.withColumn(taken, F.lit(1)), benchmark, max_broadcast_windows=most)
     assert decontam.decontaminate(docs, benchmark.limit(0)).count() == len(DOCS)
 
 
@@ -93,6 +97,9 @@ def test_bpe(docs, none):
     assert coded.columns == [*docs.columns, "ids", "decoded"]
     assert all((r["text"] or "").encode() == bytes(r["decoded"]) for r in coded.collect())
     assert bpe.bpe_encode(none, path, P.PATTERN).count() == 0
+    for call in (lambda: bpe.bpe_encode(docs, path, P.PATTERN, out="LICENSES"), lambda: bpe.bpe_encode(docs, path, P.PATTERN, decoded="at"), lambda: bpe.bpe_decode(coded, path)):
+        with pytest.raises(ValueError):
+            call()
 
 
 def test_token_counts(docs, none):
@@ -104,6 +111,10 @@ def test_token_counts(docs, none):
     assert token_counts.count_tokens(none, scores, P.PATTERN).count() == 0
     with pytest.raises(ValueError):
         token_counts.count_tokens(docs, {b"a": 0.0}, P.PATTERN)
+    with pytest.raises(ValueError):
+        token_counts.count_tokens(docs, scores, P.PATTERN, out="at")
+    long = docs.sparkSession.createDataFrame([("ab" * 50_000,)], "text string")  # one pre-token
+    assert 0 < token_counts.count_tokens(long, scores, P.PATTERN).first()["n_tokens"] <= 50_000
 
 
 def test_licenses(docs, none, spark):
@@ -191,7 +202,10 @@ def test_top_k(spark):
     ]
     table = spark.createDataFrame([(*r, "clash", 1) for r in rows], "vec_id long, embedding array<double>, rank string, score int")
     got = sorted(tuple(r) for r in topk.top_k(table.filter("vec_id in (0, 1)"), table, k=2).collect())
-    assert got == [(0, 1, 1, 32768), (0, 2, 2, 32768), (1, 1, 0, 32768), (1, 2, 2, 32768)]
+    # both rows with the id 0 are candidates of the query 1, none of them of the query 0
+    assert got == [(0, 1, 1, 32768), (0, 2, 2, 32768), (1, 1, 0, 32768), (1, 2, 0, 32768)]
+    blocks = sorted(tuple(r) for r in topk.top_k(table.filter("vec_id in (0, 1)"), table, k=2, block_rows=1, query_rows=1).collect())
+    assert blocks == got
     assert topk.top_k(table.limit(0), table).count() == 0 and topk.top_k(table, table.limit(0)).count() == 0
     huge = spark.createDataFrame([(0, [1e15, 1.0]), (1, [1e15, 3.0]), (2, [1e15, 2.0])], "vec_id long, embedding array<double>")
     assert [r["vec_id"] for r in topk.top_k(huge.filter("vec_id = 0"), huge, k=2).orderBy("rank").collect()] == [1, 2]

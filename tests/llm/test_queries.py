@@ -20,6 +20,7 @@ from flowgauge.llm import bpe, decontam, licenses, quality, simhash
 from flowgauge.llm.queries import QUERIES, SQL
 from flowgauge.llm.token_counts import zipf_scores
 from tests.conftest import same_rows
+from tests.llm.test_near_dedup import kept_by_all_pairs
 
 SF = "/root/testdata/sf0.001"
 TABLES = "documents embeddings pages benchmark labels conversations".split()
@@ -131,16 +132,50 @@ def test_lm_is_better_than_base(spark):
     assert held.score.sum() > held.base_score.sum()
 
 
+def brute_licenses(text, templates):
+    """Every run of passages against every template, one by one; of overlapping matches, that with most in common stays."""
+
+    def words(t):
+        return re.findall(r"[^\W_]+(?:\.\d+)*", t.lower())
+
+    def bag(w):
+        w = ["", *w, ""]
+        return Counter(zip(w, w[1:]))
+
+    bags = [(name, bag(words(t))) for name, ts in templates.items() for t in ts]
+    largest = max(sum(b.values()) for _, b in bags)
+    passages = [w for p in re.split(r"\n+|(?<=[.!?;])\s+", text or "") if (w := words(p))]
+    starts = np.cumsum([0, *map(len, passages)]).tolist()
+    found = []
+    for i in range(len(passages)):
+        run = []
+        for j in range(i, len(passages)):
+            run += passages[j]
+            if len(run) > 2 * largest:
+                break
+            mine, top = bag(run), None
+            for name, b in bags:
+                common = sum(min(c, b[g]) for g, c in mine.items() if g in b)
+                score = 2 * common / (sum(mine.values()) + sum(b.values()))
+                if score >= 0.8 and (top is None or (-score, name) < top[0]):
+                    top = (-score, name), common
+            if top:
+                found.append((-top[1], top[0][0], starts[i], starts[j + 1], top[0][1]))
+    out, taken = [], set()
+    for _, score, s, e, name in sorted(found):
+        if not taken & set(range(s, e)):
+            taken |= set(range(s, e))
+            out.append((name, -score))
+    return out
+
+
 def test_licenses(spark, docs):
-    bags = {k: licenses.bigrams(v) for k, v in licenses.TEMPLATES.items()}
+    templates = {k: [t[k] for t in (licenses.TEMPLATES, licenses.TEXTS) if k in t] for k in [*licenses.TEMPLATES, *licenses.TEXTS]}
     got = {r["doc_id"]: tuple(r)[1:] for r in QUERIES["op4_licenses"](spark, SF).collect()}
-    for i, t in docs:
-        passages = licenses.CUT.split(t or "")
-        found = []
-        for passage in passages + ([t] if len(passages) > 1 else []):
-            top = min((-licenses.dice(licenses.bigrams(passage), b), k) for k, b in bags.items())
-            if -top[0] >= 0.8:
-                found.append((top[1], -top[0]))
+    short = [(i, t) for i, t in docs if len(t or "") < 5_000]
+    assert len(short) > 150
+    for i, t in short:
+        found = brute_licenses(t, templates)
         assert got[i] == (len(found), ",".join(sorted({k for k, _ in found})), max([d for _, d in found], default=0.0))
     assert sum(n for n, _, _ in got.values()) > 0
 
@@ -239,10 +274,27 @@ def test_top_k_of_clusters():
     v = (centers[rng.integers(0, 20, 3000)] + rng.integers(-3, 4, (3000, 8))).astype(float)
     v[:900] = v[0]
     ids, q = rng.permutation(3000), np.arange(0, 3000, 40)
-    scores, found = dual_tree_top_k(ids[q], v[q], ids, v, 5)
+    scores, found, scored = dual_tree_top_k(ids[q], v[q], ids, v, 5)
+    assert scored < 0.35 * len(q) * len(v)
     for k, row in enumerate(q):
         expected = sorted((-int(v[row] @ v[j]), int(ids[j])) for j in range(3000) if j != row)[:5]
         assert [(-int(s), int(i)) for s, i in zip(scores[k], found[k])] == expected
+    # known kth scores prune more and lose nothing that reaches them
+    again, same, fewer = dual_tree_top_k(ids[q], v[q], ids, v, 5, floor=scores[:, -1])
+    assert fewer < scored and (again == scores).all() and (same == found).all()
+
+
+def test_top_k_of_the_table_prunes():
+    from flowgauge.llm.topk import dual_tree_top_k
+
+    table = pd.read_parquet("/root/testdata/sf0.1/embeddings.parquet")
+    v, ids = np.floor(256 * np.stack(table.embedding.to_numpy()).astype(float)), table.vec_id.to_numpy()
+    q = ids % 50 == 0
+    scores, found, scored = dual_tree_top_k(ids[q], v[q], ids, v, 5)
+    assert scored < 0.6 * q.sum() * len(v)
+    for row, s, i in zip(np.nonzero(q)[0], scores, found):
+        expected = sorted((-int(v[row] @ v[j]), int(ids[j])) for j in range(len(v)) if j != row)[:5]
+        assert [(-int(x), int(y)) for x, y in zip(s, i)] == expected
 
 
 def test_pipeline(spark, docs):
@@ -255,8 +307,9 @@ def test_pipeline(spark, docs):
         slots, values = quality.features(t, 18)
         if 1 / (1 + math.exp(-max(-35, min(35, w[slots] @ values + w[-1])))) >= 0.3:
             kept.append((i, t))
-    near = groups([i for i, _ in kept], [print_of(t, 5, 4) for _, t in kept], 50)
-    kept = [(i, t) for i, t in kept if near[i] == i]
+    # the contract's rule: five-word shingles at a Jaccard similarity of 0.8 or more, all pairs
+    stay = kept_by_all_pairs(kept)
+    kept = [(i, t) for i, t in kept if i in stay]
     benchmark = pd.read_parquet(f"{SF}/benchmark.parquet")
     runs = {run for t in benchmark.text for run in decontam.item_windows(decontam.item_words(t), 13)}
     sizes = {len(r) for r in runs}
