@@ -176,11 +176,10 @@ def _totals(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(columns | {"block": pd.array(columns["block"], "Int64")})
 
 
-def _received(back: pd.DataFrame, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Totals and kinds for all of a block's keys, in key order."""
+def _received(back: pd.DataFrame, order: int, column: str) -> np.ndarray:
+    """``counts`` or ``kinds`` for all of a block's keys, in key order."""
     mine = back[back["order"] == order].sort_values("bucket")
-    empty = [np.zeros(0, np.int64)]
-    return tuple(np.concatenate(empty + [_unpack(x, "<i8") for x in mine[c]]) for c in ("counts", "kinds"))
+    return np.concatenate([np.zeros(0, np.int64), *[_unpack(x, "<i8") for x in mine[column]]])
 
 
 class Automaton:
@@ -277,7 +276,7 @@ def score_texts(docs: DataFrame, train: Column, order: int = 2, block_tokens: in
             for k in orders[1:]:
                 of, n = b.context_at[k], len(b.contexts[k])
                 followed = np.bincount(of, b.counts(k), n).astype(np.int64)
-                kinds = np.bincount(of, _received(back, k)[1], n).astype(np.int64)
+                kinds = np.bincount(of, _received(back, k, "kinds"), n).astype(np.int64)
                 rows += _send(-k, row.block, buckets, b.contexts[k], followed, kinds)
         return pd.DataFrame(rows, columns=sent_names)
 
@@ -291,17 +290,20 @@ def score_texts(docs: DataFrame, train: Column, order: int = 2, block_tokens: in
     for s in stats.values():
         s["discount"] = min(0.9, max(0.1, s["n1"] / (s["n1"] + 2 * s["n2"]))) if s["n1"] + s["n2"] else 0.5
     grams = grams.filter("block is not null").select("order", "block", "bucket", "counts", "kinds")
-    back = grams
+    # each way carries what it needs: first which n-grams are new, then their totals
+    back = grams.withColumn("kinds", F.lit(None).cast("binary"))
     if order > 1:
-        contexts = by_block(blocks).cogroup(by_block(grams)).applyInPandas(send_contexts, SENT)
-        back = grams.union(exchange(contexts).filter("block is not null").select(*grams.columns))
+        new = grams.filter("order > 1").select("order", "block", "bucket", "kinds")
+        contexts = by_block(blocks).cogroup(by_block(new)).applyInPandas(send_contexts, SENT)
+        back = back.union(exchange(contexts).filter("block is not null").select(*grams.columns))
 
     def score(key: tuple, mine: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in mine.itertuples(index=False):
             b = Block(row, order)
-            totals = {k: _received(back, k)[0] for k in orders}
-            automaton = Automaton(b, order, totals, {k: _received(back, -k) for k in orders[1:]}, stats)
+            totals = {k: _received(back, k, "counts") for k in orders}
+            followed = {k: (_received(back, -k, "counts"), _received(back, -k, "kinds")) for k in orders[1:]}
+            automaton = Automaton(b, order, totals, followed, stats)
             n, v = stats[1]["total"], stats[1]["kept"]
             c = totals[1][b.ends[1]]
             base = np.add.reduceat(np.log10((c + 1) / (n + v + 1)), b.first)
