@@ -9,8 +9,9 @@ verified in parallel, and no part holds more than ``part_ids`` ids.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,24 +34,33 @@ def build_chain(events: DataFrame, segment: str = "segment", part_ids: int = PAR
     """``events`` (schema AUDIT and ``segment``) with ``part``, ``previous_hash`` and ``entry_hash``, chained by id in each part.
 
     Ids are unique in a log; of entries that share one, the order is that of
-    their texts. A part of a segment is what one task holds.
+    their texts. A part of a segment goes through one task.
     """
     fields = ("id", "event_type", "actor", "symbol", "event_id", "details", "created_at_ms")
     body = canonical(F.lit(""))
     rows = events.select(segment, _part(part_ids).alias("part"), *fields, body.alias("_body"))
 
-    def chain(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["id", "_body"], kind="stable")
-        last, before, own = None, [], []
-        for text in group["_body"]:
-            before.append(last)
-            last = hashlib.sha256((text + (last or "")).encode()).hexdigest()
-            own.append(last)
-        return group.drop(columns="_body").assign(previous_hash=pd.array(before, "object"), entry_hash=own)
-
+    # one sorted pass over each task's parts: it holds the last hash and nothing else
+    dealt = rows.repartition(segment, "part").sortWithinPartitions(segment, "part", "id", "_body")
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = None, None
+        for b in batches:
+            get = lambda c: b.column(b.schema.get_field_index(c)).to_pylist()  # noqa: B023, E731
+            before, own = [], []
+            for where, text in zip(zip(get(segment), get("part")), get("_body")):
+                if where != at:
+                    at, last = where, None
+                before.append(last)
+                last = hashlib.sha256((text + (last or "")).encode()).hexdigest()
+                own.append(last)
+            kept = [b.column(b.schema.get_field_index(c)) for c in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(before, pa.string()), pa.array(own, pa.string())], names=[*names, "previous_hash", "entry_hash"])
+
+    names = [segment, "part", *fields]
     kinds = {f.name: f for f in rows.schema.fields}
-    schema = T.StructType([kinds[c] for c in (segment, "part", *fields)] + [T.StructField(c, T.StringType()) for c in ("previous_hash", "entry_hash")])
-    return rows.groupBy(segment, "part").applyInPandas(chain, schema)
+    hashes = [T.StructField(c, T.StringType()) for c in ("previous_hash", "entry_hash")]
+    return dealt.mapInArrow(chain, T.StructType([kinds[c] for c in names] + hashes))
 
 
 def verify_chain(log: DataFrame, segment: str = "segment", part_ids: int = PART_IDS) -> DataFrame:

@@ -56,11 +56,14 @@ def column_positions(header: str | None, width: int, layout: str) -> dict[str, i
     return {c: k for c, k in found.items() if k is not None}
 
 
-def _fields(value: Column, width: int) -> Column:
-    """The line's first ``width`` fields; quotes around a field may hold commas, and a stray quote is a character."""
-    schema = ", ".join(f"c{k} string" for k in range(width))
-    read = F.from_csv(value, schema, {"mode": "PERMISSIVE", "quote": '"', "escape": '"', "nullValue": "\u0000"})
-    return F.array(*[F.trim(read[f"c{k}"], F.lit(' "\r')) for k in range(width)])
+def _with_fields(lines: DataFrame, value: str, width: int) -> DataFrame:
+    """``lines`` with their first ``width`` fields ``_f0``, ...; quotes around a field may hold commas, a stray quote is a character.
+
+    A generator, so that Catalyst reads each line once and not for every use of a field.
+    """
+    schema = ", ".join(f"_f{k} string" for k in range(width))
+    read = F.from_csv(F.col(value), schema, {"mode": "PERMISSIVE", "quote": '"', "escape": '"', "nullValue": "\u0000"})
+    return lines.select("*", F.inline(F.array(read)))
 
 
 def parse_lines(
@@ -72,9 +75,12 @@ def parse_lines(
     such field). With ``plain_time`` times are whole numbers taken as they stand,
     as in dumps without a header.
     """
-    fields = _fields(F.col(value), width)
+    lines = _with_fields(lines, value, width)
+    fields = F.array(*[F.trim(f"_f{k}", F.lit(' "\r')) for k in range(width)])
     at = lambda c: positions[c] if isinstance(positions[c], Column) else F.lit(positions[c])
-    get = lambda c: F.try_element_at(fields, at(c) + 1) if c in positions else F.lit(None).cast("string")
+    fixed = lambda c: isinstance(positions[c], int) and positions[c] < width
+    one = lambda c: F.trim(f"_f{positions[c]}", F.lit(' "\r')) if fixed(c) else F.try_element_at(fields, at(c) + 1)
+    get = lambda c: one(c) if c in positions else F.lit(None).cast("string")
     whole = get("time").try_cast("long")
     as_is = plain_time if isinstance(plain_time, Column) else F.lit(plain_time)
     time = F.when(as_is, whole).otherwise(S.parse_time_ms(get("time")))
