@@ -18,6 +18,8 @@ def first_of_each(rows: DataFrame, order: list[Column], key: tuple[str, ...] = K
     repeats without end costs one row a task.
     """
     others = [c for c in rows.columns if c not in key]
+    if not others:
+        return rows.distinct()
     best = F.min_by(F.struct(*[F.col(f"`{c}`") for c in others]), F.struct(*order)).alias("_row")
     return rows.groupBy(*key).agg(best).select(*key, "_row.*").select(*rows.columns)
 
@@ -25,12 +27,15 @@ def first_of_each(rows: DataFrame, order: list[Column], key: tuple[str, ...] = K
 def within_ttl(rows: DataFrame, time_ms: str, ttl_ms: int, key: tuple[str, ...] = KEY, order: tuple[str, ...] = ()) -> DataFrame:
     """Keeps a row when none of its key was kept in the ``ttl_ms`` before; a suppressed row does not extend that.
 
-    One sorted pass over each task's keys: it holds a key's last kept time and
-    nothing else, whatever the key's number of rows. Among rows of one key and
-    time, the first by ``order`` stays. Rows without a time are dropped.
+    Of rows of one key and time the first by ``order`` stays, found before the
+    shuffle: a trade that repeats without end costs one row a task. What is left
+    takes one sorted pass over each task's keys, which holds a key's last kept
+    time and nothing else. Rows without a time are dropped.
     """
-    by = [F.col(f"`{c}`") for c in (*key, time_ms, *order)]
-    dealt = rows.filter(F.col(time_ms).isNotNull()).repartition(*by[: len(key)]).sortWithinPartitions(*by)
+    by = [F.col(f"`{c}`") for c in (*key, time_ms)]
+    ties = [F.col(f"`{c}`") for c in order] or [F.lit(0)]
+    each = first_of_each(rows.filter(by[-1].isNotNull()), ties, (*key, time_ms))
+    dealt = each.repartition(*by[:-1]).sortWithinPartitions(*by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key, last = None, 0

@@ -17,12 +17,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowgauge.config import ScorerConfig
 from flowgauge.functions import scalars as S
+from flowgauge.operators.tables import previous
 from flowgauge.tables import stored
 
 ORDER = ("trade_time_ms", "trade_id")
@@ -193,8 +194,9 @@ def checkpoint_epochs(scored: DataFrame, every: int = 100) -> DataFrame:
     return scored.groupBy("symbol", epoch).agg(F.count("*").alias("n_trades"))
 
 
-def with_pacing(trades: DataFrame, speed: float, most_ms: float = 2000.0) -> DataFrame:
+def with_pacing(trades: DataFrame, speed: float, most_ms: float = 2000.0, part_rows: int = 1_000_000) -> DataFrame:
     """The delay before each trade's replay: the gap to the symbol's trade before, divided by ``speed`` and capped."""
-    gap = F.col("trade_time_ms") - F.lag("trade_time_ms").over(Window.partitionBy("symbol").orderBy(*ORDER))
+    paced = previous(trades, "trade_time_ms", "symbol", ORDER, "_before", part_rows)
+    gap = F.col("trade_time_ms") - F.col("_before")
     delay = F.when((gap > 0) & (F.lit(speed) > 0), F.least(F.floor(gap / speed).cast("double"), F.lit(most_ms))).otherwise(0.0)
-    return trades.withColumn("delay_ms", F.coalesce(delay, F.lit(0.0)))
+    return paced.withColumn("delay_ms", F.coalesce(delay, F.lit(0.0))).drop("_before")

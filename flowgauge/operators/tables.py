@@ -72,6 +72,27 @@ def numbered(rows: DataFrame, order: list[str | Column], name: str = "sequence",
     return dealt.withColumn(name, inside).join(F.broadcast(offsets), "_part").withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_part", "_before")
 
 
+def previous(rows: DataFrame, column: str, key: str, order: tuple[str, ...], name: str, part_rows: int = 1_000_000) -> DataFrame:
+    """``rows`` with ``name``: ``column`` of the row before by ``order`` within ``key``, null for a key's first row.
+
+    A key may hold any share of the rows: these are dealt by ranges of
+    (key, order), and a range's first key takes up where the range before
+    ended, a row for each range at most.
+    """
+    parts = max(1, math.ceil(rows.count() / part_rows))
+    if parts == 1:
+        return rows.withColumn(name, F.lag(column).over(Window.partitionBy(key).orderBy(*order)))
+    dealt = stored(rows.repartitionByRange(parts, key, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    ends = dealt.groupBy(key, "_part").agg(F.max_by(column, F.struct(*order)).alias("_end"))
+    before = F.lag("_end").over(Window.partitionBy(key).orderBy("_part"))
+    # only a key that goes on from the range before has one: a row for each range at most
+    edges = ends.select(F.col(key).alias("_key"), F.col("_part").alias("_at"), before.alias("_edge")).filter("_edge is not null")
+    inside = Window.partitionBy(key, "_part").orderBy(*order)
+    lagged = dealt.withColumn(name, F.lag(column).over(inside)).withColumn("_first", F.row_number().over(inside) == 1)
+    joined = lagged.join(F.broadcast(edges), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_at")), "left")
+    return joined.withColumn(name, F.when(F.col("_first"), F.col("_edge")).otherwise(F.col(name))).drop("_part", "_first", "_key", "_at", "_edge")
+
+
 def replay(rows: DataFrame, number: str, start_row: int = 0, max_rows: int = 0, passes: int = 1) -> DataFrame:
     """``passes`` runs over the rows from ``start_row`` on, with ``pass`` from 0; ``max_rows`` over all passes if positive."""
     if start_row > 0:

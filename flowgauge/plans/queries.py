@@ -16,6 +16,7 @@ from flowgauge.plans import views as V
 from flowgauge.sources import brokers, csv_trades, frames
 from flowgauge.sources.synthetic import synthetic_trades
 from flowgauge.streaming.scorer import score_stream
+from flowgauge.streaming.sinks import json_writer
 from flowgauge.tables import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +97,20 @@ def sca21_uuid5(spark, sf_dir):
     return V.trades(spark, sf_dir).select("trade_id", S.uuid5_dns(F.col("trade_id").cast("string")).alias("event_id"))
 
 
+@query(f"""
+with {V.TRADES}, h as (select trade_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(trade_id::varchar)) h from trades)
+select trade_id, case when trade_id % 3 = 2 then 'fresh'
+  else h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ('89ab89ab89ab89ab')[instr('0123456789abcdef', h[17])] || h[18:20] || '-' || h[21:32] end event_id from h""")
+def sca21_uuid_repair(spark, sf_dir):
+    """Capitals in braces become canonical, other text its version 5 UUID, blanks a fresh version 4 one."""
+    i = F.col("trade_id")
+    text = i.cast("string")
+    sent = F.when(i % 3 == 0, F.concat(F.lit("{"), F.upper(S.uuid5_dns(text)), F.lit("}"))).when(i % 3 == 1, text).otherwise(" ")
+    made = V.trades(spark, sf_dir).select("trade_id", S.repair_uuid(sent).alias("made"))
+    fresh = F.col("made").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")
+    return made.select("trade_id", F.when((i % 3 == 2) & fresh, "fresh").otherwise(F.col("made")).alias("event_id"))
+
+
 @query(f"""
 with {V.TRADES}, s as (select symbol, count(*) n from trades group by symbol)
 select symbol, n, cast(list_reduce(list_prepend(2166136261::bigint, list_transform(range(1, len(symbol) + 1), lambda i: ascii(symbol[i])::bigint)),
@@ -205,6 +220,25 @@ def flt05_json_validate(spark, sf_dir):
     return validate_json(sent).select("trade_id", "reason")
 
 
+@query(f"""with {V.TRADES}, m as (
+  select trade_id, trade_id::varchar "key", symbol, trade_time_ms, case when trade_id % 5 = 0 then 'HOLD' else lower(side) end said from trades)
+select "key", trade_id % 5 <> 0 and trade_id % 7 <> 0 forwarded,
+  case when trade_id % 7 = 0 then '{{broken' when trade_id % 5 = 0 then
+    '{{"trade_id":' || trade_id || ',"symbol":" ' || symbol || '","side":"' || said || '","price":1,"quantity":2.5,"trade_time_ms":' || trade_time_ms || '}}'
+  else trade_id || ' ' || symbol || ' ' || upper(said) || ' ' || trade_time_ms end said from m""")
+def snk09_json_split(spark, sf_dir):
+    """Messages that pass, read back from their canonical JSON; the others as they came."""
+    said = F.when(F.col("trade_id") % 5 == 0, "HOLD").otherwise(F.lower("side"))
+    parts = F.lit('{"trade_id":'), F.col("trade_id"), F.lit(',"symbol":" '), F.col("symbol"), F.lit('","side":"'), said
+    text = F.concat(*parts, F.lit('","price":1,"quantity":2.5,"trade_time_ms":'), F.col("trade_time_ms"), F.lit("}"))
+    sent = V.trades(spark, sf_dir).select(F.col("trade_id").cast("string").alias("key"), F.when(F.col("trade_id") % 7 == 0, "{broken").otherwise(text).alias("value"))
+    good, bad = shared_path(spark, "forwarded"), shared_path(spark, "rejected")
+    json_writer(good, bad)(sent, 0)
+    read = F.concat_ws(" ", *[F.get_json_object("value", f"$.{c}") for c in ("trade_id", "symbol", "side", "trade_time_ms")])
+    forwarded = spark.read.parquet(f"{good}/batch=0").select("key", F.lit(True).alias("forwarded"), read.alias("said"))
+    return forwarded.unionByName(spark.read.parquet(f"{bad}/batch=0").select("key", F.lit(False).alias("forwarded"), F.col("value").alias("said")))
+
+
 # ---- deduplication ----
 
 

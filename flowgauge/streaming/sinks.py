@@ -11,7 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from flowgauge.config import NormalizeConfig, SinkConfig
 from flowgauge.operators.audit import build_chain
-from flowgauge.operators.normalize import dead_letters, good_trades, normalize
+from flowgauge.operators.normalize import dead_letters, good_trades, normalize, validate_json
 from flowgauge.operators.tables import upsert
 from flowgauge.sources.brokers import kafka_sink_options
 
@@ -38,6 +38,21 @@ def split_writer(good: str, bad: str, config: NormalizeConfig) -> Callable[[Data
     return write
 
 
+def json_writer(good: str, bad: str) -> Callable[[DataFrame, int], None]:
+    """Checks a batch of messages ``(key, value)``: what passes goes on as JSON in canonical form, the rest as it came, both with their keys."""
+    fields = ("event_id", "exchange", "symbol", "trade_id", "side", "price", "quantity", "trade_time_ms")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        messages = batch.select("key", F.col("value").cast("string").alias("value"))
+        found = validate_json(messages).persist()
+        passed = found.filter("reason is null").select("key", F.to_json(F.struct(*fields)).alias("value"))
+        passed.write.mode("overwrite").parquet(batch_folder(good, batch_id))
+        found.filter("reason is not null").select("key", "value").write.mode("overwrite").parquet(batch_folder(bad, batch_id))
+        found.unpersist()
+
+    return write
+
+
 def state_writer(path: str) -> Callable[[DataFrame, int], None]:
     """Keeps the last state of each symbol as a table, a version for each batch."""
 

@@ -84,3 +84,6 @@ def test_dedup_ttl(spark):
     kept = within_ttl(table, "t", 50, order=("note",))
     assert kept.columns == table.columns and sorted(r["note"] for r in kept.collect()) == ["r0", "r100", "r50", "w", "z"]
     assert within_ttl(table.limit(0), "t", 50).count() == 0
+    hot = table.filter("note = 'r0'").crossJoin(spark.range(1000)).drop("id")
+    assert [r["note"] for r in within_ttl(hot, "t", 50).collect()] == ["r0"]
+    assert within_ttl(table.select("exchange", "symbol", "trade_id", "t"), "t", 50).count() == 5

@@ -46,6 +46,18 @@ def test_numbered(spark):
     assert all(r["sequence"] == r["x"] + 1 for r in tables.numbered(t, ["x"], part_rows=90).collect())
 
 
+def test_previous(spark):
+    """Keys over many ranges, one of a single row, null keys and ties of order."""
+    rows = [("hot", i, i * 7) for i in range(300)] + [("one", 5, 1), (None, 2, 20), (None, 1, 10), ("two", 1, 1), ("two", 2, 2)]
+    t = spark.createDataFrame(rows, "k string, n long, v long")
+    for part_rows in (1000, 20):
+        found = {(r["k"], r["n"]): r["before"] for r in tables.previous(t, "v", "k", ("n",), "before", part_rows).collect()}
+        assert all(found["hot", i] == (None if i == 0 else (i - 1) * 7) for i in range(300))
+        assert found["one", 5] is None and found[None, 1] is None and found[None, 2] == 10 and found["two", 2] == 1
+        assert len(found) == len(rows)
+    assert tables.previous(t.limit(0), "v", "k", ("n",), "before").count() == 0
+
+
 def test_upsert_and_seed(spark):
     old = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     new = spark.createDataFrame([("b", 3), ("c", 4)], "k string, v int")
