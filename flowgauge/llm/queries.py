@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from flowgauge.llm.bpe import bpe_encode
 from flowgauge.llm.chat import format_chat, read_loss, read_turns, text_parts
 from flowgauge.llm.decontam import annotate_contamination, contaminated
+from flowgauge.llm.kmeans import kmeans
 from flowgauge.llm.licenses import scan_licenses
 from flowgauge.llm.lm import score_texts
 from flowgauge.llm.quality import quality_score, train_quality
@@ -120,7 +121,26 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_token_counts, op3_lm_score, op4_licenses, op5_simhash, op6_chat, op7_bpe, op8_decontaminate, op9_top_k, op10_quality)}
+def op11_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans(_table(spark, sf_dir, "embeddings"))
+
+
+def _lloyd_sql(rounds: int) -> str:
+    """Rounds of k-means over ``v(r, e)`` from ``c0(c, e)``, and the last assignment ``a(r, c, d)``."""
+    nearest = """select r, c, d from (
+  select v.r, k.c, cast(list_sum(list_transform(list_zip(v.e, k.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as bigint) d from v cross join {k} k)
+  qualify row_number() over (partition by r order by d, c) = 1"""
+    parts = []
+    for i in range(rounds):
+        parts.append(f"a{i} as materialized ({nearest.format(k=f'c{i}')})")
+        parts.append(f"""s{i} as (
+  select c, j, sum(x)::bigint s, count(*) n from (select a.c, unnest(range(64)) j, unnest(v.e) x from a{i} a join v using (r)) group by all),
+c{i + 1} as materialized (
+  select k.c, coalesce(m.e, k.e) e from c{i} k left join (select c, list((s - ((s % n) + n) % n) // n order by j) e from s{i} group by c) m using (c))""")
+    return ",\n".join([*parts, f"a as materialized ({nearest.format(k=f'c{rounds}')})"])
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_token_counts, op3_lm_score, op4_licenses, op5_simhash, op6_chat, op7_bpe, op8_decontaminate, op9_top_k, op10_quality, op11_yinyang)}
 SQL: dict[str, str] = {
     "op1_warc": """
 with p as (select page_id, encode(coalesce(html, '')) b from pages),
@@ -154,6 +174,17 @@ s as (
   from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
 r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) rank from s)
 select query_id, rank, vec_id, score from r where rank <= 5
+""",
+    "op11_yinyang": f"""
+with v as materialized (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) e, row_number() over () r from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+c0 as materialized (
+  select row_number() over (order by h, e) - 1 c, e from (select sha256('1:' || vec_id) h, e from v order by h nulls last, e limit 16)),
+{_lloyd_sql(3)}
+select v.vec_id, a.c::integer as "cluster", a.d distance, cast(sum(a.d) over (partition by a.c) as bigint) cluster_inertia,
+       cast(sum(a.d) over () as bigint) inertia, sha256(array_to_string(c3.e, ',')) centroid_sha256
+from a join v using (r) join c3 using (c)
 """,
     "op8_decontaminate": r"""
 with d as (
