@@ -13,6 +13,7 @@ from flowgauge.llm.kmeans import kmeans
 from flowgauge.llm.licenses import scan_licenses
 from flowgauge.llm.lm import score_texts
 from flowgauge.llm.quality import quality_score, train_quality
+from flowgauge.llm.rules import judge_quality
 from flowgauge.llm.simhash import simhash_components
 from flowgauge.llm.token_counts import count_tokens, zipf_scores
 from flowgauge.llm.topk import top_k
@@ -125,6 +126,14 @@ def op11_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    judged = judge_quality(_table(spark, sf_dir, "documents").select("doc_id", "text"), report=base)
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    # few words and repeated words are rules of the cascade, too
+    return judged.select("doc_id", *[f"_quality.{c}" for c in base], "_quality.kept").select("doc_id", *base, failed.alias("base_failed"), "kept")
+
+
 def _lloyd_sql(rounds: int) -> str:
     """Rounds of k-means over ``v(r, e)`` from ``c0(c, e)``, and the last assignment ``a(r, c, d)``."""
     nearest = """select r, c, d from (
@@ -140,7 +149,7 @@ c{i + 1} as materialized (
     return ",\n".join([*parts, f"a as materialized ({nearest.format(k=f'c{rounds}')})"])
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_token_counts, op3_lm_score, op4_licenses, op5_simhash, op6_chat, op7_bpe, op8_decontaminate, op9_top_k, op10_quality, op11_yinyang)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_token_counts, op3_lm_score, op4_licenses, op5_simhash, op6_chat, op7_bpe, op8_decontaminate, op9_top_k, op10_quality, op11_yinyang, op12_quality_rules)}
 SQL: dict[str, str] = {
     "op1_warc": """
 with p as (select page_id, encode(coalesce(html, '')) b from pages),
@@ -185,6 +194,27 @@ c0 as materialized (
 select v.vec_id, a.c::integer as "cluster", a.d distance, cast(sum(a.d) over (partition by a.c) as bigint) cluster_inertia,
        cast(sum(a.d) over () as bigint) inertia, sha256(array_to_string(c3.e, ',')) centroid_sha256
 from a join v using (r) join c3 using (c)
+""",
+    "op12_quality_rules": r"""
+with t as (
+  select row_number() over () r, doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) x from documents),
+g as (select r, w[p:p + 2] g, p from (select r, w, unnest(range(1, len(w) - 1)) p from t)),
+again as (select r, p from g qualify count(*) over (partition by r, g) > 1),
+covered as (select r, count(distinct p + k) n from again, (select unnest([0, 1, 2]) k) group by r),
+m as (
+  select doc_id, len(w)::bigint n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::bigint word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint n_symbols, (len(x) - len(list_distinct(x)))::bigint n_dup_lines,
+         coalesce(n, 0)::bigint n_repeat_words, len(x) n_lines, len(list_filter(w, lambda w: regexp_matches(w, '\p{L}'))) n_letter_words,
+         len(list_filter(x, lambda x: regexp_matches(x, '^[ \t]*[-*•]'))) n_bullet_lines,
+         len(list_filter(x, lambda x: regexp_matches(x, '(\.\.\.|…)[ \t\r]*$'))) n_open_lines
+  from t left join covered using (r)),
+b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not (base_failed or n_words > 100000 or word_chars not between 3 * n_words and 10 * n_words or 10 * n_symbols > n_words
+            or 10 * n_letter_words < 8 * n_words or 10 * n_dup_lines > 3 * n_lines or 10 * n_bullet_lines > 9 * n_lines
+            or 10 * n_open_lines > 3 * n_lines) kept
+from b
 """,
     "op8_decontaminate": r"""
 with d as (
