@@ -55,21 +55,52 @@ def seed(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     return table.unionByName(rows.join(table.select(*keys).distinct(), keys, "left_anti"))
 
 
-def numbered(rows: DataFrame, order: list[str | Column], name: str = "sequence", part_rows: int = 1_000_000) -> DataFrame:
-    """``rows`` with their number from 1 by ``order``, without gathering them in one task.
+def _dealt(rows: DataFrame, order: list[str | Column], part_rows: int) -> DataFrame | None:
+    """``rows`` in ranges of ``order`` with the range's number ``_part``, written; None if ``part_rows`` hold them all.
 
-    Rows are dealt by ranges of the order; each range is numbered by itself and
-    moved by the sizes of those before, a row for each range.
+    There are never more ranges than the session has shuffle partitions: a range
+    grows with the data and is sorted by Spark, which spills. With ``part_rows``
+    of 0 rows are dealt without a count.
     """
-    parts = max(1, math.ceil(rows.count() / part_rows))
-    if parts == 1:
-        return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
-    dealt = stored(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
-    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_part", before.alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return dealt.withColumn(name, inside).join(F.broadcast(offsets), "_part").withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_part", "_before")
+    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(most, math.ceil(rows.count() / part_rows)) if part_rows else most
+    if part_rows and parts <= 1:
+        return None
+    return stored(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+
+
+def running(
+    rows: DataFrame, values: dict[str, Column], order: list[str | Column], key: str | None = None, part_rows: int = 1_000_000
+) -> DataFrame:
+    """``rows`` with running sums by ``order`` (within ``key``), the row's own value included; ``values`` names them.
+
+    Neither a key nor the table is gathered in one task: rows are dealt by
+    ranges of (key, order), each range is summed up by itself and moved by the
+    sums before it. A range takes up one key at most from the range before, so
+    what moves them is a row for each range.
+    """
+    keys = [] if key is None else [key]
+    dealt = _dealt(rows, [*keys, *order], part_rows)
+    if dealt is None:
+        upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumns({n: F.sum(v).over(upto) for n, v in values.items()})
+    sums = dealt.groupBy(*keys, "_part").agg(*[F.sum(v).alias(f"_{n}") for n, v in values.items()])
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    moved = sums.select("_part", *[F.col(k).alias("_key") for k in keys], *[F.sum(f"_{n}").over(earlier).alias(f"_{n}") for n in values], F.row_number().over(Window.partitionBy(*keys).orderBy("_part")).alias("_nth"))
+    inside = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = dealt.withColumns({n: F.sum(v).over(inside) for n, v in values.items()})
+    # a row for each range at most, of which there are as many as shuffle partitions
+    edges = F.broadcast(moved.filter("_nth > 1").drop("_nth").withColumnRenamed("_part", "_at"))
+    same = F.col("_part") == F.col("_at")
+    if keys:
+        same = same & F.col(key).eqNullSafe(F.col("_key"))
+    joined = summed.join(edges, same, "left")
+    return joined.select(*rows.columns, *[(F.col(n) + F.coalesce(f"_{n}", F.lit(0))).alias(n) for n in values])
+
+
+def numbered(rows: DataFrame, order: list[str | Column], name: str = "sequence", part_rows: int = 1_000_000, key: str | None = None) -> DataFrame:
+    """``rows`` with their number from 1 by ``order`` (within ``key``), without gathering them in one task."""
+    return running(rows, {name: F.lit(1).cast("long")}, order, key, part_rows)
 
 
 def previous(rows: DataFrame, column: str, key: str, order: tuple[str, ...], name: str, part_rows: int = 1_000_000) -> DataFrame:
@@ -79,13 +110,12 @@ def previous(rows: DataFrame, column: str, key: str, order: tuple[str, ...], nam
     (key, order), and a range's first key takes up where the range before
     ended, a row for each range at most.
     """
-    parts = max(1, math.ceil(rows.count() / part_rows))
-    if parts == 1:
+    dealt = _dealt(rows, [key, *order], part_rows)
+    if dealt is None:
         return rows.withColumn(name, F.lag(column).over(Window.partitionBy(key).orderBy(*order)))
-    dealt = stored(rows.repartitionByRange(parts, key, *order).withColumn("_part", F.spark_partition_id()), "ranges")
     ends = dealt.groupBy(key, "_part").agg(F.max_by(column, F.struct(*order)).alias("_end"))
     before = F.lag("_end").over(Window.partitionBy(key).orderBy("_part"))
-    # only a key that goes on from the range before has one: a row for each range at most
+    # only a key that goes on from the range before has one
     edges = ends.select(F.col(key).alias("_key"), F.col("_part").alias("_at"), before.alias("_edge")).filter("_edge is not null")
     inside = Window.partitionBy(key, "_part").orderBy(*order)
     lagged = dealt.withColumn(name, F.lag(column).over(inside)).withColumn("_first", F.row_number().over(inside) == 1)

@@ -46,6 +46,20 @@ def test_numbered(spark):
     assert all(r["sequence"] == r["x"] + 1 for r in tables.numbered(t, ["x"], part_rows=90).collect())
 
 
+def test_bounded_ranges(spark):
+    """Tiny parts don't make more ranges than shuffle partitions, and give the same rows, also within a hot key."""
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    t = spark.range(10_000).select(((F.col("id") * 7919) % 10_000).alias("x"), F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 500 > 0, F.col("id").cast("string")).alias("k"))
+    assert tables._dealt(t, ["x"], 3).select("_part").distinct().count() <= most
+    assert all(r["sequence"] == r["x"] + 1 for r in tables.numbered(t, ["x"], part_rows=3).collect())
+    want = sorted(map(tuple, tables.numbered(t, ["x"], key="k").collect()), key=str)
+    for part_rows in (0, 3):
+        assert sorted(map(tuple, tables.numbered(t, ["x"], key="k", part_rows=part_rows).collect()), key=str) == want
+    sums = tables.running(t, {"s": F.col("x"), "n": F.lit(1)}, ["x"], part_rows=3).collect()
+    assert all(r["s"] == r["x"] * (r["x"] + 1) // 2 and r["n"] == r["x"] + 1 for r in sums)
+    assert tables.numbered(t.limit(0), ["x"], part_rows=0).count() == 0
+
+
 def test_previous(spark):
     """Keys over many ranges, one of a single row, null keys and ties of order."""
     rows = [("hot", i, i * 7) for i in range(300)] + [("one", 5, 1), (None, 2, 20), (None, 1, 10), ("two", 1, 1), ("two", 2, 2)]
