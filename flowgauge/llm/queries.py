@@ -17,7 +17,10 @@ from flowgauge.llm.rules import judge_quality
 from flowgauge.llm.simhash import simhash_components
 from flowgauge.llm.token_counts import count_tokens, zipf_scores
 from flowgauge.llm.topk import top_k
+from flowgauge.llm.trie import prefix_trie, turn_key
+from flowgauge.llm.common import written
 from flowgauge.llm.warc import read_warc, write_warc
+from flowgauge.operators.tables import numbered
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -134,6 +137,24 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"_quality.{c}" for c in base], "_quality.kept").select("doc_id", *base, failed.alias("base_failed"), "kept")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns without a conversation are left out; turns of one number are taken by their digest."""
+    turns = _table(spark, sf_dir, "conversations").filter("conv_id is not null")
+    text = F.coalesce("text", F.lit(""))
+    steps = turns.select("conv_id", "turn", turn_key(F.col("role"), text).alias("key"), F.octet_length(text).cast("long").alias("bytes"))
+    own = written(numbered(steps, [F.asc_nulls_first("turn"), F.col("key")], "pos", part_rows=0, key="conv_id").drop("turn"), "steps")
+    convs = own.groupBy("conv_id").agg(F.count("*").alias("n"))
+    head = (F.crc32(F.col("conv_id").cast("string")) % 9).alias("head")
+    bases = convs.select(F.col("conv_id").alias("base"), F.col("n").alias("n_base"))
+    plan = convs.select("conv_id", head, (F.col("conv_id") - F.col("conv_id") % 5).alias("base")).join(bases, "base", "left")
+    plan = written(plan.withColumn("taken", F.least("head", F.coalesce("n_base", F.lit(0)))), "heads")
+    # a conversation's first turns, eight at most, go to the five conversations of its block at most
+    first = own.filter("pos <= 8").withColumnRenamed("conv_id", "base").join(plan.select("conv_id", "base", "taken"), "base").filter("pos <= taken")
+    later = own.join(plan.select("conv_id", "head", "taken"), "conv_id").filter("pos > head").withColumn("pos", F.col("pos") - F.col("head") + F.col("taken"))
+    rebuilt = first.select("conv_id", "pos", "key", "bytes").unionByName(later.select("conv_id", "pos", "key", "bytes"))
+    return prefix_trie(written(rebuilt, "rebuilt"), plan.select("conv_id"))
+
+
 def _lloyd_sql(rounds: int) -> str:
     """Rounds of k-means over ``v(r, e)`` from ``c0(c, e)``, and the last assignment ``a(r, c, d)``."""
     nearest = """select r, c, d from (
@@ -149,7 +170,7 @@ c{i + 1} as materialized (
     return ",\n".join([*parts, f"a as materialized ({nearest.format(k=f'c{rounds}')})"])
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_token_counts, op3_lm_score, op4_licenses, op5_simhash, op6_chat, op7_bpe, op8_decontaminate, op9_top_k, op10_quality, op11_yinyang, op12_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_token_counts, op3_lm_score, op4_licenses, op5_simhash, op6_chat, op7_bpe, op8_decontaminate, op9_top_k, op10_quality, op11_yinyang, op12_quality_rules, op13_prefix_trie)}
 SQL: dict[str, str] = {
     "op1_warc": """
 with p as (select page_id, encode(coalesce(html, '')) b from pages),
@@ -215,6 +236,33 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             or 10 * n_letter_words < 8 * n_words or 10 * n_dup_lines > 3 * n_lines or 10 * n_bullet_lines > 9 * n_lines
             or 10 * n_open_lines > 3 * n_lines) kept
 from b
+""",
+    "op13_prefix_trie": """
+with own as (
+  select conv_id c, key, bytes, row_number() over (partition by conv_id order by turn nulls first, key) pos
+  from (select conv_id, turn, octet_length(encode(coalesce(text, ''))) bytes,
+               sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) key from conversations where conv_id is not null)),
+n as (select c, count(*) n from own group by c),
+h as (
+  select c, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, len(c::varchar) + 1), lambda i: ascii((c::varchar)[i])::bigint)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end)), 4294967295) % 9 h from n),
+plan as (select h.c, h.h, least(h.h, coalesce(b.n, 0)) taken, h.c - h.c % 5 base from h left join n b on b.c = h.c - h.c % 5),
+rebuilt as (
+  select p.c, o.pos, key, bytes from plan p join own o on o.c = p.base and o.pos <= p.taken
+  union all select p.c, o.pos - p.h + p.taken, key, bytes from plan p join own o on o.c = p.c and o.pos > p.h),
+path as (
+  select c, pos d, sha256(string_agg(key, '' order by pos) over (partition by c order by pos)) id, bytes from rebuilt
+  union all select c, 0, '', 0 from plan),
+lens as (select c, max(d) len from path group by c),
+m as (select path.*, lag(id) over (partition by c order by d) parent, d = len ends from path join lens using (c)),
+ids as (select d, id, min(c) conv_id, count(*) n_convs, max(bytes) bytes, max(parent) parent, string_agg(c::varchar, ',' order by c) filter (ends) ended from m group by d, id),
+kids as (select d - 1 d, parent id, count(*) n from ids where d > 0 group by all),
+node as (select i.*, coalesce(k.n, 0) n_children, p.conv_id parent_conv_id from ids i left join kids k using (d, id) left join ids p on p.d = i.d - 1 and p.id = i.parent),
+below as (
+  select a.d, a.id, count(*) filter (b.n_children = 0) n_leaves, sum((b.n_convs - 1) * b.bytes)::bigint saved
+  from node b join path a on a.c = b.conv_id and a.d <= b.d group by all)
+select conv_id, d "depth", parent_conv_id, n_convs, n_children, n_leaves, saved saved_tokens, sha256(coalesce(ended, '')) ends_sha256
+from node join below using (d, id)
 """,
     "op8_decontaminate": r"""
 with d as (
