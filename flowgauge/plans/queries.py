@@ -17,7 +17,7 @@ from flowgauge.sources import brokers, csv_trades, frames
 from flowgauge.sources.synthetic import synthetic_trades
 from flowgauge.streaming.scorer import score_stream
 from flowgauge.streaming.sinks import json_writer
-from flowgauge.tables import shared_path
+from flowgauge.tables import shared_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -436,6 +436,7 @@ def src26_synth_alerts(spark, sf_dir):
 
 
 def _audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a log with a segment for every four years; some details hold the separator."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     day = F.to_date("o_orderdate")
     return o.select(
@@ -444,34 +445,77 @@ def _audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("user-"), F.col("o_custkey").cast("string")).alias("actor"),
         F.col("o_orderpriority").alias("symbol"),
         F.lit(None).cast("string").alias("event_id"),
-        F.col("o_orderstatus").alias("details"),
+        F.when(F.col("o_orderkey") % 5 == 0, F.concat("o_orderstatus", F.lit("|"))).otherwise(F.col("o_orderstatus")).alias("details"),
         (F.unix_date(day).cast("long") * 86_400_000).alias("created_at_ms"),
-        F.unix_date(day).alias("segment"),
+        F.floor(F.year(day) / 4).cast("int").alias("segment"),
     )
 
 
-CHAIN = """
-e as (select o_orderkey id, 'user-' || o_custkey actor, o_orderpriority symbol, o_orderstatus details,
-             cast(date_diff('day', date '1970-01-01', cast(o_orderdate as date)) as integer) segment from orders),
-f as (select *, 'CONFIG_CHANGE|' || actor || '|' || symbol || '||' || details || '|' || (segment::bigint * 86400000) || '|' body,
-             id // 4000 part, row_number() over (partition by segment, id // 4000 order by id) n from e),
-c as (select segment, part, id, n, null::varchar previous_hash, sha256(body) entry_hash from f where n = 1
+PART = 4096
+CHAIN = f"""
+e as (select o_orderkey id, 'user-' || o_custkey actor, o_orderpriority symbol, o_orderstatus || case when o_orderkey % 5 = 0 then '\\|' else '' end details,
+             date_diff('day', date '1970-01-01', cast(o_orderdate as date)) on_day, (year(o_orderdate) // 4)::integer segment from orders),
+f as (select *, 'CONFIG_CHANGE|' || actor || '|' || symbol || '||' || details || '|' || (on_day::bigint * 86400000) || '|' body,
+             row_number() over (partition by segment order by id) entry from e),
+c as (select segment, entry, id, (entry - 1) // {PART} part, null::varchar previous_hash, sha256(body) entry_hash from f where (entry - 1) % {PART} = 0
       union all
-      select f.segment, f.part, f.id, f.n, c.entry_hash, sha256(f.body || c.entry_hash)
-      from c join f on f.segment = c.segment and f.part = c.part and f.n = c.n + 1)"""
-PART = 4000
+      select f.segment, f.entry, f.id, c.part, c.entry_hash, sha256(f.body || c.entry_hash)
+      from c join f on f.segment = c.segment and f.entry = c.entry + 1 where c.entry % {PART} > 0)"""
 
 
-@query(f"with recursive {CHAIN} select id, segment, part, previous_hash, entry_hash from c")
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.build_chain(_audit_events(spark, sf_dir), part_rows=PART)
+
+
+@query(f"with recursive {CHAIN} select id, segment, entry, part, previous_hash, entry_hash from c")
 def aud01_chain(spark, sf_dir):
-    return audit.build_chain(_audit_events(spark, sf_dir), part_ids=PART).select("id", "segment", "part", "previous_hash", "entry_hash")
+    return _log(spark, sf_dir).select("id", "segment", "entry", "part", "previous_hash", "entry_hash")
 
 
 @query("select o_orderkey id, o_orderkey % 97 <> 0 ok from orders")
 def aud01_verify(spark, sf_dir):
-    log = audit.build_chain(_audit_events(spark, sf_dir), part_ids=PART)
-    forged = log.withColumn("details", F.when(F.col("id") % 97 == 0, "forged").otherwise(F.col("details")))
-    return audit.verify_chain(forged, part_ids=PART).select("id", "ok")
+    forged = _log(spark, sf_dir).withColumn("details", F.when(F.col("id") % 97 == 0, "forged").otherwise(F.col("details")))
+    return audit.verify_chain(forged, part_rows=PART).select("id", "ok")
+
+
+@query(f"""with recursive {CHAIN}, n as (select distinct segment, part, max(part) over (partition by segment) last_part from c)
+select segment, part, case when part = last_part then 'missing' when part = 0 then 'short' end problem from n""")
+def aud01_parts(spark, sf_dir):
+    """A log of which each segment's last part is gone, and of the other first parts the last entry."""
+    log = stored(_log(spark, sf_dir), "log")
+    heads = stored(audit.chain_heads(log), "heads")
+    last = heads.groupBy("segment").agg(F.max("part").alias("last_part"))
+    cut = log.join(last, "segment").filter((F.col("part") < F.col("last_part")) & ((F.col("part") > 0) | (F.col("entry") < PART)))
+    return audit.verify_parts(cut.drop("last_part"), heads)
+
+
+#: Nodes go up by themselves where there is no pair, so that every level has one, up to the last.
+TREE = f"""{CHAIN},
+tree as (
+  select segment, 0 as "level", entry - 1 idx, sha256('leaf|' || entry_hash) hash from c
+  union all
+  select segment, "level" + 1, idx // 2, case when count(*) = 2 then sha256('node|' || string_agg(hash, '' order by idx)) else min(hash) end
+  from tree where "level" < 24 group by segment, "level", idx // 2)"""
+
+
+@query(f"""with recursive {TREE}
+select segment, count(*) filter ("level" = 0) n_entries, max(hash) filter ("level" = 24) root from tree group by segment""")
+def aud01_root(spark, sf_dir):
+    return audit.roots(audit.merkle_tree(_log(spark, sf_dir)))
+
+
+@query(f"""with recursive {TREE},
+p as (select c.id, t."level", t.hash, t.idx % 2 = 0 on_left from c join tree t on t.segment = c.segment and t.idx = xor((c.entry - 1) >> t."level", 1))
+select id, count(*) n_hashes, sha256(string_agg(case when on_left then 'l' else 'r' end || hash, '' order by "level")) proof_sha256, true ok from p group by id""")
+def aud01_proof(spark, sf_dir):
+    """Every entry's proof, and whether it leads to the root."""
+    log = stored(_log(spark, sf_dir), "log")
+    tree = stored(audit.merkle_tree(log), "tree")
+    proofs = audit.prove(tree, log.select("segment", "entry")).join(log.select("segment", "entry", "id", "entry_hash"), ["segment", "entry"])
+    text = F.array_join(F.transform("proof", lambda s: F.concat(F.when(s["on_left"], "l").otherwise("r"), s["hash"])), "")
+    # a row for each segment
+    checked = proofs.join(audit.roots(tree), "segment")
+    return checked.select("id", F.size("proof").cast("long").alias("n_hashes"), F.sha2(text, 256).alias("proof_sha256"), (audit.root_of(F.col("entry_hash"), F.col("proof")) == F.col("root")).alias("ok"))
 
 
 @query("select o_orderkey id, 'user-' || o_custkey actor from orders order by o_orderkey desc limit 100")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from flowgauge import schemas
 from flowgauge.operators import alerts, audit, tables
+from flowgauge.tables import stored
 
 
 def test_chain(spark):
@@ -23,12 +24,74 @@ def test_chain(spark):
 
 def test_parts_of_a_segment(spark):
     rows = [(i, "T", "me", None, None, "d", 0, 0) for i in range(25)]
-    log = audit.build_chain(spark.createDataFrame(rows, schemas.AUDIT + ", segment int"), part_ids=10)
+    log = audit.build_chain(spark.createDataFrame(rows, schemas.AUDIT + ", segment int"), part_rows=10)
     starts = [r["id"] for r in log.orderBy("id").collect() if r["previous_hash"] is None]
-    assert starts == [0, 10, 20] and audit.verify_chain(log, part_ids=10).filter("not ok").count() == 0
+    assert starts == [0, 10, 20] and audit.verify_chain(log, part_rows=10).filter("not ok").count() == 0
     assert audit.build_chain(log.select(*rows_of(schemas.AUDIT), "segment").limit(0)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def sparse(spark):
+    """A log whose ids are far apart and come twice each, null segments among them, written and read back."""
+    rows = [((i // 2) * 1_000_003, "T", f"a|{i % 5}", None, None, f"d{i}\\", 1000 + i, None if i % 3 == 2 else i % 3) for i in range(4000)]
+    return stored(audit.build_chain(spark.createDataFrame(rows, schemas.AUDIT + ", segment int").repartition(5), part_rows=300), "log")
+
+
+def problems(log, heads):
+    return sorted((r["segment"] is None, r["segment"] or 0, r["part"], r["problem"]) for r in audit.verify_parts(log, heads).filter("problem is not null").collect())
+
+
+def test_untouched_log_verifies(sparse):
+    assert sparse.filter("previous_hash is not null").count() == 4000 - sparse.select("segment", "part").distinct().count()
+    assert audit.verify_chain(sparse, part_rows=300).filter("not ok").count() == 0
+    assert problems(sparse, audit.chain_heads(sparse)) == []
+
+
+def test_each_forgery_is_found(sparse):
+    """A field, a swapped pair, an entry, a part and a tail."""
+    heads = stored(audit.chain_heads(sparse), "heads")
+    bad = lambda log: sorted((r["segment"], r["entry"]) for r in audit.verify_chain(log, part_rows=300).filter("not ok and segment = 0").collect())
+    assert bad(sparse.withColumn("actor", F.when(F.expr("segment = 0 and entry = 7"), "x").otherwise(F.col("actor")))) == [(0, 7)]
+    swapped = sparse.withColumn("entry", F.expr("case when segment = 0 and entry = 7 then 8 when segment = 0 and entry = 8 then 7 else entry end").cast("long"))
+    assert bad(swapped) == [(0, 7), (0, 8), (0, 9)]
+    assert bad(sparse.filter("not (segment <=> 0 and entry = 12)")) == [(0, 13)]
+    assert bad(sparse.filter("not (segment <=> 0 and entry = 301)")) == [(0, 302)]
+    # what no entry tells of, the heads do
+    assert bad(sparse.filter("not (segment <=> 1 and part = 2)")) == []
+    assert problems(sparse.filter("not (segment <=> 1 and part = 2)"), heads) == [(False, 1, 2, "missing")]
+    assert problems(sparse.filter("not (segment is null and part = 1 and entry = 600)"), heads) == [(True, 0, 1, "short")]
+    again = sparse.withColumn("entry_hash", F.when(F.expr("segment = 0 and entry = 300"), "0").otherwise(F.col("entry_hash")))
+    assert problems(again, heads) == [(False, 0, 0, "forged")]
+    assert problems(sparse, heads.filter("not (segment <=> 1 and part = 2)")) == [(False, 1, 2, "unknown"), (False, 1, 3, "head")]
+
+
+def merkle(leaves):
+    """All levels of a tree in plain Python."""
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    levels = [[sha("leaf|" + x) for x in leaves]]
+    while len(levels[-1]) > 1:
+        last = levels[-1]
+        levels.append([sha("node|" + last[k] + last[k + 1]) if k + 1 < len(last) else last[k] for k in range(0, len(last), 2)])
+    return levels
+
+
+def test_merkle_tree(spark):
+    """Segments of many sizes, over several passes of the builder: roots, proofs, and a proof of a forged entry."""
+    rows = [(n, k + 1, f"{n}-{k}") for n in (1, 2, 3, 7, 8, 9, 33, 100) for k in range(n)]
+    log = spark.createDataFrame(rows, "segment int, entry long, entry_hash string").repartition(4)
+    tree = stored(audit.merkle_tree(log, tier=2), "tree")
+    want = {n: merkle([f"{n}-{k}" for k in range(n)]) for n in {r[0] for r in rows}}
+    assert {(r["segment"], r["n_entries"], r["root"]) for r in audit.roots(tree).collect()} == {(n, n, t[-1][0]) for n, t in want.items()}
+    proofs = audit.prove(tree, log.select("segment", "entry")).join(log, ["segment", "entry"]).join(audit.roots(tree), "segment")
+    proofs = proofs.withColumn("led", audit.root_of(F.col("entry_hash"), F.col("proof"))).withColumn("forged", audit.root_of(F.lit("x"), F.col("proof")))
+    for r in proofs.collect():
+        assert r["led"] == r["root"] != r["forged"] and len(r["proof"]) <= (r["segment"] - 1).bit_length()
+        assert [s["hash"] for s in r["proof"]] == [
+            lv[(r["entry"] - 1 >> k) ^ 1] for k, lv in enumerate(want[r["segment"]]) if (r["entry"] - 1 >> k) ^ 1 < len(lv) > 1
+        ]
+    assert audit.merkle_tree(log.limit(0)).count() == 0 and audit.prove(tree.limit(0), log.select("segment", "entry").limit(0)).count() == 0
+
+
 def rows_of(schema):
     return [c.split()[0] for c in schema.split(", ")]
 
