@@ -28,8 +28,10 @@ from flowgauge.llm.common import new_names
 MAX_CHUNKS, MAX_WORDS = 250_000, 400_000
 #: Texts handled at once, words in one recursive query, and tokens in one decoding query.
 ROWS, WORDS, TOKENS = 500, 10_000, 250_000
-#: Words of up to so many bytes take the query that holds each round's rows of a word, which is three times as fast.
-SHORT = 256
+#: Words of up to so many bytes take the query that holds each round's rows of a word; at this length both queries take as long.
+SHORT = 512
+#: Rows that a query for short words holds, over all rounds, and bytes of long words in one query.
+SHORT_ROWS, LONG_BYTES = 4_000_000, 100_000
 #: An odd factor: sums of bytes times its powers tell substrings apart.
 FACTOR = 0x9E3779B97F4A7C15
 #: Memory of the connection: a fixed part, and bytes for each byte of a long word.
@@ -151,6 +153,20 @@ class _Numbers(dict):
         return value
 
 
+def _shared(some: list[int], words: list[bytes], cost: Callable[[int], int], most: int) -> Iterator[list[int]]:
+    """Words of about one length for one query: as many as ``most`` holds by the ``cost`` of their sizes, or a larger one by itself."""
+    part, size = [], 0
+    for k in sorted(some, key=lambda k: len(words[k])):
+        own = cost(len(words[k]))
+        if part and (size + own > most or len(part) == WORDS):
+            yield part
+            part, size = [], 0
+        part.append(k)
+        size += own
+    if part:
+        yield part
+
+
 class Coder:
     """Encodes and decodes batches of texts with one DuckDB connection."""
 
@@ -185,7 +201,7 @@ class Coder:
                 "w": np.repeat(np.arange(len(pieces), dtype=np.int32), sizes),
                 "pos": pos,
                 "tok": tok,
-                "npos": np.where(last, 1048575, pos + 1).astype(np.int32),
+                "npos": np.where(last, -1, pos + 1).astype(np.int32),
                 "ntok": np.where(last, -1, np.append(tok[1:], -1)).astype(np.int32),
             },
         )
@@ -201,44 +217,50 @@ class Coder:
                 out[k] = np.array([rank], np.int32)
             else:
                 (short if len(w) <= SHORT else long).append(k)
-        for a in range(0, len(short), WORDS):
-            self._put(out, words, short[a : a + WORDS], ENCODE)
-        for k in long:
-            self._encode_long(out, words, k)
+        # a word of n bytes has n rounds of n rows at most
+        for some in _shared(short, words, lambda n: n * n, SHORT_ROWS):
+            self._put(out, words, some, ENCODE)
+        for some in _shared(long, words, lambda n: n, LONG_BYTES):
+            self._encode_long(out, words, some)
         sizes = np.fromiter(map(len, out), np.int64, len(out))
         return np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([np.zeros(0, np.int32), *out])
 
-    def _occurring(self, word: bytes) -> tuple[np.ndarray, int]:
-        """Ids of the pieces that occur in the word (some more, by chance: they are found by hash), and the longest's length."""
+    def _occurring(self, words: list[bytes]) -> tuple[np.ndarray, int]:
+        """Ids of the pieces that occur in any of the words (some more, by chance: they are found by hash), and the longest's length."""
         if not self.sizes:
             for piece in self.ranks:
                 self.sizes.setdefault(len(piece), []).append(piece)
-        powers = np.full(len(word), FACTOR, np.uint64)
+        text = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum([len(w) for w in words])
+        left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(text))  # bytes from each place to its word's end
+        powers = np.full(len(text), FACTOR, np.uint64)
         powers[0] = 1
         powers = np.cumprod(powers)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.frombuffer(word, np.uint8) * powers)])
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(text * powers)])
         ids, longest = [], 1
-        for size in sorted(n for n in self.sizes if n <= len(word)):
+        for size in sorted(n for n in self.sizes if n <= left.max()):
             pieces = self.sizes[size]
             rows = np.frombuffer(b"".join(pieces), np.uint8).reshape(-1, size)
             # a piece at place i adds up to its own sum times the place's power
-            own = (rows * powers[:size]).sum(axis=1, dtype=np.uint64) * powers[len(word) - size]
-            there = np.nonzero(np.isin(own, (sums[size:] - sums[:-size]) * powers[len(word) - size :: -1]))[0]
+            own = (rows * powers[:size]).sum(axis=1, dtype=np.uint64) * powers[len(text) - size]
+            inside = (sums[size:] - sums[:-size]) * powers[len(text) - size :: -1]
+            there = np.nonzero(np.isin(own, inside[left[: len(inside)] >= size]))[0]
             if len(there):
                 ids += [self.ranks[pieces[k]] for k in there.tolist()]
                 longest = size
         return np.array(ids, np.int32), longest
 
-    def _encode_long(self, out: list, words: list[bytes], k: int) -> None:
-        """Encodes one long word, with the pairs whose piece occurs in it."""
-        ids, longest = self._occurring(words[k])
+    def _encode_long(self, out: list, words: list[bytes], some: list[int]) -> None:
+        """Encodes the long words ``some`` in one query, with the pairs whose piece occurs in any of them."""
+        ids, longest = self._occurring([words[k] for k in some])
         use = np.isin(self.merged, ids)
         pairs, merged = self.pairs[use], self.merged[use]
         uneasy = np.concatenate([side[merged < side] for side in (pairs >> 32, pairs & 0xFFFFFFFF)])
         self._table("m", {"pair": pairs, "id": merged, "calm": ~np.isin(merged, uneasy)})
         self.db.execute("create or replace table long_merges as select * from m").fetchall()
-        self.db.execute(f"set memory_limit = '{MEMORY_MB + BYTES_A_BYTE * len(words[k]) // 1_000_000}MB'").fetchall()
-        self._put(out, words, [k], ENCODE_LONG.format(reach=4 * longest))
+        size = sum(len(words[k]) for k in some)
+        self.db.execute(f"set memory_limit = '{MEMORY_MB + BYTES_A_BYTE * size // 1_000_000}MB'").fetchall()
+        self._put(out, words, some, ENCODE_LONG.format(reach=4 * longest))
         self.db.execute(f"set memory_limit = '{MEMORY_MB}MB'").fetchall()
 
     def _put(self, out: list, words: list[bytes], which: list[int], sql: str) -> None:

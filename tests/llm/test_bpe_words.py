@@ -2,6 +2,7 @@
 
 import base64
 import os
+import time
 
 import numpy as np
 import public_tokenizers as P
@@ -44,6 +45,37 @@ def test_words_of_a_hundred_thousand_characters(ranks, library, tmp_path, monkey
     assert not list(tmp_path.iterdir())
 
 
+def test_many_words_of_all_lengths(ranks, library):
+    """Letters, Thai, Chinese and base64 without spaces: words around and beyond the border between the queries, many at once."""
+    rng = np.random.default_rng(7)
+    letters = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes().decode()
+    drawn = lambda low, high, n: "".join(map(chr, rng.integers(low, high, n)))
+    texts = [letters(n) for n in (*range(bpe.SHORT - 3, bpe.SHORT + 4), 1000, 1500, 2500, *rng.integers(1, 700, 150))]
+    texts += [drawn(0xE01, 0xE3A, n) for n in rng.integers(20, 400, 60)] + [drawn(0x4E00, 0x5200, n) for n in rng.integers(20, 400, 60)]
+    texts += [base64.b64encode(rng.bytes(n)).decode() for n in rng.integers(20, 2000, 40)] + ["q" * 600, "q" * 601, "qr" * 700]
+    coder = bpe.Coder(ranks, *bpe.merge_table(ranks), P.PATTERN)
+    for got, text in zip(coder.encode(texts), texts):
+        assert np.frombuffer(got, "<u4").tolist() == library.encode_ordinary(text)
+    assert coder.decode(coder.encode(texts)) == [t.encode() for t in texts]
+
+
+def test_time_and_memory_of_many_middling_words(ranks, library):
+    """No cliff between the queries, and no query holds the rounds of all words at once."""
+    rng = np.random.default_rng(3)
+
+    def seconds(n, size):
+        texts = [rng.integers(97, 123, size).astype(np.uint8).tobytes().decode() for _ in range(n)]
+        coder = bpe.Coder(ranks, *bpe.merge_table(ranks), P.PATTERN)
+        start = time.perf_counter()
+        coder.encode(texts)
+        return time.perf_counter() - start
+
+    seconds(5, 50)
+    assert seconds(200, 300) < 2 * seconds(200, 250) + 0.2
+    assert seconds(200, 540) < 2 * seconds(200, 500) + 0.4
+    seconds(6000, 120)  # 80 million rows of all rounds, far beyond the connection's memory
+
+
 def test_any_word_by_the_query_for_long_ones(ranks, library, monkeypatch):
     monkeypatch.setattr(bpe, "SHORT", 0)
     coder = bpe.Coder(ranks, *bpe.merge_table(ranks), P.PATTERN)
