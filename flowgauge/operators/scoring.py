@@ -14,21 +14,23 @@ cancelling: there they are zero, however large the values.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowgauge.config import ScorerConfig
 from flowgauge.functions import scalars as S
-from flowgauge.operators.tables import previous
+from flowgauge.operators.tables import filled, previous
 from flowgauge.tables import stored
 
 ORDER = ("trade_time_ms", "trade_id")
-SUMMARY = "symbol string, chunk int, n long, alpha double, first double, a double, b double, p double, q double, r double"
-STATE = "symbol string, chunk int, ewma double, ewma_var double, trade_count long"
+STATE = "symbol string, chunk long, ewma double, ewma_var double, trade_count long"
 FINAL = "symbol string, ewma double, ewma_var double, trade_count long"
 
 
@@ -38,30 +40,29 @@ def config_table(spark: SparkSession, config: ScorerConfig) -> DataFrame:
     return spark.createDataFrame(rows, "symbol string, z_threshold double, ewma_alpha double, min_trades int")
 
 
-def _run(x: np.ndarray, alpha: float, mean: float, var: float, n: int) -> tuple[list, list]:
+def _run(x: np.ndarray, alpha: np.ndarray, mean: float, var: float, n: int) -> tuple[list, list]:
     """Means and variances after each value, from a state of ``n`` trades."""
     means, variances = [], []
-    for v in x.tolist():
+    for v, a in zip(x.tolist(), alpha.tolist()):
         if n == 0:
             mean, var = v, 0.0
         else:
             d = v - mean
-            mean, var = alpha * v + (1 - alpha) * mean, alpha * (d * d) + (1 - alpha) * var
+            mean, var = a * v + (1 - a) * mean, a * (d * d) + (1 - a) * var
         n += 1
         means.append(mean)
         variances.append(var)
     return means, variances
 
 
-def _summary(x: np.ndarray, alpha: float) -> tuple[float, float, float, float, float]:
+def _summary(x: np.ndarray, alpha: np.ndarray) -> tuple[float, float, float, float, float]:
     """(a, b, p, q, r): with u = mean - x[0], mean' = a u + b and var' = a var + p + q u + r u^2."""
     a, b, p, q, r = 1.0, float(x[0]), 0.0, 0.0, 0.0
-    keep = 1 - alpha
-    for v in x.tolist():
-        d = v - b
-        p, q, r = alpha * (d * d) + keep * p, keep * q - 2 * alpha * d * a, keep * r + alpha * (a * a)
+    for v, w in zip(x.tolist(), alpha.tolist()):
+        d, keep = v - b, 1 - w
+        p, q, r = w * (d * d) + keep * p, keep * q - 2 * w * d * a, keep * r + w * (a * a)
         # a mean that equals the value stays as it is
-        a, b = keep * a, alpha * v + keep * b if d else b
+        a, b = keep * a, w * v + keep * b if d else b
     return a, b, p, q, r
 
 
@@ -86,11 +87,50 @@ def _prepared(trades: DataFrame, config: ScorerConfig, configs: DataFrame | None
     if configs is not None:
         named = named.join(configs.select("symbol", F.col("ewma_alpha").alias("_own")), "symbol", "left")
         alpha = F.coalesce("_own", alpha)
+    elif "ewma_alpha" in trades.columns:  # settings as of each trade
+        alpha = F.coalesce("ewma_alpha", alpha)
     return named.withColumn("_alpha", alpha).drop("_own").withColumn(
         "signed_ofi", S.signed_ofi(F.col("side"), F.col("quantity"), F.col("price"))
     )
 
 
+def _cut(rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Cuts a sorted stream into chunks of one symbol and ``rows`` rows at most, each with its number and, in its first row, its summary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, held, size, at = TaskContext.get().partitionId(), 0, [], 0, None
+
+        def chunk() -> Iterator[pa.RecordBatch]:
+            nonlocal number
+            t = pa.Table.from_batches(held).combine_chunks()
+            x, alpha = t["signed_ofi"].to_numpy().astype(float), t["_alpha"].to_numpy()
+            found = [{"n": size, "first": x[0], **dict(zip("abpqr", _summary(x, alpha)))}] + [None] * (size - 1)
+            kind = pa.struct([("n", pa.int64()), *[(c, pa.float64()) for c in ("first", *"abpqr")]])
+            t = t.append_column("chunk", pa.array(np.full(size, part << 33 | number))).append_column("_summary", pa.array(found, kind))
+            number += 1
+            yield from t.to_batches()
+
+        for b in batches:
+            symbols = b.column(b.schema.get_field_index("symbol")).dictionary_encode().indices.to_numpy()
+            names = b.column(b.schema.get_field_index("symbol"))
+            edges = [0, *(np.flatnonzero(np.diff(symbols)) + 1).tolist(), b.num_rows]
+            for s, e in zip(edges, edges[1:]):
+                if s < e and held and names[s].as_py() != at:
+                    yield from chunk()
+                    held, size = [], 0
+                while s < e:
+                    some = b.slice(s, min(e - s, rows - size))
+                    held.append(some)
+                    at, s, size = names[s].as_py(), s + some.num_rows, size + some.num_rows
+                    if size == rows:
+                        yield from chunk()
+                        held, size = [], 0
+        if held:
+            yield from chunk()
+
+    return run
+
+
 def score_trades(
     trades: DataFrame,
     config: ScorerConfig | None = None,
@@ -103,58 +143,56 @@ def score_trades(
     Trades are taken by (trade_time_ms, trade_id) within each upper-case symbol.
     Sides other than BUY and SELL, and values that are no sizes, count as 0 but
     advance the state. z is 0 for a symbol's first trade. ``configs`` may give
-    symbols an ``ewma_alpha`` of their own; ``initial`` (schema FINAL) restores
-    states. ``chunk_rows`` bounds what one task holds; up to that many trades
-    are scored in one pass, and the two ways differ by rounding at most.
+    symbols an ``ewma_alpha`` of their own, or the trades themselves have one
+    each (``settings_as_of``); ``initial`` (schema FINAL) restores states.
+
+    ``chunk_rows`` bounds what one task holds; up to that many trades are scored
+    in one pass, and the two ways differ by rounding at most. Beyond it, trades
+    are dealt by ranges, never more than the session has shuffle partitions, and
+    each range is cut into chunks as it streams past in order.
     """
     config = config or ScorerConfig()
     epsilon = config.epsilon
     ready = _prepared(trades, config, configs)
     added = [T.StructField(c, T.DoubleType()) for c in ("ewma", "ewma_var")] + [T.StructField("trade_count", T.LongType())]
-    chunks = max(1, math.ceil(ready.count() / chunk_rows))
-    if chunks > 1:
-        part = ready.repartitionByRange(chunks, "symbol", *ORDER).withColumn("chunk", F.spark_partition_id())
-        ready = stored(part, "chunks")
-    else:
-        ready = ready.withColumn("chunk", F.lit(0))
+    parts = min(int(ready.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(ready.count() / chunk_rows))
+    order = ("symbol", *ORDER)
 
     def finish(key: tuple, rows: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(list(ORDER), kind="stable")
         mean, var, n = (states[c].iloc[0] if len(states) else 0 for c in ("ewma", "ewma_var", "trade_count"))
-        means, variances = _run(rows["signed_ofi"].to_numpy(float), float(rows["_alpha"].iloc[0]) if len(rows) else 1.0, mean, var, n)
+        means, variances = _run(rows["signed_ofi"].to_numpy(float), rows["_alpha"].to_numpy(float), mean, var, n)
         return rows.assign(ewma=means, ewma_var=variances, trade_count=np.arange(n + 1, n + 1 + len(rows)))
 
     def alone(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return finish(key, rows, rows.iloc[:0].assign(ewma=0.0, ewma_var=0.0, trade_count=0))
 
-    def summarize(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(ORDER), kind="stable")
-        x, alpha = rows["signed_ofi"].to_numpy(float), float(rows["_alpha"].iloc[0])
-        found = (key[0], key[1], len(x), alpha, x[0], *_summary(x, alpha))
-        return pd.DataFrame([found], columns=[c.split()[0] for c in SUMMARY.split(", ")])
-
-    schema = T.StructType([*ready.schema.fields, *added])
-    if chunks == 1 and initial is None:
-        scored = ready.groupBy("symbol", "chunk").applyInPandas(alone, schema)
+    if parts <= 1 and initial is None:
+        scored = ready.groupBy("symbol").applyInPandas(alone, T.StructType([*ready.schema.fields, *added]))
     else:
-        parts = ready.select("symbol", "chunk", "signed_ofi", "_alpha", *ORDER).groupBy("symbol", "chunk").applyInPandas(summarize, SUMMARY)
+        kinds = T.StructType([T.StructField("n", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in ("first", *"abpqr")]])
+        fields = [*ready.schema.fields, T.StructField("chunk", T.LongType()), T.StructField("_summary", kinds)]
+        dealt = ready.repartitionByRange(max(parts, 1), *order).sortWithinPartitions(*order)
+        cut = stored(dealt.mapInArrow(_cut(chunk_rows), T.StructType(fields)), "chunks")
+        summaries = cut.filter("_summary is not null").select("symbol", "chunk", "_summary.*")
         if initial is not None:
             restored = initial.select(
                 S.upper_symbol(F.col("symbol")).alias("symbol"),
-                F.lit(-1).alias("chunk"),
+                F.lit(-1).cast("long").alias("chunk"),
                 F.col("trade_count").alias("n"),
-                F.lit(0.0).alias("alpha"),
                 F.col("ewma").alias("first"),
                 *[F.lit(0.0).alias(c) for c in "ab"],
                 F.col("ewma_var").alias("p"),
                 *[F.lit(0.0).alias(c) for c in "qr"],
             )
-            parts = parts.unionByName(restored)
-        states = parts.groupBy("symbol").applyInPandas(_compose, STATE)
+            summaries = summaries.unionByName(restored)
+        states = summaries.groupBy("symbol").applyInPandas(_compose, STATE)
         keys = ("symbol", "chunk")
-        scored = ready.groupBy(*keys).cogroup(states.groupBy(*keys)).applyInPandas(finish, schema)
+        chunks = cut.drop("_summary")
+        schema = T.StructType([*chunks.schema.fields, *added])
+        scored = chunks.groupBy(*keys).cogroup(states.groupBy(*keys)).applyInPandas(finish, schema).drop("chunk")
     z = F.when(F.col("trade_count") == 1, 0.0).otherwise(F.col("ewma") / F.sqrt(F.greatest("ewma_var", F.lit(epsilon))))
-    return scored.drop("_alpha", "chunk").withColumn("z_score", z)
+    return scored.drop("_alpha").withColumn("z_score", z)
 
 
 def final_state(scored: DataFrame) -> DataFrame:
@@ -181,6 +219,43 @@ def with_thresholds(scored: DataFrame, config: ScorerConfig, configs: DataFrame)
     return joined.withColumn("is_toxic", toxic)
 
 
+def checkpoint_epochs(scored: DataFrame, every: int = 100) -> DataFrame:
+    """Trades in each checkpoint interval of a symbol."""
+    epoch = F.floor((F.col("trade_count") - 1) / every).cast("long").alias("epoch")
+    return scored.groupBy("symbol", epoch).agg(F.count("*").alias("n_trades"))
+
+
+SETTINGS = ("z_threshold", "ewma_alpha", "min_trades")
+
+
+def settings_as_of(trades: DataFrame, changes: DataFrame, config: ScorerConfig | None = None, part_rows: int = 1_000_000) -> DataFrame:
+    """``trades`` with the ``z_threshold``, ``ewma_alpha`` and ``min_trades`` that held at their time.
+
+    ``changes(symbol, at_ms, change_id, z_threshold, ewma_alpha, min_trades)``: a
+    change counts for its symbol's trades from its time on; of several at one
+    time the one with the largest ``change_id`` does; a null leaves a value as it
+    was. Before the first one the defaults of ``config`` hold. Trades and changes
+    are put in one order and the last known values carried along it, range by
+    range, so that a symbol may hold any share of the rows.
+    """
+    config = config or ScorerConfig()
+    named = trades.withColumn("symbol", S.upper_symbol(F.col("symbol")))
+    is_trade = F.col("_kind") == 1
+    rows = named.select("*", F.col("trade_time_ms").alias("_at"), F.lit(1).alias("_kind"), F.col("trade_id").alias("_id"))
+    said = changes.select(
+        S.upper_symbol(F.col("symbol")).alias("symbol"), F.col("at_ms").alias("_at"), F.lit(0).alias("_kind"), F.col("change_id").alias("_id"), *SETTINGS
+    )
+    both = rows.drop(*SETTINGS).unionByName(said, allowMissingColumns=True)
+    known = filled(both, SETTINGS, ["_at", "_kind", "_id"], "symbol", part_rows).filter(is_trade).drop("_at", "_kind", "_id")
+    default = {"z_threshold": F.coalesce(*[F.when(F.col("symbol") == s, F.lit(t)) for s, t in config.thresholds.items()], F.lit(config.threshold)), "ewma_alpha": F.lit(config.alpha), "min_trades": F.lit(config.min_trades)}
+    return known.withColumns({c: F.coalesce(c, v) for c, v in default.items()})
+
+
+def judged(scored: DataFrame) -> DataFrame:
+    """Scores of trades with settings of their own (``settings_as_of``), with ``is_toxic``."""
+    return scored.withColumn("is_toxic", (F.col("trade_count") >= F.col("min_trades")) & (F.abs("z_score") >= F.col("z_threshold")))
+
+
 def ofi_ratio(trades: DataFrame, keys: list[str]) -> DataFrame:
     """(bought - sold) / (bought + sold) volume by ``keys``; null without volume."""
     x = S.signed_ofi(F.col("side"), F.col("quantity"), F.col("price"))
@@ -188,12 +263,6 @@ def ofi_ratio(trades: DataFrame, keys: list[str]) -> DataFrame:
     return trades.groupBy(*keys).agg((F.sum(x) / F.when(volume > 0, volume)).alias("ofi_ratio"))
 
 
-def checkpoint_epochs(scored: DataFrame, every: int = 100) -> DataFrame:
-    """Trades in each checkpoint interval of a symbol."""
-    epoch = F.floor((F.col("trade_count") - 1) / every).cast("long").alias("epoch")
-    return scored.groupBy("symbol", epoch).agg(F.count("*").alias("n_trades"))
-
-
 def with_pacing(trades: DataFrame, speed: float, most_ms: float = 2000.0, part_rows: int = 1_000_000) -> DataFrame:
     """The delay before each trade's replay: the gap to the symbol's trade before, divided by ``speed`` and capped."""
     paced = previous(trades, "trade_time_ms", "symbol", ORDER, "_before", part_rows)

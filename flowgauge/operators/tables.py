@@ -123,6 +123,28 @@ def previous(rows: DataFrame, column: str, key: str, order: tuple[str, ...], nam
     return joined.withColumn(name, F.when(F.col("_first"), F.col("_edge")).otherwise(F.col(name))).drop("_part", "_first", "_key", "_at", "_edge")
 
 
+def filled(rows: DataFrame, columns: tuple[str, ...], order: list[str | Column], key: str, part_rows: int = 1_000_000) -> DataFrame:
+    """``rows`` with nulls of ``columns`` replaced by the last value before them by ``order`` within ``key``.
+
+    As in ``running``, a key may hold any share of the rows: a range carries its
+    last values along, and takes up what the ranges before it knew.
+    """
+    upto = lambda *by: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda c, w: F.last(c, ignorenulls=True).over(w)
+    dealt = _dealt(rows, [key, *order], part_rows)
+    if dealt is None:
+        return rows.withColumns({c: last(c, upto(key)) for c in columns})
+    ends = dealt.groupBy(key, "_part").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"_{c}") for c in columns])
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    nth = F.row_number().over(Window.partitionBy(key).orderBy("_part")).alias("_nth")
+    known = ends.select(F.col(key).alias("_key"), F.col("_part").alias("_at_part"), *[last(f"_{c}", earlier).alias(f"_{c}") for c in columns], nth)
+    inside = dealt.withColumns({c: last(c, upto("_part", key)) for c in columns})
+    # only a key that goes on from the range before: a row for each range at most
+    edges = F.broadcast(known.filter("_nth > 1").drop("_nth"))
+    joined = inside.join(edges, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_at_part")), "left")
+    return joined.select(*[F.coalesce(c, f"_{c}").alias(c) if c in columns else F.col(f"`{c}`") for c in rows.columns])
+
+
 def replay(rows: DataFrame, number: str, start_row: int = 0, max_rows: int = 0, passes: int = 1) -> DataFrame:
     """``passes`` runs over the rows from ``start_row`` on, with ``pass`` from 0; ``max_rows`` over all passes if positive."""
     if start_row > 0:

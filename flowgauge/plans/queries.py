@@ -585,6 +585,54 @@ def dml05_threshold_change(spark, sf_dir):
     return judged.filter("is_toxic").groupBy("symbol").agg(F.count("*").alias("n"))
 
 
+#: Every 40th trade changes its symbol's settings; some leave values as they are.
+AS_OF = """
+change as (
+  select symbol, trade_time_ms at_ms, trade_id change_id, case when trade_id % 120 > 0 then 2::double + trade_id // 40 % 5 / 2::double end z_threshold,
+         case when trade_id % 200 > 0 then (1 + trade_id // 40 % 3) / 10::double end ewma_alpha, (10 + trade_id // 40 % 50)::integer min_trades
+  from trades where trade_id % 40 = 0),
+base as (
+  select *, trade_time_ms at_ms, 1 kind, trade_id seq, null::double z_threshold, null::double ewma_alpha, null::integer min_trades from trades
+  union all by name select symbol, at_ms, 0 kind, change_id seq, z_threshold, ewma_alpha, min_trades from change),
+known as (
+  select * exclude (z_threshold, ewma_alpha, min_trades),
+    coalesce(last_value(z_threshold ignore nulls) over w, case when symbol = 'DOGEUSDT' then 2.5::double else 3::double end) z_threshold,
+    coalesce(last_value(ewma_alpha ignore nulls) over w, 0.1::double) ewma_alpha, coalesce(last_value(min_trades ignore nulls) over w, 10) min_trades
+  from base window w as (partition by symbol order by at_ms, kind, seq rows between unbounded preceding and current row)),
+t as (select *, case when is_buyer_maker then -quantity else quantity end x, row_number() over (partition by symbol order by trade_time_ms, trade_id) n from known where kind = 1),
+r as (select symbol, n, x ewma, 0::double ewma_var from t where n = 1
+      union all
+      select t.symbol, t.n, t.ewma_alpha * t.x + (1 - t.ewma_alpha) * r.ewma,
+             t.ewma_alpha * ((t.x - r.ewma) * (t.x - r.ewma)) + (1 - t.ewma_alpha) * r.ewma_var
+      from r join t on t.symbol = r.symbol and t.n = r.n + 1),
+s as (select t.*, r.ewma, r.ewma_var, case when t.n = 1 then 0::double else r.ewma / sqrt(greatest(r.ewma_var, 1e-12::double)) end z_score
+      from t join r on t.symbol = r.symbol and t.n = r.n)"""
+AS_OF_ROWS = f"""with recursive {V.TRADES}, {AS_OF}
+select trade_id, symbol, ewma, z_score, z_threshold, min_trades, n >= min_trades and abs(z_score) >= z_threshold is_toxic from s"""
+
+
+def _changes(trades: DataFrame) -> DataFrame:
+    """Changes of settings, drawn from the trades."""
+    i = F.col("trade_id")
+    step = F.floor(i / 40)
+    return trades.filter(i % 40 == 0).select(
+        "symbol",
+        F.col("trade_time_ms").alias("at_ms"),
+        i.alias("change_id"),
+        F.when(i % 120 > 0, 2.0 + step % 5 / 2.0).alias("z_threshold"),
+        F.when(i % 200 > 0, (1 + step % 3) / 10.0).alias("ewma_alpha"),
+        (10 + step % 50).cast("int").alias("min_trades"),
+    )
+
+
+@query(AS_OF_ROWS)
+def dml05_as_of(spark, sf_dir):
+    """Each trade under the settings that held at its time."""
+    t = V.trades(spark, sf_dir)
+    known = scoring.settings_as_of(t, _changes(t), V.CONFIG)
+    return scoring.judged(scoring.score_trades(known, V.CONFIG)).select("trade_id", "symbol", "ewma", "z_score", "z_threshold", "min_trades", "is_toxic")
+
+
 # ---- metrics ----
 
 

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowgauge.config import ScorerConfig
-from flowgauge.operators.scoring import checkpoint_epochs, config_table, current_z, final_state, score_trades, with_thresholds
+from flowgauge.operators.scoring import checkpoint_epochs, config_table, current_z, final_state, score_trades, settings_as_of, with_thresholds
+from flowgauge.tables import stored
 
 
 def flow(spark, values, symbol="BTCUSDT"):
@@ -64,6 +65,43 @@ def test_constant_flow_in_chunks(spark, size, rows):
         assert math.isclose(x[1], y[1], rel_tol=1e-7, abs_tol=1e-13) and math.isclose(x[3], y[3], rel_tol=1e-6)
 
 
+def test_tiny_chunks_stay_in_bounded_ranges(spark, monkeypatch):
+    """10,000 trades in chunks of three: no more files than shuffle partitions, many symbols and a hot one, and the same scores."""
+    from flowgauge.operators import scoring
+
+    written = []
+    monkeypatch.setattr(scoring, "stored", lambda df, name: written.append(stored(df, name)) or written[-1])
+    t = spark.range(10_000).select(
+        F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 40).cast("string"))).alias("symbol"), F.col("id").alias("trade_id"),
+        F.col("id").alias("trade_time_ms"), F.when(F.col("id") % 7 < 3, "BUY").otherwise("SELL").alias("side"), (F.col("id") % 11 + 0.5).alias("quantity"), F.lit(1.0).alias("price"),
+    )
+    whole, parts = scores(score_trades(t)), scores(score_trades(t, chunk_rows=3))
+    assert len(written[0].inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert written[0].groupBy("chunk").count().agg(F.max("count")).first()[0] == 3
+    assert len(whole) == len(parts) == 10_000
+    assert all(x[2] == y[2] and all(math.isclose(p, q, rel_tol=1e-9, abs_tol=1e-9) for p, q in zip(x, y)) for x, y in zip(whole, parts))
+
+
+def test_settings_as_of(spark):
+    """Changes at a trade's time count, the larger id of two does, nulls leave a value, other symbols don't change; ranges agree."""
+    t = flow(spark, range(1, 61)).unionByName(flow(spark, range(1, 61), "eth"))
+    changes = spark.createDataFrame(
+        [("btcusdt", 10, 1, 5.0, 0.5, 3), ("BTCUSDT", 10, 2, 6.0, None, None), ("BTCUSDT", 30, 3, None, 0.2, 7), ("ETH", 0, 4, 1.0, None, None)],
+        "symbol string, at_ms long, change_id long, z_threshold double, ewma_alpha double, min_trades int",
+    )
+    for part_rows in (1000, 10):
+        got = {(r["symbol"], r["trade_id"]): (r["z_threshold"], r["ewma_alpha"], r["min_trades"]) for r in settings_as_of(t, changes, part_rows=part_rows).collect()}
+        assert len(got) == 120
+        for k in range(1, 61):
+            assert got["BTCUSDT", k] == ((3.0, 0.1, 10) if k < 10 else (6.0, 0.5, 3) if k < 30 else (6.0, 0.2, 7))
+            assert got["ETH", k] == (1.0, 0.1, 10)
+    known = settings_as_of(t, changes)
+    assert scores(score_trades(known).filter("symbol = 'ETH'")) == scores(score_trades(flow(spark, range(1, 61), "eth")))
+    a, b = scores(score_trades(known)), scores(score_trades(known, chunk_rows=9))
+    assert all(math.isclose(p, q, rel_tol=1e-9, abs_tol=1e-9) for x, y in zip(a, b) for p, q in zip(x, y))
+    assert settings_as_of(t.limit(0), changes).count() == 0 and settings_as_of(t, changes.limit(0)).count() == 120
+
+
 def test_restored_state(spark):
     t = flow(spark, [3, -1, 4, 1, -5, 9])
     before = final_state(score_trades(t.filter("trade_id <= 3")))
