@@ -36,15 +36,6 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def split_words(text: Column) -> Column:
-    return F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")
-
-
-def _lines(text: Column) -> Column:
-    """The lines that have a word."""
-    return F.filter(F.split(text, "\n"), lambda x: _without(x, SPACE) != "")
-
-
 def _repeat_words(words: Column) -> Column:
     """Words within three-word windows that occur twice or more, by sorting the windows of a text."""
     windows = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.concat_ws(" ", words[i], words[i + 1], words[i + 2]))
@@ -57,30 +48,55 @@ def _repeat_words(words: Column) -> Column:
     def covered(found: Column) -> Column:
         ranked = F.sort_array(F.transform(found, lambda w, p: F.struct(w.alias("w"), p.alias("p"))))
         three = F.flatten(F.transform(_let(ranked, places), lambda p: F.array(p, p + 1, p + 2)))
-        # most texts repeat nothing: a hash set tells, without sorting
+        # a text that repeats nothing: a hash set tells, without sorting
         return F.when(F.size(F.array_distinct(found)) == F.size(found), 0).otherwise(F.size(F.array_distinct(three)))
 
     return F.when(F.size(words) < 3, 0).otherwise(_let(windows, covered))
 
 
-def _line_share(test: Callable[[Column], Column]) -> Callable[[Column, Column], Column]:
-    return lambda text, words: F.size(F.filter(_lines(text), test))
+def _lines_that(test: Callable[[Column], Column]) -> Callable[[dict[str, Column]], Column]:
+    return lambda m: F.size(F.filter(m["lines"], test))
 
 
-#: Measures of a text, from itself and its words.
-MEASURES: dict[str, Callable[[Column, Column], Column]] = {
-    "n_words": lambda text, words: F.size(words),
-    "word_chars": lambda text, words: F.length(_without(text, SPACE)),
-    "n_symbols": lambda text, words: F.length(text) - F.length(_without(text, SYMBOLS)),
-    "n_lines": lambda text, words: F.size(_lines(text)),
-    "n_dup_lines": lambda text, words: _let(_lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x))),
-    "n_repeat_words": lambda text, words: _repeat_words(words),
-    "n_letter_words": lambda text, words: F.size(F.filter(words, lambda w: w.rlike(r"\p{L}"))),
-    "n_bullet_lines": _line_share(lambda x: x.rlike("^[ \t]*[-*•]")),
-    "n_open_lines": _line_share(lambda x: x.rlike("(\\.\\.\\.|…)[ \t\r]*$")),
+#: Measures of a text, and what each is worked out from: the text, its words, or its lines that have a word.
+MEASURES: dict[str, tuple[tuple[str, ...], Callable[[dict[str, Column]], Column]]] = {
+    "words": ((), lambda m: F.filter(F.split(m["text"], f"[{SPACE}]+"), lambda w: w != "")),
+    "lines": ((), lambda m: F.filter(F.split(m["text"], "\n"), lambda x: _without(x, SPACE) != "")),
+    "n_words": (("words",), lambda m: F.size(m["words"])),
+    "word_chars": ((), lambda m: F.length(_without(m["text"], SPACE))),
+    "n_symbols": ((), lambda m: F.length(m["text"]) - F.length(_without(m["text"], SYMBOLS))),
+    "n_lines": (("lines",), lambda m: F.size(m["lines"])),
+    "n_dup_lines": (("lines",), lambda m: F.size(m["lines"]) - F.size(F.array_distinct(m["lines"]))),
+    "n_repeat_words": (("words",), lambda m: _repeat_words(m["words"])),
+    "n_letter_words": (("words",), lambda m: F.size(F.filter(m["words"], lambda w: w.rlike(r"\p{L}")))),
+    "n_bullet_lines": (("lines",), _lines_that(lambda x: x.rlike("^[ \t]*[-*•]"))),
+    "n_open_lines": (("lines",), _lines_that(lambda x: x.rlike("(\\.\\.\\.|…)[ \t\r]*$"))),
 }
 
 
+def _bound(names: Sequence[str], have: dict[str, Column], body: Callable[[dict[str, Column]], Column]) -> Column:
+    """``body`` of the measures ``names`` and of those it ``have``s, each new one worked out once, when ``body`` is."""
+    order: list[str] = []
+
+    def need(name: str) -> None:
+        if name not in have and name not in order:
+            for below in MEASURES[name][0]:
+                need(below)
+            order.append(name)
+
+    for name in names:
+        need(name)
+
+    def bind(k: int, have: dict[str, Column]) -> Column:
+        if k == len(order):
+            return body(have)
+        value = MEASURES[order[k]][1](have)
+        value = value if order[k] in ("words", "lines") else value.cast("long")
+        return _let(value, lambda v: bind(k + 1, have | {order[k]: v}))
+
+    return bind(0, have)
+
+
 @dataclass(frozen=True)
 class Rule:
     """Rejects a text if ``fails`` holds for its measures, which it asks for by name."""
@@ -88,6 +104,15 @@ class Rule:
     name: str
     fails: Callable[[Callable[[str], Column]], Column]
 
+    def needs(self) -> list[str]:
+        names: list[str] = []
+        self.fails(lambda n: names.append(n) or F.lit(1))
+        return names
+
+    def test(self, have: dict[str, Column], body: Callable[[Column, dict[str, Column]], Column]) -> Column:
+        """``body`` of whether the rule rejects, and of the measures that are known then."""
+        return _bound(self.needs(), have, lambda known: body(self.fails(known.__getitem__), known))
+
 
 RULES = (
     Rule("few_words", lambda m: m("n_words") < 50),
@@ -102,23 +127,16 @@ RULES = (
 )
 
 
-def _measured(text: Column, report: Sequence[str], more: Callable[[Callable[[str], Column]], dict[str, Column]]) -> Column:
-    """A struct of the measures ``report`` and of what ``more`` makes of measures: words are split and reported measures taken once."""
-    whole = F.coalesce(text, F.lit(""))
+def _text(column: str) -> dict[str, Column]:
+    return {"text": F.coalesce(F.col(column), F.lit(""))}
 
-    def inside(words: Column) -> Column:
-        take = lambda name: MEASURES[name](whole, words).cast("long")
-        if not report:
-            return F.struct(*[c.alias(n) for n, c in more(take).items()])
-        first = F.struct(*[take(name).alias(name) for name in report])
-        return _let(
-            first,
-            lambda found: F.struct(
-                *[found[n].alias(n) for n in report], *[c.alias(n) for n, c in more(lambda n: found[n] if n in report else take(n)).items()]
-            ),
-        )
 
-    return _let(split_words(whole), inside)
+def _cascade(rules: Sequence[Rule], have: dict[str, Column]) -> Column:
+    """The name of the first rule that rejects; measures are taken as the cascade reaches them."""
+    if not rules:
+        return F.lit(None).cast("string")
+    first, *rest = rules
+    return first.test(have, lambda fails, known: F.when(fails, F.lit(first.name)).otherwise(_cascade(rest, known)))
 
 
 def rank(outcomes: Sequence[tuple[Sequence[bool], int]], seconds: Sequence[float]) -> list[int]:
@@ -150,16 +168,14 @@ def plan_cascade(
     n = docs.count()
     share = min(1.0, 1.2 * sample_rows / max(n, 1))
     drawn = docs.select(F.col(text).alias("text")).sample(share, seed).limit(sample_rows).repartition(SAMPLE_PARTS)
-    sample = written(drawn.select("text", _measured(F.col("text"), report, lambda m: {"drawn": F.lit(True)}).alias("m")), "rule-sample")
-
-    def taken(more: Callable[[Callable[[str], Column]], dict[str, Column]]) -> DataFrame:
-        """What ``more`` makes of the sample's measures: reported ones are there, the others are taken anew."""
-        text = F.coalesce("text", F.lit(""))
-        take = lambda words: lambda n: F.col(f"m.{n}") if n in report else MEASURES[n](text, words).cast("long")
-        return sample.select(_let(split_words(text), lambda words: F.struct(*[c.alias(n) for n, c in more(take(words)).items()])).alias("v")).select("v.*")
+    told = _bound(report, _text("text"), lambda have: F.struct(F.lit(True).alias("drawn"), *[have[n].alias(n) for n in report]))
+    sample = written(drawn.select("text", told.alias("m")), "rule-sample")
+    # reported measures are there, the others are taken anew
+    have = _text("text") | {n: F.col(f"m.{n}") for n in report}
 
     def seconds(rule: Rule | None) -> float:
-        found, took = taken(lambda m: {"failed": rule.fails(m) if rule else F.lit(False)}).agg(F.count_if("failed")), []
+        failed = F.octet_length(have["text"]) < 0 if rule is None else rule.test(have, lambda fails, _: fails)
+        found, took = sample.agg(F.count_if(failed)), []
         for _ in range(2):
             start = time.perf_counter()
             found.collect()
@@ -168,7 +184,7 @@ def plan_cascade(
 
     nothing = seconds(None)
     costs = [max(seconds(r) - nothing, LEAST_SECONDS) for r in rules]
-    verdicts = taken(lambda m: {f"r{k}": r.fails(m) for k, r in enumerate(rules)})
+    verdicts = sample.select(*[r.test(have, lambda fails, _: fails).alias(f"r{k}") for k, r in enumerate(rules)])
     # at most a row for each row of the sample
     outcomes = [(tuple(r)[:-1], r["n"]) for r in verdicts.groupBy(*verdicts.columns).agg(F.count("*").alias("n")).collect()]
     return [rules[k] for k in rank(outcomes, costs)]
@@ -187,14 +203,8 @@ def judge_quality(
     new_names(docs, out)
     order = plan_cascade(docs, text, rules, report) if plan is None else plan
 
-    def verdict(m: Callable[[str], Column]) -> dict[str, Column]:
-        first = F.lit(None).cast("string")
-        for r in reversed(order):
-            first = F.when(r.fails(m), F.lit(r.name)).otherwise(first)
-        return {"rule": first}
-
-    found = docs.withColumn(out, _measured(F.col(text), report, verdict))
-    return found.withColumn(out, F.col(out).withField("kept", F.col(f"{out}.rule").isNull()))
+    made = lambda known, rule: F.struct(*[known[n].alias(n) for n in report], rule.alias("rule"), rule.isNull().alias("kept"))
+    return docs.withColumn(out, _bound(report, _text(text), lambda known: _let(_cascade(order, known), lambda rule: made(known, rule))))
 
 
 def keep_by_rules(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, plan: Sequence[Rule] | None = None) -> DataFrame:
