@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowgauge.config import FeedConfig, NormalizeConfig
@@ -852,16 +852,36 @@ def snk04_kafka_rows(spark, sf_dir):
 # ---- streams ----
 
 
-def _run_stream(spark: SparkSession, trades: DataFrame, **options) -> DataFrame:
-    """The trades as a stream of files, scored with keyed state; the stream is run to its end."""
-    source, out, offsets = (shared_path(spark, n) for n in ("stream-in", "stream-out", "stream-offsets"))
-    trades.repartitionByRange(3, "trade_time_ms", "trade_id").write.parquet(source)
+def _run_stream(spark: SparkSession, trades: DataFrame, changes: DataFrame | None = None, arrival: Column | None = None, **options) -> DataFrame:
+    """The trades as a stream of files, scored with keyed state; the stream is run to its end.
+
+    With ``arrival`` (milliseconds) trades and changes come in that order, a
+    tenth of the time a trigger; a last trade of no symbol lets the watermark
+    pass all others.
+    """
+    out, offsets = shared_path(spark, "stream-out"), shared_path(spark, "stream-offsets")
+
+    def source(rows: DataFrame, time: str) -> DataFrame:
+        path = shared_path(spark, "stream-in")
+        if arrival is None:
+            rows.repartitionByRange(3, time).write.parquet(path)
+            return spark.readStream.schema(rows.schema).parquet(path)
+        held = stored(rows.withColumn("_turn", F.floor((F.col(time) + arrival - ends["a"]) * 10 / (ends["b"] - ends["a"]))), "arrivals")
+        for turn in range(12):
+            held.filter(F.col("_turn") == turn).drop("_turn").coalesce(1).write.mode("append").parquet(path)
+        if time == "trade_time_ms":
+            last = rows.limit(1).withColumns({"symbol": F.lit("~"), time: F.lit(ends["b"] * 2)})
+            last.write.mode("append").parquet(path)
+        return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+    ends = trades.agg(F.min("trade_time_ms").alias("a"), F.max("trade_time_ms").alias("b")).first()
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        stream = spark.readStream.schema(trades.schema).parquet(source)
-        writer = score_stream(stream, V.CONFIG, **options).writeStream.format("parquet").option("path", out)
+        options |= {} if changes is None else {"changes": source(changes, "at_ms")}
+        stream = score_stream(source(trades, "trade_time_ms"), V.CONFIG, **options)
+        writer = stream.writeStream.format("parquet").option("path", out)
         writer.option("checkpointLocation", offsets).trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(provider, before)
@@ -883,3 +903,19 @@ def str06_stream_restored(spark, sf_dir):
     """The later half as a stream that starts from the states of the earlier one."""
     before, later = _halves(spark, sf_dir)
     return _run_stream(spark, later, initial=before).select(*STREAMED.split(", "))
+
+
+@query(f"with recursive {V.TRADES}, {V.SCORED} select {STREAMED} from scored")
+def str03_reordered(spark, sf_dir):
+    """Trades that arrive up to a day after their time, out of order over many triggers, scored in the order of their times."""
+    late = F.pmod(F.xxhash64("trade_id"), F.lit(86_400_000))
+    return _run_stream(spark, V.trades(spark, sf_dir), arrival=late, configs=V.configs(spark), delay="1 day").select(*STREAMED.split(", "))
+
+
+@query(AS_OF_ROWS)
+def dml05_stream(spark, sf_dir):
+    """Trades and changes of settings as two streams, both out of order: each trade under the settings that held at its time."""
+    t = V.trades(spark, sf_dir)
+    late = F.pmod(F.xxhash64("symbol", F.lit(3)), F.lit(43_200_000))
+    found = _run_stream(spark, t, _changes(t), arrival=late, delay="1 day")
+    return found.select("trade_id", "symbol", "ewma", "z_score", "z_threshold", "min_trades", "is_toxic")

@@ -1,8 +1,18 @@
-"""The EWMA recurrence on unbounded input: keyed state in the state store."""
+"""The EWMA recurrence on unbounded input: keyed state in the state store.
+
+A symbol's rows, trades and changes of its settings, go into a buffer in its
+state as sorted runs of bounded size. With a ``delay``, a timer at the buffer's
+earliest time releases what the watermark has passed, in order of event time,
+whatever the order of arrival; without one, what a trigger brought is released
+at its end. Released runs are merged as streams, so that a symbol may hold any
+share of a trigger's rows: a task holds a run of each stream and no more.
+"""
 
 from __future__ import annotations
 
+import heapq
 import math
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,75 +24,183 @@ from flowgauge import schemas
 from flowgauge.config import ScorerConfig
 from flowgauge.functions import scalars as S
 
-STATE = "ewma double, ewma_var double, trade_count long"
+STATE = "ewma double, ewma_var double, trade_count long, z_threshold double, ewma_alpha double, min_trades int"
+#: Rows of a run in the buffer, and of a frame that goes on.
+RUN_ROWS, FRAME_ROWS = 2_000, 10_000
+#: What a buffered row holds; the first three are its order. A change (kind 0) comes before the trades of its time (kind 1).
+ROW = ("at_ms", "kind", "id", "signed_ofi", "side", "quantity", "price", "z_threshold", "ewma_alpha", "min_trades")
+SCORED = schemas.SCORE + ", z_threshold double, min_trades int, is_toxic boolean, late boolean"
+OUT = [c.split()[0] for c in SCORED.split(", ")]
+
+
+def _plain(value: object) -> object:
+    """A cell without pandas' stand-ins for null."""
+    return None if value is None or value is pd.NaT or value != value else value
 
 
-class EwmaProcessor(StatefulProcessor):
-    """One symbol's mean, variance and count; rows of a batch are taken by (trade_time_ms, trade_id)."""
+class ScoreProcessor(StatefulProcessor):
+    """One symbol's mean, variance, count and settings, and the rows that wait for their turn."""
 
-    def __init__(self, epsilon: float):
-        self.epsilon = epsilon
+    def __init__(self, epsilon: float, ordered: bool):
+        self.epsilon, self.ordered = epsilon, ordered
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("ewma", STATE)
+        self.runs = handle.getMapState("runs", "number long", "first long, last long")
+        self.rows = handle.getMapState("rows", "number long", "rows binary")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         r = initialState.iloc[0]
-        self.state.update((float(r["ewma"]), float(r["ewma_var"]), int(r["trade_count"])))
+        self.state.update((float(r["ewma"]), float(r["ewma_var"]), int(r["trade_count"]), None, None, None))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        mean, var, n = self.state.get() if self.state.exists() else (0.0, 0.0, 0)
-        batch = pd.concat(list(rows)).sort_values(["trade_time_ms", "trade_id"], kind="stable")
+        passed = timerValues.getCurrentWatermarkInMs() if self.ordered else None
+        number = 1 + max((k[0] for k in self.runs.keys()), default=-1)
+        for frame in rows:
+            found = sorted((tuple(map(_plain, r)) for r in frame[list(ROW)].itertuples(index=False, name=None)), key=lambda r: r[:3])
+            if self.ordered:
+                late = [r for r in found if r[0] <= passed]
+                found = found[len(late) :]
+                said = [self._row(key[0], r, late=True) for r in late if r[1]]
+                if said:
+                    yield pd.DataFrame(said, columns=OUT)
+            for k in range(0, len(found), RUN_ROWS):
+                self._put(number, found[k : k + RUN_ROWS])
+                number += 1
+        if self.ordered:
+            self._wait()
+        else:
+            yield from self._release(key[0], math.inf)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._release(key[0], timerValues.getCurrentWatermarkInMs())
+        self._wait()
+
+    def _put(self, number: int, run: list[tuple]) -> None:
+        self.runs.updateValue((number,), (run[0][0], run[-1][0]))
+        self.rows.updateValue((number,), (pickle.dumps(run),))
+
+    def _wait(self) -> None:
+        """A timer at the earliest time in the buffer."""
+        first = min((v[0] for _, v in self.runs.iterator()), default=None)
+        if first is not None:
+            self.handle.registerTimer(first)
+
+    def _read(self, lane: list[int], until: float) -> Iterator[tuple]:
+        """The rows up to ``until`` of runs that follow each other; they leave the buffer."""
+        for number in lane:
+            run = pickle.loads(bytes(self.rows.getValue((number,))[0]))
+            self.runs.removeKey((number,))
+            self.rows.removeKey((number,))
+            rest = [r for r in run if r[0] > until]
+            if rest:
+                self._put(number, rest)
+            yield from run[: len(run) - len(rest)]
+
+    def _release(self, symbol: str, until: float) -> Iterator[pd.DataFrame]:
+        lanes, ends = [], []
+        for first, last, number in sorted((v[0], v[1], k[0]) for k, v in self.runs.iterator() if v[0] <= until):
+            if ends and ends[0][0] < first:
+                lane = heapq.heappop(ends)[1]
+            else:
+                lane = len(lanes)
+                lanes.append([])
+            lanes[lane].append(number)
+            heapq.heappush(ends, (last, lane))
+        if not lanes:
+            return
+        mean, var, n, threshold, alpha, least = self.state.get() if self.state.exists() else (0.0, 0.0, 0, None, None, None)
         out = []
-        for r in batch.itertuples(index=False):
-            x = r.signed_ofi
+        for r in heapq.merge(*(self._read(lane, until) for lane in lanes), key=lambda r: r[:3]):
+            if not r[1]:
+                threshold, alpha, least = (old if new is None else new for new, old in zip(r[7:], (threshold, alpha, least)))
+                least = None if least is None else int(least)
+                continue
+            x, a = r[3], r[8] if alpha is None else alpha
             if n == 0:
                 mean, var = x, 0.0
             else:
                 d = x - mean
-                mean, var = r.alpha * x + (1 - r.alpha) * mean, r.alpha * (d * d) + (1 - r.alpha) * var
+                mean, var = a * x + (1 - a) * mean, a * (d * d) + (1 - a) * var
             n += 1
             z = 0.0 if n == 1 else mean / math.sqrt(max(var, self.epsilon))
-            out.append((key[0], r.trade_id, z, mean, var, n, x, r.side, r.quantity, r.price, r.trade_time_ms))
-        self.state.update((mean, var, n))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in schemas.SCORE.split(", ")])
+            limit, warm = r[7] if threshold is None else threshold, int(r[9] if least is None else least)
+            out.append(self._row(symbol, r, z, mean, var, n, limit, warm, n >= warm and abs(z) >= limit))
+            if len(out) == FRAME_ROWS:
+                yield pd.DataFrame(out, columns=OUT)
+                out = []
+        self.state.update((mean, var, n, threshold, alpha, least))
+        if out:
+            yield pd.DataFrame(out, columns=OUT)
+
+    @staticmethod
+    def _row(symbol, r, z=None, mean=None, var=None, n=None, limit=None, warm=None, toxic=None, late=False) -> tuple:
+        return (symbol, r[2], z, mean, var, n, r[3], *r[4:7], r[0], limit, warm, toxic, late)
 
     def close(self) -> None:
         pass
 
 
 def score_stream(
-    trades: DataFrame, config: ScorerConfig | None = None, configs: DataFrame | None = None, initial: DataFrame | None = None
+    trades: DataFrame,
+    config: ScorerConfig | None = None,
+    configs: DataFrame | None = None,
+    initial: DataFrame | None = None,
+    changes: DataFrame | None = None,
+    delay: str | None = None,
 ) -> DataFrame:
-    """A stream of trades to scores (schema SCORE). Needs the RocksDB state store.
+    """A stream of trades to scores (schema SCORED) with ``is_toxic``. Needs the RocksDB state store.
 
-    ``configs``, a static table, may give symbols an ``ewma_alpha`` of their own;
+    ``configs``, a static table, may give symbols settings of their own;
     ``initial`` (schema SCORER_STATE, a row a symbol) is what the stream's first
-    batch starts from.
-
-    Within a trigger a symbol's trades are ordered; across triggers the order of
-    arrival counts. State and offsets are committed together, so a restart
-    scores no trade twice.
+    batch starts from. ``changes(symbol, at_ms, change_id, z_threshold,
+    ewma_alpha, min_trades)`` is a stream of settings that change while it runs,
+    with the meaning that they have in ``settings_as_of``: the states of a
+    symbol's settings and of its scores are one, and no other symbol is touched.
+
+    With a ``delay`` rows are taken in order of event time, changes before the
+    trades of their time, once the watermark (the latest time seen, less the
+    delay) has passed them; trades that come after that are ``late``: they have
+    no score and don't advance the state. Without one, rows are ordered within a
+    trigger, and across triggers the order of arrival counts. A row without a
+    time counts as of time 0, and so is late with a delay. State and offsets are committed together, so a
+    restart scores no trade twice.
     """
     config = config or ScorerConfig()
-    alpha = F.lit(config.alpha)
     named = trades.withColumn("symbol", S.upper_symbol(F.col("symbol")))
+    threshold, alpha, least = F.coalesce(*[F.when(F.col("symbol") == s, F.lit(float(t))) for s, t in config.thresholds.items()], F.lit(float(config.threshold))), F.lit(config.alpha), F.lit(config.min_trades)
     if configs is not None:
-        named = named.join(configs.select("symbol", F.col("ewma_alpha").alias("own_alpha")), "symbol", "left")
-        alpha = F.coalesce("own_alpha", alpha)
-    ready = named.select(
+        own = configs.select("symbol", *[F.col(c).alias(f"_{c}") for c in ("z_threshold", "ewma_alpha", "min_trades") if c in configs.columns])
+        named = named.join(own, "symbol", "left")
+        given = lambda c, other: F.coalesce(f"_{c}", other) if c in configs.columns else other
+        threshold, alpha, least = given("z_threshold", threshold), given("ewma_alpha", alpha), given("min_trades", least)
+    moment = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias("at_ms")
+    rows = named.select(
         "symbol",
-        "trade_id",
-        "trade_time_ms",
-        "side",
-        "quantity",
-        "price",
+        moment("trade_time_ms"),
+        F.lit(1).alias("kind"),
+        F.col("trade_id").cast("long").alias("id"),
         S.signed_ofi(F.col("side"), F.col("quantity"), F.col("price")).alias("signed_ofi"),
-        alpha.alias("alpha"),
-    ).filter("symbol <> ''")
+        *("side", "quantity", "price"),
+        threshold.alias("z_threshold"),
+        alpha.alias("ewma_alpha"),
+        least.cast("int").alias("min_trades"),
+    )
+    if changes is not None:
+        said = changes.select(
+            S.upper_symbol(F.col("symbol")).alias("symbol"), moment("at_ms"), F.lit(0).alias("kind"), F.col("change_id").cast("long").alias("id"),
+            *("z_threshold", "ewma_alpha", "min_trades"),
+        )
+        rows = rows.unionByName(said, allowMissingColumns=True)
+    if delay is not None:
+        # the time itself goes no further: Spark would drop late rows, which are to be told of
+        rows = rows.withColumn("event_time", F.timestamp_millis("at_ms")).withWatermark("event_time", delay).drop("event_time")
+    ready = rows.filter("symbol <> ''")
     start = None if initial is None else initial.withColumn("symbol", S.upper_symbol(F.col("symbol"))).groupBy("symbol")
+    mode = "None" if delay is None else "EventTime"
     return ready.groupBy("symbol").transformWithStateInPandas(
-        EwmaProcessor(config.epsilon), schemas.SCORE, outputMode="append", timeMode="None", initialState=start
+        ScoreProcessor(config.epsilon, delay is not None), SCORED, outputMode="append", timeMode=mode, initialState=start
     )
 
 

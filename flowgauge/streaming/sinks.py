@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -38,6 +38,24 @@ def split_writer(good: str, bad: str, config: NormalizeConfig) -> Callable[[Data
     return write
 
 
+def scores_writer(good: str, late: str, told: Callable[[int, dict[str, int]], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """Writes a batch of scores, and trades that came too late beside them; ``told`` is given the batch's counts of both.
+
+    The counts are taken as the rows pass by, without another job.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        counts = Observation(f"scores-{batch_id}")
+        found = batch.observe(counts, F.count_if(~F.col("late")).alias("scored"), F.count_if("late").alias("late")).persist()
+        found.filter(~F.col("late")).drop("late").write.mode("overwrite").parquet(batch_folder(good, batch_id))
+        found.filter("late").drop("late").write.mode("overwrite").parquet(batch_folder(late, batch_id))
+        found.unpersist()
+        if told is not None:
+            told(batch_id, counts.get)
+
+    return write
+
+
 def json_writer(good: str, bad: str) -> Callable[[DataFrame, int], None]:
     """Checks a batch of messages ``(key, value)``: what passes goes on as JSON in canonical form, the rest as it came, both with their keys."""
     fields = ("event_id", "exchange", "symbol", "trade_id", "side", "price", "quantity", "trade_time_ms")
