@@ -202,8 +202,8 @@ def test_top_k(spark):
     ]
     table = spark.createDataFrame([(*r, "clash", 1) for r in rows], "vec_id long, embedding array<double>, rank string, score int")
     got = sorted(tuple(r) for r in topk.top_k(table.filter("vec_id in (0, 1)"), table, k=2).collect())
-    # both rows with the id 0 are candidates of the query 1, none of them of the query 0
-    assert got == [(0, 1, 1, 32768), (0, 2, 2, 32768), (1, 1, 0, 32768), (1, 2, 0, 32768)]
+    # both rows with the id 0 are candidates of the query 1, none of them of the query 0; both ask, and their results are ranked together
+    assert got == [(0, 1, 1, 32768), (0, 2, 1, 32768), (1, 1, 0, 32768), (1, 2, 0, 32768)]
     blocks = sorted(tuple(r) for r in topk.top_k(table.filter("vec_id in (0, 1)"), table, k=2, block_rows=1, query_rows=1).collect())
     assert blocks == got
     assert topk.top_k(table.limit(0), table).count() == 0 and topk.top_k(table, table.limit(0)).count() == 0
