@@ -263,6 +263,15 @@ def agg01_dedup_ttl(spark, sf_dir):
     return kept.select("symbol", "hour", F.col("trade_time_ms").alias("kept_ms"))
 
 
+@query(f"""with recursive {V.TRADES}, o as (select distinct trade_time_ms t from trades),
+r as (select min(t) t from o union all select (select min(o.t) from o where o.t >= r.t + 1800000) from r where r.t is not null)
+select t kept_ms from r where t is not null""")
+def agg01_ttl_hot(spark, sf_dir):
+    """One key holds all trades."""
+    kept = dedup.within_ttl(V.trades(spark, sf_dir), "trade_time_ms", 1_800_000, ("exchange",), ("trade_id",))
+    return kept.select(F.col("trade_time_ms").alias("kept_ms"))
+
+
 # ---- scoring ----
 
 SCORED_COLUMNS = "trade_id, symbol, signed_ofi, ewma, ewma_var, trade_count, z_score"

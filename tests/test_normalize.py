@@ -1,10 +1,15 @@
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from flowgauge import schemas
 from flowgauge.config import NormalizeConfig
+from flowgauge.operators import dedup
 from flowgauge.operators.dedup import first_of_each, within_ttl
 from flowgauge.operators.normalize import dead_letters, good_trades, normalize, validate_json
+from flowgauge.tables import stored
 
 NOW = 1704153600000 + 7_200_000
 BASE = {
@@ -87,3 +92,50 @@ def test_dedup_ttl(spark):
     hot = table.filter("note = 'r0'").crossJoin(spark.range(1000)).drop("id")
     assert [r["note"] for r in within_ttl(hot, "t", 50).collect()] == ["r0"]
     assert within_ttl(table.select("exchange", "symbol", "trade_id", "t"), "t", 50).count() == 5
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_ttl_over_ranges(spark, seed, monkeypatch):
+    """A hot key over most ranges, others of few rows, bursts and gaps: one by one gives the same, in few rounds, and no range holds the key."""
+    draw = random.Random(seed)
+    steps = [draw.choice([0, 1, 3, 7]) if draw.random() < 0.97 else draw.choice([60, 400]) for _ in range(3000)]
+    times = {"hot": list(itertools.accumulate(steps))} | {f"k{n}": [draw.randrange(5000) for _ in range(draw.randrange(30))] for n in range(40)} | {None: list(range(0, 300, 2))}
+    rows = [(k, t, n) for k, ts in times.items() for n, t in enumerate(ts)]
+    draw.shuffle(rows)
+    table = spark.createDataFrame(rows, "k string, t long, n long").repartition(7)
+    want, ttl = [], draw.choice([1, 40, 200, 3000])
+    for k, ts in times.items():
+        last = None
+        for t in sorted(set(ts)):
+            if last is None or t - last >= ttl:
+                want.append((k, t))
+                last = t
+    written = []
+    monkeypatch.setattr(dedup, "stored", lambda df, name: written.append((name, stored(df, name))) or written[-1][1])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = within_ttl(table, "t", ttl, ("k",), ("n",)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(((r["k"], r["t"]) for r in got), key=str) == sorted(want, key=str)
+    assert sum(name == "reached" for name, _ in written) <= 6  # 16 ranges: 4 doublings, and one that finds nothing new
+    ranges = next(df for name, df in written if name == "ttl").filter("_start is null and k = 'hot'").groupBy("_part").count().collect()
+    assert len(ranges) > 8 and max(r["count"] for r in ranges) < 700
+
+
+def test_starts_become_one():
+    """Every start's own end, and no more passes alive than times within a TTL."""
+    times = [0, 3, 5, 9, 10, 14, 30, 31, 52]
+    passes = dedup._Starts(10, True)
+    for t in times:
+        passes.see(t)
+        assert len(passes.alive) <= 5
+
+    def last(start):
+        kept = start
+        for t in times:
+            kept = t if t >= kept + 10 else kept
+        return kept
+
+    assert passes.ends() == ([0, 3, 5, 9, 10], [last(s) for s in (0, 3, 5, 9, 10)])
