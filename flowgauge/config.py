@@ -59,7 +59,7 @@ class FeedConfig:
     speed: float = 1.0
 
     def __post_init__(self) -> None:
-        if self.mode not in ("live", "csv", "synthetic"):
+        if self.mode not in ("live", "csv", "replay"):
             raise ValueError(f"unknown feed mode {self.mode!r}")
         if self.layout.lower() not in ("auto", "trades", "aggtrades"):
             raise ValueError(f"unknown layout {self.layout!r}")
@@ -69,29 +69,6 @@ class FeedConfig:
             raise ValueError("start_row, max_rows and speed must not be negative, passes at least 1")
 
 
-@dataclass(frozen=True)
-class SyntheticConfig:
-    """Simulated flow. Volatility is annual; a burst follows each ``burst_every_ms`` of quiet flow."""
-
-    seed: int = 42
-    trades_per_second: float = 50.0
-    start_price: float = 65_000.0
-    volatility: float = 0.35
-    tick_size: float = 0.01
-    base_quantity: float = 0.05
-    burst_every_ms: int = 90_000
-    burst_duration_ms: int = 12_000
-    burst_imbalance: float = 0.88
-    burst_rate_factor: float = 4.0
-    burst_size_factor: float = 3.0
-
-    def __post_init__(self) -> None:
-        if self.trades_per_second <= 0 or self.start_price <= 0 or self.base_quantity <= 0:
-            raise ValueError("trades_per_second, start_price and base_quantity must be positive")
-        if not 0 <= self.burst_imbalance <= 1:
-            raise ValueError("burst_imbalance must lie in 0..1")
-
-
 @dataclass(frozen=True)
 class DedupConfig:
     """Suppression of repeats; keys live in the state store, which bounds memory by itself."""
@@ -132,12 +109,6 @@ NAMES = {
         "FEED_MODE": "mode", "EXCHANGE": "exchange", "FEED_SYMBOLS": "symbols", "CSV_FORMAT": "layout", "CSV_HAS_HEADER": "header",
         "CSV_START_ROW": "start_row", "CSV_MAX_ROWS": "max_rows", "CSV_SPEED": "speed",
     },
-    SyntheticConfig: {
-        "SYNTH_SEED": "seed", "SYNTH_TRADES_PER_SEC": "trades_per_second", "SYNTH_START_PRICE": "start_price",
-        "SYNTH_VOLATILITY": "volatility", "SYNTH_TICK_SIZE": "tick_size", "SYNTH_BASE_QTY": "base_quantity",
-        "SYNTH_BURST_EVERY": "burst_every_ms", "SYNTH_BURST_DURATION": "burst_duration_ms", "SYNTH_BURST_IMBALANCE": "burst_imbalance",
-        "SYNTH_BURST_RATE_FACTOR": "burst_rate_factor", "SYNTH_BURST_SIZE_FACTOR": "burst_size_factor",
-    },
     DedupConfig: {"DEDUP_ENABLED": "enabled", "DEDUP_TTL": "ttl_ms"},
     NormalizeConfig: {
         "SCHEMA_VERSION": "schema_version", "NORMALIZE_COMPUTE_QUOTE_QTY": "compute_quote_quantity", "NORMALIZE_MAX_PRICE": "max_price",

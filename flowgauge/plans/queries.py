@@ -14,7 +14,6 @@ from flowgauge.operators import audit, dedup, metrics, scoring, tables
 from flowgauge.operators.normalize import dead_letters, good_trades, normalize, validate_json
 from flowgauge.plans import views as V
 from flowgauge.sources import brokers, csv_trades, frames
-from flowgauge.sources.synthetic import synthetic_trades
 from flowgauge.streaming.scorer import score_stream
 from flowgauge.streaming.sinks import json_writer
 from flowgauge.tables import shared_path, stored
@@ -85,9 +84,10 @@ def sca12_routing_key(spark, sf_dir):
     return V.trades(spark, sf_dir).select(key.alias("routing_key")).groupBy("routing_key").agg(F.count("*").alias("n"))
 
 
-@query("select range attempt, cast(least(1000, 100 * power(2, range)) as bigint) delay_ms from range(32)")
+@query(f"with {V.TRADES} select trade_id, trade_id % 32 attempt, cast(least(1000, 100 * power(2, trade_id % 32)) as bigint) delay_ms from trades")
 def sca14_backoff(spark, sf_dir):
-    return spark.range(32).select(F.col("id").alias("attempt"), S.backoff_ms(F.col("id"), 100, 1000).alias("delay_ms"))
+    attempt = F.col("trade_id") % 32
+    return V.trades(spark, sf_dir).select("trade_id", attempt.alias("attempt"), S.backoff_ms(attempt, 100, 1000).alias("delay_ms"))
 
 
 @query(f"""
@@ -316,11 +316,16 @@ def jon01_threshold_join(spark, sf_dir):
     return judged.groupBy("symbol", "z_threshold", "min_trades").agg(F.count("*").alias("n"))
 
 
-@query("""
-select * from (values ('BTCUSDT', 4.5::double), ('DOGEUSDT', 2.5::double), ('ETHUSDT', 3::double), ('XRPUSDT', 2::double)) t(symbol, z_threshold)""")
+@query(f"""with {V.TRADES}, {V.CONFIGS}, o as (select symbol, max(quantity) top from trades where symbol in ('BTCUSDT', 'BNBUSDT') group by symbol),
+w as (select coalesce(o.symbol, c.symbol) symbol, coalesce(o.top, c.z_threshold) z_threshold from configs c full join o using (symbol))
+select trade_id, symbol, coalesce(z_threshold, 3::double) z_threshold from trades left join w using (symbol)""")
 def jon02_config_overlay(spark, sf_dir):
-    config = V.CONFIG.with_overrides({"SCORER_THRESHOLD_BTCUSDT": "4.5", "SCORER_THRESHOLD_xrpusdt": "2"})
-    return scoring.config_table(spark, config).select("symbol", "z_threshold")
+    """Thresholds named in the environment (here the largest trades of two symbols) over those configured, joined to the trades."""
+    t = V.trades(spark, sf_dir)
+    named = t.filter(F.lower("symbol").isin("btcusdt", "bnbusdt")).groupBy(F.lower("symbol").alias("symbol")).agg(F.max("quantity").alias("top")).collect()  # two rows
+    config = V.CONFIG.with_overrides({f"SCORER_THRESHOLD_{r['symbol']}": str(r["top"]) for r in named})
+    joined = t.join(scoring.config_table(spark, config).select("symbol", "z_threshold"), "symbol", "left")
+    return joined.select("trade_id", "symbol", F.coalesce("z_threshold", F.lit(config.threshold)).alias("z_threshold"))
 
 
 @query(f"""with recursive {V.TRADES}, {V.SCORED},
@@ -432,15 +437,6 @@ def snk16_notification(spark, sf_dir):
     return V.alerts(spark, sf_dir).select("id", text.alias("body"))
 
 
-@query("""
-select i + 1 n, (['BTCUSDT','ETHUSDT','DOGEUSDT','BNBUSDT'])[i % 4 + 1] symbol, (['BUY','SELL'])[i % 2 + 1] side,
-  1704153600000 - (23 - i) * 300000 trade_time_ms from (select range i from range(24))""")
-def src26_synth_alerts(spark, sf_dir):
-    a = A.demo_alerts(spark, 1_704_153_600_000)
-    number = (F.col("trade_time_ms") - 1_704_153_600_000) / 300_000 + 24
-    return a.select(number.cast("long").alias("n"), "symbol", "side", "trade_time_ms")
-
-
 # ---- audit and tables ----
 
 
@@ -532,15 +528,18 @@ def srt03_audit_topk(spark, sf_dir):
     return A.page(_audit_events(spark, sf_dir), [F.desc("id")], 100).select("id", "actor")
 
 
-CHANGES = [("ETHUSDT", 3.5, 0.2, 20), ("XRPUSDT", 2.0, 0.1, 10)]
+def _drawn_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings for the symbols traded in all but the first: the largest quantity as threshold, their number of trades (100 at most) as warm-up."""
+    t = V.trades(spark, sf_dir).filter("symbol <> 'BTCUSDT'")
+    return t.groupBy("symbol").agg(F.max("quantity").alias("z_threshold"), F.lit(0.2).alias("ewma_alpha"), F.least(F.count("*"), F.lit(100)).cast("int").alias("min_trades"))
 
 
-@query("""
-select * from (values ('BTCUSDT', 3::double, 0.1::double, 10::integer), ('DOGEUSDT', 2.5::double, 0.1::double, 10::integer),
-  ('ETHUSDT', 3.5::double, 0.2::double, 20::integer), ('XRPUSDT', 2::double, 0.1::double, 10::integer)) t(symbol, z_threshold, ewma_alpha, min_trades)""")
+DRAWN = "drawn as (select symbol, max(quantity) z_threshold, 0.2::double ewma_alpha, least(count(*), 100)::integer min_trades from trades where symbol <> 'BTCUSDT' group by symbol)"
+
+
+@query(f"with {V.TRADES}, {V.CONFIGS}, {DRAWN} select * from drawn union all select * from configs where symbol not in (select symbol from drawn)")
 def dml01_upsert(spark, sf_dir):
-    table = V.configs(spark)
-    return tables.upsert(table, spark.createDataFrame(CHANGES, table.schema), ["symbol"])
+    return tables.upsert(V.configs(spark), _drawn_settings(spark, sf_dir), ["symbol"])
 
 
 @query(f"""with {V.TRADES}, s as (select symbol, max(quantity) top, count(*) n from trades where symbol <> 'BTCUSDT' group by symbol)
@@ -564,17 +563,17 @@ def dml04_archive(spark, sf_dir):
     return kept.groupBy(F.col("ingest_date").cast("string").alias("ingest_date"), "symbol").agg(F.count("*").alias("n"), F.sum("trade_id").alias("ids"))
 
 
-@query("""
-select * from (values ('BTCUSDT', 3::double, 0.1::double, 10::integer), ('DOGEUSDT', 2.5::double, 0.1::double, 10::integer),
-  ('ETHUSDT', 3::double, 0.1::double, 10::integer), ('XRPUSDT', 2::double, 0.1::double, 10::integer)) t(symbol, z_threshold, ewma_alpha, min_trades)""")
+@query(f"with {V.TRADES}, {V.CONFIGS}, {DRAWN} select * from configs union all select * from drawn where symbol not in (select symbol from configs)")
 def dml03_seed(spark, sf_dir):
-    table = V.configs(spark)
-    return tables.seed(table, spark.createDataFrame(CHANGES, table.schema), ["symbol"])
+    return tables.seed(V.configs(spark), _drawn_settings(spark, sf_dir), ["symbol"])
 
 
-@query("select * from (values ('BTCUSDT', 3::double), ('DOGEUSDT', 2.5::double), ('ETHUSDT', 3::double)) t(symbol, z_threshold)")
+@query(f"""with {V.TRADES}, {V.CONFIGS}, {DRAWN}, w as (select * from drawn union all select * from configs where symbol not in (select symbol from drawn))
+select symbol, z_threshold, row_number() over (order by symbol) place from w""")
 def srt02_configs(spark, sf_dir):
-    return V.configs(spark).orderBy("symbol").select("symbol", "z_threshold")
+    """The settings in the order in which they are listed, with their places."""
+    table = tables.upsert(V.configs(spark), _drawn_settings(spark, sf_dir), ["symbol"])
+    return tables.numbered(table.orderBy("symbol"), ["symbol"], "place").select("symbol", "z_threshold", "place")
 
 
 @query(f"""with recursive {V.TRADES}, {V.SCORED}, {LAST}
@@ -842,11 +841,6 @@ def src18_backfill(spark, sf_dir):
     return dedup.first_of_each(both, [F.col("trade_time_ms")]).select("trade_id", "symbol")
 
 
-@query()
-def src13_synthetic(spark, sf_dir):
-    return synthetic_trades(spark, 5_000, ["BTCUSDT", "ETHUSDT"])
-
-
 @query(f"""with {V.TRADES} select trade_id, exchange || ':' || symbol "key", 9 n_headers,
 'content-type=application/json;event_id=e' || trade_id || ';exchange=' || exchange || ';ingested_at_ms=' || {V.NOW_MS} || ';schema_version=1.0.0;side=' || side
 || ';source=csv;symbol=' || symbol || ';trade_time_ms=' || trade_time_ms headers from trades""")

@@ -9,7 +9,6 @@ from flowgauge.config import FeedConfig
 from flowgauge.functions import scalars as S
 from flowgauge.sources.csv_trades import read_csv_trades
 from flowgauge.sources.frames import decode_frames
-from flowgauge.sources.synthetic import synthetic_trades
 
 ACKS = {"none": "0", "one": "1", "all": "all"}
 CODECS = ("none", "gzip", "snappy", "lz4", "zstd")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from flowgauge.config import FeedConfig
 from flowgauge.functions import scalars as S
 from flowgauge.operators.tables import numbered, replay
+from flowgauge.tables import stored
 
 #: Spellings of each column, without case, ``_``, ``-``, ``.`` and spaces; and the columns by place.
 ALIASES = {
@@ -41,7 +42,7 @@ def layout_of(header: str | None, setting: str = "auto") -> str:
     """``aggTrades`` if the header names an aggregate id, else ``trades``."""
     if setting != "auto":
         return "aggTrades" if setting.lower() == "aggtrades" else "trades"
-    return "aggTrades" if header and "aggtradeid" in map(plain, header.split(",")) else "trades"
+    return "aggTrades" if header and "aggtradeid" in map(plain, next(csv.reader([header]))) else "trades"
 
 
 def column_positions(header: str | None, width: int, layout: str) -> dict[str, int]:
@@ -120,7 +121,8 @@ def _layouts(lines: DataFrame, config: FeedConfig) -> tuple[DataFrame, list[dict
     heads = numbered_lines.groupBy("file").agg(F.min_by("value", "n").alias("first"))
     lead = F.trim(F.substring_index("first", ",", 1), F.lit(' "\r'))
     named = {"auto": ~F.coalesce(lead.rlike(S.NUMBER), F.lit(False)), "true": F.lit(True), "false": F.lit(False)}[config.header]
-    width = F.size(F.split("first", ","))
+    # commas between quotes part no fields
+    width = F.regexp_count(F.regexp_replace("first", '"(?:[^"]|"")*"', ""), F.lit(",")) + 1
     each = heads.select("file", F.when(named, F.col("first")).alias("header"), F.when(~named, F.when(width >= 7, 7).otherwise(6)).alias("width"))
     kinds = [r.asDict() for r in each.select("header", "width").distinct().limit(MOST_LAYOUTS + 1).collect()]
     if len(kinds) > MOST_LAYOUTS:
@@ -149,7 +151,8 @@ def parse_files(spark: SparkSession, path: str, config: FeedConfig) -> DataFrame
         "_header string, _width int, " + ", ".join(f"_{c} int" for c in columns),
     )
     same = F.col("header").eqNullSafe(F.col("_header")) & F.col("width").eqNullSafe(F.col("_width"))
-    of_file = each.join(F.broadcast(table), same).drop("header", "width")  # at most MOST_LAYOUTS rows
+    # written, so that its size is known: Spark sends it to all tasks if it is small, else a file of very many lines is split
+    of_file = stored(each.join(F.broadcast(table), same).drop("header", "width"), "layouts")  # at most MOST_LAYOUTS rows
     rows = lines.join(of_file, "file").filter(~F.col("value").eqNullSafe(F.col("_header")))
     return parse_lines(rows, "value", {c: F.col(f"_{c}") for c in columns}, symbol, config.exchange, width, F.col("_header").isNull())
 

@@ -16,14 +16,17 @@ def decode_frames(frames: DataFrame, value: str = "value", strict: bool = False,
     ``now_ms`` (the clock, if none is given); symbols are normalised. ``strict``
     also rejects a zero id, an empty price and a zero time.
     """
-    fields = "map<string,string>"  # names differ by case only, which maps keep apart
-    data = F.coalesce(F.from_json(value, fields)["data"], F.col(value))
-    d = frames.select(F.col(value), F.from_json(data, fields).alias("w"))
-    pick = lambda c: F.col("w")[c]
+    # a generator: each frame is parsed once, and all fields are taken from what it gives
+    whole = F.struct(F.try_parse_json(F.col(value)).alias("_whole"))
+    read = frames.select(F.col(value), F.inline(F.array(whole)))
+    inner = F.try_variant_get("_whole", "$.data", "variant")
+    event = F.when(inner.isNull() | F.is_variant_null(inner), F.col("_whole")).otherwise(inner)
+    d = read.select(F.col(value), F.inline(F.array(F.struct(event.alias("_event")))))
+    pick = lambda c: F.try_variant_get("_event", f"$.{c}", "string")
     number = lambda c: pick(c).try_cast("long")
     kind = pick("e")
     trade_id = F.when(kind == "aggTrade", number("a")).when(kind == "trade", number("t"))
-    broken = F.try_variant_get(F.try_parse_json(data), "$", "map<string,variant>").isNull()
+    broken = ~F.coalesce(F.schema_of_variant("_event").startswith("OBJECT"), F.lit(False))
     error = F.when(broken, "malformed_json").when(F.coalesce(kind, F.lit("")) == "", "no event type").when(~kind.isin("aggTrade", "trade"), "unknown event type")
     if strict:
         error = (

@@ -111,12 +111,12 @@ def test_config():
 
 
 def test_settings():
-    from flowgauge.config import DedupConfig, NormalizeConfig, SinkConfig, SyntheticConfig, load_config, redacted
+    from flowgauge.config import DedupConfig, NormalizeConfig, SinkConfig, load_config, redacted
 
     feed = load_config(FeedConfig, {"FEED_SYMBOLS": "btcusdt, ethusdt,btcusdt", "CSV_SPEED": "0", "CSV_FORMAT": " "})
     assert feed.symbols == ("BTCUSDT", "ETHUSDT") and feed.speed == 0.0 and feed.layout == "auto"
     assert load_config(DedupConfig, {"DEDUP_TTL": "1m30s", "DEDUP_ENABLED": "no"}) == DedupConfig(False, 90_000)
-    assert load_config(SyntheticConfig, {"SYNTH_BURST_EVERY": "500ms"}).burst_every_ms == 500
+    assert load_config(SinkConfig, {"PRODUCER_MAX_RETRIES": "2"}).max_retries == 2
     assert load_config(ScorerConfig, {"SCORER_MIN_TRADES": "3", "SCORER_THRESHOLD_btcusdt": "4"}).thresholds["BTCUSDT"] == 4.0
     for kind, env in ((NormalizeConfig, {"NORMALIZE_MAX_PRICE": "x"}), (DedupConfig, {"DEDUP_TTL": "soon"}), (SinkConfig, {"BROKER": "paper"}), (SinkConfig, {"KAFKA_TLS_ENABLED": "maybe"})):
         with pytest.raises(ValueError):

@@ -4,99 +4,93 @@ from pyspark.sql import functions as F
 from flowgauge.config import FeedConfig
 from flowgauge.operators import metrics
 from flowgauge.sources import brokers, csv_trades, frames
-from flowgauge.sources.synthetic import synthetic_trades
 
 HEADER = "id,price,qty,quoteQty,time,isBuyerMaker,isBestMatch"
+AT = 1717243200000  # 2024-06-01 12:00 UTC
 
 
-def read(spark, folder, lines, name="BTCUSDT-trades-2024-01-01.csv", **config):
+def read(spark, folder, lines, name="SOLUSDT-dump-7.csv", **config):
     path = folder / name
     path.write_text("\n".join(lines) + "\n")
     return csv_trades.read_csv_trades(spark, str(path), FeedConfig(**config)).orderBy("trade_id").collect()
 
 
-def test_trades_with_header(spark, tmp_path):
-    got = read(spark, tmp_path, [HEADER, "1,42000.10,0.50000000,21000.05000000,1704153600000,false,true", "2,1,1,1,1704153600,true,true"])
-    assert [(r["trade_id"], r["price"], r["quote_quantity"], r["is_buyer_maker"], r["trade_time_ms"]) for r in got] == [
-        (1, "42000.10", "21000.05000000", False, 1704153600000),
-        (2, "1", "1", True, 1704153600000),
-    ]
-    assert got[0]["symbol"] == "BTCUSDT" and got[0]["payload"].startswith("1,42000.10")
+def line(i, price="7.25", qty="3", time=AT, more=""):
+    return f"{i},{price},{qty},{more}{time},TRUE,no"
 
 
-def test_headerless(spark, tmp_path):
-    six = read(spark, tmp_path, ["1,42000.10,0.5,1704153600000,false,true"])
-    assert six[0]["quote_quantity"] is None and six[0]["trade_time_ms"] == 1704153600000
-    seven = read(spark, tmp_path, ["1,42000.10,0.5,21000.05,1704153600000,false,true"], name="sample_binance_trades.csv", symbols=("ETHUSDT",))
-    assert seven[0]["quote_quantity"] == "21000.05" and seven[0]["symbol"] == "ETHUSDT"
+def test_a_dump_with_header(spark, tmp_path):
+    """Text stays as it stands; a time in seconds, one in milliseconds and a date are one moment."""
+    rows = [line(31, "0.0810", "1200", AT, "97.2,"), line(32, time=AT // 1000, more=","), line(33, time="2024-06-01 12:00:00", more="x,"), line(34, time="noon", more="1,")]
+    got = read(spark, tmp_path, [HEADER, *rows])
+    assert [(r["trade_id"], r["price"], r["quantity"], r["quote_quantity"]) for r in got] == [(31, "0.0810", "1200", "97.2"), (32, "7.25", "3", None), (33, "7.25", "3", "x")]
+    assert {r["trade_time_ms"] for r in got} == {AT} and {r["symbol"] for r in got} == {"SOLUSDT"} and all(r["is_buyer_maker"] for r in got)
+    assert got[0]["payload"] == rows[0]
+
+
+def test_dumps_without_header(spark, tmp_path):
+    """Six fields have no quote, more have one; a comma between quotes parts no fields. Names that say no symbol take the setting."""
+    six = read(spark, tmp_path, [line(8)])
+    assert (six[0]["quote_quantity"], six[0]["trade_time_ms"], six[0]["quantity"]) == (None, AT, "3")
+    seven = read(spark, tmp_path, [line(9, more="21.75,")], name="part-0.csv", symbols=("XRPUSDT",))
+    assert (seven[0]["quote_quantity"], seven[0]["symbol"]) == ("21.75", "XRPUSDT")
+    quoted = read(spark, tmp_path, [f'5,"1,5",2,{AT},"TRUE",no', line(6)], name="ADAUSDT_q.csv")
+    assert [(r["trade_id"], r["price"], r["trade_time_ms"]) for r in quoted] == [(5, "1,5", AT), (6, "7.25", AT)]
 
 
 def test_aggregates_and_broken_lines(spark, tmp_path):
-    lines = ["aggTradeId,price,quantity,firstTradeId,lastTradeId,transactTime,isBuyerMaker,isBestMatch", "10,42000.10,0.5,100,100,1704153600000,false,true"]
-    assert read(spark, tmp_path, lines)[0]["trade_id"] == 10
-    bad = [HEADER, "1,1,1,1,1704153600000,false,true", "not-an-id,1,1,1,1704153600000,false,true", "short", "3,1,1,1,1704153600001,false,true"]
-    assert [r["trade_id"] for r in read(spark, tmp_path, bad)] == [1, 3]
-    with pytest.raises(ValueError):
-        read(spark, tmp_path, ["id,nothing", "1,2"])
+    lines = ["aggTradeId,price,quantity,firstTradeId,lastTradeId,transactTime,isBuyerMaker,isBestMatch", f"77,7.25,3,400,409,{AT},false,true"]
+    assert [(r["trade_id"], r["trade_time_ms"], r["is_buyer_maker"]) for r in read(spark, tmp_path, lines)] == [(77, AT, False)]
+    bad = [HEADER, line(5, more="1,"), line("five", more="1,"), "", "6", line(7, more="1,"), line(8, time="", more="1,")]
+    assert [r["trade_id"] for r in read(spark, tmp_path, bad)] == [5, 7]
+    with pytest.raises(ValueError, match="lacks"):
+        read(spark, tmp_path, ["id,cost", "4,5"])
 
 
 def test_short_names_and_quotes(spark, tmp_path):
-    got = read(spark, tmp_path, ["a,p,q,T,m", '7,"1.5",2,1704153600000,true', '8,1,"2",1704153600000,false'])
+    got = read(spark, tmp_path, ["a,p,q,T,m", f'7,"1.5",2,{AT},true', f'8,1,"2",{AT},false'])
     assert [(r["trade_id"], r["price"], r["quantity"], r["is_buyer_maker"]) for r in got] == [(7, "1.5", "2", True), (8, "1", "2", False)]
-    got = read(spark, tmp_path, ["note,id,price,qty,time", '"a, ""b""",1,2,3,1704153600', 'say "x,2,2,3,1704153600', ",3,2,3,1704153600"])
-    assert [(r["trade_id"], r["trade_time_ms"]) for r in got] == [(1, 1704153600000), (2, 1704153600000), (3, 1704153600000)]
+    got = read(spark, tmp_path, ["note,id,price,qty,time", f'"a, ""b""",1,2,3,{AT // 1000}', f'say "x,2,2,3,{AT // 1000}', f",3,2,3,{AT // 1000}"])
+    assert [(r["trade_id"], r["trade_time_ms"]) for r in got] == [(1, AT), (2, AT), (3, AT)]
 
 
 def test_each_file_has_its_layout(spark, tmp_path):
-    (tmp_path / "BTCUSDT-a.csv").write_text("id,price,qty,time\n1,10,1,1704153600000\nx,10,1,1704153600000\n")
-    (tmp_path / "ETHUSDT-b.csv").write_text("2,20,1,20,1704153600000,true,true\n3,20,1,20,1704153600,true,true\n")
-    (tmp_path / "DOGEUSDT-c.csv").write_text("")
+    (tmp_path / "SOLUSDT-a.csv").write_text(f"id,price,qty,time\n1,10,1,{AT}\nx,10,1,{AT}\n")
+    (tmp_path / "ADAUSDT-b.csv").write_text(f"2,20,1,20,{AT},true,true\n3,20,1,20,{AT // 1000},true,true\n")
+    (tmp_path / "DOTUSDT-c.csv").write_text("")
     raw = csv_trades.parse_files(spark, str(tmp_path), FeedConfig())
-    assert sorted(map(tuple, csv_trades.skipped(raw).collect())) == [("BTCUSDT", 2, 1), ("ETHUSDT", 2, 0)]
+    assert sorted(map(tuple, csv_trades.skipped(raw).collect())) == [("ADAUSDT", 2, 0), ("SOLUSDT", 2, 1)]
     got = csv_trades.readable(raw).orderBy("trade_id").collect()
     # without a header, times stand as they are
     assert [(r["symbol"], r["price"], r["trade_time_ms"], r["is_buyer_maker"]) for r in got] == [
-        ("BTCUSDT", "10", 1704153600000, False), ("ETHUSDT", "20", 1704153600000, True), ("ETHUSDT", "20", 1704153600, True)
+        ("SOLUSDT", "10", AT, False), ("ADAUSDT", "20", AT, True), ("ADAUSDT", "20", AT // 1000, True)
     ]
 
 
 def test_slices(spark, tmp_path):
-    lines = [HEADER, *[f"{i},1,1,1,{1704153600000 + i},false,true" for i in (10, 20, 30, 40, 50)]]
-    assert [r["trade_id"] for r in read(spark, tmp_path, lines, max_rows=2)] == [10, 20]
-    assert [r["trade_id"] for r in read(spark, tmp_path, lines, start_row=3)] == [30, 40, 50]
-    assert len(read(spark, tmp_path, lines, passes=3, max_rows=7)) == 7
+    lines = [HEADER, *[line(i, time=AT + 5 * i, more="1,") for i in (4, 3, 2, 1)]]
+    ids = lambda **config: [r["trade_id"] for r in read(spark, tmp_path, lines, **config)]
+    assert ids(max_rows=3) == [1, 2, 3] and ids(start_row=2) == [2, 3, 4] and ids(passes=2, max_rows=5) == [1, 1, 2, 3, 4]
 
 
 def test_frames(spark):
-    event = '{"e":"aggTrade","E":5,"s":"BTCUSDT","a":7,"p":"1.5","q":"2","T":4,"m":true}'
+    event = '{"e":"aggTrade","E":5,"s":"sol-usdt","a":7,"p":"1.5","q":"2","T":4,"m":true}'
     rows = [event, '{"stream":"s","data":' + event + "}", event.replace("aggTrade", "trade").replace('"a":7', '"t":8'), event.replace("aggTrade", "depth"), "oops", event.replace('"a":7', '"a":0')]
     table = spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "k int, value string").orderBy("k")
     got = frames.decode_frames(table, strict=True).collect()
     assert [r["trade_id"] for r in got] == [7, 7, 8, None, None, 0]
     assert [r["error"] for r in got] == [None, None, None, "unknown event type", "malformed_json", "no id"]
-    assert (got[0]["trade_time_ms"], got[0]["event_time_ms"], got[0]["is_buyer_maker"]) == (4, 5, True)
-
-
-def test_synthetic(spark, monkeypatch):
-    from flowgauge.config import SyntheticConfig
-    from flowgauge.sources import synthetic
-
-    def make(seed):
-        config = SyntheticConfig(seed=seed, burst_every_ms=20_000, burst_duration_ms=4_000)
-        return synthetic_trades(spark, 4000, ["BTCUSDT", "ETHUSDT"], config).orderBy("symbol", "trade_id")
-
-    a = make(1).collect()
-    assert a == make(1).collect() != make(2).collect()
-    assert len(a) == 8000 and all(float(r["price"]) > 0 and float(r["quantity"]) > 0 for r in a)
-    monkeypatch.setattr(synthetic, "BLOCK", 700)  # sums over blocks are the same up to rounding
-    blocks = make(1).collect()
-    assert sum(x["trade_time_ms"] != y["trade_time_ms"] for x, y in zip(a, blocks)) < 5
-    first = make(1).filter("symbol = 'BTCUSDT' and trade_time_ms - 1704153600000 between 20000 and 23999")
-    sides = first.withColumn("side", F.when(F.col("is_buyer_maker"), "SELL").otherwise("BUY"))
-    share = metrics.imbalance(sides, []).first()["buy_share"]
-    assert share > 0.75 or share < 0.25
-    quiet = make(1).filter("symbol = 'BTCUSDT' and trade_time_ms - 1704153600000 < 20000").count() / 20
-    assert 15 < quiet < 35 and first.count() / 4 > 2.5 * quiet
+    assert (got[0]["symbol"], got[0]["price"], got[0]["trade_time_ms"], got[0]["event_time_ms"], got[0]["is_buyer_maker"]) == ("SOLUSDT", "1.5", 4, 5, True)
+    odd = ["[1]", "3", "null", '{"data":"text"}', '{"data":[]}', '{"data":null,"e":"trade","t":"9","T":"6"}', '{"e":"trade","t":1000}', "", None]
+    got = frames.decode_frames(spark.createDataFrame([(k, x) for k, x in enumerate(odd)], "k int, value string").coalesce(1).orderBy("k"), now_ms=F.lit(1)).collect()
+    assert [r["error"] for r in got] == ["malformed_json"] * 5 + [None, None, "malformed_json", "malformed_json"]
+    assert [(r["trade_id"], r["trade_time_ms"], r["event_time_ms"]) for r in got[5:7]] == [(9, 6, 1), (1000, None, 1)]
+
+
+def test_a_frame_is_parsed_once(spark):
+    table = spark.createDataFrame([("{}",)], "value string")
+    plan = frames.decode_frames(table)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parse_json") == 1 and "from_json" not in plan
 
 
 def test_options():

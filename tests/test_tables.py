@@ -150,13 +150,6 @@ def test_pages(spark):
             alerts.page(t, ["id"], limit, offset)
 
 
-def test_demo_alerts(spark):
-    a = alerts.demo_alerts(spark, 1_704_153_600_000).orderBy("trade_time_ms").collect()
-    assert len(a) == 24 and a[0]["event_id"] != a[1]["event_id"] and a[-1]["trade_time_ms"] == 1_704_153_600_000
-    assert (a[0]["symbol"], a[0]["side"], a[0]["z_score"], a[0]["signed_ofi"]) == ("BTCUSDT", "BUY", 3.10, 0.255)
-    assert a[1]["signed_ofi"] == -0.2675
-
-
 def test_alert_json(spark):
     scored = spark.createDataFrame([("S", 3.1234567891, 1.0, 2.0, 0.5, True), ("T", 1.0, 1.0, 1.0, 1.0, False)], "symbol string, z_score double, ewma double, ewma_var double, signed_ofi double, is_toxic boolean")
     made = alerts.alert_json(alerts.build_alerts(scored, F.lit(7))).collect()
