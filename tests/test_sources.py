@@ -90,7 +90,7 @@ def test_frames(spark):
 def test_a_frame_is_parsed_once(spark):
     table = spark.createDataFrame([("{}",)], "value string")
     plan = frames.decode_frames(table)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("parse_json") == 1 and "from_json" not in plan
+    assert plan.count("parseJson") == 1 and "from_json" not in plan
 
 
 def test_options():
