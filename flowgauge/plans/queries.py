@@ -13,7 +13,8 @@ from flowgauge.operators import alerts as A
 from flowgauge.operators import audit, dedup, metrics, scoring, tables
 from flowgauge.operators.normalize import dead_letters, good_trades, normalize, validate_json
 from flowgauge.plans import views as V
-from flowgauge.sources import brokers, csv_trades, frames
+from flowgauge.sources import brokers, csv_trades, frames, replay
+from flowgauge.streaming import transactional
 from flowgauge.streaming.scorer import score_stream
 from flowgauge.streaming.sinks import json_writer
 from flowgauge.tables import shared_path, stored
@@ -855,6 +856,20 @@ def snk04_kafka_rows(spark, sf_dir):
 # ---- streams ----
 
 
+@query(f"with {V.TRADES} select trade_id, symbol, price, is_buyer_maker, trade_time_ms from trades")
+def src10_replay_stream(spark, sf_dir):
+    """The trades replayed as a stream that is stopped and started again until it has admitted all."""
+    path, out, offsets = (shared_path(spark, n) for n in ("recorded", "replayed", "replay-offsets"))
+    t = V.trades(spark, sf_dir)
+    replay.prepare_replay(t, path, speed=0.0)
+    runs = 5
+    for _ in range(runs):
+        stream = replay.replay_stream(spark, path, f"{offsets}-progress/at.json", -(-t.count() // runs))
+        writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", offsets)
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("trade_id", "symbol", "price", "is_buyer_maker", "trade_time_ms")
+
+
 def _run_stream(spark: SparkSession, trades: DataFrame, changes: DataFrame | None = None, arrival: Column | None = None, **options) -> DataFrame:
     """The trades as a stream of files, scored with keyed state; the stream is run to its end.
 
@@ -891,6 +906,17 @@ def _run_stream(spark: SparkSession, trades: DataFrame, changes: DataFrame | Non
     return spark.read.parquet(out)
 
 
+@query(f"with {V.TRADES} select trade_id, symbol, price, trade_time_ms from trades")
+def snk12_epochs(spark, sf_dir):
+    """Trades through the transactional sink, epoch by epoch, and back from its manifests."""
+    path, offsets, source = (shared_path(spark, n) for n in ("epochs", "epoch-offsets", "epoch-in"))
+    t = V.trades(spark, sf_dir).select("trade_id", "symbol", "price", "trade_time_ms")
+    t.repartitionByRange(4, "trade_id").write.parquet(source)
+    stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    transactional.write_epochs(stream, path, offsets).trigger(availableNow=True).start().awaitTermination()
+    return transactional.read_epochs(spark, path, t.schema)
+
+
 STREAMED = "trade_id, symbol, ewma, ewma_var, trade_count, z_score"
 
 

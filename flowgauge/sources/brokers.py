@@ -9,6 +9,7 @@ from flowgauge.config import FeedConfig
 from flowgauge.functions import scalars as S
 from flowgauge.sources.csv_trades import read_csv_trades
 from flowgauge.sources.frames import decode_frames
+from flowgauge.sources.replay import replay_stream
 
 ACKS = {"none": "0", "one": "1", "all": "all"}
 CODECS = ("none", "gzip", "snappy", "lz4", "zstd")
@@ -49,11 +50,11 @@ def kafka_rows(trades: DataFrame) -> DataFrame:
     )
 
 
-def open_feed(spark: SparkSession, config: FeedConfig, path: str = "", rows: int = 1000) -> DataFrame:
-    """The feed that ``config.mode`` names: a CSV dump, simulated flow, or a live topic of frames."""
+def open_feed(spark: SparkSession, config: FeedConfig, path: str = "", progress: str = "") -> DataFrame:
+    """The feed that ``config.mode`` names: a CSV dump, a replay of recorded trades (a stream), or a live topic of frames."""
     if config.mode == "csv":
         return read_csv_trades(spark, path, config)
-    if config.mode == "synthetic":
-        return synthetic_trades(spark, rows, list(config.symbols))
+    if config.mode == "replay":
+        return replay_stream(spark, path, progress)
     live = spark.readStream.format("kafka").options(**kafka_source_options(path, "trades.raw", "latest")).load()
     return decode_frames(live.select(F.col("value").cast("string").alias("value")))

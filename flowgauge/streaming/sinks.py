@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Callable
 
@@ -14,6 +15,9 @@ from flowgauge.operators.audit import build_chain
 from flowgauge.operators.normalize import dead_letters, good_trades, normalize, validate_json
 from flowgauge.operators.tables import upsert
 from flowgauge.sources.brokers import kafka_sink_options
+from flowgauge.streaming.transactional import write_epochs
+
+log = logging.getLogger(__name__)
 
 
 def ndjson(rows: DataFrame, prefix: str = "") -> DataFrame:
@@ -109,28 +113,60 @@ def alert_writer(alerts: str, log: str, hook: Callable[[DataFrame, int], None] |
 
 
 def retrying(
-    write: Callable[[DataFrame, int], None], dead_letter: Callable[[DataFrame, int], None], retries: int = 5, base_s: float = 0.1, most_s: float = 5.0
+    write: Callable[[DataFrame, int], None],
+    dead_letter: Callable[[DataFrame, int], None],
+    retries: int = 5,
+    base_s: float = 0.1,
+    most_s: float = 5.0,
+    told: Callable[[int, str, int], None] | None = None,
 ) -> Callable[[DataFrame, int], None]:
-    """Repeats a batch's write after growing pauses; when all attempts fail, the batch goes to ``dead_letter``."""
+    """Repeats a batch's write after growing pauses; when all attempts fail, the batch goes to ``dead_letter``.
+
+    ``told`` is given each batch's number, its outcome (published, dead_lettered
+    or dropped) and the attempts it took. Failures are logged; a batch that
+    can't be dead-lettered either is dropped, and the stream goes on.
+    """
+    told = told or (lambda n, outcome, attempts: None)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         for attempt in range(retries + 1):
             try:
-                return write(batch, batch_id)
+                write(batch, batch_id)
+                return told(batch_id, "published", attempt + 1)
             except Exception:
+                log.exception("attempt %d to write batch %d failed", attempt + 1, batch_id)
                 if attempt < retries:
                     time.sleep(min(base_s * 2**attempt, most_s))
-        dead_letter(batch, batch_id)
+        try:
+            dead_letter(batch, batch_id)
+            told(batch_id, "dead_lettered", retries + 1)
+        except Exception:
+            log.exception("batch %d dropped: its dead letters can't be written", batch_id)
+            told(batch_id, "dropped", retries + 1)
 
     return run
 
 
-def open_sink(stream: DataFrame, config: SinkConfig, path: str = "", checkpoint: str = "") -> DataStreamWriter:
-    """The writer that ``config.kind`` names, with its options; a message queue takes ``foreachBatch`` and routing keys instead."""
+#: The setting that names the topic of each kind of output.
+TOPICS = {"trades": "topic", "dead_letters": "dlq_topic", "alerts": "alerts_topic"}
+
+
+def open_sink(stream: DataFrame, config: SinkConfig, path: str = "", checkpoint: str = "", output: str = "trades") -> DataStreamWriter:
+    """The writer that ``config.kind`` names, with all its settings, for ``output``: trades, dead_letters or alerts.
+
+    Kafka retries by its own settings and takes the output's topic. Files are
+    written as epochs (``write_epochs``) in a folder named like the topic, a
+    batch's rows again after failures and then as dead letters. A message queue
+    takes ``foreachBatch`` and routing keys instead.
+    """
+    topic = getattr(config, TOPICS[output])
+    if config.kind == "files":
+        return write_epochs(stream, f"{path}/{topic}", checkpoint, config)
     writer = sink(stream, config.kind, path, checkpoint)
     if config.kind == "kafka":
         login = (config.sasl_mechanism or None, config.sasl_user, config.sasl_password)
-        writer = writer.options(**kafka_sink_options(config.brokers, config.topic, config.acks, config.compression, *login, config.tls))
+        more = {"kafka.retries": config.max_retries, "kafka.retry.backoff.ms": config.retry_base_ms, "kafka.retry.backoff.max.ms": config.retry_max_ms}
+        writer = writer.options(**kafka_sink_options(config.brokers, topic, config.acks, config.compression, *login, config.tls), **more)
     return writer
 
 
