@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from flowgauge.config import FeedConfig, NormalizeConfig
 from flowgauge.functions import scalars as S
 from flowgauge.operators import alerts as A
-from flowgauge.operators import audit, dedup, metrics, scoring, tables
+from flowgauge.operators import audit, dedup, layout, metrics, scoring, snapshots, tables
 from flowgauge.operators.normalize import dead_letters, good_trades, normalize, validate_json
 from flowgauge.plans import views as V
 from flowgauge.sources import brokers, csv_trades, frames, replay
@@ -376,6 +376,25 @@ def flt09_history(spark, sf_dir):
     return V.filtered(spark, sf_dir).select("id", "symbol", "z_score", "trade_time_ms")
 
 
+@query(f"{V.ALL} select id, symbol, z_score, trade_time_ms from alerts where {MATCH}")
+def srt06_curve(spark, sf_dir):
+    """The same history from a table clustered by symbol, time and score, of which only files that may match are read."""
+    path = shared_path(spark, "curve")
+    layout.write_curve(V.alerts(spark, sf_dir), path, files=16)
+    asked = {"symbol": " ethusdt ", "from_time": "2024-01-03 00:00:00", "to_time": "2024-01-25 00:00:00", "min_z": 3.0, "max_z": 20.0}
+    return A.alert_history(layout.curve_rows(spark, path, **asked), **asked).select("id", "symbol", "z_score", "trade_time_ms")
+
+
+@query(f"""with {V.TRADES}, o as (select *, row_number() over (order by trade_time_ms desc, trade_id desc) place, count(*) over () total from trades)
+select trade_id, symbol, total from o where place > total - total // 3 and place <= total - total // 3 + 50""")
+def srt01_deep_page(spark, sf_dir):
+    """A page two thirds down all trades, newest first, from the files that hold it; the total is the index's."""
+    path, order = shared_path(spark, "sorted"), [F.desc("trade_time_ms"), F.desc("trade_id")]
+    layout.write_sorted(V.trades(spark, sf_dir), path, order, files=16)
+    total = layout.sorted_total(spark, path)
+    return layout.sorted_page(spark, path, order, 50, total - total // 3).select("trade_id", "symbol", F.lit(total).cast("long").alias("total"))
+
+
 @query(f"{V.ALL} select id, trade_id from alerts where symbol = 'DOGEUSDT' and abs(z_score) >= 2.75")
 def flt10_alerts(spark, sf_dir):
     return A.alert_history(V.alerts(spark, sf_dir), "dogeusdt", min_z=2.75).select("id", "trade_id")
@@ -585,6 +604,24 @@ def dml02_state_upsert(spark, sf_dir):
     return tables.upsert(states, change, ["symbol"]).select("symbol", "trade_count")
 
 
+@query(f"""with {V.TRADES}, u as (select t.*, e.user_id from trades t join events e on e.event_id = t.trade_id)
+select user_id, max_by(trade_id, (trade_time_ms, trade_id)) trade_id, max(trade_time_ms) trade_time_ms, count(distinct user_id) over () total from u group by user_id""")
+def dml02_snapshots(spark, sf_dir):
+    """Each user's last trade, merged from four stretches of time as four versions, and their number by the manifest."""
+    path = shared_path(spark, "last-trades")
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("trade_id"), "user_id")
+    t = stored(V.trades(spark, sf_dir).select("trade_id", "trade_time_ms").join(users, "trade_id"), "user-trades")
+    ends = t.agg(F.min("trade_time_ms").alias("a"), F.max("trade_time_ms").alias("b")).first()
+    step = (ends["b"] - ends["a"]) // 4 + 1
+    for k in range(4):
+        some = t.filter(F.floor((F.col("trade_time_ms") - ends["a"]) / step) == k)
+        last = F.max_by(F.struct("trade_id", "trade_time_ms"), F.struct("trade_time_ms", "trade_id")).alias("s")
+        snapshots.merge(path, some.groupBy("user_id").agg(last).select("user_id", "s.*"), ["user_id"], 16)
+        snapshots.expire(path, 2)
+    now = snapshots.snapshot(path)
+    return now.rows(spark).withColumn("total", F.lit(now.total).cast("long"))
+
+
 @query(f"""with recursive {V.TRADES}, {V.SCORED}, {V.CONFIGS}
 select s.symbol, count(*) n from scored s left join configs c using (symbol)
 where trade_count >= 10 and abs(z_score) >= case when s.symbol = 'ETHUSDT' then 6 else coalesce(z_threshold, 3) end group by 1""")

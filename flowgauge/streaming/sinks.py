@@ -6,14 +6,14 @@ import logging
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from flowgauge.config import NormalizeConfig, SinkConfig
+from flowgauge.operators import snapshots
 from flowgauge.operators.audit import build_chain
 from flowgauge.operators.normalize import dead_letters, good_trades, normalize, validate_json
-from flowgauge.operators.tables import upsert
 from flowgauge.sources.brokers import kafka_sink_options
 from flowgauge.streaming.transactional import write_epochs
 
@@ -75,16 +75,13 @@ def json_writer(good: str, bad: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def state_writer(path: str) -> Callable[[DataFrame, int], None]:
-    """Keeps the last state of each symbol as a table, a version for each batch."""
+def state_writer(path: str, n_buckets: int = 64, keep: int = 2) -> Callable[[DataFrame, int], None]:
+    """Keeps the last state of each symbol as snapshots, a version for each batch; buckets that a batch doesn't touch keep their files."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark: SparkSession = batch.sparkSession
         last = F.max_by(F.struct("ewma", "ewma_var", "trade_count"), "trade_count").alias("s")
-        new = batch.groupBy("symbol").agg(last).select("symbol", "s.*")
-        if batch_id > 0:
-            new = upsert(spark.read.parquet(batch_folder(path, batch_id - 1)), new, ["symbol"])
-        new.write.mode("overwrite").parquet(batch_folder(path, batch_id))
+        snapshots.merge(path, batch.groupBy("symbol").agg(last).select("symbol", "s.*"), ["symbol"], n_buckets, batch_id)
+        snapshots.expire(path, keep)
 
     return write
 

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from flowgauge import schemas
 from flowgauge.config import NormalizeConfig
+from flowgauge.operators import snapshots
 from flowgauge.operators.scoring import score_trades
 from flowgauge.plans import queries, views
 from flowgauge.streaming.scorer import dedup_stream
@@ -42,7 +43,9 @@ def test_state_table(spark, tmp_path):
     write(state("A", 1).union(state("A", 2)), 0)
     write(state("B", 1), 1)
     write(state("B", 1), 1)  # a batch again
-    assert sorted((r["symbol"], r["trade_count"]) for r in spark.read.parquet(f"{tmp_path}/batch=1").collect()) == [("A", 2), ("B", 1)]
+    kept = snapshots.snapshot(str(tmp_path))
+    assert kept.version == 1 and kept.total == 2
+    assert sorted((r["symbol"], r["trade_count"]) for r in kept.rows(spark).collect()) == [("A", 2), ("B", 1)]
 
 
 def test_lines(spark):
