@@ -2,14 +2,14 @@
 
 The windows of all items become a hash set that is broadcast: sorted 64-bit
 hashes with the place of each window in the items' packed words. It is made in
-tasks, and sent while it has no more than a stated number of windows; beyond
-that, windows are joined by the SHA-256 of their words instead. A hash hit is
-verified word by word before it counts.
+tasks, and sent while it has no more than a stated number of windows. Beyond that
+a Bloom filter of their hashes, of fixed size, is sent in its place, and what
+passes it is joined with the windows. Either way a hash hit is verified word by
+word before it counts.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from itertools import repeat
@@ -166,19 +166,83 @@ def annotate_by_broadcast(docs: DataFrame, packed: DataFrame) -> DataFrame:
     return docs.withColumn("_contamination", scan(F.col("text")))
 
 
-def annotate_by_join(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    """As ``annotate_by_broadcast``, with the windows of both sides joined by the SHA-256 of their words.
+def _bits(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The two places of each hash in a filter of 2^bits bits."""
+    low = np.uint64((1 << bits) - 1)
+    return np.concatenate([hashes & low, (hashes >> np.uint64(64 - bits)) & low]).astype(np.int64)
 
-    Column names ``_row``, ``_items`` and ``_at`` are reserved.
+
+def window_filter(packed: DataFrame, bits: int) -> bytes:
+    """A Bloom filter of the hashes of all windows: 2^bits bits, made in tasks by stretches of 2^16 bytes.
+
+    More windows make it let more through; its size stays.
+    """
+    stretch = 1 << min(bits, 19)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for raw in b["hashes"]:
+                at = np.unique(_bits(np.frombuffer(raw, np.uint64), bits))
+                yield pd.DataFrame({"part": (at // stretch).astype(np.int32), "at": (at % stretch).astype(np.int32)})
+
+    def fill(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        held = np.zeros(stretch, np.uint8)
+        held[group["at"].to_numpy()] = 1
+        return pd.DataFrame([(key[0], np.packbits(held, bitorder="little").tobytes())], columns=["part", "bits"])
+
+    parts = packed.select("hashes").mapInPandas(place, "part int, at int").distinct().groupBy("part").applyInPandas(fill, "part int, bits binary")
+    out = bytearray(1 << max(bits - 3, 0))
+    size = stretch // 8
+    for r in parts.collect():  # the filter itself: 2^bits bits
+        out[r["part"] * size : (r["part"] + 1) * size] = r["bits"]
+    return bytes(out)
+
+
+def _each_window(packed: DataFrame) -> DataFrame:
+    """``(hash, n, words, who)``: the different windows of all items, with the items that have them."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                at = np.frombuffer(r.places, np.int32).reshape(-1, 2).tolist()
+                hashes = np.frombuffer(r.hashes, np.uint64).view(np.int64)
+                yield pd.DataFrame({"hash": hashes, "n": r.n, "words": [r.words[x:y] for x, y in at], "item_id": r.item_id})
+
+    rows = packed.mapInPandas(cut, "hash long, n int, words binary, item_id long")
+    return rows.groupBy("hash", "n", "words").agg(F.collect_set("item_id").alias("who"))
+
+
+def annotate_by_join(docs: DataFrame, packed: DataFrame, filter_bits: int = 27) -> DataFrame:
+    """As ``annotate_by_broadcast``, for windows that are too many to send: a filter of fixed size is sent instead.
+
+    Runs of words that pass it, the hits and a small share of others, are joined
+    with the windows by hash, and count if their words are equal. Column names
+    ``_row``, ``_items`` and ``_at`` are reserved.
     """
     new_names(docs, "_row", "_items", "_at")
-    lengths = [r[0] for r in _windows(_items(benchmark), "item_id", [window], True).select("n").distinct().collect()]
+    lengths = sorted(r["n"] for r in packed.select("n").distinct().collect())  # a row for each length up to the window's
+    held = docs.sparkSession.sparkContext.broadcast(window_filter(packed, filter_bits))
     numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    wanted = _windows(_items(benchmark), "item_id", [window], True).select("digest", "item_id").distinct()
-    seen = _windows(numbered.select("_row", "text"), "_row", lengths, False)
-    hits = seen.join(wanted, "digest").groupBy("_row").agg(
-        F.collect_set("item_id").alias("_items"), F.collect_set(F.struct("pos", "n")).alias("_at")
-    )
+
+    def survivors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = np.frombuffer(held.value, np.uint8)
+        for b in batches:
+            for row, t in zip(b["_row"], b["text"]):
+                w = item_words(t)
+                words, places = _word_hashes(w), {}
+                for n in lengths:
+                    h = _rolled(words, n)
+                    if not len(h):
+                        continue
+                    at = _bits(h, filter_bits)
+                    there = (known[at >> 3] >> (at & 7).astype(np.uint8) & 1).reshape(2, -1).all(axis=0)
+                    for p in np.flatnonzero(there).tolist():
+                        places.setdefault((int(h[p].view(np.int64)), n, b" ".join(w[p : p + n])), []).append(p)
+                yield pd.DataFrame([(row, *k, p) for k, p in places.items()], columns=["_row", "hash", "n", "words", "pos"])
+
+    seen = numbered.select("_row", "text").mapInPandas(survivors, "_row long, hash long, n int, words binary, pos array<int>")
+    hits = seen.join(written(_each_window(packed), "each-window"), ["hash", "n", "words"])
+    found = hits.groupBy("_row").agg(F.array_distinct(F.flatten(F.collect_list("who"))).alias("_items"), F.collect_list(F.struct("pos", "n")).alias("_at"))
 
     @F.pandas_udf(RESULT)
     def combine(texts: pd.Series, items: pd.Series, at: pd.Series) -> pd.DataFrame:
@@ -187,32 +251,16 @@ def annotate_by_join(docs: DataFrame, benchmark: DataFrame, window: int) -> Data
             n = len(item_words(t))
             edge = np.zeros(n + 1, np.int64)
             for x in where if where is not None else ():
-                edge[x["pos"]] += 1
-                edge[x["pos"] + x["n"]] -= 1
+                p = np.asarray(x["pos"], np.int64)
+                np.add.at(edge, p, 1)
+                np.add.at(edge, p + x["n"], -1)
             rows.append(_row(n, np.cumsum(edge)[:-1] > 0, [int(x) for x in who] if who is not None else ()))
         return pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "spans"])
 
-    joined = numbered.join(hits, "_row", "left")
+    joined = numbered.join(found, "_row", "left")
     return joined.withColumn("_contamination", combine("text", "_items", "_at")).drop("_row", "_items", "_at")
 
 
-def _windows(table: DataFrame, key: str, lengths: list[int], short: bool) -> DataFrame:
-    """``(key, pos, n, digest)`` of each run of words; with ``short``, a text of fewer words is one run."""
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for k, t in zip(b[key], b["text"]):
-                w = item_words(t)
-                rows = []
-                for n in lengths:
-                    m = min(n, len(w)) if short else n
-                    for p in range(max(len(w) - m + 1, 0) if m else 0):
-                        rows.append((k, p, m, hashlib.sha256(b" ".join(w[p : p + m])).digest()))
-                yield pd.DataFrame(rows, columns=[key, "pos", "n", "digest"])
-
-    return table.select(key, "text").mapInPandas(cut, f"{key} long, pos int, n int, digest binary")
-
-
 def annotate_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_broadcast_windows: int = 2_000_000) -> DataFrame:
     """``docs`` with ``_contamination(n_words, n_hit, items, spans)``: verified hits of test windows.
 
@@ -227,7 +275,7 @@ def annotate_contamination(docs: DataFrame, benchmark: DataFrame, window: int =
     new_names(docs, "_contamination")
     packed = written(pack_items(_items(benchmark).distinct(), window), "windows")
     n = packed.agg(F.coalesce(F.sum("windows"), F.lit(0))).first()[0]
-    return annotate_by_broadcast(docs, packed) if n <= max_broadcast_windows else annotate_by_join(docs, benchmark, window)
+    return annotate_by_broadcast(docs, packed) if n <= max_broadcast_windows else annotate_by_join(docs, packed)
 
 
 def contaminated(share: int = 20):

@@ -209,3 +209,18 @@ def test_top_k(spark):
     assert topk.top_k(table.limit(0), table).count() == 0 and topk.top_k(table, table.limit(0)).count() == 0
     huge = spark.createDataFrame([(0, [1e15, 1.0]), (1, [1e15, 3.0]), (2, [1e15, 2.0])], "vec_id long, embedding array<double>")
     assert [r["vec_id"] for r in topk.top_k(huge.filter("vec_id = 0"), huge, k=2).orderBy("rank").collect()] == [1, 2]
+
+
+@pytest.mark.parametrize("bits", [4, 10, 20])
+def test_join_equals_broadcast_for_any_filter(spark, bits):
+    """However much the filter lets through: a window that is everywhere, short items, shared windows, repeats inside a text."""
+    said = "the quick brown fox jumps over the lazy dog and runs far away from here today"
+    items = spark.createDataFrame([(1, said), (2, said), (3, "tiny item"), (4, " ".join(f"w{k}" for k in range(60))), (5, ""), (None, said)], "item_id long, text string")
+    texts = [said, f"{said} {said}", "x " + said.replace("fox", "cat"), "a tiny item in a tiny item", "w3 " * 40, " ".join(f"w{k}" for k in range(5, 40)), None, "", "dog " * 500]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts * 5)], "doc_id long, text string").repartition(3)
+    packed = decontam.pack_items(items.filter("item_id is not null"), 13)
+    rows = lambda df: sorted((r["doc_id"], r["_contamination"]) for r in df.collect())
+    want = rows(decontam.annotate_by_broadcast(docs, packed))
+    assert rows(decontam.annotate_by_join(docs, packed, bits)) == want and any(c["n_hit"] for _, c in want)
+    assert len(decontam.window_filter(packed, bits)) == max(1, 2**bits // 8)
+    assert decontam.annotate_by_join(docs, packed.limit(0), bits).filter("_contamination.n_hit > 0").count() == 0
