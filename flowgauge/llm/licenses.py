@@ -67,9 +67,12 @@ class Templates:
                     self.numbers.setdefault(w, len(self.numbers) + (len(self.numbers) > 0))
         self.base = len(self.numbers) + 1
         self.bags = [{self.numbers[a] * self.base + self.numbers[b]: c for (a, b), c in bag.items()} for _, _, bag in self.entries]
-        self.known = np.zeros(self.base * self.base, bool)
-        for bag in self.bags:
-            self.known[list(bag)] = True
+        self.pairs = np.array(sorted({code for bag in self.bags for code in bag}), np.int64)
+
+    def known(self, codes: np.ndarray) -> np.ndarray:
+        """Which pairs of words some template has."""
+        at = np.minimum(np.searchsorted(self.pairs, codes), len(self.pairs) - 1)
+        return self.pairs[at] == codes
 
     def runs(self, words: list[str], cuts: np.ndarray) -> list[tuple[int, int, int, int, float]]:
         """``(common, template, a, b, dice)`` of the runs of words between two cuts that reach the threshold.
@@ -82,9 +85,9 @@ class Templates:
         ids = np.fromiter((self.numbers.get(w, 1) for w in words), np.int64, len(words))
         codes = ids[:-1] * self.base + ids[1:]
         # a run's bigrams that some template has are at least ``share`` of its own: only such runs are compared
-        inner = np.concatenate([[0], np.cumsum(self.known[codes])])
-        opens = self.known[ids[cuts[:-1]]].astype(np.int64)
-        closes = self.known[ids[cuts[1:] - 1] * self.base].astype(np.int64)
+        inner = np.concatenate([[0], np.cumsum(self.known(codes))])
+        opens = self.known(ids[cuts[:-1]]).astype(np.int64)
+        closes = self.known(ids[cuts[1:] - 1] * self.base).astype(np.int64)
         left = opens - inner[cuts[:-1]] + share * cuts[:-1]
         right = closes + inner[cuts[1:] - 1] - share * (cuts[1:] + 1)
         best_right = np.maximum.accumulate(right[::-1])[::-1]
