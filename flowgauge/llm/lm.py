@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 from flowgauge.llm.common import words, written
 
+#: Tasks of a shuffle at most, however large the corpus.
+MOST_TASKS = 20_000
 #: No word has white space: these stand for the start of a text, which is a context only, and its end, a token.
 START, END = b" ", b"\n"
 BLOCKS = "block long, doc_id array<long>, train array<boolean>, sizes array<int>, words binary, tokens binary"
@@ -255,9 +257,9 @@ def score_texts(docs: DataFrame, train: Column, order: int = 2, block_tokens: in
     spark = docs.sparkSession
     blocks = written(encode_blocks(docs, train, block_tokens), "blocks")
     held = blocks.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n)), F.lit(0)).alias("tokens")).first()
-    # what a bucket and a task hold does not grow with the corpus: their number does
+    # what a bucket holds does not grow with the corpus, their number does; a task takes one after another
     buckets = max(spark.sparkContext.defaultParallelism, -(-held["tokens"] // bucket_tokens))
-    tasks = max(spark.sparkContext.defaultParallelism, held["n"] // 2)
+    tasks = min(MOST_TASKS, max(spark.sparkContext.defaultParallelism, held["n"] // 2))
     sent_names, orders = [x.split()[0] for x in SENT.split(", ")], range(1, order + 1)
 
     def send_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -281,7 +283,7 @@ def score_texts(docs: DataFrame, train: Column, order: int = 2, block_tokens: in
         return pd.DataFrame(rows, columns=sent_names)
 
     def exchange(sent: DataFrame) -> DataFrame:
-        return written(sent.repartition(buckets, "order", "bucket").groupBy("order", "bucket").applyInPandas(_totals, BACK), "totals")
+        return written(sent.repartition(min(MOST_TASKS, buckets), "order", "bucket").groupBy("order", "bucket").applyInPandas(_totals, BACK), "totals")
 
     by_block = lambda table: table.repartition(tasks, "block").groupBy("block")
     grams = exchange(blocks.mapInPandas(send_grams, SENT))
