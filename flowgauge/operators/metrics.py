@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowgauge.functions import scalars as S
+from flowgauge.operators.normalize import REASONS
+
 #: Upper bounds of the buckets of ingest lags (milliseconds) and batch sizes.
 LAG_BUCKETS = (1, 5, 10, 25, 50, 100, 250, 500, 1000, 5000, 30000)
 BATCH_BUCKETS = (1, 10, 50, 100, 250, 500, 1000, 2500, 5000)
@@ -33,6 +36,13 @@ def producer_counters(batches: DataFrame) -> DataFrame:
     )
 
 
+def outcome_counts(size: Column) -> list[Column]:
+    """Aggregates over normalised trades, for ``observe``: accepted ones, their bytes by ``size``, and a count for each reason."""
+    good = F.col("reason").isNull()
+    reasons = [F.count_if(F.coalesce(F.col("reason") == r, F.lit(False))).alias(r) for r in REASONS]
+    return [F.count_if(good).alias("ok"), F.coalesce(F.sum(F.when(good, size)), F.lit(0)).cast("long").alias("n_bytes"), *reasons]
+
+
 def counters(rows: DataFrame, labels: list[str]) -> DataFrame:
     """Rows by label values."""
     return rows.groupBy(*labels).agg(F.count("*").alias("n"))
@@ -70,3 +80,26 @@ def message_size(key: Column, value: Column, headers: Column) -> Column:
 def imbalance(trades: DataFrame, keys: list[str]) -> DataFrame:
     """Share of buys among the trades."""
     return trades.groupBy(*keys).agg(F.avg(F.when(F.col("side") == "BUY", 1.0).otherwise(0.0)).alias("buy_share"))
+
+
+def ofi_windows(
+    trades: DataFrame, keys: list[str], size: str = "1 hour", slide: str = "15 minutes", time_ms: str = "trade_time_ms", delay: str | None = None
+) -> DataFrame:
+    """``(window_start_ms, <keys>, n_trades, net, volume, ofi_ratio)`` of sliding windows of event time.
+
+    Trades are first summed up by slide, before the shuffle as far as they go; a
+    window adds up its slides, so that no trade is copied into all its windows.
+    The same for a table and, with a ``delay``, for a stream in append mode,
+    which gives a window once the watermark has passed its end. ``ofi_ratio`` is
+    null without volume. Trades without a time are left out.
+    """
+    x = S.signed_ofi(F.col("side"), F.col("quantity"), F.col("price"))
+    rows = trades.select(*keys, F.timestamp_millis(time_ms).alias("event_time"), x.alias("x")).filter("event_time is not null")
+    if delay is not None:
+        rows = rows.withWatermark("event_time", delay)
+    sums = (F.sum("x").alias("net"), F.sum(F.abs("x")).alias("volume"), F.count("*").alias("n_trades"))
+    by_slide = rows.groupBy(F.window("event_time", slide).alias("s"), *keys).agg(*sums)
+    again = (F.sum("n_trades").alias("n_trades"), F.sum("net").alias("net"), F.sum("volume").alias("volume"))
+    found = by_slide.groupBy(F.window(F.window_time("s"), size, slide).alias("w"), *keys).agg(*again)
+    ratio = (F.col("net") / F.when(F.col("volume") > 0, F.col("volume"))).alias("ofi_ratio")
+    return found.select(F.unix_millis("w.start").alias("window_start_ms"), *keys, "n_trades", "net", "volume", ratio)

@@ -9,6 +9,13 @@ from flowgauge.config import NormalizeConfig
 from flowgauge.functions import scalars as S
 
 
+#: Why a trade is rejected, in the order in which it is checked.
+REASONS = (
+    "empty_symbol", "bad_price", "bad_quantity", "bad_quote_quantity", "price_out_of_range", "quantity_out_of_range", "bad_timestamp",
+    "stale_trade", "invalid_trade",
+)
+
+
 def _positive(x: Column) -> Column:
     return F.coalesce(~F.isnan(x) & (x > 0), F.lit(False))
 

@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from flowgauge.config import FeedConfig, NormalizeConfig
 from flowgauge.functions import scalars as S
+from flowgauge.functions.sql import register_functions
 from flowgauge.operators import alerts as A
 from flowgauge.operators import audit, dedup, layout, metrics, scoring, snapshots, tables
-from flowgauge.operators.normalize import dead_letters, good_trades, normalize, validate_json
+from flowgauge.operators.normalize import REASONS, dead_letters, good_trades, normalize, validate_json
 from flowgauge.plans import views as V
 from flowgauge.sources import brokers, csv_trades, frames, replay
 from flowgauge.streaming import transactional
 from flowgauge.streaming.scorer import score_stream
-from flowgauge.streaming.sinks import json_writer
+from flowgauge.streaming.sinks import json_writer, split_writer
 from flowgauge.tables import shared_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -191,6 +192,25 @@ def flt01_reason(spark, sf_dir):
     return V.normalized(spark, sf_dir).select("trade_id", "reason")
 
 
+@query(f"with {V.TRADES}, {V.RAW} select trade_id, reason from raw")
+def sca_sql_reason(spark, sf_dir):
+    """The same reasons by a query in SQL text, with the helpers as functions of SQL."""
+    register_functions(spark)
+    V.raw_trades(spark, sf_dir).createOrReplaceTempView("flow_raw")
+    return spark.sql("""
+      with read as (
+        select *, flow_normalize_symbol(symbol) as name, flow_parse_number(price) as p, flow_parse_number(quantity) as q, flow_parse_number(quote_quantity) as given,
+               if(trade_time_ms > 0, trade_time_ms, event_time_ms) as at_ms from flow_raw),
+      quoted as (select *, flow_quote_quantity(given, p, q) as quote from read)
+      select trade_id, case
+        when coalesce(name, '') = '' then 'empty_symbol'
+        when p is null or (not isnan(p) and p <= 0) then 'bad_price'
+        when q is null or (not isnan(q) and q <= 0) then 'bad_quantity'
+        when not coalesce(at_ms > 0, false) then 'bad_timestamp'
+        when not (flow_is_finite(p) and flow_is_finite(q) and flow_is_finite(quote) and trade_id >= 0) then 'invalid_trade' end as reason
+      from quoted""")
+
+
 @query(f"""with {V.TRADES}, {V.RAW}
 select trade_id, exchange, symbol, side, price, quantity, quote quote_quantity, at_ms trade_time_ms from raw where reason is null""")
 def flt01_good(spark, sf_dir):
@@ -355,6 +375,33 @@ def agg16_ofi_ratio(spark, sf_dir):
     return scoring.ofi_ratio(V.trades(spark, sf_dir), ["symbol"]).withColumn("ofi_ratio", F.round("ofi_ratio", 9))
 
 
+WINDOWS = f"""with {V.TRADES}, w as (
+  select trade_time_ms // 900000 * 900000 - k * 900000 window_start_ms, symbol, case when side = 'BUY' then quantity else -quantity end x from trades, (select unnest([0, 1, 2, 3]) k))
+select window_start_ms, symbol, count(*) n_trades, round(sum(x), 6) net, round(sum(x) / sum(abs(x)), 9) ofi_ratio from w group by all"""
+
+
+@query(WINDOWS)
+def agg16_windows(spark, sf_dir):
+    return metrics.ofi_windows(V.trades(spark, sf_dir), ["symbol"]).select("window_start_ms", "symbol", "n_trades", F.round("net", 6).alias("net"), F.round("ofi_ratio", 9).alias("ofi_ratio"))
+
+
+@query(WINDOWS)
+def agg16_window_stream(spark, sf_dir):
+    """The same from a stream, each window once it is complete; a last trade of no symbol lets the watermark pass all others."""
+    source, out, offsets = (shared_path(spark, n) for n in ("window-in", "windows", "window-offsets"))
+    t = V.trades(spark, sf_dir)
+    t.repartitionByRange(3, "trade_time_ms").write.parquet(source)
+    end = t.agg(F.max("trade_time_ms")).first()[0]
+    t.limit(1).withColumns({"symbol": F.lit("~"), "trade_time_ms": F.lit(2 * end)}).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    found = metrics.ofi_windows(stream, ["symbol"], delay="30 days")
+    writer = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", offsets)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    # not before: Spark would leave the last trade out ahead of the watermark
+    done = spark.read.parquet(out).filter("symbol <> '~'")
+    return done.select("window_start_ms", "symbol", "n_trades", F.round("net", 6).alias("net"), F.round("ofi_ratio", 9).alias("ofi_ratio"))
+
+
 @query(f"""with {V.TRADES}, g as (select trade_id, trade_time_ms - lag(trade_time_ms) over (partition by symbol order by trade_time_ms, trade_id) gap from trades)
 select trade_id, case when gap > 0 then least(floor(gap / 50.0::double), 2000::double) else 0::double end delay_ms from g""")
 def win02_pacing(spark, sf_dir):
@@ -709,6 +756,21 @@ def agg06_counters(spark, sf_dir):
     return metrics.counters(marked, ["outcome"])
 
 
+@query(f"with {V.TRADES}, {V.RAW} select coalesce(reason, 'ok') outcome, count(*) n from raw group by 1")
+def agg06_observed(spark, sf_dir):
+    """The same counters from the writer of a stream, which counts what passes by, a row a batch."""
+    source, good, bad, counts, offsets = (shared_path(spark, n) for n in ("raw", "accepted", "rejected", "outcomes", "split-offsets"))
+    raw = V.raw_trades(spark, sf_dir)
+    raw.repartitionByRange(3, "trade_id").write.parquet(source)
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    writer = stream.writeStream.foreachBatch(split_writer(good, bad, NormalizeConfig(), counts))
+    writer.option("checkpointLocation", offsets).trigger(availableNow=True).start().awaitTermination()
+    kinds = ("ok", *REASONS)
+    rows = spark.read.schema(", ".join(f"{k} long" for k in kinds)).json(counts)
+    total = rows.agg(*[F.sum(k).alias(k) for k in kinds])
+    return total.unpivot([], list(kinds), "outcome", "n").filter("n > 0")
+
+
 @query(f"with {V.TRADES} select exchange, symbol, side, count(*) n from trades group by grouping sets ((exchange, symbol), (exchange, side), ())")
 def agg06_grouping_sets(spark, sf_dir):
     return metrics.counter_sets(V.trades(spark, sf_dir), [["exchange", "symbol"], ["exchange", "side"], []])

@@ -8,13 +8,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQueryListener
 
 from flowgauge.config import NormalizeConfig, SinkConfig
 from flowgauge.operators import snapshots
 from flowgauge.operators.audit import build_chain
+from flowgauge.operators.metrics import outcome_counts
 from flowgauge.operators.normalize import dead_letters, good_trades, normalize, validate_json
 from flowgauge.sources.brokers import kafka_sink_options
+from flowgauge.sources.files import write_json
 from flowgauge.streaming.transactional import write_epochs
 
 log = logging.getLogger(__name__)
@@ -30,18 +32,48 @@ def batch_folder(path: str, batch_id: int) -> str:
     return f"{path}/batch={batch_id}"
 
 
-def split_writer(good: str, bad: str, config: NormalizeConfig) -> Callable[[DataFrame, int], None]:
-    """Writes a batch of raw trades as trades and dead letters."""
+def split_writer(good: str, bad: str, config: NormalizeConfig, counts: str = "") -> Callable[[DataFrame, int], None]:
+    """Writes a batch of raw trades as trades and dead letters, and below ``counts``, if given, a row of its outcomes.
+
+    The outcomes are counted as the rows pass by (``observe``): no second scan.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        found = normalize(batch, config, F.unix_millis(F.current_timestamp())).persist()
+        found = normalize(batch, config, F.unix_millis(F.current_timestamp()))
+        seen = Observation(f"outcomes-{batch_id}")
+        found = found.observe(seen, *outcome_counts(F.octet_length("payload"))).persist()
         good_trades(found, config).write.mode("overwrite").parquet(batch_folder(good, batch_id))
         dead_letters(found, config).write.mode("overwrite").parquet(batch_folder(bad, batch_id))
         found.unpersist()
+        if counts:
+            write_json(f"{counts}/{batch_id:012d}.json", {"batch": batch_id, **seen.get})
 
     return write
 
 
+class BatchRows(StreamingQueryListener):
+    """Writes a row for each batch of a query: its rows, times, and what its observations counted."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        row = {"name": p.name, "batch": p.batchId, "input_rows": p.numInputRows, "rows_per_second": p.processedRowsPerSecond, "duration_ms": p.batchDuration}
+        for name, seen in p.observedMetrics.items():
+            row |= {f"{name}.{k}": v for k, v in seen.asDict().items()}
+        write_json(f"{self.path}/{p.runId}-{p.batchId:012d}.json", row)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def scores_writer(good: str, late: str, told: Callable[[int, dict[str, int]], None] | None = None) -> Callable[[DataFrame, int], None]:
     """Writes a batch of scores, and trades that came too late beside them; ``told`` is given the batch's counts of both.
 
