@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowgauge.config import DedupConfig
 from flowgauge.operators.tables import filled
 from flowgauge.tables import stored
 
@@ -169,3 +170,8 @@ def within_ttl(rows: DataFrame, time_ms: str, ttl_ms: int, key: tuple[str, ...]
             yield b.select(columns).take(pa.array(keep, pa.int32()))
 
     return ready.mapInArrow(run, rows.schema)
+
+
+def suppress(trades: DataFrame, config: DedupConfig, time_ms: str = "trade_time_ms") -> DataFrame:
+    """Trades without those repeated within the settings' TTL, of rows of one key and time any one; all of them where it is off."""
+    return within_ttl(trades, time_ms, config.ttl_ms) if config.enabled else trades

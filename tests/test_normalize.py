@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowgauge import schemas
-from flowgauge.config import NormalizeConfig
+from flowgauge.config import DedupConfig, NormalizeConfig
 from flowgauge.operators import dedup
 from flowgauge.operators.dedup import first_of_each, within_ttl
 from flowgauge.operators.normalize import dead_letters, good_trades, normalize, validate_json
@@ -124,6 +124,12 @@ def test_ttl_over_ranges(spark, seed, monkeypatch):
     assert len(ranges) > 8 and max(r["count"] for r in ranges) < 700
 
 
+def test_suppression_by_settings(spark):
+    t = spark.createDataFrame([("b", "S", 1, 1000), ("b", "S", 1, 1000), ("b", "S", 1, 1900), ("b", "S", 1, 2000)], "exchange string, symbol string, trade_id long, trade_time_ms long")
+    assert sorted(r["trade_time_ms"] for r in dedup.suppress(t, DedupConfig(ttl_ms=1000)).collect()) == [1000, 2000]
+    assert dedup.suppress(t, DedupConfig(enabled=False)).count() == 4
+
+
 def test_starts_become_one():
     """Every start's own end, and no more passes alive than times within a TTL."""
     times = [0, 3, 5, 9, 10, 14, 30, 31, 52]
