@@ -224,3 +224,30 @@ def test_join_equals_broadcast_for_any_filter(spark, bits):
     assert rows(decontam.annotate_by_join(docs, packed, bits)) == want and any(c["n_hit"] for _, c in want)
     assert len(decontam.window_filter(packed, bits)) == max(1, 2**bits // 8)
     assert decontam.annotate_by_join(docs, packed.limit(0), bits).filter("_contamination.n_hit > 0").count() == 0
+
+
+def test_chat_of_very_long_texts_and_many_turns(spark):
+    """A text of several megabytes, and a conversation of thousands of turns: read back as they were."""
+    long = "words <|im_end|> \\ and more " * 150_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long)] + [(2, k, "user" if k % 2 else "assistant", f"turn {k}") for k in range(5000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("parts", chat.text_parts(F.col("text")))
+    chats = chat.format_chat(turns.drop("text"))
+    got = {r["conv_id"]: r for r in chats.select("conv_id", chat.read_turns("formatted").alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_mask")).alias("loss")).collect()}
+    assert [t["text"] for t in got[1]["turns"]] == [long, long] and got[1]["loss"] == long
+    assert [t["text"] for t in got[2]["turns"]] == [f"turn {k}" for k in range(5000)]
+    assert got[2]["loss"] == "".join(f"turn {k}" for k in range(0, 5000, 2))
+
+
+def test_pipeline_on_empty_tables_and_taken_names(spark, tmp_path):
+    import corpus_pipeline
+
+    schemas = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string"}
+    for name, schema in schemas.items():
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    documents = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, documents, str(tmp_path)).columns == documents.columns, name
+    for name, taken in (("near_dedup", "_near_fp"), ("decontamination", "_contamination")):
+        with pytest.raises(ValueError, match=taken):
+            dict(corpus_pipeline.STAGES)[name](spark, documents.withColumn(taken, F.lit(1)), str(tmp_path))
