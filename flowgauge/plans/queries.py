@@ -17,7 +17,7 @@ from flowgauge.plans import views as V
 from flowgauge.sources import brokers, csv_trades, frames, replay
 from flowgauge.streaming import transactional
 from flowgauge.streaming.scorer import score_stream
-from flowgauge.streaming.sinks import json_writer, split_writer
+from flowgauge.streaming.sinks import alert_writer, json_writer, ndjson, retrying, split_writer
 from flowgauge.tables import shared_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,20 @@ def sca01_symbol(spark, sf_dir):
     return named.groupBy("symbol").agg(F.count("*").alias("n"))
 
 
+@query(f"with {V.TRADES} select trade_id, case when trade_id % 23 = 0 then '' else symbol[1:3] || '-' || symbol[4:] end symbol from trades")
+def sca02_upper_symbol(spark, sf_dir):
+    """Trimmed and upper-case only: separators stay."""
+    return V.raw_trades(spark, sf_dir).select("trade_id", S.upper_symbol(F.col("symbol")).alias("symbol"))
+
+
+@query(f"with {V.TRADES} select trade_id, case trade_id % 3 when 0 then trade_time_ms // 1000 * 1000 else trade_time_ms + 7 end at_ms from trades")
+def sca25_alert_time(spark, sf_dir):
+    """A stated time where it can be read, else milliseconds."""
+    i, at = F.col("trade_id") % 3, F.timestamp_millis("trade_time_ms")
+    stated = F.when(i == 0, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(i == 1, "soon")
+    return V.trades(spark, sf_dir).select("trade_id", F.unix_millis(S.alert_time(stated, F.col("trade_time_ms") + 7)).alias("at_ms"))
+
+
 @query(f"with {V.TRADES} select trade_id, side from trades")
 def sca04_side(spark, sf_dir):
     return V.trades(spark, sf_dir).select("trade_id", S.side_of_maker(F.col("is_buyer_maker")).alias("side"))
@@ -241,6 +255,24 @@ def flt05_json_validate(spark, sf_dir):
     return validate_json(sent).select("trade_id", "reason")
 
 
+@query(f"""with {V.TRADES} select case when trade_id % 7 = 0 then 'malformed_json' when trade_id % 5 = 0 then 'side' else 'ok' end reason, count(*) n from trades where trade_id % 3 <> 0 group by 1""")
+def flt06_empty(spark, sf_dir):
+    """Empty and missing messages are skipped, not rejected."""
+    i = F.col("trade_id")
+    side = F.when(i % 5 == 0, "HOLD").otherwise(F.col("side"))
+    text = F.to_json(F.struct("symbol", side.alias("side"), "price", "quantity", "trade_time_ms"))
+    sent = V.trades(spark, sf_dir).select("trade_id", F.when(i % 6 == 0, "").when(i % 3 == 0, F.lit(None)).when(i % 7 == 0, "[").otherwise(text).alias("value"))
+    return validate_json(sent).groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(f"""with recursive {V.TRADES.replace("from events", "from events where event_id % 23 <> 0")}, {V.SCORED} select trade_id, symbol, ewma, trade_count from scored""")
+def flt07_no_symbol(spark, sf_dir):
+    """Trades without a symbol are passed over: they get no score and advance none."""
+    blank = F.element_at(F.array(F.lit(""), F.lit(" \t"), F.lit(None)), (F.col("trade_id") % 3).cast("int") + 1)
+    t = V.trades(spark, sf_dir).withColumn("symbol", F.when(F.col("trade_id") % 23 == 0, blank).otherwise(F.col("symbol")))
+    return scoring.score_trades(t, V.CONFIG).select("trade_id", "symbol", "ewma", "trade_count")
+
+
 @query(f"""with {V.TRADES}, m as (
   select trade_id, trade_id::varchar "key", symbol, trade_time_ms, case when trade_id % 5 = 0 then 'HOLD' else lower(side) end said from trades)
 select "key", trade_id % 5 <> 0 and trade_id % 7 <> 0 forwarded,
@@ -447,6 +479,29 @@ def flt10_alerts(spark, sf_dir):
     return A.alert_history(V.alerts(spark, sf_dir), "dogeusdt", min_z=2.75).select("id", "trade_id")
 
 
+@query(f"""{V.ALL} select symbol "key", trade_id, exchange, round(quantity * price, 6) quote_quantity, round(z_score, 6) z_score, 'toxicity' alert_type, trade_time_ms + 5 alerted_at_ms from toxic""")
+def snk10_alert_messages(spark, sf_dir):
+    """Alerts as messages: the symbol is the key, and the trade's own columns flow through to the value."""
+    made = A.alert_json(A.build_alerts(V.toxic(spark, sf_dir), F.col("trade_time_ms") + 5))
+    said = F.from_json("value", "trade_id long, exchange string, quote_quantity double, z_score double, alert_type string, alerted_at_ms long")
+    rows = made.select("key", F.inline(F.array(said)))
+    return rows.withColumn("quote_quantity", F.round("quote_quantity", 6)).select("key", "trade_id", "exchange", "quote_quantity", "z_score", "alert_type", "alerted_at_ms")
+
+
+@query(f"""{V.ALL} select trade_id, id % 3 batch, 'ALERT' event_type, 'system' actor, symbol, round(z_score, 9) z_score, 'alerted_at,event_id,ewma' first_keys, true ok from alerts""")
+def aud02_alert_log(spark, sf_dir):
+    """Alerts stored in three batches with their audit entries: details with sorted keys, and chains that verify."""
+    kept, log = shared_path(spark, "alert-store"), shared_path(spark, "alert-log")
+    found = stored(V.alerts(spark, sf_dir), "found")
+    write = alert_writer(kept, log)
+    for n in range(3):
+        write(found.filter(F.col("id") % 3 == n), n)
+    entries = audit.verify_chain(spark.read.parquet(log))
+    keys = F.array_join(F.slice(F.json_object_keys("details"), 1, 3), ",")
+    z = F.round(F.get_json_object("details", "$.z_score").cast("double"), 9)
+    return entries.select(F.col("event_id").cast("long").alias("trade_id"), F.col("batch").cast("long").alias("batch"), "event_type", "actor", "symbol", z.alias("z_score"), keys.alias("first_keys"), "ok")
+
+
 @query(f"{V.ALL} select id, symbol, trade_time_ms from alerts order by alerted_at desc, id desc limit 25 offset 25")
 def srt01_page2(spark, sf_dir):
     return A.page(V.alerts(spark, sf_dir), A.newest_first(), 25, 25).select("id", "symbol", "trade_time_ms")
@@ -756,6 +811,41 @@ def agg06_counters(spark, sf_dir):
     return metrics.counters(marked, ["outcome"])
 
 
+@query(f"""with {V.TRADES} select trade_id % 6 batch, case trade_id % 3 when 0 then 'published' when 1 then 'dead_lettered' else 'dropped' end outcome,
+case trade_id % 6 when 0 then 1 when 3 then 2 else 3 end attempts, case when trade_id % 3 < 2 then count(*) else 0 end n_rows from trades group by 1, 2, 3, trade_id % 3""")
+def snk07_outcomes(spark, sf_dir):
+    """Six batches through a sink that fails: at once, never, always, and with its dead letters."""
+    good, dead = shared_path(spark, "sent"), shared_path(spark, "dead")
+    tried, told = {}, []
+
+    def send(batch: DataFrame, n: int) -> None:
+        tried[n] = tried.get(n, 0) + 1
+        if n % 3 or (n == 3 and tried[n] == 1):
+            raise ConnectionError("the sink is down")
+        batch.write.parquet(f"{good}/batch={n}")
+
+    def bury(batch: DataFrame, n: int) -> None:
+        if n % 3 == 2:
+            raise ConnectionError("the dead letters are down, too")
+        batch.write.parquet(f"{dead}/batch={n}")
+
+    write = retrying(send, bury, retries=2, base_s=0.0, told=lambda *x: told.append(x))
+    t = V.trades(spark, sf_dir)
+    for n in range(6):
+        write(t.filter(F.col("trade_id") % 6 == n), n)
+    outcomes = spark.createDataFrame(told, "batch long, outcome string, attempts int")
+    rows = spark.read.parquet(good).unionByName(spark.read.parquet(dead)).groupBy("batch").agg(F.count("*").alias("n_rows"))
+    return outcomes.join(rows, "batch", "left").select("batch", "outcome", "attempts", F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"))
+
+
+@query(f"""with {V.TRADES} select trade_id, case when trade_id % 7 = 0 then 'DLQ ' else '' end || '{{"trade_id":' || trade_id || ',"symbol":"' || symbol || '","side":"' || side || '"}}' line from trades""")
+def snk02_lines(spark, sf_dir):
+    """Trades as JSON lines, dead letters with their prefix."""
+    t = V.trades(spark, sf_dir).select("trade_id", "symbol", "side")
+    lines = ndjson(t.filter("trade_id % 7 <> 0")).unionByName(ndjson(t.filter("trade_id % 7 = 0"), "DLQ "))
+    return lines.select(F.regexp_extract("value", '"trade_id":([0-9]+)', 1).cast("long").alias("trade_id"), F.col("value").alias("line"))
+
+
 @query(f"with {V.TRADES}, {V.RAW} select coalesce(reason, 'ok') outcome, count(*) n from raw group by 1")
 def agg06_observed(spark, sf_dir):
     """The same counters from the writer of a stream, which counts what passes by, a row a batch."""
@@ -934,6 +1024,19 @@ def src16_frame_decode(spark, sf_dir):
     return frames.decode_frames(sent, now_ms=F.lit(V.NOW_MS)).select("trade_id", "symbol", "trade_time_ms", F.col("error").isNotNull().alias("bad"))
 
 
+@query(f"""with {V.TRADES} select trade_id, case when trade_id % 3 = 0 then 'no id' when trade_id % 5 = 0 then 'no price' when trade_id % 7 = 0 then 'no time' end error from trades""")
+def src17_strict_frames(spark, sf_dir):
+    """Frames without an id, a price or a time are errors where that is asked for."""
+    i = F.col("trade_id")
+    event = F.struct(
+        F.lit("aggTrade").alias("e"), F.when(i % 3 > 0, i).otherwise(0).alias("a"), F.col("symbol").alias("s"), F.when(i % 5 == 0, "").otherwise("1.5").alias("p"),
+        F.when(i % 7 > 0, F.col("trade_time_ms")).alias("T"), i.alias("id"),
+    )
+    sent = V.trades(spark, sf_dir).select(F.to_json(event).alias("value"))
+    found = frames.decode_frames(sent, strict=True, now_ms=F.lit(V.NOW_MS))
+    return found.select(F.get_json_object("payload", "$.id").cast("long").alias("trade_id"), "error")
+
+
 @query(f"with {V.TRADES} select trade_id, symbol from trades")
 def src18_backfill(spark, sf_dir):
     t = V.trades(spark, sf_dir).select("exchange", "symbol", "trade_id", "trade_time_ms")
@@ -1033,6 +1136,25 @@ def str06_stream_restored(spark, sf_dir):
     return _run_stream(spark, later, initial=before).select(*STREAMED.split(", "))
 
 
+@query(f"with recursive {V.TRADES}, {V.SCORED} select {STREAMED} from scored")
+def str05_stopped(spark, sf_dir):
+    """A stream that is stopped twice and goes on from its checkpoint: no trade is scored twice, none is missing."""
+    source, out, offsets = (shared_path(spark, n) for n in ("stopped-in", "stopped-out", "stopped-offsets"))
+    t = stored(V.trades(spark, sf_dir).repartitionByRange(6, "trade_time_ms", "trade_id").withColumn("_turn", F.spark_partition_id()), "turns")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for k in range(3):
+            t.filter(F.floor(F.col("_turn") / 2) == k).drop("_turn").write.mode("append").parquet(source)
+            stream = spark.readStream.schema(t.drop("_turn").schema).parquet(source)
+            writer = score_stream(stream, V.CONFIG).writeStream.format("parquet").option("path", out)
+            writer.option("checkpointLocation", offsets).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.parquet(out).select(*STREAMED.split(", "))
+
+
 @query(f"with recursive {V.TRADES}, {V.SCORED} select {STREAMED} from scored")
 def str03_reordered(spark, sf_dir):
     """Trades that arrive up to a day after their time, out of order over many triggers, scored in the order of their times."""
