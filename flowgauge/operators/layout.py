@@ -11,10 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowgauge.functions import scalars as S
 from flowgauge.tables import stored
 
-#: Bits of each dimension of the curve, and of a symbol's code.
+#: Bits of each dimension of the curve, and of a text's code.
 BITS, CODE_BITS = 6, 10
 
 
@@ -72,47 +71,76 @@ def _place(value: Column, cuts: list[float]) -> Column:
     return F.floor((below(lambda c: c <= value) + below(lambda c: c < value)) / 2).cast("long")
 
 
-def symbol_code(symbol: Column) -> Column:
-    """A symbol as a number that an equality keeps."""
-    return F.pmod(F.xxhash64(symbol), F.lit(1 << CODE_BITS))
+def code(value: Column) -> Column:
+    """A text as a number that an equality keeps."""
+    return F.pmod(F.xxhash64(value), F.lit(1 << CODE_BITS))
 
 
-def write_curve(alerts: DataFrame, path: str, files: int) -> None:
-    """Writes alerts along a curve over (symbol, time, |z|) as at most ``files`` files, with a zone map.
+def write_curve(rows: DataFrame, path: str, files: int, names: list[str], ranges: dict[str, Column]) -> None:
+    """Writes ``rows`` along a curve over the text columns ``names`` and the numbers ``ranges``, as at most ``files`` files, with a zone map.
 
     Each dimension is cut at 63 quantiles, so that dense stretches are told apart
-    as finely as sparse ones. Of symbols a zone holds the codes, 1,024 at most.
+    as finely as sparse ones. Zones hold the codes of each name, 1,024 at most,
+    and the least and largest value of each range.
     """
-    spark = alerts.sparkSession
-    values = {"code": symbol_code(F.col("symbol")), "time": F.unix_micros("alerted_at"), "z": F.abs("z_score")}
+    spark = rows.sparkSession
+    values = {n: code(F.col(n)) for n in names} | ranges
     marks = [k / 64 for k in range(1, 64)]
-    cuts = alerts.agg(*[F.percentile_approx(v, marks).alias(n) for n, v in values.items()]).first()
+    cuts = rows.agg(*[F.percentile_approx(v, marks).alias(n) for n, v in values.items()]).first()
     dimensions = [_place(v, cuts[n] or []) for n, v in values.items()]
     # written, so that places are worked out once and not again for the bounds of ranges
-    placed = stored(alerts.withColumn("_curve", _morton(dimensions)), "curve")
+    placed = stored(rows.withColumn("_curve", _morton(dimensions)), "curve")
     placed.repartitionByRange(files, "_curve").sortWithinPartitions("_curve").drop("_curve").write.parquet(f"{path}/data")
-    bounds = [f(c).alias(f"{n}_{name}") for name, c in (("time", F.col("alerted_at")), ("z", values["z"])) for n, f in (("low", F.min), ("high", F.max))]
-    _files(spark, path, F.collect_set(values["code"]).alias("codes"), *bounds).coalesce(1).write.parquet(f"{path}/zones")
+    codes = [F.collect_set(code(F.col(n))).alias(f"codes_{n}") for n in names]
+    bounds = [f(v).alias(f"{side}_{n}") for n, v in ranges.items() for side, f in (("low", F.min), ("high", F.max))]
+    _files(spark, path, *codes, *bounds).coalesce(1).write.parquet(f"{path}/zones")
 
 
-def curve_files(
-    spark: SparkSession, path: str, symbol: str | None = None, from_time: str | None = None, to_time: str | None = None, min_z: float | None = None, max_z: float | None = None
-) -> list[str]:
-    """The files that may hold alerts of these bounds, by the zone map."""
+def curve_files(spark: SparkSession, path: str, equal: dict[str, str], between: dict[str, tuple[Column | None, Column | None]]) -> list[str]:
+    """The files that may hold rows with these texts, and numbers from the first to the second bound (None: no bound), by the zone map."""
     zones = spark.read.parquet(f"{path}/zones")
-    if symbol and symbol.strip():
-        code = symbol_code(S.upper_symbol(F.lit(symbol)))
-        zones = zones.filter(F.array_contains("codes", code))
-    for bound, test in ((from_time, F.col("high_time").__ge__), (to_time, F.col("low_time").__le__)):
-        if bound is not None:
-            zones = zones.filter(test(F.lit(bound).cast("timestamp")))
-    for bound, test in ((min_z, F.col("high_z").__ge__), (max_z, F.col("low_z").__le__)):
-        if bound is not None:
-            zones = zones.filter(test(F.lit(float(bound))))
+    for name, text in equal.items():
+        zones = zones.filter(F.array_contains(f"codes_{name}", code(F.lit(text))))
+    for name, (low, high) in between.items():
+        if low is not None:
+            zones = zones.filter(F.col(f"high_{name}") >= low)
+        if high is not None:
+            zones = zones.filter(F.col(f"low_{name}") <= high)
     return [r["file"] for r in zones.select("file").collect()]
 
 
-def curve_rows(spark: SparkSession, path: str, **bounds: str | float | None) -> DataFrame:
+def curve_rows(spark: SparkSession, path: str, files: list[str]) -> DataFrame:
     """The rows of those files; what the bounds leave out within them is the caller's to filter."""
-    files = curve_files(spark, path, **bounds)
     return spark.read.parquet(*files) if files else spark.read.parquet(f"{path}/data").limit(0)
+
+
+def write_alerts(alerts: DataFrame, path: str, files: int) -> None:
+    """Alerts along a curve over (symbol, time, |z|)."""
+    write_curve(alerts, path, files, ["symbol"], {"time": F.unix_micros("alerted_at"), "z": F.abs("z_score")})
+
+
+def alert_files(
+    spark: SparkSession, path: str, symbol: str | None = None, from_time: str | None = None, to_time: str | None = None, min_z: float | None = None, max_z: float | None = None
+) -> list[str]:
+    """The files that may hold alerts of these bounds, which are those of ``alert_history``."""
+    moment = lambda t: None if t is None else F.unix_micros(F.lit(t).cast("timestamp"))
+    number = lambda z: None if z is None else F.lit(float(z))
+    equal = {"symbol": symbol.strip().upper()} if symbol and symbol.strip() else {}
+    return curve_files(spark, path, equal, {"time": (moment(from_time), moment(to_time)), "z": (number(min_z), number(max_z))})
+
+
+def write_audit(entries: DataFrame, path: str, files: int) -> None:
+    """Audit entries along a curve over (event type, symbol, time)."""
+    write_curve(entries, path, files, ["event_type", "symbol"], {"time": F.col("created_at_ms")})
+
+
+def audit_history(spark: SparkSession, path: str, event_type: str | None = None, symbol: str | None = None, from_ms: int | None = None, to_ms: int | None = None) -> DataFrame:
+    """Entries of a type, a symbol and a time, any of them, from the files that may hold them; bounds are inclusive."""
+    number = lambda ms: None if ms is None else F.lit(ms)
+    equal = {n: v for n, v in (("event_type", event_type), ("symbol", symbol)) if v is not None}
+    rows = curve_rows(spark, path, curve_files(spark, path, equal, {"time": (number(from_ms), number(to_ms))}))
+    for name, text in equal.items():
+        rows = rows.filter(F.col(name) == text)
+    if from_ms is not None:
+        rows = rows.filter(F.col("created_at_ms") >= from_ms)
+    return rows if to_ms is None else rows.filter(F.col("created_at_ms") <= to_ms)

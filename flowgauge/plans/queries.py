@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -459,9 +460,9 @@ def flt09_history(spark, sf_dir):
 def srt06_curve(spark, sf_dir):
     """The same history from a table clustered by symbol, time and score, of which only files that may match are read."""
     path = shared_path(spark, "curve")
-    layout.write_curve(V.alerts(spark, sf_dir), path, files=16)
+    layout.write_alerts(V.alerts(spark, sf_dir), path, files=16)
     asked = {"symbol": " ethusdt ", "from_time": "2024-01-03 00:00:00", "to_time": "2024-01-25 00:00:00", "min_z": 3.0, "max_z": 20.0}
-    return A.alert_history(layout.curve_rows(spark, path, **asked), **asked).select("id", "symbol", "z_score", "trade_time_ms")
+    return A.alert_history(layout.curve_rows(spark, path, layout.alert_files(spark, path, **asked)), **asked).select("id", "symbol", "z_score", "trade_time_ms")
 
 
 @query(f"""with {V.TRADES}, o as (select *, row_number() over (order by trade_time_ms desc, trade_id desc) place, count(*) over () total from trades)
@@ -645,6 +646,18 @@ def aud01_proof(spark, sf_dir):
     return checked.select("id", F.size("proof").cast("long").alias("n_hashes"), F.sha2(text, 256).alias("proof_sha256"), (audit.root_of(F.col("entry_hash"), F.col("proof")) == F.col("root")).alias("ok"))
 
 
+@query("""select o_orderkey id, o_orderpriority symbol, case when o_orderkey % 3 = 0 then 'ALERT' else 'CONFIG_CHANGE' end event_type from orders
+where o_orderkey % 3 = 0 and o_orderpriority = '1-URGENT' and cast(o_orderdate as date) between date '1994-01-01' and date '1995-06-30'""")
+def srt06_audit(spark, sf_dir):
+    """Entries of a type, a symbol and a time from a log clustered by all three."""
+    path = shared_path(spark, "audit-curve")
+    kind = F.when(F.col("id") % 3 == 0, "ALERT").otherwise("CONFIG_CHANGE")
+    layout.write_audit(_audit_events(spark, sf_dir).withColumn("event_type", kind), path, files=16)
+    days = lambda y, m, d: (date(y, m, d) - date(1970, 1, 1)).days * 86_400_000
+    found = layout.audit_history(spark, path, "ALERT", "1-URGENT", days(1994, 1, 1), days(1995, 6, 30))
+    return found.select("id", "symbol", "event_type")
+
+
 @query("select o_orderkey id, 'user-' || o_custkey actor from orders order by o_orderkey desc limit 100")
 def srt03_audit_topk(spark, sf_dir):
     return A.page(_audit_events(spark, sf_dir), [F.desc("id")], 100).select("id", "actor")

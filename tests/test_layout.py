@@ -71,7 +71,7 @@ def clustered(spark, tmp_path_factory):
     rows = [(k, names[0] if draw.random() < 0.3 else draw.choice(names), draw.gauss(0, 1) * 4, 1_700_000_000 + draw.randrange(10**6)) for k in range(20_000)]
     table = spark.createDataFrame(rows, "id long, symbol string, z_score double, at long").withColumn("alerted_at", F.timestamp_seconds("at"))
     path = f"{tmp_path_factory.mktemp('curve')}/t"
-    layout.write_curve(table, path, 64)
+    layout.write_alerts(table, path, 64)
     return table, path
 
 
@@ -89,12 +89,29 @@ def clustered(spark, tmp_path_factory):
 def test_curve_leaves_files_out(spark, clustered, asked, share):
     """The history of the whole table, from a share of its files, by any of three dimensions."""
     table, path = clustered
-    got = alerts.alert_history(layout.curve_rows(spark, path, **asked), **asked)
+    files = layout.alert_files(spark, path, **asked)
+    got = alerts.alert_history(layout.curve_rows(spark, path, files), **asked)
     want = alerts.alert_history(table, **asked)
     assert sorted(r["id"] for r in got.select("id").collect()) == sorted(r["id"] for r in want.select("id").collect())
-    assert len(layout.curve_files(spark, path, **asked)) <= share * len(spark.read.parquet(f"{path}/data").inputFiles())
+    assert len(files) <= share * len(spark.read.parquet(f"{path}/data").inputFiles())
 
 
 def test_curve_of_nothing(spark, clustered, tmp_path):
-    layout.write_curve(clustered[0].limit(0), f"{tmp_path}/none", 4)
-    assert layout.curve_rows(spark, f"{tmp_path}/none", symbol="A").count() == 0
+    path = f"{tmp_path}/none"
+    layout.write_alerts(clustered[0].limit(0), path, 4)
+    assert layout.curve_rows(spark, path, layout.alert_files(spark, path, symbol="A")).count() == 0
+
+
+def test_audit_curve(spark, tmp_path):
+    rows = [(k, ["ALERT", "CONFIG_CHANGE"][k % 5 == 0], None if k % 50 == 0 else f"S{k % 7}", 1000 * k) for k in range(5000)]
+    table = spark.createDataFrame(rows, "id long, event_type string, symbol string, created_at_ms long")
+    path = f"{tmp_path}/log"
+    layout.write_audit(table, path, 32)
+    for asked, test in (
+        ({"event_type": "CONFIG_CHANGE"}, "event_type = 'CONFIG_CHANGE'"),
+        ({"symbol": "S3", "from_ms": 100_000, "to_ms": 400_000}, "symbol = 'S3' and created_at_ms between 100000 and 400000"),
+        ({}, "true"),
+    ):
+        got = layout.audit_history(spark, path, **asked)
+        assert sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in table.filter(test).collect())
+        assert not asked or len(got.inputFiles()) < 20
