@@ -27,7 +27,7 @@ from flowgauge.llm.common import new_names
 #: Distinct chunks and words that a worker keeps; beyond these numbers it starts anew.
 MAX_CHUNKS, MAX_WORDS = 250_000, 400_000
 #: Texts handled at once, words in one recursive query, and tokens in one decoding query.
-ROWS, WORDS, TOKENS = 500, 10_000, 250_000
+ROWS, WORDS, TOKENS = 500, 20_000, 250_000
 #: Words of up to so many bytes take the query that holds each round's rows of a word; at this length both queries take as long.
 SHORT = 512
 #: Rows that a query for short words holds, over all rounds, and bytes of long words in one query.
@@ -153,18 +153,16 @@ class _Numbers(dict):
         return value
 
 
-def _shared(some: list[int], words: list[bytes], cost: Callable[[int], int], most: int) -> Iterator[list[int]]:
-    """Words of about one length for one query: as many as ``most`` holds by the ``cost`` of their sizes, or a larger one by itself."""
-    part, size = [], 0
-    for k in sorted(some, key=lambda k: len(words[k])):
-        own = cost(len(words[k]))
-        if part and (size + own > most or len(part) == WORDS):
-            yield part
-            part, size = [], 0
-        part.append(k)
-        size += own
-    if part:
-        yield part
+def _shared(some: np.ndarray, sizes: np.ndarray, power: int, most: int) -> Iterator[list[int]]:
+    """Words of about one length for one query: as many as ``most`` holds by a power of their sizes, or a larger one by itself."""
+    order = some[np.argsort(sizes[some], kind="stable")]
+    total = np.cumsum(sizes[order] ** power)
+    start, before = 0, 0
+    while start < len(order):
+        stop = int(np.searchsorted(total, before + most, "right"))
+        stop = max(start + 1, min(stop, start + WORDS))
+        yield order[start:stop].tolist()
+        start, before = stop, int(total[stop - 1])
 
 
 class Coder:
@@ -210,20 +208,25 @@ class Coder:
 
     def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token lists of distinct, non-empty words, in their order."""
-        out: list = [None] * len(words)
-        short, long = [], []
-        for k, w in enumerate(words):
-            if (rank := self.ranks.get(w)) is not None:
-                out[k] = np.array([rank], np.int32)
-            else:
-                (short if len(w) <= SHORT else long).append(k)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        whole = np.fromiter((-1 if r is None else r for r in map(self.ranks.get, words)), np.int32, len(words))
+        known = np.flatnonzero(whole >= 0)
+        at, counts, flat = [known], [np.ones(len(known), np.int64)], [whole[known]]
         # a word of n bytes has n rounds of n rows at most
-        for some in _shared(short, words, lambda n: n * n, SHORT_ROWS):
-            self._put(out, words, some, ENCODE)
-        for some in _shared(long, words, lambda n: n, LONG_BYTES):
-            self._encode_long(out, words, some)
-        sizes = np.fromiter(map(len, out), np.int64, len(out))
-        return np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([np.zeros(0, np.int32), *out])
+        for some in _shared(np.flatnonzero((whole < 0) & (sizes <= SHORT)), sizes, 2, SHORT_ROWS):
+            self._add(at, counts, flat, some, self._merge([words[k] for k in some], ENCODE))
+        for some in _shared(np.flatnonzero((whole < 0) & (sizes > SHORT)), sizes, 1, LONG_BYTES):
+            self._add(at, counts, flat, some, self._encode_long([words[k] for k in some]))
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+        tokens, ends = _gather(offsets, np.concatenate(flat), np.argsort(np.concatenate(at), kind="stable"))
+        return ends, tokens
+
+    @staticmethod
+    def _add(at: list, counts: list, flat: list, some: list[int], lists: tuple[np.ndarray, np.ndarray]) -> None:
+        offsets, tokens = lists
+        at.append(np.array(some, np.int64))
+        counts.append(np.diff(offsets))
+        flat.append(tokens[offsets[0] : offsets[-1]])
 
     def _occurring(self, words: list[bytes]) -> tuple[np.ndarray, int]:
         """Ids of the pieces that occur in any of the words (some more, by chance: they are found by hash), and the longest's length."""
@@ -250,23 +253,18 @@ class Coder:
                 longest = size
         return np.array(ids, np.int32), longest
 
-    def _encode_long(self, out: list, words: list[bytes], some: list[int]) -> None:
-        """Encodes the long words ``some`` in one query, with the pairs whose piece occurs in any of them."""
-        ids, longest = self._occurring([words[k] for k in some])
+    def _encode_long(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token lists of long words by one query, with the pairs whose piece occurs in any of them."""
+        ids, longest = self._occurring(words)
         use = np.isin(self.merged, ids)
         pairs, merged = self.pairs[use], self.merged[use]
         uneasy = np.concatenate([side[merged < side] for side in (pairs >> 32, pairs & 0xFFFFFFFF)])
         self._table("m", {"pair": pairs, "id": merged, "calm": ~np.isin(merged, uneasy)})
         self.db.execute("create or replace table long_merges as select * from m").fetchall()
-        size = sum(len(words[k]) for k in some)
-        self.db.execute(f"set memory_limit = '{MEMORY_MB + BYTES_A_BYTE * size // 1_000_000}MB'").fetchall()
-        self._put(out, words, some, ENCODE_LONG.format(reach=4 * longest))
+        self.db.execute(f"set memory_limit = '{MEMORY_MB + BYTES_A_BYTE * sum(map(len, words)) // 1_000_000}MB'").fetchall()
+        found = self._merge(words, ENCODE_LONG.format(reach=4 * longest))
         self.db.execute(f"set memory_limit = '{MEMORY_MB}MB'").fetchall()
-
-    def _put(self, out: list, words: list[bytes], which: list[int], sql: str) -> None:
-        offsets, flat = self._merge([words[k] for k in which], sql)
-        for k, s, e in zip(which, offsets[:-1].tolist(), offsets[1:].tolist()):
-            out[k] = flat[s:e]
+        return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.chunks) > MAX_CHUNKS:
