@@ -155,7 +155,8 @@ def score_trades(
     epsilon = config.epsilon
     ready = _prepared(trades, config, configs)
     added = [T.StructField(c, T.DoubleType()) for c in ("ewma", "ewma_var")] + [T.StructField("trade_count", T.LongType())]
-    parts = min(int(ready.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(ready.count() / chunk_rows))
+    # the trades as they came: their count needs no join
+    parts = min(int(ready.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(trades.count() / chunk_rows))
     order = ("symbol", *ORDER)
 
     def finish(key: tuple, rows: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from flowgauge.config import FeedConfig, NormalizeConfig
@@ -17,7 +17,7 @@ from flowgauge.operators.normalize import REASONS, dead_letters, good_trades, no
 from flowgauge.plans import views as V
 from flowgauge.sources import brokers, csv_trades, frames, replay
 from flowgauge.streaming import transactional
-from flowgauge.streaming.scorer import score_stream
+from flowgauge.streaming.scorer import dedup_stream, score_stream, ttl_stream
 from flowgauge.streaming.sinks import alert_writer, json_writer, ndjson, retrying, split_writer
 from flowgauge.tables import shared_path, stored
 
@@ -1085,42 +1085,69 @@ def src10_replay_stream(spark, sf_dir):
     return spark.read.parquet(out).select("trade_id", "symbol", "price", "is_buyer_maker", "trade_time_ms")
 
 
-def _run_stream(spark: SparkSession, trades: DataFrame, changes: DataFrame | None = None, arrival: Column | None = None, **options) -> DataFrame:
-    """The trades as a stream of files, scored with keyed state; the stream is run to its end.
+def _arriving(spark: SparkSession, rows: DataFrame, time: str, arrival: Column | None, ends: Row) -> DataFrame:
+    """Rows as a stream of files. With ``arrival`` (milliseconds after their time) they come in that order, a tenth of the time a trigger."""
+    path = shared_path(spark, "stream-in")
+    if arrival is None:
+        rows.repartitionByRange(3, time).write.parquet(path)
+        return spark.readStream.schema(rows.schema).parquet(path)
+    held = stored(rows.withColumn("_turn", F.floor((F.col(time) + arrival - ends["a"]) * 10 / (ends["b"] - ends["a"]))), "arrivals")
+    for turn in range(12):
+        held.filter(F.col("_turn") == turn).drop("_turn").coalesce(1).write.mode("append").parquet(path)
+    if time == "trade_time_ms":  # a last trade of no symbol lets the watermark pass all others
+        last = rows.limit(1).withColumns({"symbol": F.lit("~"), time: F.lit(ends["b"] * 2)})
+        last.write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
-    With ``arrival`` (milliseconds) trades and changes come in that order, a
-    tenth of the time a trigger; a last trade of no symbol lets the watermark
-    pass all others.
-    """
-    out, offsets = shared_path(spark, "stream-out"), shared_path(spark, "stream-offsets")
 
-    def source(rows: DataFrame, time: str) -> DataFrame:
-        path = shared_path(spark, "stream-in")
-        if arrival is None:
-            rows.repartitionByRange(3, time).write.parquet(path)
-            return spark.readStream.schema(rows.schema).parquet(path)
-        held = stored(rows.withColumn("_turn", F.floor((F.col(time) + arrival - ends["a"]) * 10 / (ends["b"] - ends["a"]))), "arrivals")
-        for turn in range(12):
-            held.filter(F.col("_turn") == turn).drop("_turn").coalesce(1).write.mode("append").parquet(path)
-        if time == "trade_time_ms":
-            last = rows.limit(1).withColumns({"symbol": F.lit("~"), time: F.lit(ends["b"] * 2)})
-            last.write.mode("append").parquet(path)
-        return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-    ends = trades.agg(F.min("trade_time_ms").alias("a"), F.max("trade_time_ms").alias("b")).first()
+def _run_to_end(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """What a stream with keyed state gives until its source is read."""
+    out, offsets = shared_path(spark, "stream-out"), shared_path(spark, "stream-offsets")
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        options |= {} if changes is None else {"changes": source(changes, "at_ms")}
-        stream = score_stream(source(trades, "trade_time_ms"), V.CONFIG, **options)
-        writer = stream.writeStream.format("parquet").option("path", out)
-        writer.option("checkpointLocation", offsets).trigger(availableNow=True).start().awaitTermination()
+        writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", offsets)
+        writer.trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(provider, before)
     return spark.read.parquet(out)
 
 
+def _ends(trades: DataFrame) -> Row:
+    return trades.agg(F.min("trade_time_ms").alias("a"), F.max("trade_time_ms").alias("b")).first()
+
+
+def _run_stream(spark: SparkSession, trades: DataFrame, changes: DataFrame | None = None, arrival: Column | None = None, **options) -> DataFrame:
+    """The trades as a stream of files, scored with keyed state; the stream is run to its end."""
+    ends = _ends(trades)
+    if changes is not None:
+        options["changes"] = _arriving(spark, changes, "at_ms", arrival, ends)
+    return _run_to_end(spark, score_stream(_arriving(spark, trades, "trade_time_ms", arrival, ends), V.CONFIG, **options))
+
+
+@query(f"""with recursive {V.TRADES}, o as (select distinct symbol, trade_time_ms t from trades),
+r as (select symbol, min(t) t from o group by symbol
+      union all select r.symbol, min(o.t) from r join o on o.symbol = r.symbol and o.t >= r.t + 3600000 group by r.symbol)
+select symbol, t kept_ms from r""")
+def agg01_ttl_stream(spark, sf_dir):
+    """TTL suppression of trades that arrive up to a day late, in the order of their times."""
+    t = V.trades(spark, sf_dir)
+    late = F.pmod(F.xxhash64("trade_id"), F.lit(86_400_000))
+    kept = ttl_stream(_arriving(spark, t, "trade_time_ms", late, _ends(t)), 3_600_000, ("symbol",), delay="1 day")
+    return _run_to_end(spark, kept).select("symbol", F.col("trade_time_ms").alias("kept_ms"))
+
+
+@query(f"with {V.TRADES} select trade_id, symbol, price from trades")
+def agg01_dedup_stream(spark, sf_dir):
+    """Trades that come again in a later trigger, within the delay."""
+    t, path = V.trades(spark, sf_dir), shared_path(spark, "repeats")
+    t.coalesce(1).write.parquet(path)
+    t.filter("trade_id % 7 = 0").withColumn("price", F.lit(-1.0)).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return _run_to_end(spark, dedup_stream(stream, "60 days")).select("trade_id", "symbol", "price")
+
+
 @query(f"with {V.TRADES} select trade_id, symbol, price, trade_time_ms from trades")
 def snk12_epochs(spark, sf_dir):
     """Trades through the transactional sink, epoch by epoch, and back from its manifests."""

@@ -23,6 +23,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from flowgauge import schemas
 from flowgauge.config import ScorerConfig
 from flowgauge.functions import scalars as S
+from flowgauge.operators.dedup import KEY
 
 STATE = "ewma double, ewma_var double, trade_count long, z_threshold double, ewma_alpha double, min_trades int"
 #: Rows of a run in the buffer, and of a frame that goes on.
@@ -38,54 +39,83 @@ def _plain(value: object) -> object:
     return None if value is None or value is pd.NaT or value != value else value
 
 
-class ScoreProcessor(StatefulProcessor):
-    """One symbol's mean, variance, count and settings, and the rows that wait for their turn."""
+class OrderedProcessor(StatefulProcessor):
+    """Takes a key's rows in order: in that of event time as the watermark passes, or in that of a trigger at its end.
 
-    def __init__(self, epsilon: float, ordered: bool):
-        self.epsilon, self.ordered = epsilon, ordered
+    Rows are tuples of ``columns``, the first three of which are their order:
+    (at_ms, kind, id). What is done with them is the subclass's: ``begin`` loads
+    its state, ``take`` gives a row of ``out`` or None, ``end`` stores the state;
+    ``late`` gives a row for one that the watermark has passed already.
+    """
+
+    columns: tuple[str, ...]
+    out: list[str]
+
+    def __init__(self, ordered: bool):
+        self.ordered = ordered
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("ewma", STATE)
         self.runs = handle.getMapState("runs", "number long", "first long, last long")
         self.rows = handle.getMapState("rows", "number long", "rows binary")
+        self.open(handle)
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        r = initialState.iloc[0]
-        self.state.update((float(r["ewma"]), float(r["ewma_var"]), int(r["trade_count"]), None, None, None))
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        raise NotImplementedError
+
+    def begin(self) -> None:
+        raise NotImplementedError
+
+    def take(self, key: tuple, row: tuple) -> tuple | None:
+        raise NotImplementedError
+
+    def end(self) -> None:
+        raise NotImplementedError
+
+    def late(self, key: tuple, row: tuple) -> tuple | None:
+        raise NotImplementedError
+
+    def idle(self, passed: int) -> int | None:
+        """What to do when a timer finds no rows waiting; a later time to be called again, if any."""
+        return None
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() if self.ordered else None
         number = 1 + max((k[0] for k in self.runs.keys()), default=-1)
         for frame in rows:
-            found = sorted((tuple(map(_plain, r)) for r in frame[list(ROW)].itertuples(index=False, name=None)), key=lambda r: r[:3])
+            found = sorted((tuple(map(_plain, r)) for r in frame[list(self.columns)].itertuples(index=False, name=None)), key=lambda r: r[:3])
             if self.ordered:
                 late = [r for r in found if r[0] <= passed]
                 found = found[len(late) :]
-                said = [self._row(key[0], r, late=True) for r in late if r[1]]
+                said = [o for o in (self.late(key, r) for r in late) if o is not None]
                 if said:
-                    yield pd.DataFrame(said, columns=OUT)
+                    yield pd.DataFrame(said, columns=self.out)
             for k in range(0, len(found), RUN_ROWS):
                 self._put(number, found[k : k + RUN_ROWS])
                 number += 1
         if self.ordered:
             self._wait()
         else:
-            yield from self._release(key[0], math.inf)
+            yield from self._release(key, math.inf)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._release(key[0], timerValues.getCurrentWatermarkInMs())
-        self._wait()
+        passed = timerValues.getCurrentWatermarkInMs()
+        yield from self._release(key, passed)
+        if not self._wait():
+            again = self.idle(passed)
+            if again is not None:
+                self.handle.registerTimer(again)
 
     def _put(self, number: int, run: list[tuple]) -> None:
         self.runs.updateValue((number,), (run[0][0], run[-1][0]))
         self.rows.updateValue((number,), (pickle.dumps(run),))
 
-    def _wait(self) -> None:
-        """A timer at the earliest time in the buffer."""
+    def _wait(self) -> bool:
+        """A timer at the earliest time in the buffer; whether there is one."""
         first = min((v[0] for _, v in self.runs.iterator()), default=None)
         if first is not None:
             self.handle.registerTimer(first)
+        return first is not None
 
     def _read(self, lane: list[int], until: float) -> Iterator[tuple]:
         """The rows up to ``until`` of runs that follow each other; they leave the buffer."""
@@ -98,7 +128,7 @@ class ScoreProcessor(StatefulProcessor):
                 self._put(number, rest)
             yield from run[: len(run) - len(rest)]
 
-    def _release(self, symbol: str, until: float) -> Iterator[pd.DataFrame]:
+    def _release(self, key: tuple, until: float) -> Iterator[pd.DataFrame]:
         lanes, ends = [], []
         for first, last, number in sorted((v[0], v[1], k[0]) for k, v in self.runs.iterator() if v[0] <= until):
             if ends and ends[0][0] < first:
@@ -110,36 +140,109 @@ class ScoreProcessor(StatefulProcessor):
             heapq.heappush(ends, (last, lane))
         if not lanes:
             return
-        mean, var, n, threshold, alpha, least = self.state.get() if self.state.exists() else (0.0, 0.0, 0, None, None, None)
+        self.begin()
         out = []
         for r in heapq.merge(*(self._read(lane, until) for lane in lanes), key=lambda r: r[:3]):
-            if not r[1]:
-                threshold, alpha, least = (old if new is None else new for new, old in zip(r[7:], (threshold, alpha, least)))
-                least = None if least is None else int(least)
-                continue
-            x, a = r[3], r[8] if alpha is None else alpha
-            if n == 0:
-                mean, var = x, 0.0
-            else:
-                d = x - mean
-                mean, var = a * x + (1 - a) * mean, a * (d * d) + (1 - a) * var
-            n += 1
-            z = 0.0 if n == 1 else mean / math.sqrt(max(var, self.epsilon))
-            limit, warm = r[7] if threshold is None else threshold, int(r[9] if least is None else least)
-            out.append(self._row(symbol, r, z, mean, var, n, limit, warm, n >= warm and abs(z) >= limit))
+            made = self.take(key, r)
+            if made is not None:
+                out.append(made)
             if len(out) == FRAME_ROWS:
-                yield pd.DataFrame(out, columns=OUT)
+                yield pd.DataFrame(out, columns=self.out)
                 out = []
-        self.state.update((mean, var, n, threshold, alpha, least))
+        self.end()
         if out:
-            yield pd.DataFrame(out, columns=OUT)
+            yield pd.DataFrame(out, columns=self.out)
+
+    def close(self) -> None:
+        pass
+
+
+class ScoreProcessor(OrderedProcessor):
+    """One symbol's mean, variance, count and settings."""
+
+    columns, out = ROW, OUT
+
+    def __init__(self, epsilon: float, ordered: bool):
+        super().__init__(ordered)
+        self.epsilon = epsilon
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("ewma", STATE)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        r = initialState.iloc[0]
+        self.state.update((float(r["ewma"]), float(r["ewma_var"]), int(r["trade_count"]), None, None, None))
+
+    def begin(self) -> None:
+        self.now = self.state.get() if self.state.exists() else (0.0, 0.0, 0, None, None, None)
+
+    def end(self) -> None:
+        self.state.update(self.now)
+
+    def take(self, key: tuple, r: tuple) -> tuple | None:
+        mean, var, n, *settings = self.now
+        if not r[1]:
+            settings = [old if new is None else new for new, old in zip(r[7:], settings)]
+            self.now = (mean, var, n, *settings[:2], None if settings[2] is None else int(settings[2]))
+            return None
+        threshold, alpha, least = settings
+        x, a = r[3], r[8] if alpha is None else alpha
+        if n == 0:
+            mean, var = x, 0.0
+        else:
+            d = x - mean
+            mean, var = a * x + (1 - a) * mean, a * (d * d) + (1 - a) * var
+        n += 1
+        self.now = (mean, var, n, *settings)
+        z = 0.0 if n == 1 else mean / math.sqrt(max(var, self.epsilon))
+        limit, warm = r[7] if threshold is None else threshold, int(r[9] if least is None else least)
+        return self._row(key[0], r, z, mean, var, n, limit, warm, n >= warm and abs(z) >= limit)
+
+    def late(self, key: tuple, r: tuple) -> tuple | None:
+        return self._row(key[0], r, late=True) if r[1] else None
 
     @staticmethod
     def _row(symbol, r, z=None, mean=None, var=None, n=None, limit=None, warm=None, toxic=None, late=False) -> tuple:
         return (symbol, r[2], z, mean, var, n, r[3], *r[4:7], r[0], limit, warm, toxic, late)
 
-    def close(self) -> None:
-        pass
+
+class TtlProcessor(OrderedProcessor):
+    """One key's last kept time; it is forgotten once the watermark is a TTL past it, so that the state holds no more than recent keys."""
+
+    columns, out = ("at_ms", "kind", "id", "row"), ["row"]
+
+    def __init__(self, ttl_ms: int, ordered: bool):
+        super().__init__(ordered)
+        self.ttl = ttl_ms
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("kept", "at_ms long")
+
+    def begin(self) -> None:
+        self.kept = self.state.get()[0] if self.state.exists() else None
+
+    def end(self) -> None:
+        self.state.update((self.kept,))
+        if self.ordered:
+            self.handle.registerTimer(self.kept + self.ttl)
+
+    def take(self, key: tuple, r: tuple) -> tuple | None:
+        if self.kept is not None and r[0] - self.kept < self.ttl:
+            return None
+        self.kept = r[0]
+        return (r[3],)
+
+    def late(self, key: tuple, r: tuple) -> tuple | None:
+        return None
+
+    def idle(self, passed: int) -> int | None:
+        if not self.state.exists():
+            return None
+        end = self.state.get()[0] + self.ttl
+        if passed >= end:
+            self.state.clear()
+            return None
+        return end
 
 
 def score_stream(
@@ -208,3 +311,28 @@ def dedup_stream(trades: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """A stream without repeated (exchange, symbol, trade_id) within ``delay`` of event time. Rows later than that are dropped."""
     timed = trades.withColumn("event_time", F.timestamp_millis("trade_time_ms")).withWatermark("event_time", delay)
     return timed.dropDuplicatesWithinWatermark(["exchange", "symbol", "trade_id"])
+
+
+def ttl_stream(trades: DataFrame, ttl_ms: int, key: tuple[str, ...] = KEY, time_ms: str = "trade_time_ms", order: str = "trade_id", delay: str | None = None) -> DataFrame:
+    """A stream of rows of which none of its key was kept in the ``ttl_ms`` before; a suppressed row does not extend that.
+
+    As ``within_ttl``, of rows of one key and time the first by ``order``, a
+    whole number. With a ``delay`` rows are taken in order of event time, and
+    those that come after the watermark has passed them are dropped; without
+    one, in the order of arrival. Rows without a time are dropped. All columns
+    are kept. Needs the RocksDB state store.
+    """
+    packed = trades.filter(F.col(time_ms).isNotNull()).select(
+        F.struct(*[F.col(f"`{c}`") for c in key]).alias("key"),
+        F.col(time_ms).cast("long").alias("at_ms"),
+        F.lit(1).alias("kind"),
+        F.coalesce(F.col(order).cast("long"), F.lit(0).cast("long")).alias("id"),
+        F.to_json(F.struct(*[F.col(f"`{c}`") for c in trades.columns])).alias("row"),
+    )
+    if delay is not None:
+        packed = packed.withColumn("event_time", F.timestamp_millis("at_ms")).withWatermark("event_time", delay).drop("event_time")
+    # nulls in a key are equal
+    rows = packed.select("*", F.to_json("key", {"ignoreNullFields": "false"}).alias("of")).drop("key").groupBy("of")
+    mode = "None" if delay is None else "EventTime"
+    kept = rows.transformWithStateInPandas(TtlProcessor(ttl_ms, delay is not None), "row string", outputMode="append", timeMode=mode)
+    return kept.select(F.inline(F.array(F.from_json("row", trades.schema))))

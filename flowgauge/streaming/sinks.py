@@ -12,7 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQueryListener
 
 from flowgauge.config import NormalizeConfig, SinkConfig
 from flowgauge.operators import snapshots
-from flowgauge.operators.audit import build_chain
+from flowgauge.operators.audit import build_chain, chain_heads
 from flowgauge.operators.metrics import outcome_counts
 from flowgauge.operators.normalize import dead_letters, good_trades, normalize, validate_json
 from flowgauge.sources.brokers import kafka_sink_options
@@ -118,8 +118,14 @@ def state_writer(path: str, n_buckets: int = 64, keep: int = 2) -> Callable[[Dat
     return write
 
 
-def alert_writer(alerts: str, log: str, hook: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
-    """Stores a batch of alerts, then their audit entries (one chain for each batch and symbol), then calls ``hook``."""
+def alert_writer(
+    alerts: str, log: str, hook: Callable[[DataFrame, int], None] | None = None, heads: str = ""
+) -> Callable[[DataFrame, int], None]:
+    """Stores a batch of alerts, then their audit entries (one chain for each batch and symbol), then calls ``hook``.
+
+    ``heads`` may name a folder for the ends of the chains, by which a chain
+    that is gone or was cut short is found (``verify_parts``).
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(batch_folder(alerts, batch_id))
@@ -135,6 +141,8 @@ def alert_writer(alerts: str, log: str, hook: Callable[[DataFrame, int], None] |
             F.concat_ws("/", F.lit(str(batch_id)), "symbol").alias("segment"),
         )
         build_chain(events).write.mode("overwrite").parquet(batch_folder(log, batch_id))
+        if heads:
+            chain_heads(batch.sparkSession.read.parquet(batch_folder(log, batch_id))).write.mode("overwrite").parquet(batch_folder(heads, batch_id))
         if hook is not None:
             hook(kept, batch_id)
 

@@ -28,6 +28,9 @@ class Value:
     def update(self, value):
         self.held = value
 
+    def clear(self):
+        self.held = None
+
 
 class Map:
     def __init__(self):
@@ -48,21 +51,22 @@ class Handle:
         return self.maps.setdefault(name, Map())
 
 
-def drive(batches, ordered=True, delay=100):
+def drive(batches, ordered=True, delay=100, p=None):
     """Batches of rows through the processor of one symbol, the watermark after each; all rows that it gave."""
-    p, handle, passed, seen, out = scorer.ScoreProcessor(1e-12, ordered), Handle(), 0, 0, []
+    p = p or scorer.ScoreProcessor(1e-12, ordered)
+    handle, passed, seen, out = Handle(), 0, 0, []
     p.init(handle)
     for batch in [*batches, []]:
         at = SimpleNamespace(getCurrentWatermarkInMs=lambda: passed)  # noqa: B023
         if batch:
-            frames = iter([pd.DataFrame(batch[k : k + 7], columns=scorer.ROW) for k in range(0, len(batch), 7)])
+            frames = iter([pd.DataFrame(batch[k : k + 7], columns=p.columns) for k in range(0, len(batch), 7)])
             out += list(p.handleInputRows(("S",), frames, at))
             seen = max([seen, *[r[0] for r in batch]])
         for t in sorted(t for t in handle.timers if ordered and t <= passed):
             handle.timers.discard(t)
             out += list(p.handleExpiredTimer(("S",), at, None))
         passed = max(passed, seen - delay)
-    rows = pd.concat([f.astype(object) for f in out]) if out else pd.DataFrame(columns=scorer.OUT)
+    rows = pd.concat([f.astype(object) for f in out]) if out else pd.DataFrame(columns=p.out)
     return rows, handle
 
 
@@ -136,6 +140,30 @@ def test_a_hot_symbol_is_merged_run_by_run(monkeypatch):
     assert held == [100]  # one lane of a hundred runs
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_ttl_in_a_stream(monkeypatch, seed):
+    """Any order of arrival gives what one pass over the sorted rows gives; a key that is quiet is forgotten."""
+    monkeypatch.setattr(scorer, "RUN_ROWS", 4)
+    draw = random.Random(seed)
+    times = [1000 + draw.randrange(3000) for _ in range(400)]
+    rows = [(t, 1, k, f"r{k}") for k, t in enumerate(times)]
+    ttl = draw.choice([1, 60, 500])
+    want, last = [], None
+    for t, _, k, row in sorted(rows):
+        if last is None or t - last >= ttl:
+            want.append(row)
+            last = t
+    arriving = sorted(rows, key=lambda r: r[0] + draw.randrange(99))
+    p = scorer.TtlProcessor(ttl, True)
+    got, _ = drive([*(arriving[k : k + 40] for k in range(0, 400, 40)), [(10**6, 1, 9, "far")], [(2 * 10**6, 1, 9, "farther")]], p=p)
+    assert list(got["row"]) == [*want, "far"]
+    quiet = scorer.TtlProcessor(50, True)
+    got, handle = drive([[(100, 1, 1, "a")], [(5000, 1, 2, "b")], [], []], p=quiet, delay=10)
+    at = SimpleNamespace(getCurrentWatermarkInMs=lambda: 10**6)
+    assert list(got["row"]) == ["a"] and quiet.state.exists() and list(quiet.handleExpiredTimer(("S",), at, None))[0]["row"].tolist() == ["b"]
+    assert quiet.state.held is None and list(quiet.handleExpiredTimer(("S",), at, None)) == []  # forgotten
+
+
 def test_stream_settings_leave_other_symbols_alone(spark):
     t = views.trades(spark, SF)
     changes = spark.createDataFrame([("ETHUSDT", 0, 1, 0.1, 0.5, 1)], "symbol string, at_ms long, change_id long, z_threshold double, ewma_alpha double, min_trades int")

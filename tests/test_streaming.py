@@ -53,10 +53,10 @@ def test_lines(spark):
 
 
 def test_alert_writer(spark, tmp_path):
-    from flowgauge.operators.audit import verify_chain
+    from flowgauge.operators.audit import verify_chain, verify_parts
 
     seen = []
-    write = alert_writer(f"{tmp_path}/alerts", f"{tmp_path}/log", lambda rows, n: seen.append((n, rows.count())))
+    write = alert_writer(f"{tmp_path}/alerts", f"{tmp_path}/log", lambda rows, n: seen.append((n, rows.count())), f"{tmp_path}/heads")
     alerts = spark.createDataFrame([(k, "AB"[k % 2], 3.5, 1000 + k) for k in range(6)], "trade_id long, symbol string, z_score double, trade_time_ms long")
     write(alerts, 0)
     write(alerts, 0)
@@ -64,6 +64,10 @@ def test_alert_writer(spark, tmp_path):
     assert seen == [(0, 6), (0, 6), (1, 6)] and spark.read.parquet(f"{tmp_path}/alerts").count() == 12
     log = spark.read.parquet(f"{tmp_path}/log")
     assert log.count() == 12 and verify_chain(log).filter("not ok").count() == 0
+    heads = spark.read.parquet(f"{tmp_path}/heads")
+    assert verify_parts(log, heads).filter("problem is not null").count() == 0
+    cut = verify_parts(log.filter("segment <> '1/A' and not (segment = '0/B' and entry = 3)"), heads).filter("problem is not null").collect()
+    assert sorted((r["segment"], r["problem"]) for r in cut) == [("0/B", "short"), ("1/A", "missing")]
 
 
 def test_retrying(spark):
