@@ -136,46 +136,84 @@ class Block:
         return np.bincount(use, minlength=len(self.keys[k]))
 
 
-def _send(order: int, block: int, buckets: int, keys: np.ndarray, counts: np.ndarray, kinds: np.ndarray) -> Iterator[tuple]:
-    """Sorted keys dealt into buckets by their high bits, as differences."""
-    bounds = [min((1 << 64) - 1, (b * (1 << 64)) // buckets) for b in range(1, buckets)]
+def _send(
+    order: int, block: int, first: int, last: int, buckets: int, keys: np.ndarray, counts: np.ndarray, kinds: np.ndarray
+) -> Iterator[tuple]:
+    """Sorted keys of the buckets ``first`` to ``last`` of ``buckets``, dealt by their high bits, as differences."""
+    bounds = [min((1 << 64) - 1, (b * (1 << 64)) // buckets) for b in range(first + 1, last)]
     cuts = [0, *np.searchsorted(keys, np.array(bounds, np.uint64)).tolist(), len(keys)]
-    for b, (s, e) in enumerate(zip(cuts, cuts[1:])):
+    for b, (s, e) in enumerate(zip(cuts, cuts[1:]), first):
         if s < e:
             steps = np.diff(keys[s:e], prepend=np.uint64(0))
             yield order, b, block, e - s, _pack(steps), _pack(counts[s:e].astype("<i8")), _pack(kinds[s:e].astype("<i8"))
 
 
+class Sums:
+    """What several senders sent of one order: the distinct keys with their sums, and which of them each sent."""
+
+    def __init__(self, group: pd.DataFrame):
+        keys = np.concatenate([np.cumsum(_unpack(x, "<u8"), dtype=np.uint64) for x in group["keys"]])
+        self.counts, kinds = (np.concatenate([_unpack(x, "<i8") for x in group[c]]) for c in ("counts", "kinds"))
+        self.keys, self.inverse = np.unique(keys, return_inverse=True)
+        self.total, self.kinds = np.zeros(len(self.keys), np.int64), np.zeros(len(self.keys), np.int64)
+        np.add.at(self.total, self.inverse, self.counts)
+        np.add.at(self.kinds, self.inverse, kinds)
+        self.senders = list(zip(group["block"], group["n"]))
+
+    def first(self) -> np.ndarray:
+        """Marks, of the senders that saw a key in training, the first."""
+        seen = np.nonzero(self.counts > 0)[0][::-1]
+        first = np.full(len(self.keys), -1)
+        first[self.inverse[seen]] = seen
+        return first[self.inverse] == np.arange(len(self.inverse))
+
+    def answers(self, order: int, bucket: int, total: np.ndarray, kinds: np.ndarray) -> list[tuple]:
+        """A row for each sender: of each key that it sent the total, and its number in ``kinds``."""
+        rows, at = [], 0
+        for sender, n in self.senders:
+            of = slice(at, at + n)
+            rows.append((order, bucket, sender, _pack(total[self.inverse[of]]), _pack(kinds[of].astype("<i8")), 0, 0, 0, 0))
+            at += n
+        return rows
+
+
+def _back(rows: list[tuple]) -> pd.DataFrame:
+    names = [x.split()[0] for x in BACK.split(", ")]
+    columns = dict(zip(names, map(list, zip(*rows)), strict=True)) if rows else {c: [] for c in names}
+    return pd.DataFrame(columns | {"block": pd.array(columns["block"], "Int64")})
+
+
 def _totals(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-    """Adds up what the blocks sent for a bucket, answers each, and sums up the counts in a row without block.
+    """Adds up what was sent for a bucket, answers each sender, and sums up the counts in a row without block.
 
     ``kinds`` come back as sums, too; for n-grams (sent as zeros) as 1 for one
-    block that saw the n-gram in training, which makes distinct n-grams countable.
+    sender that saw the n-gram in training, which makes distinct n-grams countable.
     """
-    keys = np.concatenate([np.cumsum(_unpack(x, "<u8"), dtype=np.uint64) for x in group["keys"]])
-    counts = np.concatenate([_unpack(x, "<i8") for x in group["counts"]])
-    kinds = np.concatenate([_unpack(x, "<i8") for x in group["kinds"]])
-    found, inverse = np.unique(keys, return_inverse=True)
-    total = np.zeros(len(found), np.int64)
-    np.add.at(total, inverse, counts)
-    if int(key[0]) > 0:
-        seen = np.nonzero(counts > 0)[0][::-1]
-        first = np.full(len(found), -1)
-        first[inverse[seen]] = seen
-        answer = (first[inverse] == np.arange(len(keys))).astype("<i8")
-    else:
-        kind = np.zeros(len(found), np.int64)
-        np.add.at(kind, inverse, kinds)
-        answer = kind[inverse]
-    rows, at = [], 0
-    for block, n in zip(group["block"], group["n"]):
-        rows.append((key[0], key[1], block, _pack(total[inverse[at : at + n]]), _pack(answer[at : at + n].astype("<i8")), 0, 0, 0, 0))
-        at += n
-    stats = int((total == 1).sum()), int((total == 2).sum()), int((total > 0).sum()), int(total.sum())
-    rows.append((key[0], key[1], None, None, None, *stats))
-    names = [x.split()[0] for x in BACK.split(", ")]
-    columns = dict(zip(names, map(list, zip(*rows)), strict=True))
-    return pd.DataFrame(columns | {"block": pd.array(columns["block"], "Int64")})
+    order, bucket, sums = int(key[0]), int(key[1]), Sums(group)
+    t = sums.total
+    rows = sums.answers(order, bucket, t, sums.first() if order > 0 else sums.kinds[sums.inverse])
+    return _back([*rows, (order, bucket, None, None, None, int((t == 1).sum()), int((t == 2).sum()), int((t > 0).sum()), int(t.sum()))])
+
+
+def _merge(within: int, buckets: int):
+    """Adds up what the blocks of a unit sent for a wide bucket, and sends it on as the unit's to the buckets within."""
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        order, wide, unit = (int(k) for k in key)
+        sums = Sums(group)
+        rows = _send(order, unit, wide * within, (wide + 1) * within, buckets, sums.keys, sums.total, sums.kinds)
+        return pd.DataFrame(list(rows), columns=[x.split()[0] for x in SENT.split(", ")])
+
+    return run
+
+
+def _answer(key: tuple, sent: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
+    """Hands what a unit was answered on to its blocks; a new n-gram counts for the first that saw it."""
+    if not len(sent):
+        return _back([])
+    order, wide, sums = int(key[0]), int(key[1]), Sums(sent)
+    kinds = _received(back, order, "kinds")[sums.inverse]
+    return _back(sums.answers(order, wide, _received(back, order, "counts"), (kinds > 0) & sums.first() if order > 0 else kinds))
 
 
 def _received(back: pd.DataFrame, order: int, column: str) -> np.ndarray:
@@ -236,7 +274,9 @@ class Automaton:
         return out
 
 
-def score_texts(docs: DataFrame, train: Column, order: int = 2, block_tokens: int = 1_000_000, bucket_tokens: int = 1_000_000) -> DataFrame:
+def score_texts(
+    docs: DataFrame, train: Column, order: int = 2, block_tokens: int = 1_000_000, bucket_tokens: int = 1_000_000, meeting: int = 2048
+) -> DataFrame:
     """Scores of ``docs(doc_id, text)`` under the model of the rows where ``train`` holds: the columns of ``RESULT``.
 
     Words lie between ASCII white space, A-Z lowered; one end follows each text
@@ -252,7 +292,9 @@ def score_texts(docs: DataFrame, train: Column, order: int = 2, block_tokens: in
     words are 1. Other columns are not read. n-grams meet by a 64-bit hash.
     ``block_tokens`` bounds a task's memory (a longer text makes a block of its
     own), and so does ``bucket_tokens``: n-grams of an order are counted in a
-    bucket for each so many tokens of the corpus.
+    bucket for each so many tokens of the corpus. ``meeting`` bounds the blocks
+    that send to one place: of more, units of so many add up what they have
+    first, so that messages don't shrink as the corpus grows.
     """
     spark = docs.sparkSession
     blocks = written(encode_blocks(docs, train, block_tokens), "blocks")
@@ -260,6 +302,13 @@ def score_texts(docs: DataFrame, train: Column, order: int = 2, block_tokens: in
     # what a bucket holds does not grow with the corpus, their number does; a task takes one after another
     buckets = max(spark.sparkContext.defaultParallelism, -(-held["tokens"] // bucket_tokens))
     tasks = min(MOST_TASKS, max(spark.sparkContext.defaultParallelism, held["n"] // 2))
+    units = -(-held["n"] // meeting)
+    if units > 1:  # blocks send to few wide buckets, units of blocks to all
+        wide = max(1, min(buckets, meeting * block_tokens // bucket_tokens))
+        within = -(-buckets // wide)
+        buckets = wide * within
+    else:
+        wide, within = buckets, 1
     sent_names, orders = [x.split()[0] for x in SENT.split(", ")], range(1, order + 1)
 
     def send_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -268,7 +317,7 @@ def score_texts(docs: DataFrame, train: Column, order: int = 2, block_tokens: in
                 b = Block(row, order)
                 for k in orders:
                     counts = b.counts(k)
-                    rows = list(_send(k, row.block, buckets, b.keys[k], counts, np.zeros(len(counts), np.int64)))
+                    rows = list(_send(k, row.block, 0, wide, wide, b.keys[k], counts, np.zeros(len(counts), np.int64)))
                     yield pd.DataFrame(rows, columns=sent_names)
 
     def send_contexts(key: tuple, mine: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
@@ -279,11 +328,21 @@ def score_texts(docs: DataFrame, train: Column, order: int = 2, block_tokens: in
                 of, n = b.context_at[k], len(b.contexts[k])
                 followed = np.bincount(of, b.counts(k), n).astype(np.int64)
                 kinds = np.bincount(of, _received(back, k, "kinds"), n).astype(np.int64)
-                rows += _send(-k, row.block, buckets, b.contexts[k], followed, kinds)
+                rows += _send(-k, row.block, 0, wide, wide, b.contexts[k], followed, kinds)
         return pd.DataFrame(rows, columns=sent_names)
 
+    def count(sent: DataFrame) -> DataFrame:
+        return sent.repartition(min(MOST_TASKS, buckets), "order", "bucket").groupBy("order", "bucket").applyInPandas(_totals, BACK)
+
     def exchange(sent: DataFrame) -> DataFrame:
-        return written(sent.repartition(min(MOST_TASKS, buckets), "order", "bucket").groupBy("order", "bucket").applyInPandas(_totals, BACK), "totals")
+        if units <= 1:
+            return written(count(sent), "totals")
+        sent = written(sent.withColumn("unit", F.pmod(F.xxhash64("block"), F.lit(units))), "sent")
+        by_unit = lambda table, bucket: table.repartition(min(MOST_TASKS, wide * units), "order", bucket, "unit").groupBy("order", bucket, "unit")
+        totals = written(count(by_unit(sent, "bucket").applyInPandas(_merge(within, buckets), SENT)), "totals")
+        told = totals.filter("block is not null").withColumn("wide", F.floor(F.col("bucket") / within).cast("int")).withColumnRenamed("block", "unit")
+        answers = by_unit(sent, "bucket").cogroup(by_unit(told, "wide")).applyInPandas(_answer, BACK)
+        return written(answers.unionByName(totals.filter("block is null")), "answers")
 
     by_block = lambda table: table.repartition(tasks, "block").groupBy("block")
     grams = exchange(blocks.mapInPandas(send_grams, SENT))

@@ -126,6 +126,22 @@ def test_lm(spark, docs, order):
         assert np.allclose(got[row[0]][5:], row[5:], rtol=1e-10)
 
 
+@pytest.mark.parametrize("order,meeting,buckets", [(2, 3, 700), (3, 2, 20_000), (1, 40, 300)])
+def test_lm_of_units(spark, docs, order, meeting, buckets):
+    """More blocks than may meet in one place: units add up what theirs have, and every score is the same."""
+    from pyspark.sql import functions as F
+
+    from flowgauge.llm.lm import score_texts
+
+    train = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    got = score_texts(table, train, order, block_tokens=900, bucket_tokens=buckets, meeting=meeting)
+    got = {r["doc_id"]: tuple(r) for r in got.collect()}
+    for row in brute_lm(docs, lambda i: zlib.crc32(str(i).encode()) % 7 == 2, order):
+        assert got[row[0]][:5] == row[:5]
+        assert np.allclose(got[row[0]][5:], row[5:], rtol=1e-10)
+
+
 def test_lm_is_better_than_base(spark):
     got = QUERIES["op3_lm_score"](spark, SF).toPandas()
     held = got[got.held_out]
