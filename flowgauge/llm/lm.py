@@ -151,14 +151,17 @@ def _send(
 class Sums:
     """What several senders sent of one order: the distinct keys with their sums, and which of them each sent."""
 
-    def __init__(self, group: pd.DataFrame):
+    def __init__(self, group: pd.DataFrame, order: int):
+        self.senders = list(zip(group["block"], group["n"]))
         keys = np.concatenate([np.cumsum(_unpack(x, "<u8"), dtype=np.uint64) for x in group["keys"]])
-        self.counts, kinds = (np.concatenate([_unpack(x, "<i8") for x in group[c]]) for c in ("counts", "kinds"))
         self.keys, self.inverse = np.unique(keys, return_inverse=True)
-        self.total, self.kinds = np.zeros(len(self.keys), np.int64), np.zeros(len(self.keys), np.int64)
+        del keys
+        self.counts = np.concatenate([_unpack(x, "<i8") for x in group["counts"]])
+        self.total = np.zeros(len(self.keys), np.int64)
         np.add.at(self.total, self.inverse, self.counts)
-        np.add.at(self.kinds, self.inverse, kinds)
-        self.senders = list(zip(group["block"], group["n"]))
+        self.kinds = np.zeros(len(self.keys), np.int64)
+        if order < 0:  # n-grams are sent without
+            np.add.at(self.kinds, self.inverse, np.concatenate([_unpack(x, "<i8") for x in group["kinds"]]))
 
     def first(self) -> np.ndarray:
         """Marks, of the senders that saw a key in training, the first."""
@@ -189,7 +192,8 @@ def _totals(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     ``kinds`` come back as sums, too; for n-grams (sent as zeros) as 1 for one
     sender that saw the n-gram in training, which makes distinct n-grams countable.
     """
-    order, bucket, sums = int(key[0]), int(key[1]), Sums(group)
+    order, bucket = int(key[0]), int(key[1])
+    sums = Sums(group, order)
     t = sums.total
     rows = sums.answers(order, bucket, t, sums.first() if order > 0 else sums.kinds[sums.inverse])
     return _back([*rows, (order, bucket, None, None, None, int((t == 1).sum()), int((t == 2).sum()), int((t > 0).sum()), int(t.sum()))])
@@ -200,7 +204,7 @@ def _merge(within: int, buckets: int):
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         order, wide, unit = (int(k) for k in key)
-        sums = Sums(group)
+        sums = Sums(group, order)
         rows = _send(order, unit, wide * within, (wide + 1) * within, buckets, sums.keys, sums.total, sums.kinds)
         return pd.DataFrame(list(rows), columns=[x.split()[0] for x in SENT.split(", ")])
 
@@ -211,7 +215,8 @@ def _answer(key: tuple, sent: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
     """Hands what a unit was answered on to its blocks; a new n-gram counts for the first that saw it."""
     if not len(sent):
         return _back([])
-    order, wide, sums = int(key[0]), int(key[1]), Sums(sent)
+    order, wide = int(key[0]), int(key[1])
+    sums = Sums(sent, order)
     kinds = _received(back, order, "kinds")[sums.inverse]
     return _back(sums.answers(order, wide, _received(back, order, "counts"), (kinds > 0) & sums.first() if order > 0 else kinds))
 
