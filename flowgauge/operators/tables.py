@@ -55,6 +55,13 @@ def seed(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     return table.unionByName(rows.join(table.select(*keys).distinct(), keys, "left_anti"))
 
 
+def _unused(rows: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``rows`` has it."""
+    while name in rows.columns:
+        name += "_"
+    return name
+
+
 def _dealt(rows: DataFrame, order: list[str | Column], part_rows: int) -> DataFrame | None:
     """``rows`` in ranges of ``order`` with the range's number ``_part``, written; None if ``part_rows`` hold them all.
 
@@ -86,14 +93,15 @@ def running(
         return rows.withColumns({n: F.sum(v).over(upto) for n, v in values.items()})
     sums = dealt.groupBy(*keys, "_part").agg(*[F.sum(v).alias(f"_{n}") for n, v in values.items()])
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    moved = sums.select("_part", *[F.col(k).alias("_key") for k in keys], *[F.sum(f"_{n}").over(earlier).alias(f"_{n}") for n in values], F.row_number().over(Window.partitionBy(*keys).orderBy("_part")).alias("_nth"))
+    at, of = (_unused(rows, c) for c in ("_at", "_of"))
+    moved = sums.select(F.col("_part").alias(at), *[F.col(k).alias(of) for k in keys], *[F.sum(f"_{n}").over(earlier).alias(f"_{n}") for n in values], F.row_number().over(Window.partitionBy(*keys).orderBy("_part")).alias("_nth"))
     inside = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     summed = dealt.withColumns({n: F.sum(v).over(inside) for n, v in values.items()})
     # a row for each range at most, of which there are as many as shuffle partitions
-    edges = F.broadcast(moved.filter("_nth > 1").drop("_nth").withColumnRenamed("_part", "_at"))
-    same = F.col("_part") == F.col("_at")
+    edges = F.broadcast(moved.filter("_nth > 1").drop("_nth"))
+    same = F.col("_part") == F.col(at)
     if keys:
-        same = same & F.col(key).eqNullSafe(F.col("_key"))
+        same = same & F.col(key).eqNullSafe(F.col(of))
     joined = summed.join(edges, same, "left")
     return joined.select(*rows.columns, *[(F.col(n) + F.coalesce(f"_{n}", F.lit(0))).alias(n) for n in values])
 
@@ -116,11 +124,12 @@ def previous(rows: DataFrame, column: str, key: str, order: tuple[str, ...], nam
     ends = dealt.groupBy(key, "_part").agg(F.max_by(column, F.struct(*order)).alias("_end"))
     before = F.lag("_end").over(Window.partitionBy(key).orderBy("_part"))
     # only a key that goes on from the range before has one
-    edges = ends.select(F.col(key).alias("_key"), F.col("_part").alias("_at"), before.alias("_edge")).filter("_edge is not null")
+    at, of = (_unused(rows, c) for c in ("_at", "_of"))
+    edges = ends.select(F.col(key).alias(of), F.col("_part").alias(at), before.alias("_edge")).filter("_edge is not null")
     inside = Window.partitionBy(key, "_part").orderBy(*order)
     lagged = dealt.withColumn(name, F.lag(column).over(inside)).withColumn("_first", F.row_number().over(inside) == 1)
-    joined = lagged.join(F.broadcast(edges), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_at")), "left")
-    return joined.withColumn(name, F.when(F.col("_first"), F.col("_edge")).otherwise(F.col(name))).drop("_part", "_first", "_key", "_at", "_edge")
+    joined = lagged.join(F.broadcast(edges), F.col(key).eqNullSafe(F.col(of)) & (F.col("_part") == F.col(at)), "left")
+    return joined.withColumn(name, F.when(F.col("_first"), F.col("_edge")).otherwise(F.col(name))).drop("_part", "_first", of, at, "_edge")
 
 
 def filled(rows: DataFrame, columns: tuple[str, ...], order: list[str | Column], key: str, part_rows: int = 1_000_000) -> DataFrame:
@@ -137,11 +146,12 @@ def filled(rows: DataFrame, columns: tuple[str, ...], order: list[str | Column],
     ends = dealt.groupBy(key, "_part").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"_{c}") for c in columns])
     earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     nth = F.row_number().over(Window.partitionBy(key).orderBy("_part")).alias("_nth")
-    known = ends.select(F.col(key).alias("_key"), F.col("_part").alias("_at_part"), *[last(f"_{c}", earlier).alias(f"_{c}") for c in columns], nth)
+    at, of = (_unused(rows, c) for c in ("_at", "_of"))
+    known = ends.select(F.col(key).alias(of), F.col("_part").alias(at), *[last(f"_{c}", earlier).alias(f"_{c}") for c in columns], nth)
     inside = dealt.withColumns({c: last(c, upto("_part", key)) for c in columns})
     # only a key that goes on from the range before: a row for each range at most
     edges = F.broadcast(known.filter("_nth > 1").drop("_nth"))
-    joined = inside.join(edges, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_at_part")), "left")
+    joined = inside.join(edges, F.col(key).eqNullSafe(F.col(of)) & (F.col("_part") == F.col(at)), "left")
     return joined.select(*[F.coalesce(c, f"_{c}").alias(c) if c in columns else F.col(f"`{c}`") for c in rows.columns])
 
 

@@ -1,3 +1,4 @@
+import functools
 import itertools
 import random
 
@@ -124,6 +125,15 @@ def test_ttl_over_ranges(spark, seed, monkeypatch):
     assert len(ranges) > 8 and max(r["count"] for r in ranges) < 700
 
 
+def test_ttl_with_many_starts(spark, monkeypatch):
+    """More starts than one task takes: their links are found by ranges too."""
+    monkeypatch.setattr(dedup, "filled", functools.partial(dedup.filled, part_rows=20))
+    rows = [(k, t) for k in ("a", None) for t in range(0, 900, 3)]
+    table = spark.createDataFrame(rows, "k string, t long").repartition(5)
+    got = within_ttl(table, "t", 50, ("k",)).collect()
+    assert sorted(((r["k"], r["t"]) for r in got), key=str) == sorted(((k, t) for k in ("a", None) for t in range(0, 900, 51)), key=str)
+
+
 def test_suppression_by_settings(spark):
     t = spark.createDataFrame([("b", "S", 1, 1000), ("b", "S", 1, 1000), ("b", "S", 1, 1900), ("b", "S", 1, 2000)], "exchange string, symbol string, trade_id long, trade_time_ms long")
     assert sorted(r["trade_time_ms"] for r in dedup.suppress(t, DedupConfig(ttl_ms=1000)).collect()) == [1000, 2000]

@@ -135,6 +135,18 @@ def test_previous(spark):
     assert tables.previous(t.limit(0), "v", "k", ("n",), "before").count() == 0
 
 
+@pytest.mark.parametrize("name", ["_key", "_at", "_of", "_at_part"])
+def test_ranges_of_any_key(spark, name):
+    """Helpers that deal rows by ranges take a key of any name."""
+    rows = spark.range(60).select((F.col("id") % 3).alias(name), "id", F.when(F.col("id") % 4 == 0, F.col("id")).alias("x"))
+    for found in (
+        tables.running(rows, {"n": F.lit(1).cast("long")}, ["id"], name, part_rows=7),
+        tables.previous(rows, "x", name, ("id",), "n", part_rows=7),
+        tables.filled(rows, ("x",), ["id"], name, part_rows=7),
+    ):
+        assert found.count() == 60
+
+
 def test_upsert_and_seed(spark):
     old = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     new = spark.createDataFrame([("b", 3), ("c", 4)], "k string, v int")
