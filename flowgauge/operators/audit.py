@@ -201,18 +201,45 @@ def roots(tree: DataFrame) -> DataFrame:
     return tree.groupBy("segment").agg(leaves, F.max_by("hash", "level").alias("root"))
 
 
-def prove(tree: DataFrame, entries: DataFrame) -> DataFrame:
-    """``entries(segment, entry)`` with ``proof``: the hashes beside the way to the root, ``(level, on_left, hash)`` in order.
-
-    A proof has as many hashes as the tree has levels at most; a join by (segment, level, place).
+def prove(tree: DataFrame, entries: DataFrame, tier: int = TIER) -> DataFrame:
+    """``entries(segment, entry, ...)`` with ``proof``: the hashes beside the way to the root, ``(level, on_left, hash)`` in order.
+
+    A proof has as many hashes as the tree has levels at most. What is asked of a
+    block of 2^tier neighbouring nodes meets the nodes of the block's ``tier``
+    levels in one row, so that each node is shuffled once, not once for each entry
+    below it, and no entry's proof is shuffled. The ways on from blocks, the tiers
+    above, are found first in the same manner: a row for each block.
     """
     top = tree.agg(F.max("level")).first()[0] or 0
-    asked = entries.select("segment", "entry", F.explode(F.sequence(F.lit(0), F.lit(top))).alias("level"))
-    place = F.expr("shiftright(entry - 1, level)")
-    beside = asked.withColumn("idx", place.bitwiseXOR(F.lit(1).cast("long")))
-    found = beside.join(tree, ["segment", "level", "idx"], "left")
-    step = F.when(F.col("hash").isNotNull(), F.struct("level", (F.col("idx") % 2 == 0).alias("on_left"), "hash"))
-    return found.groupBy("segment", "entry").agg(F.sort_array(F.collect_list(step)).alias("proof"))
+    others = [c for c in entries.columns if c != "segment"]
+    above = None
+    for base in reversed(range(0, max(top, 1), tier)):
+        place = F.shiftright(F.col("entry") - 1, base).alias("place")
+        wanted = [place] if base else [place, F.struct(*[F.col(f"`{c}`") for c in others]).alias("row")]
+        block = F.shiftright(F.col("entry") - 1, base + tier).alias("block")
+        asked = entries.select("segment", block, F.struct(*wanted).alias("of")).groupBy("segment", "block").agg(F.collect_set("of").alias("asked"))
+        levels = tree.filter(F.col("level").between(base, base + tier - 1)).withColumn("block", F.expr(f"shiftright(idx, {base + tier} - level)"))
+        at = lambda k, base=base: F.when(F.col("level") == base + k, F.struct("idx", "hash"))
+        # a row of two numbers for each block, of which none but those asked of are gathered
+        near = levels.join(F.broadcast(asked.select("segment", "block")), ["segment", "block"], "left_semi")
+        nodes = near.groupBy("segment", "block").agg(*[F.sort_array(F.collect_list(at(k))).alias(f"level_{k}") for k in range(tier)])
+        found = asked.join(nodes, ["segment", "block"], "left")
+        if above is not None:
+            found = found.join(above, ["segment", "block"], "left")
+
+        def way(start: Column, base: int = base, above: DataFrame | None = above) -> Column:
+            steps = []
+            for k in range(tier):
+                beside = F.shiftright(start, k).bitwiseXOR(F.lit(1).cast("long"))
+                node = F.get(F.col(f"level_{k}"), (beside - F.shiftleft("block", tier - k)).cast("int"))
+                steps.append(F.when(node.isNotNull(), F.struct(F.lit(base + k).alias("level"), (beside % 2 == 0).alias("on_left"), node["hash"].alias("hash"))))
+            own = F.filter(F.array(*steps), lambda s: s.isNotNull())
+            return own if above is None else F.concat(own, F.coalesce("on", F.array().cast(above.schema["on"].dataType)))
+
+        ways = F.transform("asked", lambda a: F.struct(*([a["place"].alias("block")] if base else [a["row"].alias("row")]), way(a["place"]).alias("on")))
+        above = found.select("segment", F.inline(ways))
+    made = above.select("segment", "row.*", F.col("on").alias("proof"))
+    return made.select(*[F.col(f"`{c}`") for c in entries.columns], "proof")
 
 
 def root_of(entry_hash: Column, proof: Column) -> Column:

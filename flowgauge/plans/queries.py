@@ -638,11 +638,11 @@ select id, count(*) n_hashes, sha256(string_agg(case when on_left then 'l' else
 def aud01_proof(spark, sf_dir):
     """Every entry's proof, and whether it leads to the root."""
     log = stored(_log(spark, sf_dir), "log")
-    tree = stored(audit.merkle_tree(log), "tree")
-    proofs = audit.prove(tree, log.select("segment", "entry")).join(log.select("segment", "entry", "id", "entry_hash"), ["segment", "entry"])
+    tree = audit.merkle_tree(log)
+    proofs = audit.prove(tree, log.select("segment", "entry", "id", "entry_hash"))
     text = F.array_join(F.transform("proof", lambda s: F.concat(F.when(s["on_left"], "l").otherwise("r"), s["hash"])), "")
     # a row for each segment
-    checked = proofs.join(audit.roots(tree), "segment")
+    checked = proofs.join(F.broadcast(audit.roots(tree)), "segment")
     return checked.select("id", F.size("proof").cast("long").alias("n_hashes"), F.sha2(text, 256).alias("proof_sha256"), (audit.root_of(F.col("entry_hash"), F.col("proof")) == F.col("root")).alias("ok"))
 
 

@@ -92,6 +92,22 @@ def test_merkle_tree(spark):
     assert audit.merkle_tree(log.limit(0)).count() == 0 and audit.prove(tree.limit(0), log.select("segment", "entry").limit(0)).count() == 0
 
 
+def test_proofs_in_tiers(spark):
+    """Proofs over several tiers, of some entries and with their own columns; the plan makes no row of an entry and a level."""
+    log = spark.range(150).select(F.lit(7).alias("segment"), (F.col("id") + 1).alias("entry"), F.concat(F.lit("h"), F.col("id").cast("string")).alias("entry_hash"), "id")
+    tree, want = stored(audit.merkle_tree(log), "tree"), merkle([f"h{k}" for k in range(150)])
+    some = log.filter("id % 4 = 1 or id = 149").select("id", "segment", "entry", "entry_hash")
+    some = some.unionByName(some.filter("id < 9"))
+    proofs = audit.prove(tree, some, tier=3)
+    assert proofs.columns == [*some.columns, "proof"]
+    found = proofs.collect()
+    assert sorted(r["id"] for r in found) == sorted({*range(1, 150, 4), 149})
+    for r in found:
+        place = r["entry"] - 1
+        assert [tuple(s) for s in r["proof"]] == [(k, (place >> k) % 2 == 1, lv[(place >> k) ^ 1]) for k, lv in enumerate(want) if (place >> k) ^ 1 < len(lv) > 1]
+    assert "explode" not in proofs._jdf.queryExecution().optimizedPlan().toString()
+
+
 def rows_of(schema):
     return [c.split()[0] for c in schema.split(", ")]
 
