@@ -55,9 +55,9 @@ def _run(x: np.ndarray, alpha: np.ndarray, mean: float, var: float, n: int) -> t
     return means, variances
 
 
-def _summary(x: np.ndarray, alpha: np.ndarray) -> tuple[float, float, float, float, float]:
-    """(a, b, p, q, r): with u = mean - x[0], mean' = a u + b and var' = a var + p + q u + r u^2."""
-    a, b, p, q, r = 1.0, float(x[0]), 0.0, 0.0, 0.0
+def _summary(x: np.ndarray, alpha: np.ndarray, now: tuple[float, ...]) -> tuple[float, ...]:
+    """(a, b, p, q, r) after each value from ``now``, at a chunk's start (1, x[0], 0, 0, 0): with u = mean - x[0], mean' = a u + b and var' = a var + p + q u + r u^2."""
+    a, b, p, q, r = now
     for v, w in zip(x.tolist(), alpha.tolist()):
         d, keep = v - b, 1 - w
         p, q, r = w * (d * d) + keep * p, keep * q - 2 * w * d * a, keep * r + w * (a * a)
@@ -94,39 +94,74 @@ def _prepared(trades: DataFrame, config: ScorerConfig, configs: DataFrame | None
     )
 
 
+def _numbers(b: pa.RecordBatch) -> list[np.ndarray]:
+    """A batch's ``signed_ofi`` and ``_alpha``."""
+    return [b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(float) for c in ("signed_ofi", "_alpha")]
+
+
 def _cut(rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Cuts a sorted stream into chunks of one symbol and ``rows`` rows at most, each with its number and, in its first row, its summary."""
+    """Cuts a sorted stream into chunks of one symbol and ``rows`` rows at most, each with its number and, in its last row, its summary.
+
+    A task holds a batch, whatever the size of a chunk.
+    """
+    kind = pa.struct([("n", pa.int64()), *[(c, pa.float64()) for c in ("first", *"abpqr")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, held, size, at = TaskContext.get().partitionId(), 0, [], 0, None
-
-        def chunk() -> Iterator[pa.RecordBatch]:
-            nonlocal number
-            t = pa.Table.from_batches(held).combine_chunks()
-            x, alpha = t["signed_ofi"].to_numpy().astype(float), t["_alpha"].to_numpy()
-            found = [{"n": size, "first": x[0], **dict(zip("abpqr", _summary(x, alpha)))}] + [None] * (size - 1)
-            kind = pa.struct([("n", pa.int64()), *[(c, pa.float64()) for c in ("first", *"abpqr")]])
-            t = t.append_column("chunk", pa.array(np.full(size, part << 33 | number))).append_column("_summary", pa.array(found, kind))
-            number += 1
-            yield from t.to_batches()
+        part, number, last, size, at, first, now = TaskContext.get().partitionId(), 0, None, 0, None, 0.0, ()
+
+        def told(ends: bool) -> pa.RecordBatch:
+            summary = {"n": size, "first": first, **dict(zip("abpqr", now))} if ends else None
+            more = [pa.array(np.full(last.num_rows, part << 33 | number)), pa.array([None] * (last.num_rows - 1) + [summary], kind)]
+            return pa.RecordBatch.from_arrays([*last.columns, *more], names=[*last.schema.names, "chunk", "_summary"])
 
         for b in batches:
-            symbols = b.column(b.schema.get_field_index("symbol")).dictionary_encode().indices.to_numpy()
             names = b.column(b.schema.get_field_index("symbol"))
-            edges = [0, *(np.flatnonzero(np.diff(symbols)) + 1).tolist(), b.num_rows]
+            edges = [0, *(np.flatnonzero(np.diff(names.dictionary_encode().indices.to_numpy())) + 1).tolist(), b.num_rows]
             for s, e in zip(edges, edges[1:]):
-                if s < e and held and names[s].as_py() != at:
-                    yield from chunk()
-                    held, size = [], 0
+                if s < e and last is not None and names[s].as_py() != at:
+                    yield told(True)
+                    number, last, size = number + 1, None, 0
                 while s < e:
-                    some = b.slice(s, min(e - s, rows - size))
-                    held.append(some)
-                    at, s, size = names[s].as_py(), s + some.num_rows, size + some.num_rows
+                    if last is not None:
+                        yield told(False)
+                    last = b.slice(s, min(e - s, rows - size))
+                    x, alpha = _numbers(last)
+                    if not size:
+                        first, now = x[0], (1.0, float(x[0]), 0.0, 0.0, 0.0)
+                    now = _summary(x, alpha, now)
+                    at, s, size = names[s].as_py(), s + last.num_rows, size + last.num_rows
                     if size == rows:
-                        yield from chunk()
-                        held, size = [], 0
-        if held:
-            yield from chunk()
+                        yield told(True)
+                        number, last, size = number + 1, None, 0
+        if last is not None:
+            yield told(True)
+
+    return run
+
+
+def _finish(columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Runs each chunk of a sorted stream from the state in the row ahead of it (``_trade`` is false)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mean, var, n = 0.0, 0.0, 0
+        for b in batches:
+            states = [b.column(b.schema.get_field_index(c)) for c in ("ewma", "ewma_var", "trade_count")]
+            trade = b.column(b.schema.get_field_index("_trade"))
+            x, alpha = _numbers(b)
+            means, variances, counts, s = [], [], [], 0
+            for e in [*np.flatnonzero(~trade.to_numpy(zero_copy_only=False)).tolist(), b.num_rows]:
+                if s < e:
+                    m, v = _run(x[s:e], alpha[s:e], mean, var, n)
+                    means += m
+                    variances += v
+                    counts.append(np.arange(n + 1, n + 1 + e - s))
+                    mean, var, n = m[-1], v[-1], n + e - s
+                if e < b.num_rows:
+                    (mean, var, n), s = (c[e].as_py() for c in states), e + 1
+            if means:
+                kept = b.select(columns).filter(trade)
+                made = [pa.array(means, pa.float64()), pa.array(variances, pa.float64()), pa.array(np.concatenate(counts), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*kept.columns, *made], names=[*columns, "ewma", "ewma_var", "trade_count"])
 
     return run
 
@@ -146,10 +181,11 @@ def score_trades(
     symbols an ``ewma_alpha`` of their own, or the trades themselves have one
     each (``settings_as_of``); ``initial`` (schema FINAL) restores states.
 
-    ``chunk_rows`` bounds what one task holds; up to that many trades are scored
-    in one pass, and the two ways differ by rounding at most. Beyond it, trades
-    are dealt by ranges, never more than the session has shuffle partitions, and
-    each range is cut into chunks as it streams past in order.
+    Up to ``chunk_rows`` trades are scored in one pass; beyond it they are dealt
+    by ranges, never more than the session has shuffle partitions, and each range
+    is cut into chunks of so many rows at most; the two ways differ by rounding
+    at most. Both passes over chunks are streams in order, of which a task holds
+    a batch.
     """
     config = config or ScorerConfig()
     epsilon = config.epsilon
@@ -159,14 +195,10 @@ def score_trades(
     parts = min(int(ready.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(trades.count() / chunk_rows))
     order = ("symbol", *ORDER)
 
-    def finish(key: tuple, rows: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(ORDER), kind="stable")
-        mean, var, n = (states[c].iloc[0] if len(states) else 0 for c in ("ewma", "ewma_var", "trade_count"))
-        means, variances = _run(rows["signed_ofi"].to_numpy(float), rows["_alpha"].to_numpy(float), mean, var, n)
-        return rows.assign(ewma=means, ewma_var=variances, trade_count=np.arange(n + 1, n + 1 + len(rows)))
-
     def alone(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return finish(key, rows, rows.iloc[:0].assign(ewma=0.0, ewma_var=0.0, trade_count=0))
+        rows = rows.sort_values(list(ORDER), kind="stable")
+        means, variances = _run(rows["signed_ofi"].to_numpy(float), rows["_alpha"].to_numpy(float), 0.0, 0.0, 0)
+        return rows.assign(ewma=means, ewma_var=variances, trade_count=np.arange(1, 1 + len(rows)))
 
     if parts <= 1 and initial is None:
         scored = ready.groupBy("symbol").applyInPandas(alone, T.StructType([*ready.schema.fields, *added]))
@@ -188,10 +220,12 @@ def score_trades(
             )
             summaries = summaries.unionByName(restored)
         states = summaries.groupBy("symbol").applyInPandas(_compose, STATE)
-        keys = ("symbol", "chunk")
         chunks = cut.drop("_summary")
         schema = T.StructType([*chunks.schema.fields, *added])
-        scored = chunks.groupBy(*keys).cogroup(states.groupBy(*keys)).applyInPandas(finish, schema).drop("chunk")
+        # a chunk's state goes ahead of its trades
+        both = chunks.withColumn("_trade", F.lit(True)).unionByName(states.withColumn("_trade", F.lit(False)), allowMissingColumns=True)
+        ready = both.repartition("symbol", "chunk").sortWithinPartitions("symbol", "chunk", "_trade", *ORDER)
+        scored = ready.mapInArrow(_finish(chunks.columns), schema).drop("chunk")
     z = F.when(F.col("trade_count") == 1, 0.0).otherwise(F.col("ewma") / F.sqrt(F.greatest("ewma_var", F.lit(epsilon))))
     return scored.drop("_alpha").withColumn("z_score", z)
 

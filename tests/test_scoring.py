@@ -1,9 +1,12 @@
 import math
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from flowgauge.config import ScorerConfig
+from flowgauge.operators import scoring
 from flowgauge.operators.scoring import checkpoint_epochs, config_table, current_z, final_state, score_trades, settings_as_of, with_thresholds
 from flowgauge.tables import stored
 
@@ -120,3 +123,31 @@ def test_own_alpha_and_empty(spark):
     own = spark.createDataFrame([("BTCUSDT", 1.0)], "symbol string, ewma_alpha double")
     assert scores(score_trades(flow(spark, [1, 4]), configs=own))[1][:2] == (4.0, 9.0)
     assert score_trades(flow(spark, [1]).limit(0)).count() == 0
+
+
+def test_passes_over_chunks_hold_a_batch(spark, monkeypatch):
+    """Rows of a long chunk go on while later ones come, in both passes; their scores are those of one pass, whatever the batches."""
+    monkeypatch.setattr(scoring.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 3})())
+    taken = []
+
+    def batches(columns, size=10):
+        for k in range(20):
+            taken.append(k)
+            yield pa.RecordBatch.from_pydict({c: f(range(k * size, (k + 1) * size)) for c, f in columns.items()})
+
+    numbers = {"symbol": lambda r: ["A"] * len(r), "signed_ofi": lambda r: [float(i % 7) for i in r], "_alpha": lambda r: [0.1] * len(r)}
+    cut = scoring._cut(1000)(batches(numbers))
+    first = next(cut)
+    assert first.num_rows == 10 and len(taken) == 2
+    rest = pa.Table.from_batches([first, *cut]).to_pylist()
+    assert len(rest) == 200 and [r["_summary"] is None for r in rest] == [True] * 199 + [False]
+    one = scoring._summary(np.array([r["signed_ofi"] for r in rest]), np.array([0.1] * 200), (1.0, 0.0, 0.0, 0.0, 0.0))
+    assert rest[-1]["_summary"] == {"n": 200, "first": 0.0, **dict(zip("abpqr", one))}
+    taken.clear()
+    begun = {"ewma": lambda r: [2.0 if not i else None for i in r], "ewma_var": lambda r: [1.0 if not i else None for i in r], "trade_count": lambda r: pa.array([5 if not i else None for i in r], pa.int64()), "_trade": lambda r: [i > 0 for i in r]}
+    made = scoring._finish(list(numbers))(batches(numbers | begun))
+    first = next(made)
+    assert first.num_rows == 9 and len(taken) == 1
+    scored = pa.Table.from_batches([first, *made])
+    means, variances = scoring._run(np.array([float(i % 7) for i in range(1, 200)]), np.array([0.1] * 199), 2.0, 1.0, 5)
+    assert (scored["ewma"].to_pylist(), scored["ewma_var"].to_pylist(), scored["trade_count"].to_pylist()) == (means, variances, list(range(6, 205)))
