@@ -1091,7 +1091,10 @@ def _arriving(spark: SparkSession, rows: DataFrame, time: str, arrival: Column |
     if arrival is None:
         rows.repartitionByRange(3, time).write.parquet(path)
         return spark.readStream.schema(rows.schema).parquet(path)
-    held = stored(rows.withColumn("_turn", F.floor((F.col(time) + arrival - ends["a"]) * 10 / (ends["b"] - ends["a"]))), "arrivals")
+    dealt, turns = rows.withColumn("_turn", F.floor((F.col(time) + arrival - ends["a"]) * 10 / (ends["b"] - ends["a"]))), shared_path(spark, "arrivals")
+    dealt.write.partitionBy("_turn").parquet(turns)
+    # a folder for each turn: what a turn brings is read once, not once for every turn
+    held = spark.read.schema(dealt.schema).parquet(turns)
     for turn in range(12):
         held.filter(F.col("_turn") == turn).drop("_turn").coalesce(1).write.mode("append").parquet(path)
     if time == "trade_time_ms":  # a last trade of no symbol lets the watermark pass all others

@@ -14,6 +14,7 @@ import heapq
 import math
 import pickle
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,9 +35,14 @@ SCORED = schemas.SCORE + ", z_threshold double, min_trades int, is_toxic boolean
 OUT = [c.split()[0] for c in SCORED.split(", ")]
 
 
-def _plain(value: object) -> object:
-    """A cell without pandas' stand-ins for null."""
-    return None if value is None or value is pd.NaT or value != value else value
+#: The order of rows: (at_ms, kind, id).
+IN_ORDER = itemgetter(0, 1, 2)
+
+
+def _plain(frame: pd.DataFrame, columns: tuple[str, ...]) -> list[tuple]:
+    """A frame's rows without pandas' stand-ins for null, column by column."""
+    given = lambda c: c.astype(object).where(c.notna(), None) if c.hasnans else c
+    return list(zip(*(given(frame[c]).tolist() for c in columns)))
 
 
 class OrderedProcessor(StatefulProcessor):
@@ -83,7 +89,7 @@ class OrderedProcessor(StatefulProcessor):
         passed = timerValues.getCurrentWatermarkInMs() if self.ordered else None
         number = 1 + max((k[0] for k in self.runs.keys()), default=-1)
         for frame in rows:
-            found = sorted((tuple(map(_plain, r)) for r in frame[list(self.columns)].itertuples(index=False, name=None)), key=lambda r: r[:3])
+            found = sorted(_plain(frame, self.columns), key=IN_ORDER)
             if self.ordered:
                 late = [r for r in found if r[0] <= passed]
                 found = found[len(late) :]
@@ -142,7 +148,7 @@ class OrderedProcessor(StatefulProcessor):
             return
         self.begin()
         out = []
-        for r in heapq.merge(*(self._read(lane, until) for lane in lanes), key=lambda r: r[:3]):
+        for r in heapq.merge(*(self._read(lane, until) for lane in lanes), key=IN_ORDER):
             made = self.take(key, r)
             if made is not None:
                 out.append(made)

@@ -11,6 +11,7 @@ from flowgauge.config import ScorerConfig
 from flowgauge.operators import scoring
 from flowgauge.plans import queries, views
 from flowgauge.streaming import scorer
+from flowgauge.tables import shared_path
 
 SF = "/root/testdata/sf0.001"
 
@@ -191,3 +192,24 @@ def test_late_side_output(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/scores").count() == 50
     assert sorted(r["trade_id"] for r in spark.read.parquet(f"{tmp_path}/late").collect()) == [98, 99]
     assert sum(c["scored"] for c in seen) == 50 and sum(c["late"] for c in seen) == 2
+
+
+def test_rows_are_read_by_column():
+    """Nulls of any kind become None."""
+    frame = pd.DataFrame({"at_ms": [3, 1], "x": [None, 2.5], "side": ["BUY", None], "n": [float("nan"), 4.0], "t": [pd.NaT, pd.NaT]})
+    assert scorer._plain(frame, ("at_ms", "x", "side", "n")) == [(3, None, "BUY", None), (1, 2.5, None, 4.0)]
+    assert scorer._plain(frame, ("t",)) == [(None,), (None,)]
+
+
+def test_a_turn_is_read_once(spark, monkeypatch):
+    """Arrivals lie in a folder for each turn, so that a turn's file is made from its own rows alone."""
+    rows = spark.range(400).select(F.col("id").alias("trade_id"), F.lit("S").alias("symbol"), (F.col("id") * 8_640_000).alias("trade_time_ms"))
+    paths = []
+    monkeypatch.setattr(queries, "shared_path", lambda s, n: paths.append(shared_path(s, n)) or paths[-1])
+    ends = queries._ends(rows)
+    queries._arriving(spark, rows, "trade_time_ms", F.lit(0), ends)
+    held = next(p for p in paths if "arrivals" in p)
+    turns = spark.read.parquet(held).groupBy("_turn", F.input_file_name().alias("file")).count().collect()
+    assert all(f"_turn={r['_turn']}/" in r["file"] for r in turns) and {r["_turn"] for r in turns} == set(range(11))
+    stream = next(p for p in paths if "stream-in" in p)
+    assert spark.read.parquet(stream).filter("symbol = 'S'").count() == 400
